@@ -28,7 +28,7 @@ Knots = list[tuple[float, float]]
 WEIGHTS = (5.0, 2.0, 1.0)
 COURSES: tuple[Knots, ...] = ([(0.0, 1.5), (1.0, 0.5)], [(0.0, 1.0), (1.0, 1.0)], [(0.0, 0.5), (0.5, 1.0), (1.0, 1.5)])
 MAX_EPOCHS = 3
-ROWS_PER_BUCKET = 20_000
+ROWS_PER_BUCKET = 2_000
 
 
 def area(knots: Knots) -> float:

@@ -27,7 +27,7 @@ from .common import in_slices, materialize, running_sum, table
 BINS = 1024
 HASH_BITS = 31
 SHARDS = 8
-ROWS_PER_BUCKET = 20_000
+ROWS_PER_BUCKET = 2_000
 
 
 @dataclass
@@ -95,8 +95,8 @@ def grow(points: DataFrame, dims: list[str], leaves: int, bins: int = BINS) -> l
                 a = s[0] + c * wide
                 if below + w - s[3] <= s[3] * 1e-4:  # the cell's end is near enough
                     s[0] = s[1] = min(a + wide - 1, s[1])
-                elif len(cells) == 1 and wide == 1:
-                    s[0] = s[1] = a
+                elif wide == 1:  # one point, heavier than the gap: it goes to the side that it unbalances less
+                    s[0] = s[1] = a if below + w - s[3] <= s[3] - below else a - 1
                 else:
                     s[0], s[1], s[2] = a, min(a + wide - 1, s[1]), below
         for k, s in state.items():
