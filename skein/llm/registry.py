@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("mixing", "warc", "sketch", "url_rules", "sharding", "simhash")
+MODULES = ("mixing", "warc", "sketch", "url_rules", "sharding", "simhash", "substrings")
 
 
 def _gather(what: str) -> dict:
