@@ -7,7 +7,7 @@ at most `DICT_BYTES` long; archives too small for one are written without.
 
 Records with equal payloads of at least `REVISIT_BYTES` bytes are stored once: the one with the largest page_id is
 a response, the others are revisit records that name it, its digest and the payload's length. Which those are is
-found on digests alone; the payloads are shuffled once, to the archives, in ranges of page_id, each of about
+found on digests alone; the payloads are shuffled once, to the archives, dealt by page_id, each of about
 `ARCHIVE_BYTES`. A task holds one archive at most. A file is written under a name of its own attempt and renamed,
 and reads go by the list that the writing job returned: attempts that were lost leave no record behind.
 
@@ -26,7 +26,6 @@ from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import fresh_path, in_slices, materialize, table
@@ -136,11 +135,13 @@ def write(pages: DataFrame, folder: str, archive_bytes: int = ARCHIVE_BYTES) ->
     """Archive pages (page_id, url, html) under `folder`; one row per archive: path, records, bytes."""
     spark = pages.sparkSession
     total = pages.agg(F.coalesce(F.sum(F.coalesce(F.octet_length("html"), F.lit(0)) + 500), F.lit(0))).first()[0]
-    links = revisits(pages)
-    own = pages.select("page_id", "url", F.coalesce("html", F.lit("")).cast("binary").alias("payload"))
-    own = own.withColumn("digest", F.sha1("payload"))
-    both = own.join(links, [own.page_id.eqNullSafe(links.page_id), own.digest == links.digest], "left").select(own["*"], links.refers_to)
-    both = both.repartitionByRange(in_slices(total, archive_bytes), "page_id").sortWithinPartitions("page_id", "digest")
+    # One shuffle brings pages and links to the archives: both are dealt by page_id, and joined there.
+    parts, key = in_slices(total, archive_bytes), F.coalesce("page_id", F.lit(-(1 << 63)))
+    links = revisits(pages).groupBy(key.alias("__k")).agg(F.collect_list(F.struct("digest", "refers_to")).alias("links"))
+    own = pages.select(key.alias("__k"), "page_id", "url", F.coalesce("html", F.lit("")).cast("binary").alias("payload"))
+    both = own.repartition(parts, "__k").join(links.repartition(parts, "__k"), "__k", "left").withColumn("digest", F.sha1("payload"))
+    refers = F.get(F.filter("links", lambda x: x["digest"] == F.col("digest")), F.lit(0))["refers_to"]
+    both = both.select("page_id", "url", "payload", "digest", refers.alias("refers_to")).sortWithinPartitions("page_id", "digest")
 
     def archive(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         files, where = filesystem(folder)
