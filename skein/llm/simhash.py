@@ -57,14 +57,15 @@ def fingerprint(text: str | None, n: int = SHINGLE) -> int:
 
 
 def with_fingerprints(docs: DataFrame, n: int = SHINGLE) -> DataFrame:
-    """doc_id, fp (as a signed long)."""
+    """doc_id, fp (as a signed long), text_hash."""
 
     def each(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
             fps = np.array([fingerprint(t if isinstance(t, str) else None, n) for t in f.text], dtype=np.uint64)
-            yield pd.DataFrame({"doc_id": f.doc_id.astype("Int64"), "fp": fps.view(np.int64)})
+            yield pd.DataFrame({"doc_id": f.doc_id.astype("Int64"), "fp": fps.view(np.int64), "text_hash": f.text_hash})
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInPandas(each, "doc_id long, fp long")
+    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("text_hash"))
+    return own.mapInPandas(each, "doc_id long, fp long, text_hash long")
 
 
 def bit_groups(sample: np.ndarray, m: int) -> list[list[int]]:
@@ -188,15 +189,30 @@ def links(distinct: DataFrame, total: int, radius: int = RADIUS) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, radius: int = RADIUS, shingle: int = SHINGLE) -> DataFrame:
-    """doc_id, fp, component_id of every row of docs (doc_id, text)."""
+    """doc_id, fp, text_hash, root, component_id of every row of docs (doc_id, text). root names the component."""
     fps = materialize(with_fingerprints(docs, shingle), "simhash")
     classes = materialize(fps.groupBy("fp").agg(F.min("doc_id").alias("first")), "simhash-classes")
     total = classes.count()
     roots = components(links(classes.select("fp"), total, radius))
     named = classes.join(roots, classes.fp == roots.node, "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
     least = named.groupBy("root").agg(F.min("first").alias("component_id"))
-    named = materialize(named.join(least, "root").select("fp", "component_id"), "simhash-components")
-    return fps.join(named, "fp").select("doc_id", "fp", "component_id")
+    named = materialize(named.join(least, "root").select("fp", "root", "component_id"), "simhash-components")
+    return fps.join(named, "fp").select("doc_id", "fp", "text_hash", "root", "component_id")
+
+
+def deduplicate(docs: DataFrame, **options) -> DataFrame:
+    """One row of each component stays, the one with the smallest doc_id (null first), all columns as they were."""
+    own = docs.columns
+    no_id = F.lit(-(1 << 63))
+    rows = near_duplicates(docs, **options).withColumn("doc_id", F.coalesce("doc_id", no_id))
+    # How many rows share a component's first id and text; more than one only where rows are repeated.
+    per = rows.groupBy("root", "doc_id", "text_hash").agg(F.count(F.lit(1)).alias("n"))
+    kept = per.groupBy("root").agg(F.min(F.struct("doc_id", "text_hash", "n")).alias("k"))
+    kept = materialize(kept.select(F.col("k.doc_id").alias("__k"), F.col("k.text_hash").alias("__t"), F.col("k.n").alias("__n")), "simhash-kept")
+    marked = docs.withColumn("__k", F.coalesce(F.col("doc_id").cast("long"), no_id)).withColumn("__t", F.xxhash64("text"))
+    once = marked.join(kept.where("__n = 1").select("__k", "__t"), ["__k", "__t"], "left_semi")
+    again = marked.join(kept.where("__n > 1").select("__k", "__t"), ["__k", "__t"], "left_semi").dropDuplicates(["__k", "__t"])
+    return once.select(*own).union(again.select(*own))
 
 
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
