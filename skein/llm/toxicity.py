@@ -2,7 +2,7 @@
 
 A logistic regression over the presence of words and word beginnings (hashed), as one labels' column marks texts.
 Sentences of the training texts that hold an identity term are copied with the term swapped for others of its
-group, and the square of the change of the score (as a logit) is part of the loss, weighted `CF_WEIGHT`. So a mere
+group (`PAIRS` swaps of a text at most), and the square of the change of the score (as a logit) is part of the loss, weighted `CF_WEIGHT`. So a mere
 mention of a group earns no score, even where the labelled rows happen to mention it in toxic texts more often.
 
 It is fitted on a bounded sample of the labelled rows: `MAX_TOXIC` and `MAX_CLEAN` rows, those with the least hash
@@ -27,13 +27,13 @@ from pyspark.sql import functions as F
 
 from .common import BROADCAST_ROWS, table
 
-MAX_TOXIC, MAX_CLEAN = 4000, 8000
+MAX_TOXIC, MAX_CLEAN = 3000, 6000
 HASH_BITS = 22
 FEATURES = 20_000
 MIN_COUNT = 4
 L2, CF_WEIGHT, ROUNDS = 2e-5, 0.3, 600
 BEGINNINGS = (4, 5, 6)
-SWAPS = 3
+SWAPS, PAIRS = 3, 20
 #: Groups of identity terms; terms of one group are swapped for one another.
 IDENTITY = (
     ("women", "men", "girls", "boys", "transgender", "nonbinary"),
@@ -110,6 +110,14 @@ def counterfactuals(text: str | None, groups: Iterable[tuple[str, ...]] = IDENTI
     return out
 
 
+def as_bytes(found: set[int]) -> bytes:
+    return np.array(sorted(found), "<i4").tobytes()
+
+
+def from_bytes(data: bytes) -> np.ndarray:
+    return np.frombuffer(data, "<i4")
+
+
 class Model:
     """Weights by hashed feature."""
 
@@ -130,32 +138,34 @@ def fit(rows: list[np.ndarray], labels: np.ndarray, weights: np.ndarray, pairs:
     share = float((labels * weights).sum() / weights.sum()) if len(labels) else 0.0
     if not 0 < share < 1:
         return Model({}, float(np.clip(np.log((share + 1e-9) / (1 - share + 1e-9)), -20, 20)))
-    sizes = np.array([len(r) for r in rows])
-    flat, doc = np.concatenate(rows), np.repeat(np.arange(len(rows)), sizes)
-    names, place, counts = np.unique(flat, return_inverse=True, return_counts=True)
-    toxic = np.bincount(place, weights=labels[doc], minlength=len(names))
+    # Counted row by row over the hash range, so that no copy of all features is ever held.
+    counts, toxic = np.zeros(1 << HASH_BITS, np.int32), np.zeros(1 << HASH_BITS, np.int32)
+    for r, y in zip(rows, labels):
+        counts[r] += 1
+        if y:
+            toxic[r] += 1
     # Which features are told apart best from chance, by the z-score of their toxic share in the sample.
     rate = labels.mean()
-    z = np.abs(toxic - counts * rate) / np.sqrt(counts * rate * (1 - rate))
-    z[counts < MIN_COUNT] = 0
+    names = np.nonzero(counts)[0]
+    z = np.abs(toxic[names] - counts[names] * rate) / np.sqrt(counts[names] * rate * (1 - rate))
+    z[counts[names] < MIN_COUNT] = 0
     # Identity terms stay, whatever they tell: their weights are what swaps hold down.
     swapped = np.unique(np.concatenate([np.setxor1d(a, b) for a, b in pairs])) if pairs else np.zeros(0, np.int64)
     z[np.isin(names, swapped)] = np.inf
     picked = np.sort(np.argsort(-z, kind="stable")[:FEATURES])
-    picked = picked[z[picked] > 2]
-    column = np.full(len(names), -1)
-    column[picked] = np.arange(len(picked))
-    use = column[place] >= 0
-    col, row, n = column[place][use], doc[use], len(picked)
-    at = {int(k): i for i, k in enumerate(names[picked])}
+    names = names[picked[z[picked] > 2]]
+    column = np.full(1 << HASH_BITS, -1, np.int32)
+    column[names] = np.arange(len(names))
+    cols = [column[r] for r in rows]
+    cols = [c[c >= 0] for c in cols]
+    col, row, n = np.concatenate(cols), np.repeat(np.arange(len(rows)), [len(c) for c in cols]), len(names)
     pc, pr, pv = [], [], []
     for i, (a, b) in enumerate(pairs):
         for sign, own in ((1.0, np.setdiff1d(a, b)), (-1.0, np.setdiff1d(b, a))):
-            for k in own.tolist():
-                if k in at:
-                    pc.append(at[k])
-                    pr.append(i)
-                    pv.append(sign)
+            for k in column[own][column[own] >= 0].tolist():
+                pc.append(k)
+                pr.append(i)
+                pv.append(sign)
     pc, pr, pv = np.array(pc, np.int64), np.array(pr, np.int64), np.array(pv)
     w, b = np.zeros(n), float(np.log(share / (1 - share)))
     share_of = weights / weights.sum()
@@ -175,7 +185,7 @@ def fit(rows: list[np.ndarray], labels: np.ndarray, weights: np.ndarray, pairs:
         nt = (1 + np.sqrt(1 + 4 * t * t)) / 2
         look, look_b = new + (t - 1) / nt * (new - w), new_b + (t - 1) / nt * (new_b - b)
         w, b, t = new, new_b, nt
-    return Model({int(k): float(v) for k, v in zip(names[picked], w) if abs(v) > 1e-6}, float(b))
+    return Model({int(k): float(v) for k, v in zip(names, w) if abs(v) > 1e-6}, float(b))
 
 
 def train(docs: DataFrame, labels: DataFrame, groups: Iterable[tuple[str, ...]] = IDENTITY, cf_weight: float = CF_WEIGHT) -> Model:
@@ -193,18 +203,18 @@ def train(docs: DataFrame, labels: DataFrame, groups: Iterable[tuple[str, ...]]
             before, after, own = [], [], []
             for text in f["text"]:
                 text = text if isinstance(text, str) else None
-                own.append(sorted(features(text)))
-                pairs = counterfactuals(text, groups)[:20]
-                before.append([sorted(a) for a, _ in pairs])
-                after.append([sorted(b) for _, b in pairs])
+                own.append(as_bytes(features(text)))
+                pairs = counterfactuals(text, groups)[:PAIRS]
+                before.append([as_bytes(a) for a, _ in pairs])
+                after.append([as_bytes(b) for _, b in pairs])
             yield pd.DataFrame({"doc_id": f["doc_id"], "toxic": f["toxic"], "own": own, "before": before, "after": after})
 
-    got = picked.mapInPandas(extract, "doc_id long, toxic int, own array<int>, before array<array<int>>, after array<array<int>>")
+    got = picked.mapInPandas(extract, "doc_id long, toxic int, own binary, before array<binary>, after array<binary>")
     got = got.toPandas().sort_values("doc_id", kind="stable", ignore_index=True)
     y = got["toxic"].to_numpy(float)
     share = {k: totals.get(k, 0) / max(1, int((y == k).sum())) for k in (0, 1)}
-    pairs = [(np.array(a, np.int64), np.array(b, np.int64)) for bs, as_ in zip(got["before"], got["after"]) for a, b in zip(bs, as_)]
-    return fit([np.array(x, np.int64) for x in got["own"]], y, np.array([share[int(v)] for v in y]), pairs, cf_weight)
+    pairs = [(from_bytes(a), from_bytes(b)) for bs, as_ in zip(got["before"], got["after"]) for a, b in zip(bs, as_)]
+    return fit([from_bytes(x) for x in got["own"]], y, np.array([share[int(v)] for v in y]), pairs, cf_weight)
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
