@@ -3,9 +3,9 @@
 A byte goes if a string of `LENGTH` bytes that covers it also starts earlier: in a smaller doc_id, or in the same
 document before. Strings are judged on the input and never cross documents.
 
-1. Anchors. In every window of LENGTH bytes the K-byte string with the least hash is an anchor, so equal windows
-   have equal anchors at equal places. A window can repeat only if its anchor does; everything else is left out,
-   exactly. An anchor's context is what surrounds it in the windows that hold it.
+1. Anchors. Every window of LENGTH bytes is owned by the K-byte string in it with the least hash, its anchor, so
+   equal windows have equal anchors at equal places. A window can repeat only if its anchor does; everything else
+   is left out, exactly. An anchor's context are the bytes of the windows that it owns.
 2. Contexts that are equal to an earlier one are removed whole, by comparing digests: first inside each batch that
    a task reads (so a passage or text that many documents share is pre-aggregated before the shuffle), then over
    all, in one pass over rows sorted by anchor that keeps only the last row. What stays are the first occurrences
@@ -36,27 +36,31 @@ from .suffix_array import common_prefixes, suffix_array
 
 LENGTH = 100
 K = 32
-SHARD_BYTES = 3_000_000
-SPLIT = 15_000
-MIX = np.uint64(0x9E3779B97F4A7C15)
+SHARD_BYTES = 1_000_000
+SPLIT = 6_000
+MIX, UPPER = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xFFFFFFFF00000000)
+SPAN = np.uint64(127)  # so many windows, less one, an anchor may own: LENGTH - K is less
 _SHIFT = 31  # a place is crc32 << 31 | position; spans have it inverted
 
 
-def anchors(data: bytes, length: int = LENGTH, k: int = K) -> tuple[np.ndarray, np.ndarray]:
-    """Positions and hashes of the anchors of a text of at least `length` bytes."""
+def anchors(data: bytes, length: int = LENGTH, k: int = K) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of a text of at least `length` bytes: each anchor's position and hash, and the first and last window it owns.
+
+    A window's owner is the k-byte string in it with the least upper half of its hash, the leftmost of equals.
+    Owners follow from the window's bytes alone, so equal windows have equal owners at equal places.
+    """
     n = len(data) - k + 1
     lanes = np.ndarray(shape=(len(data) - 7,), dtype="<u8", buffer=data, strides=(1,))
     h = np.zeros(n, np.uint64)
     for j in range(0, k, 8):
         h = (h ^ lanes[j : j + n]) * MIX
         h ^= h >> np.uint64(29)
-    w = length - k + 1
-    least = sliding(h, w, np.minimum)
-    # An anchor is the least of some window over it: the greatest of those windows' minima is its own hash.
-    edge = np.zeros(w - 1, np.uint64)
-    reached = sliding(np.concatenate([edge, least, edge]), w, np.maximum)
-    at = np.nonzero(h == reached)[0]
-    return at, h[at]
+    key = (h & UPPER) | np.arange(n, dtype=np.uint64)
+    owner = (sliding(key, length - k + 1, np.minimum) & ~UPPER).astype(np.int64)
+    first = np.concatenate([[0], np.nonzero(owner[1:] != owner[:-1])[0] + 1])
+    last = np.concatenate([first[1:] - 1, [len(owner) - 1]])
+    at = owner[first]
+    return at, h[at], first, last
 
 
 def sliding(x: np.ndarray, w: int, f: Callable) -> np.ndarray:
@@ -78,10 +82,11 @@ def _first_of(*keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def scan(docs: DataFrame, length: int = LENGTH, k: int = K) -> DataFrame:
-    """Anchors of all texts: h, c (digest of the context), doc_id, place. Rows with place < 0 are spans, c their end."""
-    import xxhash
+    """Anchors of all texts: h, c (digest of the context, and in 7 bits or more how many windows), doc_id, place.
 
-    reach = length - k
+    Rows with place < 0 are spans, c their end.
+    """
+    import xxhash
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         digest = xxhash.xxh3_64_intdigest
@@ -91,19 +96,19 @@ def scan(docs: DataFrame, length: int = LENGTH, k: int = K) -> DataFrame:
                 data = text.as_py().encode("utf-8", "surrogatepass") if text.is_valid else b""
                 if len(data) < length:
                     continue
-                at, h = anchors(data, length, k)
-                c = [digest(data[max(0, a - reach) : a + length], min(a, reach)) for a in at.tolist()]
+                at, h, lo, hi = anchors(data, length, k)
+                c = [digest(data[x : y + length], a - x) for a, x, y in zip(at.tolist(), lo.tolist(), hi.tolist())]
                 hs.append(h)
-                cs.append(np.array(c, np.uint64))
+                cs.append((np.array(c, np.uint64) & ~SPAN) | (hi - lo).astype(np.uint64))
                 ds.append(np.full(len(at), -(1 << 63) if doc is None else doc, np.int64))
-                ps.append((zlib.crc32(data) << _SHIFT) | at)
+                ps.append((zlib.crc32(data) << _SHIFT) | lo)
             if not hs:
                 continue
             h, c, d, p = map(np.concatenate, (hs, cs, ds, ps))
             order, new = _first_of(h, c, d, p)
             same = order[~new]
             c = c.view(np.int64)
-            c[same] = (p[same] & ((1 << _SHIFT) - 1)) + length
+            c[same] = (p[same] & ((1 << _SHIFT) - 1)) + (c[same] & int(SPAN)) + length
             # Spans go anywhere; their document deals them out.
             h[same] = (d[same].view(np.uint64) * MIX) ^ MIX
             p[same] = ~p[same]
@@ -113,8 +118,10 @@ def scan(docs: DataFrame, length: int = LENGTH, k: int = K) -> DataFrame:
 
 
 def collapse(found: DataFrame, length: int = LENGTH, k: int = K) -> DataFrame:
-    """Over all anchors: kind 0 rows are spans (a, b); kind 1 rows contexts to be compared (a: position, h: anchor)."""
-    reach = length - k
+    """Over all anchors: spans (kind 0) and contexts to be compared (kind 1), from a to b; h: the anchor."""
+    if length - k > int(SPAN):
+        raise ValueError("anchors own too many windows; take a greater k")
+    low = (1 << _SHIFT) - 1
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = None  # the last first occurrence, not known yet to have company; and the last row's keys
@@ -126,7 +133,7 @@ def collapse(found: DataFrame, length: int = LENGTH, k: int = K) -> DataFrame:
             span = p < 0
             sp, sd, se = ~p[span], d[span], c[span]
             h, c, d, p = h[~span], c[~span], d[~span], p[~span]
-            keep = np.zeros((0, 3), np.int64)
+            keep = np.zeros((0, 4), np.int64)
             if len(h):
                 newh, newc = np.ones(len(h), bool), np.ones(len(h), bool)
                 newh[1:] = h[1:] != h[:-1]
@@ -137,8 +144,9 @@ def collapse(found: DataFrame, length: int = LENGTH, k: int = K) -> DataFrame:
                 dup = ~newc
                 sp = np.concatenate([sp, p[dup]])
                 sd = np.concatenate([sd, d[dup]])
-                se = np.concatenate([se, (p[dup] & ((1 << _SHIFT) - 1)) + length])
-                reps = np.stack([h[newc], d[newc], p[newc]], axis=1)
+                ends = (p & low) + (c & int(SPAN)) + length
+                se = np.concatenate([se, ends[dup]])
+                reps = np.stack([h[newc], d[newc], p[newc], ends[newc]], axis=1)
                 fresh = np.ones(len(reps), bool)  # not yet emitted
                 if held is not None:
                     reps, fresh = np.concatenate([held[0][None], reps]), np.concatenate([[held[1]], fresh])
@@ -149,12 +157,10 @@ def collapse(found: DataFrame, length: int = LENGTH, k: int = K) -> DataFrame:
                     company[:-1] |= like
                     keep = reps[company & fresh]
                     held = (reps[-1], bool(fresh[-1] and not company[-1]))
-            low = (1 << _SHIFT) - 1
             kind = np.concatenate([np.zeros(len(sp), np.int32), np.ones(len(keep), np.int32)])
             place = np.concatenate([sp, keep[:, 2]])
-            a = np.concatenate([np.maximum((sp & low) - reach, 0), keep[:, 2] & low])
             yield pa.RecordBatch.from_arrays(
-                [pa.array(x) for x in (kind, np.concatenate([sd, keep[:, 1]]), place >> _SHIFT, a, np.concatenate([se, np.zeros(len(keep), np.int64)]), np.concatenate([np.zeros(len(sp), np.int64), keep[:, 0]]))],
+                [pa.array(x) for x in (kind, np.concatenate([sd, keep[:, 1]]), place >> _SHIFT, place & low, np.concatenate([se, keep[:, 3]]), np.concatenate([np.zeros(len(sp), np.int64), keep[:, 0]]))],
                 names=["kind", "doc_id", "crc", "a", "b", "h"],
             )
 
@@ -183,28 +189,28 @@ def with_texts(docs: DataFrame, per_doc: DataFrame, how: str) -> DataFrame:
     return own.join(other, (F.col("__d") == F.col("__d2")) & (F.col("__c") == F.col("__c2")), how).drop("__d2", "__c2")
 
 
-def contexts(docs: DataFrame, wanted: DataFrame, length: int = LENGTH, k: int = K) -> DataFrame:
-    """The bytes around the wanted anchors (doc_id, crc, a, h, shard, split)."""
-    reach = length - k
-    lists = wanted.groupBy("doc_id", "crc").agg(F.collect_list(F.struct("a", "shard", "split")).alias("wanted"))
+def contexts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """The bytes of the wanted contexts (doc_id, crc, a, b, shard, split)."""
+    lists = wanted.groupBy("doc_id", "crc").agg(F.collect_list(F.struct("a", "b", "shard", "split")).alias("wanted"))
     joined = with_texts(docs.select("doc_id", "text"), lists, "inner").select("__d", "__c", "text", "wanted")
 
     def each(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
-            out = []
             for d, c, text, places in zip(f["__d"], f["__c"], f["text"], f["wanted"]):
                 data = text.encode("utf-8", "surrogatepass")
-                for x in places:
-                    lo = max(0, x["a"] - reach)
-                    out.append((x["shard"], x["split"], d, c, lo, data[lo : x["a"] + length]))
-            if out:
+                out = [(x["shard"], x["split"], d, c, x["a"], data[x["a"] : x["b"]]) for x in places]
                 yield pd.DataFrame(out, columns=["shard", "split", "doc_id", "crc", "a", "bytes"])
 
     return joined.mapInPandas(each, "shard long, split boolean, doc_id long, crc long, a long, bytes binary")
 
 
-def classes(f: pd.DataFrame, length: int = LENGTH) -> pd.DataFrame:
-    """One shard: the spans that start earlier elsewhere in it (kind 0), and split anchors' survivors (kind 1)."""
+def classes(f: pd.DataFrame, merges: int, length: int = LENGTH) -> pd.DataFrame:
+    """One shard: the spans that start earlier elsewhere in it (kind 0), and split anchors' survivors (kind 1).
+
+    Survivors are dealt by content to `merges` mergers (b); each gets one sorted run from this shard, in one row.
+    """
+    import xxhash
+
     blobs = f["bytes"].tolist()
     sizes = np.array([len(x) for x in blobs])
     text = np.frombuffer(b"".join(blobs), np.uint8)
@@ -219,19 +225,32 @@ def classes(f: pd.DataFrame, length: int = LENGTH) -> pd.DataFrame:
     sa, cls = sa[take], cls[take]
     doc = f["doc_id"].to_numpy(np.int64)[ctx[sa]]
     at = f["a"].to_numpy(np.int64)[ctx[sa]] + inner[sa]
+    # Only classes of several windows need their earliest; the others stay, and pass on if their anchor is split.
+    alone = np.ones(len(cls), bool)
+    alone[1:] = cls[1:] != cls[:-1]
+    alone[:-1] &= alone[1:]
+    split = f["split"].to_numpy(bool)
+    if not split.any():
+        sa, cls, doc, at = sa[~alone], cls[~alone], doc[~alone], at[~alone]
     order = np.lexsort((at, doc, cls))
     c, d, p = cls[order], doc[order], at[order]
     new = np.ones(len(c), bool)
     new[1:] = c[1:] != c[:-1]
     head = np.nonzero(new)[0][np.cumsum(new) - 1]
     late = (d != d[head]) | (p != p[head])
-    rows = [spans(d[late], f["crc"].to_numpy(np.int64)[ctx[sa[order[late]]]], p[late], length)]
-    keep = new & f["split"].to_numpy(bool)[ctx[sa[order]]]
+    crc = f["crc"].to_numpy(np.int64)[ctx[sa[order]]]
+    out = [spans(d[late], crc[late], p[late], length)]
+    keep = new & split[ctx[sa[order]]]
     if keep.any():
-        whole = text.tobytes()
-        s = sa[order[keep]]
-        rows.append(pd.DataFrame({"kind": np.int32(1), "doc_id": d[keep], "crc": f["crc"].to_numpy(np.int64)[ctx[s]], "a": p[keep], "b": f["shard"].iloc[0], "bytes": [whole[x : x + length] for x in s.tolist()]}))
-    return pd.concat(rows, ignore_index=True)
+        whole, places = text.tobytes(), sa[order[keep]].tolist()
+        windows = [whole[x : x + length] for x in places]
+        dealt = np.array([xxhash.xxh3_64_intdigest(w) % merges for w in windows])
+        members = np.stack([d[keep], crc[keep], p[keep]], axis=1)
+        for m in np.unique(dealt).tolist():
+            own = np.nonzero(dealt == m)[0]  # a sorted run, as classes are
+            run = {"kind": np.int32(1), "doc_id": 0, "crc": 0, "a": 0, "b": m, "bytes": b"".join([windows[i] for i in own.tolist()]), "members": members[own].tobytes()}
+            out.append(pd.DataFrame([run]))
+    return pd.concat(out, ignore_index=True)
 
 
 def spans(doc: np.ndarray, crc: np.ndarray, at: np.ndarray, length: int) -> pd.DataFrame:
@@ -241,55 +260,50 @@ def spans(doc: np.ndarray, crc: np.ndarray, at: np.ndarray, length: int) -> pd.D
     new = np.ones(len(p), bool)
     new[1:] = (d[1:] != d[:-1]) | (c[1:] != c[:-1]) | (p[1:] > p[:-1] + length)
     ends = np.concatenate([np.nonzero(new)[0][1:] - 1, [len(p) - 1]]) if len(p) else np.zeros(0, np.int64)
-    return pd.DataFrame({"kind": np.int32(0), "doc_id": d[new], "crc": c[new], "a": p[new], "b": p[ends] + length, "bytes": None})
+    return pd.DataFrame({"kind": np.int32(0), "doc_id": d[new], "crc": c[new], "a": p[new], "b": p[ends] + length, "bytes": None, "members": None})
 
 
 def merge_runs(f: pd.DataFrame, length: int = LENGTH) -> pd.DataFrame:
-    """Survivors of several shards: each shard's run is sorted; runs are merged one by one by binary search."""
-    # As objects, bytes compare whole; numpy's own byte strings would drop zeros at the end.
-    keys = np.empty(len(f), object)
-    keys[:] = f["bytes"].tolist()
-    doc, at, run = (f[x].to_numpy(np.int64) for x in ("doc_id", "a", "b"))
-    known = np.empty(0, object)
-    for r in np.unique(run):
-        own = keys[run == r]  # sorted
+    """The spans of survivors that start earlier in another shard. Sorted runs are merged one by one by binary search."""
+    runs = [np.array([b[i : i + length] for i in range(0, len(b), length)], object) for b in f["bytes"]]
+    members = np.concatenate([np.frombuffer(m, np.int64).reshape(-1, 3) for m in f["members"]])
+    known = runs[0]
+    for own in runs[1:]:
         place = np.searchsorted(known, own)
         hit = np.zeros(len(own), bool)
         inside = place < len(known)
         hit[inside] = known[place[inside]] == own[inside]
-        fresh = own[~hit]
-        if len(fresh):
-            fresh = fresh[np.concatenate([[True], fresh[1:] != fresh[:-1]])]
-            known = np.insert(known, np.searchsorted(known, fresh), fresh)
-    ids = np.searchsorted(known, keys)
+        known = np.insert(known, place[~hit], own[~hit])
+    ids = np.searchsorted(known, np.concatenate(runs))
+    doc, crc, at = members.T
     order = np.lexsort((at, doc, ids))
     i, d, p = ids[order], doc[order], at[order]
     new = np.ones(len(i), bool)
     new[1:] = i[1:] != i[:-1]
-    head = np.nonzero(new)[0][np.cumsum(new) - 1] if len(i) else new.astype(np.int64)
+    head = np.nonzero(new)[0][np.cumsum(new) - 1]
     late = (d != d[head]) | (p != p[head])
-    return spans(d[late], f["crc"].to_numpy(np.int64)[order[late]], p[late], length)
+    return spans(d[late], crc[order[late]], p[late], length)
 
 
-SPAN_SCHEMA = "kind int, doc_id long, crc long, a long, b long, bytes binary"
+SPAN_SCHEMA = "kind int, doc_id long, crc long, a long, b long, bytes binary, members binary"
 
 
 def repeated_spans(docs: DataFrame, length: int = LENGTH, k: int = K, shard_bytes: int = SHARD_BYTES, split: int = SPLIT) -> DataFrame:
     """doc_id, crc, spans (array of a, b; maybe overlapping) of every document with something to remove."""
     rows = materialize(collapse(scan(docs, length, k), length, k), "anchors")
     spots = rows.where("kind = 1")
-    n = spots.count()
-    shards = in_slices(n * (2 * length - k), shard_bytes)
+    shards = in_slices(spots.agg(F.coalesce(F.sum(F.col("b") - F.col("a")), F.lit(0))).first()[0], shard_bytes)
     hot = spots.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > split).withColumnRenamed("h", "hot")
     hot = materialize(hot, "hot-anchors")
     marked = spots.join(small(hot, hot.count()), spots.h == hot.hot, "left").withColumn("split", F.col("hot").isNotNull())
     own = F.when(F.col("split"), F.xxhash64("h", "doc_id", "crc", "a")).otherwise(F.xxhash64("h"))
-    marked = marked.select("doc_id", "crc", "a", "split", F.pmod(own, F.lit(shards)).alias("shard"))
-    local = contexts(docs, marked, length, k).groupBy("shard").applyInPandas(lambda f: classes(f, length), SPAN_SCHEMA)
+    marked = marked.select("doc_id", "crc", "a", "b", "split", F.pmod(own, F.lit(shards)).alias("shard"))
+    # Split anchors' survivors are windows, of which a context has LENGTH - K + 1 at most.
+    windows = hot.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0] * (length - k + 1)
+    merges = in_slices(windows * length, 4 * shard_bytes)
+    local = contexts(docs, marked).groupBy("shard").applyInPandas(lambda f: classes(f, merges, length), SPAN_SCHEMA)
     local = materialize(local, "shard-spans")
-    merges = in_slices(local.where("kind = 1").count() * 2 * length, shard_bytes)
-    across = local.where("kind = 1").withColumn("merge", F.pmod(F.xxhash64("bytes"), F.lit(merges)))
-    across = across.groupBy("merge").applyInPandas(lambda f: merge_runs(f.sort_values(["b", "bytes"]), length), SPAN_SCHEMA)
+    across = local.where("kind = 1").groupBy("b").applyInPandas(lambda f: merge_runs(f, length), SPAN_SCHEMA)
     every = rows.where("kind = 0").select("doc_id", "crc", "a", "b")
     for part in (local.where("kind = 0"), across):
         every = every.union(part.select("doc_id", "crc", "a", "b"))

@@ -12,30 +12,30 @@ def packed(text: np.ndarray) -> np.ndarray:
 
 
 def suffix_array(text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(sa, rank) of a uint8 text; a suffix that is a prefix of another comes first.
+    """(sa, rank) of a uint8 text of less than 2**31 bytes; a suffix that is a prefix of another comes first.
 
     Larsson-Sadakane: suffixes are sorted by 8 bytes; then, doubling h, only groups still unsorted are refined by
     the rank of the suffix h further on. A group's number is its last place, so that finished groups keep theirs.
     """
     n = len(text)
     if not n:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        return np.zeros(0, np.int32), np.zeros(0, np.int32)
     keys = packed(text)
     known = np.minimum(n - np.arange(n), 8).astype(np.uint8)  # of a key's bytes; the others are padding
-    sa = (np.lexsort((known, keys)) if (text == 0).any() else np.argsort(keys)).astype(np.int64)
+    sa = (np.lexsort((known, keys)) if (text == 0).any() else np.argsort(keys)).astype(np.int32)
     new = np.ones(n, bool)
     new[1:] = (keys[sa[1:]] != keys[sa[:-1]]) | (known[sa[1:]] != known[sa[:-1]])
-    rank = np.empty(n, np.int64)
+    rank = np.empty(n, np.int32)
 
     def number(places: np.ndarray, first: np.ndarray) -> np.ndarray:
         """The last place of each place's group."""
         ends = np.concatenate([np.nonzero(first)[0][1:] - 1, [len(first) - 1]])
         return places[ends][np.cumsum(first) - 1]
 
-    group = number(np.arange(n), new)
+    group = number(np.arange(n, dtype=np.int32), new)
     rank[sa] = group
     single = new & np.concatenate([new[1:], [True]])
-    places = np.nonzero(~single)[0]
+    places = np.nonzero(~single)[0].astype(np.int32)
     h = 8
     while len(places):
         own = sa[places]
@@ -64,9 +64,9 @@ def common_prefixes(text: np.ndarray, sa: np.ndarray, rank: np.ndarray) -> np.nd
     n = len(text)
     if n < 2:
         return np.zeros(n, np.int64)
-    prior = np.full(n, -1, np.int64)
+    prior = np.full(n, -1, np.int32)
     prior[sa[1:]] = sa[:-1]
-    at = np.arange(n)
+    at = np.arange(n, dtype=np.int32)
     told = (prior > 0) & (at > 0)
     told[told] = text[at[told] - 1] == text[prior[told] - 1]
     a = np.nonzero(~told & (prior >= 0))[0]
