@@ -1 +1 @@
-
+"""Text search and recommendation over catalogues, on DataFrames."""
