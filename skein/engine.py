@@ -9,6 +9,7 @@ from .functions.text import normalize, strip_control
 from .operators import catalog, fuzzy, prefix, recommend, search, spelling
 from .plans import benchmark
 from .sources import corpus
+from .sources.staging import materialize
 
 
 class Engine:
@@ -39,7 +40,7 @@ class Engine:
     def rank(self, queries: DataFrame, limit: int = search.SHOWN) -> DataFrame:
         """The best products of each query, with what is shown of them."""
         hint = spelling.batch_hint(queries)
-        found = search.scores(self.catalog, self.prepare(queries).persist(), self.synonyms, hint)
+        found = search.scores(self.catalog, materialize(self.prepare(queries), "prepared"), self.synonyms, hint)
         best = search.ranked(found, limit)
         return best.select("query_id", "rank", "corpus_pos", "product_name", "file_name", "price", "rating", "info", "rec_category", "brand", "score", "total_matches")
 

@@ -12,6 +12,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.staging import materialize
+
 EDGES = "graph_id, edge_pos, src, dst, capacity"
 
 
@@ -106,8 +108,8 @@ def network_edges(candidates: DataFrame, max_total: int, per_category: int, per_
     from pyspark.sql import Window as W
 
     q = W.partitionBy("query_id")
-    c = candidates.withColumn("c", F.dense_rank().over(q.orderBy("category_key"))).withColumn("b", F.dense_rank().over(q.orderBy("brand_key")))
-    c = c.withColumn("nc", F.max("c").over(q)).withColumn("nb", F.max("b").over(q)).persist()
+    c = materialize(candidates, "candidates").withColumn("c", F.dense_rank().over(q.orderBy("category_key"))).withColumn("b", F.dense_rank().over(q.orderBy("brand_key")))
+    c = c.withColumn("nc", F.max("c").over(q)).withColumn("nb", F.max("b").over(q))
     one = F.lit(1).cast("long")
     cat, brand = F.col("c") + 1, F.col("nc") + F.col("b") + 1
     sink = F.col("nc") + F.col("nb") + 2

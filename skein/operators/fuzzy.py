@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.text import contains_digit, normalize, strip_control
+from ..sources.staging import materialize
 from .spelling import Hint, batch_hint, no_hint, query_terms
 
 SHOWN = 10
@@ -68,5 +69,5 @@ def fuzzy_search(catalog: DataFrame, queries: DataFrame, limit: int | None = SHO
 def fallback(queries: DataFrame, found: DataFrame) -> DataFrame:
     """Queries with a word that search found nothing for, with their text as it was typed, trimmed."""
     asked = queries.where(normalize(F.col("query_text")) != "").withColumn("query_text", strip_control(F.col("query_text")))
-    # A few rows that fuzzy search reads in several branches: kept, so that the search isn't run for each.
-    return asked.join(found.select("query_id").distinct(), "query_id", "left_anti").persist()
+    # A few rows that fuzzy search reads in several branches: written, so that the search isn't run for each.
+    return materialize(asked.join(found.select("query_id").distinct(), "query_id", "left_anti"), "fallback")

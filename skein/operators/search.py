@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..sources.staging import materialize
 from .catalog import postings
 from .spelling import Hint, batch_hint, correct, no_hint, query_terms, vocabulary
 
@@ -111,7 +112,7 @@ def ranked(scored: DataFrame, limit: int = SHOWN) -> DataFrame:
 def search(catalog: DataFrame, queries: DataFrame, intent: DataFrame, synonyms: DataFrame, limit: int = SHOWN) -> DataFrame:
     """query_id, query_text -> query_id, rank, corpus_pos, product_name, rec_category, brand, score, total_matches."""
     hint = batch_hint(queries)
-    # One small row per query, used by several branches: kept, so that the vocabulary is built once.
-    prepared = prepare(queries, vocabulary(catalog, synonyms), intent, hint).persist()
+    # One small row per query, used by several branches: written, so that the vocabulary is built once.
+    prepared = materialize(prepare(queries, vocabulary(catalog, synonyms), intent, hint), "prepared")
     best = ranked(scores(catalog, prepared, synonyms, hint), limit)
     return best.select("query_id", "rank", "corpus_pos", "product_name", "rec_category", "brand", "score", "total_matches")

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from ..functions import fields, text
 from ..operators import catalog, flow, fuzzy, prefix, recommend, search, spelling
 from ..sources import corpus
+from ..sources.staging import materialize
 from . import data
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -133,7 +134,7 @@ def spell_documents(spark, sf):
 def _prepared(spark, sf):
     q, (intent, synonyms) = data.queries(spark), _dims(spark)
     parts = _parts(spark, sf)
-    return parts, search.prepare(q, spelling.vocabulary(parts, synonyms), intent, spelling.batch_hint(q)).persist(), synonyms
+    return parts, materialize(search.prepare(q, spelling.vocabulary(parts, synonyms), intent, spelling.batch_hint(q)), "prepared"), synonyms
 
 
 def query_intent(spark, sf):
@@ -298,12 +299,12 @@ def corpus_order(spark, sf):
 
 
 def _ranked_pool(spark, sf):
-    found = _search(spark, sf, search.POOL)
+    found = materialize(_search(spark, sf, search.POOL), "pool")
     return found.select("query_id", "rank", "product_name", F.col("rec_category").alias("category"), "brand", "score")
 
 
 def _decided(spark, sf):
-    return recommend.decide(_ranked_pool(spark, sf)).persist()
+    return materialize(recommend.decide(_ranked_pool(spark, sf)), "decided")
 
 
 def recommend_selected(spark, sf):
@@ -329,7 +330,7 @@ def recommend_dedupe(spark, sf):
 
 def recommend_status(spark, sf):
     q = data.queries(spark)
-    pool = _ranked_pool(spark, sf).persist()
+    pool = _ranked_pool(spark, sf)
     return _ints(recommend.status(q, pool, recommend.decide(pool)))
 
 
