@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.staging import fresh_path, materialize, shared_dir  # noqa: F401
+
 #: A word: a run of anything but space, tab, line feed, vertical tab, form feed, carriage return.
 WORD = r"[^\x20\x09-\x0D]+"
 SPACE = r"[\x20\x09-\x0D]+"
@@ -21,44 +19,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir.
-
-    Only where the session names none (local tests), one is made and set.
-    """
-    at = spark.conf.get("spark.checkpoint.dir", None)
-    if not at:
-        known = spark.sparkContext._jsc.sc().getCheckpointDir()
-        if known.isDefined():
-            return known.get()
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-        at = os.path.join(tempfile.gettempdir(), "checkpoints", uuid.uuid4().hex)
-        os.makedirs(at, exist_ok=True)
-        spark.sparkContext.setCheckpointDir(f"file://{at}")
-        return spark.sparkContext._jsc.sc().getCheckpointDir().get()
-    return at
-
-
-def fresh_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark).rstrip('/')}/skein-{name}-{uuid.uuid4().hex}"
-
-
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write df to the shared folder and read it back: cuts lineage, survives lost executors."""
-    spark = df.sparkSession
-    path = fresh_path(spark, name)
-    # The written table replaces its shuffle files: they may go as soon as the write is done.
-    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-    before = spark.conf.get(key, "false")
-    spark.conf.set(key, "true")
-    try:
-        df.write.parquet(path)
-    finally:
-        spark.conf.set(key, before)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def small(df: DataFrame, rows: int) -> DataFrame:
     """Mark df for broadcast if its counted rows are within the bound; else leave the choice to the planner."""
     return F.broadcast(df) if rows <= BROADCAST_ROWS else df
