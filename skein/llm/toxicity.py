@@ -34,6 +34,8 @@ MIN_COUNT = 4
 L2, CF_WEIGHT, ROUNDS = 2e-5, 0.3, 600
 BEGINNINGS = (4, 5, 6)
 SWAPS, PAIRS = 3, 20
+#: Chunks whose features a task keeps at most.
+KNOWN = 200_000
 #: Groups of identity terms; terms of one group are swapped for one another.
 IDENTITY = (
     ("women", "men", "girls", "boys", "transgender", "nonbinary"),
@@ -56,7 +58,6 @@ IDENTITY = (
 #: Digits and signs that stand for letters inside words.
 LOOKALIKE = str.maketrans("013457@$!", "oieastasi")
 _EDGE = re.compile(r"^[\W_]+|[\W_]+$")
-_KNOWN: dict[str, tuple[int, ...]] = {}
 
 
 def fold(doc_id: Column) -> Column:
@@ -66,24 +67,17 @@ def fold(doc_id: Column) -> Column:
 
 def features_of(chunk: str) -> tuple[int, ...]:
     """Hashed features of one white-space separated chunk, which is in lower case."""
-    found = _KNOWN.get(chunk)
-    if found is None:
-        if len(_KNOWN) > 400_000:
-            _KNOWN.clear()
-        parts = [p for p in re.split(r"[\W_]+", chunk) if p] if re.search(r"\w[\W_]+\w", chunk) else []
-        whole = _EDGE.sub("", chunk)
-        names = {whole, *parts}
-        if any(c in "013457@$!" for c in chunk) and any(c.isalpha() for c in chunk):
-            names.add(_EDGE.sub("", chunk.translate(LOOKALIKE)))
-        names.discard("")
-        keys = set()
-        for w in names:
-            keys.add(f"w{w}")
-            keys.update(f"b{w[:n]}" for n in BEGINNINGS if len(w) > n)
-        found = tuple(zlib.crc32(k.encode("utf-8", "surrogatepass")) >> (32 - HASH_BITS) for k in keys)
-        if len(chunk) <= 40:
-            _KNOWN[chunk] = found
-    return found
+    parts = [p for p in re.split(r"[\W_]+", chunk) if p] if re.search(r"\w[\W_]+\w", chunk) else []
+    whole = _EDGE.sub("", chunk)
+    names = {whole, *parts}
+    if any(c in "013457@$!" for c in chunk) and any(c.isalpha() for c in chunk):
+        names.add(_EDGE.sub("", chunk.translate(LOOKALIKE)))
+    names.discard("")
+    keys = set()
+    for w in names:
+        keys.add(f"w{w}")
+        keys.update(f"b{w[:n]}" for n in BEGINNINGS if len(w) > n)
+    return tuple(zlib.crc32(k.encode("utf-8", "surrogatepass")) >> (32 - HASH_BITS) for k in keys)
 
 
 def features(text: str | None) -> set[int]:
@@ -123,10 +117,28 @@ class Model:
 
     def __init__(self, weights: dict[int, float], bias: float):
         self.weights, self.bias = weights, bias
+        self.known: dict[str, tuple[int, ...]] = {}  # of chunks met lately, the features that weigh anything
+
+    def __getstate__(self) -> dict:
+        return self.__dict__ | {"known": {}}
+
+    def weighing(self, chunk: str) -> tuple[int, ...]:
+        found = tuple([k for k in features_of(chunk) if k in self.weights])
+        if len(chunk) <= 40:
+            if len(self.known) >= KNOWN:
+                self.known.clear()
+            self.known[chunk] = found
+        return found
 
     def logit(self, text: str | None) -> float:
-        w = self.weights
-        return self.bias + sum([w[k] for k in features(text) if k in w])
+        known, found = self.known, set()
+        for chunk in set((text or "").lower().split()):
+            own = known.get(chunk)
+            if own is None:
+                own = self.weighing(chunk)
+            if own:
+                found.update(own)
+        return self.bias + sum([self.weights[k] for k in sorted(found)])
 
     def scores(self, texts: Iterable[str | None]) -> np.ndarray:
         z = np.clip(np.array([self.logit(t if isinstance(t, str) else None) for t in texts], float), -40, 40)
