@@ -17,8 +17,10 @@ packed each; an empty table has no pieces. Reruns agree: a shard's rows are orde
 from __future__ import annotations
 
 import os
+import re
 import zlib
 from collections.abc import Iterator
+from itertools import compress
 
 import numpy as np
 import pandas as pd
@@ -33,7 +35,7 @@ SHARD_BYTES = 6_000_000
 QUERY_TERMS = 12
 NEIGHBOURS = 64
 K1, B = 1.2, 0.75
-KEPT = 600_000
+KEPT = 1_500_000
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 _STATE: dict = {}
 
@@ -45,48 +47,107 @@ def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
 
 
 class Chunks:
-    """Ids (little-endian 32-bit, as bytes) and a term number for each chunk of a text."""
+    """Ids and a term number for each chunk of a text, kept by chunk.
 
-    def __init__(self, path: str):
-        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
+    Chunks are kept in ASCII lower case, as the tokenizer lowers all text. A mark between an ASCII letter and white
+    space is a token run of its own, so it is a chunk of its own.
+    """
+
+    END = b"\n"  # no chunk: it stands for the end id
+    MARK = re.compile(rb"(?<=[a-z])([.,;:!?])(?=[ \n])")
+
+    def __init__(self, path: str, end_id: int):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.path, self.tokenizer = path, Tokenizer.from_file(path)
-        self.ids: dict[bytes, bytes] = {}
-        self.terms: dict[bytes, int] = {}
-
-    def encode(self, text: str | None) -> tuple[bytes, np.ndarray]:
-        chunks = (text or "").encode("utf-8", "surrogatepass").split()  # at the six ASCII spaces
-        try:
-            return b"".join([self.ids[c] for c in chunks]), np.fromiter(map(self.terms.__getitem__, chunks), np.uint32, len(chunks))
-        except KeyError:
-            pass
-        if len(self.ids) > KEPT:
-            self.ids.clear()
-            self.terms.clear()
-        new = [c for c in set(chunks) if c not in self.ids]
-        got = self.tokenizer.encode_batch_fast([c.decode("utf-8", "replace") for c in new], add_special_tokens=False)
-        for c, e in zip(new, got):
-            self.ids[c] = np.array(e.ids, "<u4").tobytes()
-            self.terms[c] = zlib.crc32(c.lower().strip(b".,;:!?\"'()"))
-        return b"".join([self.ids[c] for c in chunks]), np.fromiter(map(self.terms.__getitem__, chunks), np.uint32, len(chunks))
-
-
-def chunks_of(path: str) -> Chunks:
-    if _STATE.get("path") != path:
-        _STATE.update(path=path, chunks=Chunks(path))
+        self.tokenizer = Tokenizer.from_file(path)
+        vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
+        self.closes = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.closes[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
+        self.end_id = end_id
+        self.clear()
+
+    def clear(self) -> None:
+        self.index: dict[bytes, int] = {}
+        self.ids, self.size = np.zeros(1 << 16, np.uint32), np.zeros(1 << 16, np.int32)
+        self.start, self.term = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.uint32)
+        self.used = 0
+        self.add([self.END], np.array([self.end_id], np.uint32), np.array([1]))
+
+    def add(self, chunks: list[bytes], ids: np.ndarray, sizes: np.ndarray) -> None:
+        first, n = len(self.index), len(chunks)
+        while len(self.size) < first + n:
+            self.size, self.start, self.term = (np.concatenate([x, np.zeros_like(x)]) for x in (self.size, self.start, self.term))
+        while len(self.ids) < self.used + len(ids):
+            self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
+        self.index.update(zip(chunks, range(first, first + n)))
+        self.ids[self.used : self.used + len(ids)] = ids
+        self.size[first : first + n] = sizes
+        self.start[first : first + n] = self.used + np.cumsum(sizes) - sizes
+        self.term[first : first + n] = list(map(zlib.crc32, chunks))
+        self.used += len(ids)
+
+    def learn(self, chunks: list[bytes]) -> None:
+        """Encode chunks that aren't known yet."""
+        texts = b" ".join(chunks).decode("utf-8", "replace").split(" ")
+        plain = [t.isalpha() for t in texts]
+        words, rest = list(compress(zip(chunks, texts), plain)), [x for x, p in zip(zip(chunks, texts), plain) if not p]
+        for at in range(0, len(words), 20_000):
+            # Letters alone are one run each, and a run's last token says so: many words are encoded as one text.
+            part = words[at : at + 20_000]
+            got = self.tokenizer.encode_batch_fast([" ".join([t for _, t in part])], add_special_tokens=False)
+            ids = np.array(got[0].ids, np.uint32)
+            ends = np.nonzero(self.closes[ids])[0] + 1
+            if len(ends) == len(part) and len(ids) == ends[-1]:
+                self.add([c for c, _ in part], ids, np.diff(ends, prepend=0))
+            else:
+                rest += part
+        got = [e.ids for e in self.tokenizer.encode_batch_fast([t for _, t in rest], add_special_tokens=False)]
+        self.add([c for c, _ in rest], np.array([i for x in got for i in x], np.uint32), np.array([len(x) for x in got], np.int64))
+
+    def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """All texts' ids, each text's end id after it; ids by text; all texts' terms; terms by text."""
+        every: list[bytes] = []
+        counts = np.empty(len(texts), np.int64)
+        for i, t in enumerate(texts):
+            own = self.MARK.sub(rb" \1", t.encode("utf-8", "surrogatepass").lower()).split() if t else []  # bytes: A-Z and the six ASCII spaces only
+            counts[i] = len(own)
+            every += own
+            every.append(self.END)
+        if len(self.index) > KEPT:
+            self.clear()
+        new = set(every).difference(self.index)
+        if new:
+            self.learn(list(new))
+        at = np.fromiter(map(self.index.__getitem__, every), np.int64, len(every))
+        sizes = self.size[at]
+        ends = np.cumsum(sizes, dtype=np.int64)
+        total = int(ends[-1]) if len(ends) else 0
+        ids = self.ids[np.repeat(self.start[at] - (ends - sizes), sizes) + np.arange(total)]
+        last = np.cumsum(counts + 1) - 1
+        lengths = np.diff(ends[last], prepend=0)
+        word = np.ones(len(every), bool)
+        word[last] = False
+        return ids, lengths, self.term[at[word]], counts
+
+
+def chunks_of(path: str, end_id: int) -> Chunks:
+    if _STATE.get("key") != (path, end_id):
+        _STATE.update(key=(path, end_id), chunks=Chunks(path, end_id))
     return _STATE["chunks"]
 
 
 class Bm25:
     """An inverted index over one shard's documents."""
 
-    def __init__(self, terms: list[np.ndarray], k1: float = K1, b: float = B):
-        n = len(terms)
-        sizes = np.array([len(t) for t in terms], np.int64)
+    def __init__(self, terms: np.ndarray, sizes: np.ndarray, k1: float = K1, b: float = B):
+        """All documents' terms, one after another; each document's number of them."""
+        n = len(sizes)
         doc = np.repeat(np.arange(n), sizes)
-        pairs = np.concatenate(terms).astype(np.uint64) << np.uint64(32) | doc.astype(np.uint64) if n else np.zeros(0, np.uint64)
-        pairs, tf = np.unique(pairs, return_counts=True)
+        pairs = np.sort(terms.astype(np.uint64) << np.uint64(32) | doc.astype(np.uint64))
+        first = np.nonzero(np.concatenate([[True], pairs[1:] != pairs[:-1]]))[0] if len(pairs) else np.zeros(0, np.int64)
+        tf = np.diff(first, append=len(pairs))
+        pairs = pairs[first]
         term, doc = pairs >> np.uint64(32), (pairs & np.uint64(0xFFFFFFFF)).astype(np.int64)
         new = np.ones(len(term), bool)
         new[1:] = term[1:] != term[:-1]
@@ -124,10 +185,10 @@ class Bm25:
         return top[np.lexsort((top, -scores[top]))].tolist()
 
 
-def arrange(terms: list[np.ndarray], lengths: list[int], window: int = WINDOW) -> Iterator[tuple[int, int, int]]:
+def arrange(terms: np.ndarray, counts: np.ndarray, lengths: list[int], window: int = WINDOW) -> Iterator[tuple[int, int, int]]:
     """Cuts of documents (place, start, length) in the order in which they fill windows, one after another."""
     n = len(lengths)
-    index, unused, nxt, room = Bm25(terms), np.ones(n, bool), 0, window
+    index, unused, nxt, room = Bm25(terms, counts), np.ones(n, bool), 0, window
     queue: list[int] = []
     while True:
         # Neighbours are asked for by the document that opens a window.
@@ -164,17 +225,13 @@ def sequences(cuts: Iterator[tuple[int, int, int]], total: int, window: int = WI
 
 
 def pack_shard(shard: int, frame: pd.DataFrame, path: str, window: int = WINDOW, end_id: int = END_ID) -> pd.DataFrame:
-    chunks, end = chunks_of(path), np.array([end_id], "<u4").tobytes()
-    ids, terms = [], []
-    for text in frame["text"]:
-        own, t = chunks.encode(text if isinstance(text, str) else None)
-        ids.append(own + end)
-        terms.append(t)
-    lengths = [len(x) // 4 for x in ids]
-    rows = [
-        (doc, start, length, zlib.crc32(memoryview(ids[doc])[4 * start : 4 * (start + length)]), lengths[doc], (shard << 32) | seq, offset)
-        for doc, start, length, seq, offset in sequences(arrange(terms, lengths, window), sum(lengths), window)
-    ]
+    ids, lengths, terms, counts = chunks_of(path, end_id).encode([t if isinstance(t, str) else None for t in frame["text"]])
+    begin = (np.cumsum(lengths) - lengths).tolist()
+    lengths, data = lengths.tolist(), memoryview(ids.astype("<u4").tobytes())
+    rows = []
+    for doc, start, length, seq, offset in sequences(arrange(terms, counts, lengths, window), len(ids), window):
+        at = 4 * (begin[doc] + start)
+        rows.append((doc, start, length, zlib.crc32(data[at : at + 4 * length]), lengths[doc], (shard << 32) | seq, offset))
     out = pd.DataFrame(rows, columns=["doc", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"])
     out.insert(0, "doc_id", frame["doc_id"].astype("Int64").iloc[out.pop("doc").to_numpy(np.int64)].to_numpy() if len(out) else [])
     return out
@@ -188,7 +245,7 @@ def pack(docs: DataFrame, window: int = WINDOW, shard_bytes: int = SHARD_BYTES,
     key = F.xxhash64(F.col("doc_id"), F.col("text"))
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.pmod(key, F.lit(shards)).alias("shard"))
 
-    def each(key, frame: pd.DataFrame) -> pd.DataFrame:
+    def each(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.sort_values(["doc_id", "text"], kind="stable", na_position="first", ignore_index=True)
         return pack_shard(int(key[0]), frame, path, window, end_id)
 
