@@ -96,7 +96,7 @@ def assign(sized: DataFrame, weights=WEIGHTS, courses=COURSES, max_epochs: int =
 
     def take(e: int) -> Column:
         words = F.when(F.col("__full") > e, F.col("__size")).when(F.col("__full") == e, F.col("__part")).otherwise(0).cast("long")
-        share = (F.lit(e) * F.col("__source_size") + F.col("__before") + words / 2) / F.col("__demand")
+        share = (F.lit(e) * F.col("__source_size") + F.col("__before") + words / 2) / F.nullif(F.col("__demand"), F.lit(0))
         spot = F.lit(None).cast("double")
         for k, knots in enumerate(courses):
             spot = F.when(F.col("__idx") % len(courses) == k, time_of(share, knots)).otherwise(spot)

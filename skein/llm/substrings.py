@@ -16,8 +16,9 @@ document before. Strings are judged on the input and never cross documents.
    windows, sorted. They are dealt by content, and the shards' runs are merged by binary search.
 5. Spans are gathered by document, joined to the texts and cut out.
 
-Rows are told apart by doc_id and the text's CRC-32, so rows of one doc_id with different texts don't mix; rows of
-one doc_id start at equal places and don't remove each other. Null doc_ids come first. Null text is empty.
+Rows are told apart by doc_id and the text's CRC-32: rows of one doc_id with different texts are documents of their
+own, in the order of the CRC; rows repeated whole are one document and don't remove each other. Null doc_ids come
+first. Null text is empty.
 """
 
 from __future__ import annotations
@@ -106,13 +107,18 @@ def scan(docs: DataFrame, length: int = LENGTH, k: int = K) -> DataFrame:
                 continue
             h, c, d, p = map(np.concatenate, (hs, cs, ds, ps))
             order, new = _first_of(h, c, d, p)
-            same = order[~new]
+            # A row at its class's first place is that place again, by a row repeated whole; it is left out.
+            head = order[np.nonzero(new)[0]][np.cumsum(new) - 1]
+            again = ~new & (d[order] == d[head]) & (p[order] == p[head])
+            same = order[~new & ~again]
+            keep = np.ones(len(h), bool)
+            keep[order[again]] = False
             c = c.view(np.int64)
             c[same] = (p[same] & ((1 << _SHIFT) - 1)) + (c[same] & int(SPAN)) + length
             # Spans go anywhere; their document deals them out.
             h[same] = (d[same].view(np.uint64) * MIX) ^ MIX
             p[same] = ~p[same]
-            yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(c), pa.array(d), pa.array(p)], names=["h", "c", "doc_id", "place"])
+            yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)[keep]), pa.array(c[keep]), pa.array(d[keep]), pa.array(p[keep])], names=["h", "c", "doc_id", "place"])
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(each, "h long, c long, doc_id long, place long")
 
@@ -124,8 +130,8 @@ def collapse(found: DataFrame, length: int = LENGTH, k: int = K) -> DataFrame:
     low = (1 << _SHIFT) - 1
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = None  # the last first occurrence, not known yet to have company; and the last row's keys
-        last = None
+        held = None  # the last first occurrence, not known yet to have company
+        last = first = None  # the last row's keys, and its class's first place
         for batch in batches:
             h, c, d, p = (x.to_numpy(zero_copy_only=False) for x in batch.columns)
             if not len(h):
@@ -141,7 +147,13 @@ def collapse(found: DataFrame, length: int = LENGTH, k: int = K) -> DataFrame:
                 newc[1:] = newh[1:] | (c[1:] != c[:-1])
                 newc[0] = newh[0] or last[1] != c[0]
                 last = (h[-1], c[-1])
-                dup = ~newc
+                # Each row's class begins at its first row, which may lie in a batch before.
+                at = np.cumsum(newc) - 1
+                d0, p0 = np.append(d[newc], 0)[at], np.append(p[newc], 0)[at]
+                if first is not None:
+                    d0[at < 0], p0[at < 0] = first
+                first = (d0[-1], p0[-1])
+                dup = ~newc & ((d != d0) | (p != p0))
                 sp = np.concatenate([sp, p[dup]])
                 sd = np.concatenate([sd, d[dup]])
                 ends = (p & low) + (c & int(SPAN)) + length
@@ -223,7 +235,7 @@ def classes(f: pd.DataFrame, merges: int, length: int = LENGTH) -> pd.DataFrame:
     cls = np.cumsum(lcp < length)
     take = start[sa]
     sa, cls = sa[take], cls[take]
-    doc = f["doc_id"].to_numpy(np.int64)[ctx[sa]]
+    doc, crc = (f[x].to_numpy(np.int64)[ctx[sa]] for x in ("doc_id", "crc"))
     at = f["a"].to_numpy(np.int64)[ctx[sa]] + inner[sa]
     # Only classes of several windows need their earliest; the others stay, and pass on if their anchor is split.
     alone = np.ones(len(cls), bool)
@@ -231,14 +243,13 @@ def classes(f: pd.DataFrame, merges: int, length: int = LENGTH) -> pd.DataFrame:
     alone[:-1] &= alone[1:]
     split = f["split"].to_numpy(bool)
     if not split.any():
-        sa, cls, doc, at = sa[~alone], cls[~alone], doc[~alone], at[~alone]
-    order = np.lexsort((at, doc, cls))
-    c, d, p = cls[order], doc[order], at[order]
+        sa, cls, doc, crc, at = sa[~alone], cls[~alone], doc[~alone], crc[~alone], at[~alone]
+    order = np.lexsort((at, crc, doc, cls))
+    c, d, crc, p = cls[order], doc[order], crc[order], at[order]
     new = np.ones(len(c), bool)
     new[1:] = c[1:] != c[:-1]
     head = np.nonzero(new)[0][np.cumsum(new) - 1]
-    late = (d != d[head]) | (p != p[head])
-    crc = f["crc"].to_numpy(np.int64)[ctx[sa[order]]]
+    late = (d != d[head]) | (crc != crc[head]) | (p != p[head])
     out = [spans(d[late], crc[late], p[late], length)]
     keep = new & split[ctx[sa[order]]]
     if keep.any():
@@ -276,13 +287,13 @@ def merge_runs(f: pd.DataFrame, length: int = LENGTH) -> pd.DataFrame:
         known = np.insert(known, place[~hit], own[~hit])
     ids = np.searchsorted(known, np.concatenate(runs))
     doc, crc, at = members.T
-    order = np.lexsort((at, doc, ids))
-    i, d, p = ids[order], doc[order], at[order]
+    order = np.lexsort((at, crc, doc, ids))
+    i, d, crc, p = ids[order], doc[order], crc[order], at[order]
     new = np.ones(len(i), bool)
     new[1:] = i[1:] != i[:-1]
     head = np.nonzero(new)[0][np.cumsum(new) - 1]
-    late = (d != d[head]) | (p != p[head])
-    return spans(d[late], crc[order[late]], p[late], length)
+    late = (d != d[head]) | (crc != crc[head]) | (p != p[head])
+    return spans(d[late], crc[late], p[late], length)
 
 
 SPAN_SCHEMA = "kind int, doc_id long, crc long, a long, b long, bytes binary, members binary"
