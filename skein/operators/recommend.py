@@ -29,7 +29,8 @@ def candidates(rows: DataFrame) -> DataFrame:
     """query_id, rank, product_name, category, brand, score -> cleaned, one row per name, with keys and labels.
 
     Names without text go; of equal names (without case) the best rank stays. Categories and brands are compared
-    without case and labelled by their first spelling; a missing brand is a brand of its own.
+    without case and labelled by their first spelling; a missing brand is a brand of its own, whose key has a capital
+    letter and so is no other's.
     """
     own = rows.select("query_id", "rank", _clean(F.col("product_name"), "").alias("product_name"), _clean(F.col("category"), "Other Products").alias("category"), _clean(F.col("brand"), "").alias("brand"), "score")
     own = own.where("product_name <> ''").withColumn("k", F.lower("product_name"))
@@ -37,7 +38,7 @@ def candidates(rows: DataFrame) -> DataFrame:
     own = own.withColumn("n", first).where("n = 1").drop("n", "k")
     place = F.row_number().over(W.partitionBy("query_id").orderBy("rank"))
     own = own.withColumn("place", place).withColumn("category_key", F.lower("category"))
-    own = own.withColumn("brand_key", F.when(F.col("brand") == "", F.concat(F.lit("\0"), F.col("place").cast("string"))).otherwise(F.lower("brand")))
+    own = own.withColumn("brand_key", F.when(F.col("brand") == "", F.concat(F.lit("U"), F.col("place").cast("string"))).otherwise(F.lower("brand")))
     for c in ("category", "brand"):
         own = own.withColumn(f"{c}_label", F.first(c).over(W.partitionBy("query_id", f"{c}_key").orderBy("rank")))
     return own.withColumn("candidates", F.count(F.lit(1)).over(W.partitionBy("query_id")))

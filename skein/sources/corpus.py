@@ -7,8 +7,6 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.text import lines  # noqa: F401  (re-exported for callers that split content)
-
 RAW = T.StructType([T.StructField("corpus_pos", T.LongType()), T.StructField("file_name", T.StringType()), T.StructField("content", T.StringType())])
 
 
@@ -34,8 +32,8 @@ def with_order(files: DataFrame) -> DataFrame:
 def load_corpus(spark: SparkSession, path: str, extension: str = "txt") -> DataFrame:
     """corpus_pos, file_name, content of the text files of a folder (not of folders in it).
 
-    Files are read whole by Spark's binary source, which keeps empty files too. A folder that isn't there raises
-    FileNotFoundError with its path.
+    Files are read whole by Spark's binary source. It leaves out files without bytes, so those are added from the
+    folder's listing. A folder that isn't there raises FileNotFoundError with its path.
     """
     jvm = spark.sparkContext._jvm
     place = jvm.org.apache.hadoop.fs.Path(path)
@@ -45,6 +43,10 @@ def load_corpus(spark: SparkSession, path: str, extension: str = "txt") -> DataF
     glob = "*." + "".join(f"[{c.lower()}{c.upper()}]" for c in extension)
     files = spark.read.format("binaryFile").option("pathGlobFilter", glob).load(path)
     files = files.select(F.regexp_extract(F.url_decode(F.regexp_replace("path", r"\+", "%2B")), r"[^/]*$", 0).alias("file_name"), clean_content(F.col("content")).alias("content"))
+    blank = [s.getPath().getName() for s in system.listStatus(place) if s.isFile() and s.getLen() == 0]
+    blank = [(n, "") for n in blank if n.lower().endswith(f".{extension.lower()}")]
+    if blank:
+        files = files.union(spark.createDataFrame(blank, "file_name string, content string"))
     return with_order(files).select("corpus_pos", "file_name", "content")
 
 
