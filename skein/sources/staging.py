@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import uuid
 
@@ -23,6 +25,7 @@ def shared_dir(spark: SparkSession) -> str:
             raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         at = os.path.join(tempfile.gettempdir(), "checkpoints", uuid.uuid4().hex)
         os.makedirs(at, exist_ok=True)
+        atexit.register(shutil.rmtree, at, ignore_errors=True)
         spark.sparkContext.setCheckpointDir(f"file://{at}")
         return spark.sparkContext._jsc.sc().getCheckpointDir().get()
     return at
