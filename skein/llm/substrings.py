@@ -204,16 +204,22 @@ def with_texts(docs: DataFrame, per_doc: DataFrame, how: str) -> DataFrame:
 def contexts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     """The bytes of the wanted contexts (doc_id, crc, a, b, shard, split)."""
     lists = wanted.groupBy("doc_id", "crc").agg(F.collect_list(F.struct("a", "b", "shard", "split")).alias("wanted"))
-    joined = with_texts(docs.select("doc_id", "text"), lists, "inner").select("__d", "__c", "text", "wanted")
+    joined = with_texts(docs.select("doc_id", "text"), lists, "inner")
+    joined = joined.select("__d", "__c", F.col("text").cast("binary").alias("text"), "wanted")
 
-    def each(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            for d, c, text, places in zip(f["__d"], f["__c"], f["text"], f["wanted"]):
-                data = text.encode("utf-8", "surrogatepass")
-                out = [(x["shard"], x["split"], d, c, x["a"], data[x["a"] : x["b"]]) for x in places]
-                yield pd.DataFrame(out, columns=["shard", "split", "doc_id", "crc", "a", "bytes"])
-
-    return joined.mapInPandas(each, "shard long, split boolean, doc_id long, crc long, a long, bytes binary")
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists, per = batch.column(3).flatten(), batch.column(3).value_lengths().to_numpy(zero_copy_only=False)
+            a, b = (lists.field(x).to_numpy(zero_copy_only=False) for x in ("a", "b"))
+            cuts, at, found = list(zip(a.tolist(), b.tolist())), 0, []
+            for data, n in zip(batch.column(2).to_pylist(), per.tolist()):
+                found += [data[x:y] for x, y in cuts[at : at + n]]
+                at += n
+            doc, crc = (np.repeat(batch.column(i).to_numpy(zero_copy_only=False), per) for i in (0, 1))
+            columns = [lists.field("shard"), lists.field("split"), pa.array(doc), pa.array(crc), pa.array(a), pa.array(found, pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, names=["shard", "split", "doc_id", "crc", "a", "bytes"])
+
+    return joined.mapInArrow(each, "shard long, split boolean, doc_id long, crc long, a long, bytes binary")
 
 
 def classes(f: pd.DataFrame, merges: int, length: int = LENGTH) -> pd.DataFrame:
