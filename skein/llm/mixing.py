@@ -21,14 +21,14 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import in_slices, materialize, running_sum, small, table, word_count
+from .common import materialize, running_sum, small, table, word_count
 
 Knots = list[tuple[float, float]]
 #: Weights of the sources in code-point order, repeating, and the course of each weight (integral 1).
 WEIGHTS = (5.0, 2.0, 1.0)
 COURSES: tuple[Knots, ...] = ([(0.0, 1.5), (1.0, 0.5)], [(0.0, 1.0), (1.0, 1.0)], [(0.0, 0.5), (0.5, 1.0), (1.0, 1.5)])
 MAX_EPOCHS = 3
-ROWS_PER_BUCKET = 2_000
+ROWS_PER_BUCKET = 1_000
 
 
 def area(knots: Knots) -> float:
@@ -62,7 +62,6 @@ def source_targets(sizes: DataFrame, weights=WEIGHTS, courses=COURSES, max_epoch
     order = W.orderBy(F.col("__cap") / F.col("__w"), "__idx")
     spent = F.coalesce(F.sum("__cap").over(order.rowsBetween(W.unboundedPreceding, -1)), F.lit(0.0))
     left = F.sum("__w").over(order.rowsBetween(W.currentRow, W.unboundedFollowing))
-    level = F.max((F.col("__total") - spent) / left)
     per = per.withColumn("__level", (F.col("__total") - spent) / left)
     per = per.withColumn("__level", F.max("__level").over(W.partitionBy()))
     return per.select("__idx", "source", "__n", "__source_size", F.least("__cap", F.col("__level") * F.col("__w")).alias("__target"))
@@ -71,20 +70,21 @@ def source_targets(sizes: DataFrame, weights=WEIGHTS, courses=COURSES, max_epoch
 def assign(sized: DataFrame, weights=WEIGHTS, courses=COURSES, max_epochs: int = MAX_EPOCHS, rows_per_bucket: int = ROWS_PER_BUCKET) -> DataFrame:
     """Give each row its takes.
 
-    `sized`: source, __size (long), __key (string that orders a source's rows pseudo-randomly), __tie (list of
-    columns is not needed: rows with equal __key and __size are interchangeable), plus any further columns.
+    `sized`: source, __size (long), __key (string that orders a source's rows pseudo-randomly; rows with equal __key
+    and __size are interchangeable), plus any further columns.
     Adds __source_size, __target, __taken (words taken, repeats counted), __takes (array of epoch, words,
     position) and __position (of the first take, null without one).
     """
     targets = materialize(source_targets(sized, weights, courses, max_epochs), "mix-sources")
-    n, rows = targets.agg(F.count(F.lit(1)), F.coalesce(F.max("__n"), F.lit(0))).first()
-    slices = in_slices(rows, rows_per_bucket)
+    n = targets.count()
     marked = sized.withColumn("__src", F.coalesce(F.col("source"), F.lit(""))).withColumn("__nosrc", F.col("source").isNull())
     named = targets.select(
-        "__idx", "__source_size", "__target", F.coalesce(F.col("source"), F.lit("")).alias("__src"), F.col("source").isNull().alias("__nosrc")
+        "__idx", "__n", "__source_size", "__target", F.coalesce(F.col("source"), F.lit("")).alias("__src"), F.col("source").isNull().alias("__nosrc")
     )
     marked = marked.join(small(named, n), ["__src", "__nosrc"]).drop("__src", "__nosrc")
-    bucket = F.floor(F.conv(F.substring(F.md5("__key"), 1, 8), 16, 10).cast("double") / F.lit(2.0**32) * F.lit(slices)).cast("int")
+    # A source has as many buckets as its rows need.
+    slices = F.ceil(F.col("__n") / F.lit(rows_per_bucket))
+    bucket = F.floor(F.conv(F.substring(F.md5("__key"), 1, 8), 16, 10).cast("double") / F.lit(2.0**32) * slices).cast("long")
     marked = marked.withColumn("__hash", F.md5("__key")).withColumn("__bucket", bucket)
     summed = running_sum(marked, ["__idx"], ["__hash", "__key", "__size"], "__size", "__bucket", "__before")
     demand = F.floor("__target").cast("long")
@@ -106,7 +106,7 @@ def assign(sized: DataFrame, weights=WEIGHTS, courses=COURSES, max_epochs: int =
     summed = summed.withColumn("__takes", takes)
     summed = summed.withColumn("__taken", F.aggregate("__takes", F.lit(0).cast("long"), lambda a, x: a + x["words"]))
     summed = summed.withColumn("__position", F.get(F.col("__takes"), F.lit(0))["position"])
-    return summed.drop("__hash", "__bucket", "__before", "__demand", "__full", "__part", "__idx")
+    return summed.drop("__hash", "__bucket", "__before", "__demand", "__full", "__part", "__idx", "__n")
 
 
 def order_key(doc_id: Column) -> Column:
