@@ -105,7 +105,10 @@ def judge(pages: DataFrame, labels: DataFrame, rules=RULES, default=DEFAULT, **m
     hits = sets.select("tokens", F.explode("tokens").alias("token")).join(small(idx, idx.count()), "token")
     hits = hits.where(F.size(F.array_except("items", "tokens")) == 0)
     best = hits.groupBy("tokens").agg(F.max(F.struct("confidence", F.size("items").alias("n"), "verdict", F.array_join("items", " ").alias("mined"))).alias("__m"))
-    out = base.withColumn("tokens", F.array_sort("tokens")).join(best, "tokens", "left")
+    # Many pages may share one set of tokens: the other side is broadcast if small, and else a plain scan, so that
+    # the join can split a set's pages over tasks.
+    best = materialize(best, "url-best")
+    out = base.withColumn("tokens", F.array_sort("tokens")).join(small(best, best.count()), "tokens", "left")
     return out.select(
         "page_id", "host", "path", F.col("__w.rule").alias("rule"),
         F.coalesce(F.col("__w.verdict"), F.col("__m.verdict"), F.lit(default)).alias("verdict"),
