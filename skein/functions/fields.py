@@ -31,16 +31,32 @@ def _before(x: Column, at: Column) -> Column:
     return F.substring(x, F.lit(1), at - F.lit(1))
 
 
-def exact_field(content: Column, label: str) -> Column:
-    """The value after the first `label:` line, compared without case; null without such a line."""
+def _first_value(items: Column, value: Callable[[Column], Column]) -> Column:
+    return first_of(F.filter(F.transform(items, value), lambda v: v.isNotNull()))
+
+
+def _stripped(content: Column) -> Column:
+    return F.transform(lines(content), strip_control)
+
+
+def _parts(stripped: Column, separator: Callable[[Column], Column]) -> Column:
+    """line, at, key (lower case), rest of each line, cut at its separator; a step each, so that nothing is computed twice."""
+    placed = F.transform(stripped, lambda x: F.struct(x.alias("line"), separator(x).alias("at")))
+    return F.transform(
+        placed,
+        lambda s: F.struct(
+            s["line"].alias("line"), s["at"].alias("at"), F.lower(strip_control(_before(s["line"], s["at"]))).alias("key"), strip_control(_after(s["line"], s["at"])).alias("rest")
+        ),
+    )
 
-    def value(line: Column) -> Column:
-        line = strip_control(line)
-        colon = F.instr(line, ":")
-        fits = (colon > 1) & (F.lower(strip_control(_before(line, colon))) == label.lower())
-        return F.when(fits, strip_control(_after(line, colon)))
 
-    return first_of(F.filter(F.transform(lines(content), value), lambda v: v.isNotNull()))
+def _colon(line: Column) -> Column:
+    return F.when(F.instr(line, ":") > 1, F.instr(line, ":"))
+
+
+def exact_field(content: Column, label: str) -> Column:
+    """The value after the first `label:` line, compared without case; null without such a line."""
+    return _first_value(_parts(_stripped(content), _colon), lambda s: F.when(s["key"] == label.lower(), s["rest"]))
 
 
 def earliest_separator(line: Column) -> Column:
@@ -52,50 +68,31 @@ def earliest_separator(line: Column) -> Column:
 def hinted_field(content: Column, hints) -> Column:
     """The value of the first line whose label holds one of the hints, or that starts with a hint and a space; else ''."""
 
-    def value(line: Column) -> Column:
-        line = strip_control(line)
-        at = earliest_separator(line)
-        key, rest = F.lower(strip_control(_before(line, at))), strip_control(_after(line, at))
-        labelled = F.when((rest != "") & contains_any(key, hints), rest)
-        lower, plain = F.lower(line), F.lit(None).cast("string")
+    def value(s: Column) -> Column:
+        labelled = F.when((s["rest"] != "") & contains_any(s["key"], hints), s["rest"])
+        plain = F.lit(None).cast("string")
         for hint in reversed(hints):
-            own = strip_control(F.substring(line, F.lit(len(hint) + 1), F.length(line)))
-            plain = F.when(F.startswith(lower, F.lit(hint + " ")) & (own != ""), own).otherwise(plain)
-        return F.when(at.isNotNull(), labelled).otherwise(plain)
+            # A stripped line that goes on after the hint and a space has a value there.
+            own = strip_control(F.substring(s["line"], F.lit(len(hint) + 1), F.length(s["line"])))
+            plain = F.when(F.startswith(F.lower(s["line"]), F.lit(hint + " ")), own).otherwise(plain)
+        return F.when(s["at"].isNotNull(), labelled).otherwise(plain)
 
-    return F.coalesce(first_of(F.filter(F.transform(lines(content), value), lambda v: v.isNotNull())), F.lit(""))
+    return F.coalesce(_first_value(_parts(_stripped(content), earliest_separator), value), F.lit(""))
 
 
 def marked_field(content: Column, label: str) -> Column:
     """Like exact_field, but bullets and stars are taken off first, and a dash may separate where no colon is; else ''."""
-
-    def value(line: Column) -> Column:
-        line = F.regexp_replace(F.regexp_replace(strip_control(line), "^[\\-*•\\s]+", ""), r"\*", "")
-        colon, dash = F.instr(line, ":"), F.instr(line, "-")
-        at = F.when(colon > 0, colon).when(dash > 1, dash)
-        return F.when(F.lower(strip_control(_before(line, at))) == label.lower(), strip_control(_after(line, at)))
-
-    return F.coalesce(first_of(F.filter(F.transform(lines(content), value), lambda v: v.isNotNull())), F.lit(""))
+    plain = F.transform(_stripped(content), lambda x: F.regexp_replace(F.regexp_replace(x, "^[\\-*•\\s]+", ""), r"\*", ""))
+    sign = lambda x: F.when(F.instr(x, ":") > 0, F.instr(x, ":")).when(F.instr(x, "-") > 1, F.instr(x, "-"))
+    return F.coalesce(_first_value(_parts(plain, sign), lambda s: F.when(s["key"] == label.lower(), s["rest"])), F.lit(""))
 
 
 def product_name(content: Column, file_name: Column) -> Column:
-    def labelled(line: Column) -> Column:
-        line = strip_control(line)
-        colon = F.instr(line, ":")
-        value = strip_control(_after(line, colon))
-        return F.when((colon > 1) & (F.lower(strip_control(_before(line, colon))) == "product name") & (value != ""), value)
-
-    def title(line: Column) -> Column:
-        line = strip_control(line)
-        name = strip_control(F.regexp_replace(line, r"^#+\s*", ""))
-        meta = F.lit(False)
-        for m in METADATA:
-            meta = meta | F.startswith(F.lower(name), F.lit(m))
-        return F.when((line != "") & ~meta, name)
-
-    every = lines(content)
-    pick = lambda f: first_of(F.filter(F.transform(every, f), lambda v: v.isNotNull()))
-    return F.coalesce(pick(labelled), pick(title), file_name)
+    stripped = _stripped(content)
+    labelled = _first_value(_parts(stripped, _colon), lambda s: F.when((s["key"] == "product name") & (s["rest"] != ""), s["rest"]))
+    names = F.transform(F.filter(stripped, lambda x: x != ""), lambda x: strip_control(F.regexp_replace(x, r"^#+\s*", "")))
+    title = _first_value(names, lambda n: F.when(~F.lower(n).rlike("^(" + "|".join(METADATA) + ")"), n))
+    return F.coalesce(labelled, title, file_name)
 
 
 def price(content: Column) -> Column:
