@@ -13,12 +13,28 @@ SPACE = r"[\x20\x09-\x0D]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: A small table is broadcast up to so many rows (each a few hundred bytes at most).
 BROADCAST_ROWS = 20_000
+BATCH_BYTES = "8m"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def pack_row(docs: DataFrame, *keep: str) -> DataFrame:
+    """`keep`, and all other columns in one struct __row, so that no name of theirs can clash with an operator's."""
+    return docs.select(*keep, F.struct(F.lit(0).alias("__none"), *[F.col(f"`{c}`") for c in docs.columns if c not in keep]).alias("__row"))
+
+
+def unpack_row(df: DataFrame, columns: list[str], *keep: str) -> DataFrame:
+    return df.select(*[F.col(f"`{c}`") if c in keep else F.col(f"__row.`{c}`").alias(c) for c in columns])
+
+
+def small_batches(df: DataFrame) -> DataFrame:
+    """df, whose session now sends Python at most `BATCH_BYTES` bytes at once; texts may be long."""
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
+    return df
+
+
 def small(df: DataFrame, rows: int) -> DataFrame:
     """Mark df for broadcast if its counted rows are within the bound; else leave the choice to the planner."""
     return F.broadcast(df) if rows <= BROADCAST_ROWS else df

@@ -12,7 +12,7 @@ so a source with a third of all rows is dealt over as many tasks as its rows nee
 
 Defined cases: null text has size 0; a null source is a source of its own, ranked last; sources without words
 get target 0; rows that are equal in every column are interchangeable; an empty table gives an empty result;
-further columns of any name are kept out of the way (internal names begin with two underscores).
+further columns of any name are kept out of the way in one struct.
 """
 
 from __future__ import annotations
@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import materialize, running_sum, small, table, word_count
+from .common import materialize, pack_row, running_sum, small, table, unpack_row, word_count
 
 Knots = list[tuple[float, float]]
 #: Weights of the sources in code-point order, repeating, and the course of each weight (integral 1).
@@ -79,11 +79,11 @@ def assign(sized: DataFrame, weights=WEIGHTS, courses=COURSES, max_epochs: int =
     n = targets.count()
     marked = sized.withColumn("__src", F.coalesce(F.col("source"), F.lit(""))).withColumn("__nosrc", F.col("source").isNull())
     named = targets.select(
-        "__idx", "__n", "__source_size", "__target", F.coalesce(F.col("source"), F.lit("")).alias("__src"), F.col("source").isNull().alias("__nosrc")
+        "__idx", F.col("__n").alias("__rows"), "__source_size", "__target", F.coalesce(F.col("source"), F.lit("")).alias("__src"), F.col("source").isNull().alias("__nosrc")
     )
     marked = marked.join(small(named, n), ["__src", "__nosrc"]).drop("__src", "__nosrc")
     # A source has as many buckets as its rows need.
-    slices = F.ceil(F.col("__n") / F.lit(rows_per_bucket))
+    slices = F.ceil(F.col("__rows") / F.lit(rows_per_bucket))
     bucket = F.floor(F.conv(F.substring(F.md5("__key"), 1, 8), 16, 10).cast("double") / F.lit(2.0**32) * slices).cast("long")
     marked = marked.withColumn("__hash", F.md5("__key")).withColumn("__bucket", bucket)
     summed = running_sum(marked, ["__idx"], ["__hash", "__key", "__size"], "__size", "__bucket", "__before")
@@ -106,7 +106,7 @@ def assign(sized: DataFrame, weights=WEIGHTS, courses=COURSES, max_epochs: int =
     summed = summed.withColumn("__takes", takes)
     summed = summed.withColumn("__taken", F.aggregate("__takes", F.lit(0).cast("long"), lambda a, x: a + x["words"]))
     summed = summed.withColumn("__position", F.get(F.col("__takes"), F.lit(0))["position"])
-    return summed.drop("__hash", "__bucket", "__before", "__demand", "__full", "__part", "__idx", "__n")
+    return summed.drop("__hash", "__bucket", "__before", "__demand", "__full", "__part", "__idx", "__rows")
 
 
 def order_key(doc_id: Column) -> Column:
@@ -118,8 +118,8 @@ def mix(docs: DataFrame, **options) -> DataFrame:
 
     A take that the target ends inside a document keeps the document's first words, with their white space.
     """
-    own = docs.columns
-    sized = docs.withColumn("__size", word_count(F.col("text"))).withColumn("__key", order_key(F.col("doc_id")))
+    own, kept = docs.columns, ["doc_id", "text", "source", *(["n_chars"] if "n_chars" in docs.columns else [])]
+    sized = pack_row(docs, *kept).withColumn("__size", word_count(F.col("text"))).withColumn("__key", order_key(F.col("doc_id")))
     takes = assign(sized, **options).withColumn("__take", F.explode("__takes"))
     parts = F.split("text", r"(?<=[^\x20\x09-\x0D])(?=[\x20\x09-\x0D])")
     text = F.when(F.col("__take.words") >= F.col("__size"), F.col("text")).otherwise(
@@ -128,7 +128,7 @@ def mix(docs: DataFrame, **options) -> DataFrame:
     takes = takes.withColumn("__position", F.col("__take.position")).withColumn("text", text)
     if "n_chars" in own:
         takes = takes.withColumn("n_chars", F.length("text").cast("long"))
-    return takes.orderBy("__position", "__key").select(*own)
+    return unpack_row(takes.orderBy("__position", "__key"), own, *kept)
 
 
 def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -30,7 +30,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialize, table
+from .common import materialize, pack_row, small, small_batches, table, unpack_row
 from .components import components
 
 SEED, SHINGLE, RADIUS = 42, 3, 3
@@ -64,7 +64,7 @@ def with_fingerprints(docs: DataFrame, n: int = SHINGLE) -> DataFrame:
             fps = np.array([fingerprint(t if isinstance(t, str) else None, n) for t in f.text], dtype=np.uint64)
             yield pd.DataFrame({"doc_id": f.doc_id.astype("Int64"), "fp": fps.view(np.int64), "text_hash": f.text_hash})
 
-    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("text_hash"))
+    own = small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("text_hash"))
     return own.mapInPandas(each, "doc_id long, fp long, text_hash long")
 
 
@@ -209,10 +209,14 @@ def deduplicate(docs: DataFrame, **options) -> DataFrame:
     per = rows.groupBy("root", "doc_id", "text_hash").agg(F.count(F.lit(1)).alias("n"))
     kept = per.groupBy("root").agg(F.min(F.struct("doc_id", "text_hash", "n")).alias("k"))
     kept = materialize(kept.select(F.col("k.doc_id").alias("__k"), F.col("k.text_hash").alias("__t"), F.col("k.n").alias("__n")), "simhash-kept")
-    marked = docs.withColumn("__k", F.coalesce(F.col("doc_id").cast("long"), no_id)).withColumn("__t", F.xxhash64("text"))
+    marked = pack_row(docs, "doc_id", "text").withColumn("__k", F.coalesce(F.col("doc_id").cast("long"), no_id)).withColumn("__t", F.xxhash64("text"))
     once = marked.join(kept.where("__n = 1").select("__k", "__t"), ["__k", "__t"], "left_semi")
-    again = marked.join(kept.where("__n > 1").select("__k", "__t"), ["__k", "__t"], "left_semi").dropDuplicates(["__k", "__t"])
-    return once.select(*own).union(again.select(*own))
+    repeated = kept.where("__n > 1").select("__k", "__t")
+    n = repeated.count()
+    if n:
+        again = marked.join(small(repeated, n), ["__k", "__t"], "left_semi").dropDuplicates(["__k", "__t"])
+        once = once.unionByName(again)
+    return unpack_row(once, own, "doc_id", "text")
 
 
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import in_slices, materialize, small, table
+from .common import in_slices, materialize, pack_row, small, small_batches, table, unpack_row
 from .suffix_array import common_prefixes, suffix_array
 
 LENGTH = 100
@@ -120,7 +120,7 @@ def scan(docs: DataFrame, length: int = LENGTH, k: int = K) -> DataFrame:
             p[same] = ~p[same]
             yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)[keep]), pa.array(c[keep]), pa.array(d[keep]), pa.array(p[keep])], names=["h", "c", "doc_id", "place"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(each, "h long, c long, doc_id long, place long")
+    return small_batches(docs).select(F.col("doc_id").cast("long"), "text").mapInArrow(each, "h long, c long, doc_id long, place long")
 
 
 def collapse(found: DataFrame, length: int = LENGTH, k: int = K) -> DataFrame:
@@ -348,7 +348,7 @@ def remove_repeats(docs: DataFrame, **options) -> DataFrame:
     Code points of which only a part would stay go whole; n_chars follows the text.
     """
     own = docs.columns
-    joined = with_texts(docs, repeated_spans(docs.select("doc_id", "text"), **options), "left").drop("__d", "__c")
+    joined = with_texts(pack_row(small_batches(docs), "doc_id", "text"), repeated_spans(docs.select("doc_id", "text"), **options), "left")
 
     def each(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
@@ -358,16 +358,12 @@ def remove_repeats(docs: DataFrame, **options) -> DataFrame:
                     keep.append(text)
                 else:
                     keep.append(cut(text.encode("utf-8", "surrogatepass"), found)[0].decode("utf-8", "ignore"))
-            yield pd.DataFrame({"text": keep, "__row": f["__row"]})
-
-    # Only the texts pass through Python; the other columns, of any type, stay where they are.
-    rest = [c for c in own if c != "text"]
-    packed = joined.select("text", "spans", F.struct(*rest).alias("__row"))
-    kind = packed.schema["__row"].dataType.simpleString()
-    out = packed.mapInPandas(each, f"text string, __row {kind}").select("text", "__row.*")
-    if "n_chars" in own:
-        out = out.withColumn("n_chars", F.length("text").cast("long"))
-    return out.select(*own)
+            yield pd.DataFrame({"doc_id": f["doc_id"].astype("Int64"), "text": keep, "__row": f["__row"]})
+
+    out = joined.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "spans", "__row")
+    kind = out.schema["__row"].dataType.simpleString()
+    out = unpack_row(out.mapInPandas(each, f"doc_id long, text string, __row {kind}"), own, "doc_id", "text")
+    return out.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in own else out
 
 
 def op10_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -25,7 +25,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, table
+from .common import BROADCAST_ROWS, pack_row, small_batches, table
 
 MAX_TOXIC, MAX_CLEAN = 3000, 6000
 HASH_BITS = 22
@@ -207,7 +207,7 @@ def train(docs: DataFrame, labels: DataFrame, groups: Iterable[tuple[str, ...]]
     totals = {r["toxic"]: r["n"] for r in known.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
     some = [known.where(F.col("toxic") == k).orderBy(F.xxhash64("doc_id"), "doc_id").limit(n) for k, n in ((1, MAX_TOXIC), (0, MAX_CLEAN))]
     assert MAX_TOXIC + MAX_CLEAN <= BROADCAST_ROWS
-    picked = docs.select("doc_id", "text").join(F.broadcast(some[0].union(some[1])), "doc_id")
+    picked = small_batches(docs).select("doc_id", "text").join(F.broadcast(some[0].union(some[1])), "doc_id")
     groups = tuple(groups)
 
     def extract(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -232,8 +232,7 @@ def train(docs: DataFrame, labels: DataFrame, groups: Iterable[tuple[str, ...]]
 def score(docs: DataFrame, model: Model) -> DataFrame:
     """docs with __score (0 to 1)."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    rest = [c for c in docs.columns if c != "text"]
-    packed = docs.select("text", F.struct(*rest).alias("__row"))
+    packed = pack_row(small_batches(docs), "text")
 
     def each(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
@@ -241,7 +240,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 
     kind = packed.schema["__row"].dataType.simpleString()
     out = packed.mapInPandas(each, f"text string, __row {kind}, __score double")
-    return out.select(*[F.col("text") if c == "text" else F.col(f"__row.`{c}`") for c in docs.columns], "__score")
+    return out.select(*[F.col("text") if c == "text" else F.col(f"__row.`{c}`").alias(c) for c in docs.columns], "__score")
 
 
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -28,7 +28,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import fresh_path, in_slices, materialize, table
+from .common import fresh_path, in_slices, materialize, small_batches, table
 
 SKIPPABLE = 0x184D2A5D
 DICT_BYTES, DICT_SAMPLES, DICT_SAMPLE_BYTES, LEVEL = 64 << 10, 400, 4 << 10, 3
@@ -138,7 +138,7 @@ def write(pages: DataFrame, folder: str, archive_bytes: int = ARCHIVE_BYTES) ->
     # One shuffle brings pages and links to the archives: both are dealt by page_id, and joined there.
     parts, key = in_slices(total, archive_bytes), F.coalesce("page_id", F.lit(-(1 << 63)))
     links = revisits(pages).groupBy(key.alias("__k")).agg(F.collect_list(F.struct("digest", "refers_to")).alias("links"))
-    own = pages.select(key.alias("__k"), "page_id", "url", F.coalesce("html", F.lit("")).cast("binary").alias("payload"))
+    own = small_batches(pages).select(key.alias("__k"), "page_id", "url", F.coalesce("html", F.lit("")).cast("binary").alias("payload"))
     both = own.repartition(parts, "__k").join(links.repartition(parts, "__k"), "__k", "left").withColumn("digest", F.sha1("payload"))
     refers = F.get(F.filter("links", lambda x: x["digest"] == F.col("digest")), F.lit(0))["refers_to"]
     both = both.select("page_id", "url", "payload", "digest", refers.alias("refers_to")).sortWithinPartitions("page_id", "digest")
