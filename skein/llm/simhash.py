@@ -202,9 +202,14 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS, shingle: int = SHINGL
 
 def deduplicate(docs: DataFrame, **options) -> DataFrame:
     """One row of each component stays, the one with the smallest doc_id (null first), all columns as they were."""
+    return keep_first(docs, near_duplicates(docs, **options))
+
+
+def keep_first(docs: DataFrame, rows: DataFrame) -> DataFrame:
+    """The rows of docs that are the first of their component; `rows`: doc_id, text_hash, root of every row of docs."""
     own = docs.columns
     no_id = F.lit(-(1 << 63))
-    rows = near_duplicates(docs, **options).withColumn("doc_id", F.coalesce("doc_id", no_id))
+    rows = rows.withColumn("doc_id", F.coalesce("doc_id", no_id))
     # How many rows share a component's first id and text; more than one only where rows are repeated.
     per = rows.groupBy("root", "doc_id", "text_hash").agg(F.count(F.lit(1)).alias("n"))
     kept = per.groupBy("root").agg(F.min(F.struct("doc_id", "text_hash", "n")).alias("k"))
