@@ -6,8 +6,9 @@ without neighbours left the next unused document does. What doesn't fit is cut:
 the next window's seed. So windows are full but for a shard's last one, which is split into sequences whose lengths
 are powers of two and which need no padding: no sequence is padded at all.
 
-Queries are the `QUERY_TERMS` terms of the seed with the greatest weight; terms of one document alone are left out,
-as they find nothing. Tokens are looked up by white-space separated chunk: the tokenizer never joins across white
+Queries are all terms of the seed; terms of one document alone are left out, as they find nothing. A seed's neighbours
+are all unused documents that share a term with it, or as many of the best as a window has tokens: each document has
+one token at least, so no more can enter. Tokens are looked up by white-space separated chunk: the tokenizer never joins across white
 space, so chunks can be kept in a bounded table (`KEPT` entries) and only new ones are encoded.
 
 Defined cases: null text is empty and has the end id alone; a null doc_id is packed too; rows of one doc_id are
@@ -32,8 +33,6 @@ from .common import in_slices, table
 WINDOW = 4096
 END_ID = 2
 SHARD_BYTES = 6_000_000
-QUERY_TERMS = 12
-NEIGHBOURS = 64
 K1, B = 1.2, 0.75
 KEPT = 1_500_000
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
@@ -169,20 +168,17 @@ class Bm25:
         self.doc_begin = np.searchsorted(doc[self.by_doc], np.arange(n + 1))
         self.n = n
 
-    def neighbours(self, seed: int, unused: np.ndarray, terms: int = QUERY_TERMS, most: int = NEIGHBOURS) -> list[int]:
-        """Unused documents that share terms with the seed, best score first; ties to the smaller place."""
+    def neighbours(self, seed: int, unused: np.ndarray, most: int = WINDOW) -> list[int]:
+        """The `most` best unused documents that share terms with the seed, best score first; ties to the smaller place."""
         scores = np.zeros(self.n, np.float32)
-        for e in self.by_doc[self.doc_begin[seed] : min(self.doc_begin[seed] + terms, self.doc_begin[seed + 1])].tolist():
-            k = self.list_of[e]
+        for k in self.list_of[self.by_doc[self.doc_begin[seed] : self.doc_begin[seed + 1]]].tolist():
             a, b = self.begin[k], self.begin[k + 1]
             scores[self.doc[a:b]] += self.weight[a:b]
         scores[~unused] = 0
-        if self.n > most:
-            top = np.argpartition(-scores, most)[:most]
-        else:
-            top = np.arange(self.n)
-        top = top[scores[top] > 0]
-        return top[np.lexsort((top, -scores[top]))].tolist()
+        top = np.nonzero(scores)[0]
+        if len(top) > most:
+            top = top[scores[top] >= np.partition(scores[top], -most)[-most]]
+        return top[np.lexsort((top, -scores[top]))][:most].tolist()
 
 
 def arrange(terms: np.ndarray, counts: np.ndarray, lengths: list[int], window: int = WINDOW) -> Iterator[tuple[int, int, int]]:
@@ -191,13 +187,13 @@ def arrange(terms: np.ndarray, counts: np.ndarray, lengths: list[int], window: i
     index, unused, nxt, room = Bm25(terms, counts), np.ones(n, bool), 0, window
     queue: list[int] = []
     while True:
-        # Neighbours are asked for by the document that opens a window.
-        queue = [d for d in queue if unused[d]]
+        # Neighbours are asked for by the document that opens a window, or that is no neighbour of the one before.
         while nxt < n and not unused[nxt]:
             nxt += 1
         if not queue and nxt == n:
             return
-        doc = queue.pop(0) if queue else nxt
+        near = bool(queue)
+        doc = queue.pop() if near else nxt
         unused[doc] = False
         at, opened = 0, room == window
         while at < lengths[doc]:
@@ -206,8 +202,8 @@ def arrange(terms: np.ndarray, counts: np.ndarray, lengths: list[int], window: i
             at, room = at + take, room - take
             if not room:
                 room, opened = window, at < lengths[doc]
-        if opened or not queue:
-            queue = index.neighbours(doc, unused)
+        if opened or not near:
+            queue = index.neighbours(doc, unused, window)[::-1]
 
 
 def sequences(cuts: Iterator[tuple[int, int, int]], total: int, window: int = WINDOW) -> Iterator[tuple[int, int, int, int, int]]:

@@ -77,5 +77,37 @@ def test_neighbours_follow_their_seed():
     assert [d % 2 for d in order[:10]] == [0] * 10
 
 
+def test_neighbours_by_brute_force():
+    rng = np.random.default_rng(3)
+    texts = [np.minimum(rng.zipf(1.3, rng.integers(30, 150)), 3000).astype(np.uint32) for _ in range(200)]
+    index, n = packing.Bm25(np.concatenate(texts), np.array([len(t) for t in texts])), len(texts)
+    tf = np.zeros((n, 3001))
+    for i, t in enumerate(texts):
+        np.add.at(tf[i], t, 1)
+    df, size = (tf > 0).sum(axis=0), tf.sum(axis=1)
+    norm = packing.K1 * (1 - packing.B + packing.B * size / size.mean())
+    weight = np.log1p((n - df + 0.5) / (df + 0.5)) * tf * (packing.K1 + 1) / (tf + norm[:, None])
+    for seed in range(0, n, 7):
+        unused = np.ones(n, bool)
+        unused[[seed, (seed + 1) % n]] = False
+        scores = weight @ (tf[seed] > 0) * unused
+        got = index.neighbours(seed, unused)
+        assert set(got) == set(np.nonzero(scores)[0])
+        assert np.allclose(scores[got], np.sort(scores)[::-1][: len(got)], rtol=1e-4)
+        few = index.neighbours(seed, unused, 5)
+        assert few == got[:5]
+
+
+def test_seed_is_asked_until_its_window_is_full():
+    a, b, z = 1, 2, 3
+    texts = [[a], *[[a, 100 + i] for i in range(63)], [a, b, b, b], *[[a] + [z] * 9 for _ in range(16)], *[[b]] * 10]
+    # By place the documents of b come before those that share a with the seed.
+    place = [0, *range(81, 91), *range(1, 81)]
+    own = [texts[i] for i in place]
+    cuts = packing.arrange(np.array([t for x in own for t in x], np.uint32), np.array([len(x) for x in own]), [2] * len(own), window=4096)
+    order = [place[doc] for doc, _, _ in cuts]
+    assert sorted(order) == list(range(91)) and all(x < 81 for x in order[:81])
+
+
 def test_empty(empty):
     assert packing.pack(empty).count() == 0
