@@ -1,8 +1,8 @@
 """URL filtering by association rules.
 
 Token combinations of labelled URLs are mined by Spark's FP-growth: each labelled page is a basket of its URL's
-tokens and one label item; rules `tokens -> block` and `tokens -> allow` stay if they reach the support, the
-confidence and the lift asked for, and if no rule with fewer of the same tokens is as sure. They are matched by an
+tokens and one label item; rules `tokens -> block` and `tokens -> allow` stay if they reach the support and the
+confidence asked for, if their odds are `MIN_LIFT` times the label's own at least, and if no rule with fewer of the same tokens is as sure. They are matched by an
 inverted index: each rule lies under its rarest token, so a page meets only the rules of its own rarer tokens,
 never those of tokens that nearly all URLs carry. Before the mined rules stand written ones (host and path);
 of those that fit a URL the longest decides.
@@ -23,6 +23,7 @@ from .common import LOWER, UPPER, materialize, small, table
 
 #: Written rules: host and path, verdict.
 RULES = (("com/en/", "block"), ("example.com/en/7", "allow"), ("net/de/", "allow"), ("example.net/de/8", "block"), ("org/es/", "block"))
+#: The lift is one of odds: that of confidences can't pass 1 / share of the label, so it would cut every rule of a common one.
 MIN_SUPPORT, MIN_CONFIDENCE, MIN_LIFT = 0.002, 0.6, 1.5
 #: A rule needs so many labelled pages at least, however few there are.
 MIN_COUNT = 20
@@ -68,7 +69,9 @@ def mine(labelled: DataFrame, min_support=MIN_SUPPORT, min_confidence=MIN_CONFID
     baskets = labelled.select(F.array_append("tokens", F.concat(F.lit("label:"), "label")).alias("items"))
     model = FPGrowth(itemsCol="items", minSupport=min_support, minConfidence=min_confidence).fit(baskets)
     rules = model.associationRules.where(F.get("consequent", F.lit(0)).isin("label:block", "label:allow"))
-    rules = rules.where(F.col("lift") >= min_lift).select(
+    share = F.col("confidence") / F.col("lift")
+    better = F.col("confidence") * (F.lit(1.0) - share) >= F.lit(float(min_lift)) * share * (F.lit(1.0) - F.col("confidence"))
+    rules = rules.where(better).select(
         F.array_sort("antecedent").alias("items"), F.substring(F.get("consequent", F.lit(0)), 7, 9).alias("verdict"), "confidence", "support"
     )
     # A rule is idle if one with fewer of its tokens is as sure: both lie under each other's tokens.

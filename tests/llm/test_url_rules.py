@@ -41,6 +41,16 @@ def test_rules_by_brute_force(spark):
     assert got == {(("b",), "block"): 0.8, (("c",), "allow"): 1.0}
 
 
+def test_majority_label_rule_beats_a_weaker_block_rule(spark, store):
+    # 10 in 300 are judged by both rules: /sure/ allows 40 of 40, mixed.org blocks 26 of 36; allow has over 2/3 of all pages.
+    urls = [f"http://mixed.org/sure/{i}" for i in range(10)] + [f"http://mixed.org/other/{i}" for i in range(26)]
+    urls += [f"http://calm{i % 5}.org/sure/{i}" for i in range(30)] + [f"http://calm{i % 5}.org/plain/{i}" for i in range(234)]
+    labels = spark.createDataFrame([(i, 0 if 10 <= i < 36 else 1, 0) for i in range(300)], "doc_id long, quality int, toxic int")
+    rows = {r.page_id: r for r in u.op7_url_filter(spark, store(pages=pages(spark, urls), labels=labels)).collect()}
+    assert all(rows[i].verdict == "allow" and rows[i].mined for i in range(10))
+    assert all(rows[i].verdict == "block" for i in range(10, 36))
+
+
 def test_native_and_empty(spark, store):
     labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     df = u.op7_url_filter(spark, store(pages=pages(spark, []), labels=labels))
