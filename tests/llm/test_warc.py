@@ -21,7 +21,7 @@ def pages(spark):
 def test_round_trip(spark, pages):
     listed = warc.write(pages, fresh_path(spark, "warc"), archive_bytes=40_000)
     got = warc.read(listed).collect()
-    assert listed.count() > 1 and len(got) == pages.count()
+    assert listed.select("path").distinct().count() > 1 and listed.count() == len(got) == pages.count()
     rows = pages.collect()
     html = {r.page_id: r.html or "" for r in rows if r.page_id is not None}
     top: dict = {}
@@ -58,7 +58,56 @@ def test_dictionary_frame():
     one = zs.ZstdDecompressor(dict_data=zs.ZstdCompressionDict(data[8 : 8 + n]))
     a, b = places[123]
     assert one.decompress(data[a : a + b]) == records[123]
-    assert [warc.parse(r) for r in records] == list(warc.read_archive(data))
+    assert [warc.parse(r) for r in records] == list(warc.read_archive(data, places))
+
+
+@pytest.mark.parametrize("records", [[b"one"], [b"WARC" * n for n in range(1, 9)], [b"", b"x" * 5_000_000]])
+def test_few_records_have_a_dictionary_too(records):
+    out = io.BytesIO()
+    places = warc.write_archive(out, records)
+    data = out.getvalue()
+    assert int.from_bytes(data[:4], "little") == warc.SKIPPABLE
+    assert [warc.decompressor(data).decompress(data[a : a + n]) for a, n in places] == records
+
+
+def test_pieces_are_spread_over_the_record():
+    raw = bytes(range(256)) * 64
+    got = warc.pieces_of(raw)
+    assert len(got) == 4096 and got[:1024] == raw[:1024] and got[-1024:] == raw[-1024:]
+
+
+def test_record_by_its_place(spark, pages):
+    index = warc.write(pages, fresh_path(spark, "warc"), archive_bytes=40_000)
+    ids = []
+    for r in index.collect():
+        head, body = warc.read_record(r.path, r["at"], r.length)
+        assert head["X-Page-Id"] == ("none" if r.page_id is None else str(r.page_id))
+        ids.append(head)
+    assert len({h["WARC-Record-ID"] for h in ids}) == len(ids) == pages.count()
+    responses = {h["WARC-Record-ID"]: h["WARC-Payload-Digest"] for h in ids if h["WARC-Type"] == "response"}
+    assert all(responses[h["WARC-Refers-To"]] == h["WARC-Payload-Digest"] for h in ids if h["WARC-Type"] == "revisit")
+
+
+def test_query(spark, pages, store):
+    """The query by the rule, over rows with null ids, repeated rows and a long payload."""
+    got = sorted(map(tuple, warc.op2_warc(spark, store(pages=pages)).collect()), key=str)
+    rows, want, first = pages.collect(), [], set()
+    body = lambda r: (r.html or "").encode()
+    top: dict = {}
+    for r in rows:
+        top[body(r)] = max(top.get(body(r), -1), -1 if r.page_id is None else r.page_id)
+    for r in rows:
+        b, to = body(r), top[body(r)]
+        response = len(b) < 1000 or (r.page_id == to and b not in first)
+        first |= {b} if r.page_id == to else set()
+        want.append((r.page_id, len(b), hashlib.sha1(b).hexdigest(), "response" if response else "revisit", None if response else to))
+    assert got == sorted(want, key=str)
+
+
+def test_places_without_scheme(spark, tmp_path):
+    assert warc.qualified(spark, str(tmp_path)).startswith("file:/")
+    with pytest.raises(ValueError):
+        warc.filesystem("/plain/path")
 
 
 def test_empty(spark):
