@@ -1,23 +1,29 @@
 """Toxicity by a counterfactually regularised classifier.
 
 A logistic regression over the presence of words and word beginnings (hashed), as one labels' column marks texts.
-Sentences of the training texts that hold an identity term are copied with the term swapped for others of its
-group (`PAIRS` swaps of a text at most), and the square of the change of the score (as a logit) is part of the loss, weighted `CF_WEIGHT`. So a mere
-mention of a group earns no score, even where the labelled rows happen to mention it in toxic texts more often.
+Every sentence of the training texts that holds an identity term is met again with the term swapped for each other of
+its group, and the square of the change of the score (as a logit) is part of the loss, weighted `CF_WEIGHT`. So a mere
+mention of a group earns no score, even where the labelled rows happen to mention it in toxic texts more often. What a
+swap changes are few features, the same in many sentences: swaps are counted by what they change, none is left out.
 
 It is fitted on a bounded sample of the labelled rows: `MAX_TOXIC` and `MAX_CLEAN` rows, those with the least hash
 of doc_id, weighed back to the labels' shares. Features are extracted on the executors; the driver gets hashed
-features of these rows only, and fits at most `FEATURES` of them. Every whole text is then scored.
+features of these rows only, and fits those that `MIN_COUNT` rows have at least and whose toxic share is `MIN_Z`
+standard deviations from the sample's, and the identity terms' own. Every whole text is then scored.
 
 Labels, language, source and id are never inputs of a score. Defined cases: null text is empty; an empty text gets
-the bias; a null doc_id counts as the empty string in the fold; without labels of both kinds, the score is the share
-of toxic labels (0.0 without any).
+the bias; a very long text is one row like any other; a null doc_id counts as the empty string in the fold; rows
+repeated whole are scored each, and a labelled doc_id in several rows counts once, by its text of least hash; a
+doc_id labelled more than once is toxic if any label says so; null and other labels are left out; features of equal
+weight stay all; without labels of both kinds, the score is the share of toxic labels (0.0 without any); an empty
+table gives an empty result; further columns, whatever their names, are kept as they are.
 """
 
 from __future__ import annotations
 
 import re
 import zlib
+from collections import Counter
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -25,19 +31,25 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, pack_row, small_batches, table
+from .common import BROADCAST_ROWS, materialize, pack_row, small_batches, table
 
 MAX_TOXIC, MAX_CLEAN = 3000, 6000
 HASH_BITS = 22
-FEATURES = 20_000
-MIN_COUNT = 4
-L2, CF_WEIGHT, ROUNDS = 2e-5, 0.3, 600
+MIN_COUNT, MIN_Z = 4, 2.0
+L2, CF_WEIGHT, ROUNDS = 2e-5, 1.0, 600
 BEGINNINGS = (4, 5, 6)
-SWAPS, PAIRS = 3, 20
-#: Chunks whose features a task keeps at most.
-KNOWN = 200_000
+#: Chunks, and their characters, whose features a task keeps at most.
+KNOWN, KNOWN_CHARS = 400_000, 16_000_000
 #: Groups of identity terms; terms of one group are swapped for one another.
 IDENTITY = (
+    ("he", "she", "they"),
+    ("him", "her", "them"),
+    ("his", "hers", "their"),
+    ("er", "sie"),
+    ("il", "elle"),
+    ("ils", "elles"),
+    ("él", "ella"),
+    ("ellos", "ellas"),
     ("women", "men", "girls", "boys", "transgender", "nonbinary"),
     ("woman", "man", "girl", "boy"),
     ("christian", "muslim", "jewish", "hindu", "buddhist", "atheist", "catholic", "sikh"),
@@ -87,20 +99,27 @@ def features(text: str | None) -> set[int]:
     return out
 
 
-def counterfactuals(text: str | None, groups: Iterable[tuple[str, ...]] = IDENTITY, swaps: int = SWAPS) -> list[tuple[set[int], set[int]]]:
-    """For sentences with an identity term: features of the sentence, and with the term swapped."""
+def counterfactuals(text: str | None, groups: Iterable[tuple[str, ...]] = IDENTITY) -> Counter:
+    """For each sentence, identity term in it and other term of its group: (features lost, features won) by the swap."""
     group_of = {t: g for g in groups for t in g}
-    out = []
+    out: Counter = Counter()
     for sentence in re.split(r"(?<=[.!?])\s+|\n+", text or ""):
         words = sentence.lower().split()
-        marked = [(i, _EDGE.sub("", w)) for i, w in enumerate(words)]
+        marked = [(i, t) for i, w in enumerate(words) if (t := w if w in group_of else _EDGE.sub("", w)) in group_of]
+        if not marked:
+            continue
+        every = Counter(k for w in set(words) for k in features_of(w))
+        times = Counter(words)
         for i, term in marked:
-            if term in group_of:
-                others = [t for t in group_of[term] if t != term]
-                at = zlib.crc32(sentence.encode("utf-8", "surrogatepass")) % len(others)
-                for other in [others[(at + k) % len(others)] for k in range(min(swaps, len(others)))]:
-                    swapped = [*words[:i], words[i].replace(term, other), *words[i + 1 :]]
-                    out.append((features(" ".join(words)), features(" ".join(swapped))))
+            # Of a word that stands once, the features that no other word of the sentence has go with it.
+            own = set(features_of(words[i])) if times[words[i]] == 1 else set()
+            gone = {k for k in own if every[k] == 1}
+            for other in group_of[term]:
+                if other != term:
+                    new = set(features_of(words[i].replace(term, other)))
+                    lost, won = gone - new, {k for k in new if k not in every}
+                    if lost or won:
+                        out[as_bytes(lost), as_bytes(won)] += 1
     return out
 
 
@@ -117,36 +136,70 @@ class Model:
 
     def __init__(self, weights: dict[int, float], bias: float):
         self.weights, self.bias = weights, bias
-        self.known: dict[str, tuple[int, ...]] = {}  # of chunks met lately, the features that weigh anything
+        self.place = {k: i for i, k in enumerate(sorted(weights))}
+        self.values = np.array([weights[k] for k in sorted(weights)])
+        self.clear()
 
     def __getstate__(self) -> dict:
-        return self.__dict__ | {"known": {}}
-
-    def weighing(self, chunk: str) -> tuple[int, ...]:
-        found = tuple([k for k in features_of(chunk) if k in self.weights])
-        if len(chunk) <= 40:
-            if len(self.known) >= KNOWN:
-                self.known.clear()
-            self.known[chunk] = found
-        return found
+        return {"weights": self.weights, "bias": self.bias}
+
+    def __setstate__(self, state: dict) -> None:
+        self.__init__(**state)
+
+    def clear(self) -> None:
+        """Forget the chunks met so far: of each, the features that weigh anything, one chunk after another."""
+        self.index: dict[str, int] = {}
+        self.size, self.start = np.zeros(1 << 12, np.int32), np.zeros(1 << 12, np.int64)
+        self.flat, self.used, self.chars = np.zeros(1 << 12, np.int64), 0, 0
+
+    def learn(self, chunks: list[str]) -> None:
+        place = self.place
+        found = [[place[k] for k in features_of(c) if k in place] for c in chunks]
+        sizes = np.fromiter(map(len, found), np.int32, len(found))
+        first, last, used = len(self.index), len(self.index) + len(chunks), self.used + int(sizes.sum())
+        while len(self.size) < last:
+            self.size, self.start = (np.concatenate([x, np.zeros_like(x)]) for x in (self.size, self.start))
+        while len(self.flat) < used:
+            self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
+        self.flat[self.used : used] = [k for x in found for k in x]
+        self.size[first:last] = sizes
+        self.start[first:last] = self.used + np.cumsum(sizes) - sizes
+        self.index.update(zip(chunks, range(first, last)))
+        self.used, self.chars = used, self.chars + sum(map(len, chunks))
+
+    def logits(self, texts: list[str | None]) -> np.ndarray:
+        every: list[str] = []
+        counts = np.empty(len(texts), np.int64)
+        for i, t in enumerate(texts):
+            own = t.lower().split() if t else []
+            counts[i] = len(own)
+            every += own
+        if len(self.index) > KNOWN or self.chars > KNOWN_CHARS:
+            self.clear()
+        new = set(every).difference(self.index)
+        if new:
+            self.learn(list(new))
+        at = np.fromiter(map(self.index.__getitem__, every), np.int64, len(every))
+        weighs = np.nonzero(self.size[at])[0]
+        doc, at = np.repeat(np.arange(len(texts)), counts)[weighs], at[weighs]
+        sizes = self.size[at].astype(np.int64)
+        ends = np.cumsum(sizes)
+        feature = self.flat[np.repeat(self.start[at] - (ends - sizes), sizes) + np.arange(sizes.sum())]
+        # A feature counts once a text, and is added in one order.
+        width = max(1, len(self.values))
+        found = np.unique(np.repeat(doc, sizes) * width + feature)
+        return self.bias + np.bincount(found // width, weights=self.values[found % width] if len(found) else None, minlength=len(texts))
 
     def logit(self, text: str | None) -> float:
-        known, found = self.known, set()
-        for chunk in set((text or "").lower().split()):
-            own = known.get(chunk)
-            if own is None:
-                own = self.weighing(chunk)
-            if own:
-                found.update(own)
-        return self.bias + sum([self.weights[k] for k in sorted(found)])
+        return float(self.logits([text])[0])
 
     def scores(self, texts: Iterable[str | None]) -> np.ndarray:
-        z = np.clip(np.array([self.logit(t if isinstance(t, str) else None) for t in texts], float), -40, 40)
+        z = np.clip(self.logits([t if isinstance(t, str) else None for t in texts]), -40, 40)
         return 1 / (1 + np.exp(-z))
 
 
-def fit(rows: list[np.ndarray], labels: np.ndarray, weights: np.ndarray, pairs: list[tuple[np.ndarray, np.ndarray]], cf_weight: float = CF_WEIGHT) -> Model:
-    """rows: hashed features of each text; pairs: features before and after a swap."""
+def fit(rows: list[np.ndarray], labels: np.ndarray, weights: np.ndarray, pairs: list[tuple[np.ndarray, np.ndarray, int]], cf_weight: float = CF_WEIGHT) -> Model:
+    """rows: hashed features of each text; pairs: features lost and won by a swap, and how many swaps do that."""
     share = float((labels * weights).sum() / weights.sum()) if len(labels) else 0.0
     if not 0 < share < 1:
         return Model({}, float(np.clip(np.log((share + 1e-9) / (1 - share + 1e-9)), -20, 20)))
@@ -162,28 +215,24 @@ def fit(rows: list[np.ndarray], labels: np.ndarray, weights: np.ndarray, pairs:
     z = np.abs(toxic[names] - counts[names] * rate) / np.sqrt(counts[names] * rate * (1 - rate))
     z[counts[names] < MIN_COUNT] = 0
     # Identity terms stay, whatever they tell: their weights are what swaps hold down.
-    swapped = np.unique(np.concatenate([np.setxor1d(a, b) for a, b in pairs])) if pairs else np.zeros(0, np.int64)
-    z[np.isin(names, swapped)] = np.inf
-    picked = np.sort(np.argsort(-z, kind="stable")[:FEATURES])
-    names = names[picked[z[picked] > 2]]
+    swapped = np.unique(np.concatenate([x for a, b, _ in pairs for x in (a, b)])) if pairs else np.zeros(0, np.int64)
+    names = names[(z >= MIN_Z) | np.isin(names, swapped)]
     column = np.full(1 << HASH_BITS, -1, np.int32)
     column[names] = np.arange(len(names))
     cols = [column[r] for r in rows]
     cols = [c[c >= 0] for c in cols]
     col, row, n = np.concatenate(cols), np.repeat(np.arange(len(rows)), [len(c) for c in cols]), len(names)
-    pc, pr, pv = [], [], []
-    for i, (a, b) in enumerate(pairs):
-        for sign, own in ((1.0, np.setdiff1d(a, b)), (-1.0, np.setdiff1d(b, a))):
-            for k in column[own][column[own] >= 0].tolist():
-                pc.append(k)
-                pr.append(i)
-                pv.append(sign)
-    pc, pr, pv = np.array(pc, np.int64), np.array(pr, np.int64), np.array(pv)
+    held = [(i, sign, column[own][column[own] >= 0]) for i, (a, b, _) in enumerate(pairs) for sign, own in ((1.0, a), (-1.0, b))]
+    pc = np.concatenate([c for _, _, c in held]).astype(np.int64) if held else np.zeros(0, np.int64)
+    pr = np.repeat([i for i, _, _ in held], [len(c) for _, _, c in held]).astype(np.int64)
+    pv = np.repeat([s for _, s, _ in held], [len(c) for _, _, c in held])
+    often = np.array([c for _, _, c in pairs], float)
+    often = 2 * cf_weight * often / max(1.0, often.sum())
     w, b = np.zeros(n), float(np.log(share / (1 - share)))
     share_of = weights / weights.sum()
     scale = 0.25 * np.bincount(col, weights=share_of[row], minlength=n) + L2
     if len(pairs):
-        scale += 2 * cf_weight / len(pairs) * np.bincount(pc, minlength=n)
+        scale += np.bincount(pc, weights=often[pr], minlength=n)
     # Accelerated gradient steps, scaled by feature.
     look, look_b, t, step = w.copy(), b, 1.0, 0.25
     for _ in range(ROUNDS):
@@ -192,7 +241,7 @@ def fit(rows: list[np.ndarray], labels: np.ndarray, weights: np.ndarray, pairs:
         grad = np.bincount(col, weights=gap[row], minlength=n) + L2 * look
         if len(pairs):
             change = np.bincount(pr, weights=pv * look[pc], minlength=len(pairs))
-            grad += 2 * cf_weight / len(pairs) * np.bincount(pc, weights=pv * change[pr], minlength=n)
+            grad += np.bincount(pc, weights=pv * (often * change)[pr], minlength=n)
         new, new_b = look - step * grad / np.sqrt(scale * scale.max()) / max(1.0, scale.max()), look_b - step * 4 * gap.sum()
         nt = (1 + np.sqrt(1 + 4 * t * t)) / 2
         look, look_b = new + (t - 1) / nt * (new - w), new_b + (t - 1) / nt * (new_b - b)
@@ -207,25 +256,27 @@ def train(docs: DataFrame, labels: DataFrame, groups: Iterable[tuple[str, ...]]
     totals = {r["toxic"]: r["n"] for r in known.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
     some = [known.where(F.col("toxic") == k).orderBy(F.xxhash64("doc_id"), "doc_id").limit(n) for k, n in ((1, MAX_TOXIC), (0, MAX_CLEAN))]
     assert MAX_TOXIC + MAX_CLEAN <= BROADCAST_ROWS
-    picked = small_batches(docs).select("doc_id", "text").join(F.broadcast(some[0].union(some[1])), "doc_id")
+    picked = small_batches(docs).select("doc_id", "text", F.xxhash64("text").alias("text_hash")).join(F.broadcast(some[0].union(some[1])), "doc_id")
     groups = tuple(groups)
 
     def extract(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
-            before, after, own = [], [], []
+            own, changes = [], []
             for text in f["text"]:
                 text = text if isinstance(text, str) else None
                 own.append(as_bytes(features(text)))
-                pairs = counterfactuals(text, groups)[:PAIRS]
-                before.append([as_bytes(a) for a, _ in pairs])
-                after.append([as_bytes(b) for _, b in pairs])
-            yield pd.DataFrame({"doc_id": f["doc_id"], "toxic": f["toxic"], "own": own, "before": before, "after": after})
-
-    got = picked.mapInPandas(extract, "doc_id long, toxic int, own binary, before array<binary>, after array<binary>")
-    got = got.toPandas().sort_values("doc_id", kind="stable", ignore_index=True)
+                changes.append([{"lost": a, "won": b, "n": n} for (a, b), n in counterfactuals(text, groups).items()])
+            yield pd.DataFrame({"doc_id": f["doc_id"], "toxic": f["toxic"], "text_hash": f["text_hash"], "own": own, "changes": changes})
+
+    got = picked.mapInPandas(extract, "doc_id long, toxic int, text_hash long, own binary, changes array<struct<lost:binary,won:binary,n:long>>")
+    # Rows of one labelled id: the text of least hash stands for it; each task passes on one.
+    got = got.groupBy("doc_id").agg(F.min_by(F.struct("toxic", "own", "changes"), "text_hash").alias("x")).select("doc_id", "x.*")
+    got = materialize(got, "toxicity-sample")
+    swaps = got.select(F.explode("changes").alias("c")).groupBy("c.lost", "c.won").agg(F.sum("c.n").alias("n")).collect()
+    pairs = [(from_bytes(bytes(r["lost"])), from_bytes(bytes(r["won"])), r["n"]) for r in sorted(swaps, key=lambda r: (bytes(r["lost"]), bytes(r["won"])))]
+    got = got.select("doc_id", "toxic", "own").toPandas().sort_values("doc_id", kind="stable", ignore_index=True)
     y = got["toxic"].to_numpy(float)
     share = {k: totals.get(k, 0) / max(1, int((y == k).sum())) for k in (0, 1)}
-    pairs = [(from_bytes(a), from_bytes(b)) for bs, as_ in zip(got["before"], got["after"]) for a, b in zip(bs, as_)]
     return fit([from_bytes(x) for x in got["own"]], y, np.array([share[int(v)] for v in y]), pairs, cf_weight)
 
 
