@@ -16,7 +16,9 @@ Copies never meet as documents: a fingerprint stands for all of them, and a link
 fingerprint to the smaller. No bucket is ever gathered; the join may split a common value over tasks.
 
 Defined cases: null text is empty; no words: fingerprint zero, linked like any other; fewer than three words: the
-whole sequence is the shingle; null doc_ids are kept and never name a component unless nothing else does.
+whole sequence is the shingle; null doc_ids are kept and never name a component unless nothing else does; rows repeated
+whole are rows of one class each; a text of any length is hashed whole; an empty table gives an empty result; further
+columns aren't read (`deduplicate` keeps them, whatever their names).
 """
 
 from __future__ import annotations
@@ -27,45 +29,88 @@ from math import comb
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import materialize, pack_row, small, small_batches, table, unpack_row
 from .components import components
+from .xxh64 import hashes, padded
 
 SEED, SHINGLE, RADIUS = 42, 3, 3
 SAMPLE = 20_000
+#: Bytes of text that are hashed at once.
+SLICE = 1 << 20
 PROBE_COST, CANDIDATE_COST = 1.0, 0.1
 
 
-def fingerprint(text: str | None, n: int = SHINGLE) -> int:
-    """The 64-bit fingerprint of a text."""
-    import xxhash
-
-    words = (text or "").encode("utf-8", "surrogatepass").lower().split()  # bytes: A-Z and the six ASCII spaces only
-    if not words:
-        return 0
-    joined = b" ".join(words)
-    if len(words) <= n:
-        return xxhash.xxh64_intdigest(joined, SEED)
-    ends = np.cumsum([len(w) + 1 for w in words]) - 1
-    starts = np.concatenate([[0], ends[:-1] + 1])[: len(words) - n + 1].tolist()
-    h, digest = ends[n - 1 :].tolist(), xxhash.xxh64_intdigest
-    hashes = np.array([digest(joined[a:b], SEED) for a, b in zip(starts, h)], dtype="<u8")
-    ones = np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int.from_bytes(np.packbits(ones * 2 > len(hashes), bitorder="little").tobytes(), "little")
+def joined_words(data: np.ndarray, begin: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Texts' bytes, one text after another (begin: each one's place, and the end of all) -> the same with A-Z as a-z and
+    one space between words; each word's first place in it and the place behind it; each text's number of words."""
+    word = ~((data == 32) | ((data >= 9) & (data <= 13)))
+    edges = np.zeros(len(data) + 1, bool)
+    edges[begin] = True
+    first, last = word.copy(), word.copy()
+    first[1:] &= ~word[:-1] | edges[1:-1]
+    last[:-1] &= ~word[1:] | edges[1:-1]
+    keep = word.copy()
+    keep[:-1] |= word[1:]
+    place = np.cumsum(keep) - 1
+    low = np.where((data >= 65) & (data <= 90), data + 32, np.where(word, data, 32)).astype(np.uint8)
+    counted = np.concatenate([[0], np.cumsum(first)])
+    return low[keep], place[first], place[last] + 1, np.diff(counted[begin])
+
+
+def majorities(h: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """For each run of counts[i] hashes: the number whose bits are those set in over half of them; 0 for an empty run."""
+    out = np.zeros(len(counts), np.uint64)
+    some = np.nonzero(counts)[0]
+    if not len(some):
+        return out
+    # Bits are counted in eight byte-wide lanes at once, in blocks of 255 hashes at most, which no lane overflows.
+    n = counts[some]
+    blocks = -(-n // 255)
+    ends = np.cumsum(blocks)
+    inside = np.arange(ends[-1]) - np.repeat(ends - blocks, blocks)
+    starts = np.repeat(np.cumsum(n) - n, blocks) + 255 * inside
+    for bit in range(8):
+        lanes = np.add.reduceat((h >> np.uint64(bit)) & np.uint64(0x0101010101010101), starts)
+        ones = np.add.reduceat(lanes.astype("<u8").view(np.uint8).reshape(-1, 8), ends - blocks, axis=0, dtype=np.int64)
+        for lane in range(8):
+            out[some] |= (2 * ones[:, lane] > n).astype(np.uint64) << np.uint64(8 * lane + bit)
+    return out
+
+
+def fingerprints(data: np.ndarray, begin: np.ndarray, n: int = SHINGLE) -> np.ndarray:
+    """The 64-bit fingerprints of texts that lie one after another."""
+    text, first, behind, words = joined_words(data, begin)
+    counts = np.where(words >= n, words - n + 1, np.minimum(words, 1))
+    of = np.repeat(np.cumsum(words) - words, counts)
+    ends = np.cumsum(counts)
+    start = of + np.arange(ends[-1] if len(ends) else 0) - np.repeat(ends - counts, counts)
+    last = start + np.repeat(np.minimum(words, n), counts) - 1
+    own = first[start]
+    return majorities(hashes(padded(text), own, behind[last] - own, SEED), counts)
 
 
 def with_fingerprints(docs: DataFrame, n: int = SHINGLE) -> DataFrame:
     """doc_id, fp (as a signed long), text_hash."""
 
-    def each(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            fps = np.array([fingerprint(t if isinstance(t, str) else None, n) for t in f.text], dtype=np.uint64)
-            yield pd.DataFrame({"doc_id": f.doc_id.astype("Int64"), "fp": fps.view(np.int64), "text_hash": f.text_hash})
-
-    own = small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("text_hash"))
-    return own.mapInPandas(each, "doc_id long, fp long, text_hash long")
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = batch.column(1).cast(pa.large_binary())
+            begin = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset :][: len(texts) + 1]
+            data = np.frombuffer(texts.buffers()[2] or b"", np.uint8)
+            at, found = 0, []
+            while at < len(texts):  # about SLICE bytes at once, one text at least
+                to = max(at + 1, int(np.searchsorted(begin, begin[at] + SLICE, side="right")) - 1)
+                found.append(fingerprints(data[begin[at] : begin[to]], begin[at : to + 1] - begin[at], n))
+                at = to
+            fps = np.concatenate(found).view(np.int64) if found else np.zeros(0, np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps), batch.column(2)], names=["doc_id", "fp", "text_hash"])
+
+    own = small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), F.xxhash64("text").alias("text_hash"))
+    return own.mapInArrow(each, "doc_id long, fp long, text_hash long")
 
 
 def bit_groups(sample: np.ndarray, m: int) -> list[list[int]]:

@@ -6,16 +6,39 @@ import pytest
 from skein.llm import simhash
 
 
-def test_fingerprint_by_the_rule():
+def fingerprint(t, n=3):
+    import re
+
+    import xxhash
+
+    words = (t or "").translate(str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"))
+    words = [w for w in re.split(r"[\x20\x09-\x0D]+", words) if w]
+    sh = [" ".join(words[i : i + n]) for i in range(len(words) - n + 1)] if len(words) >= n else [" ".join(words)] * bool(words)
+    h = [xxhash.xxh64_intdigest(s.encode(), 42) for s in sh]
+    return sum(1 << b for b in range(64) if sum(x >> b & 1 for x in h) * 2 > len(h)) if h else 0
+
+
+@pytest.mark.parametrize("n", [1, 3, 5])
+def test_fingerprint_by_the_rule(n):
+    rng = random.Random(n)
+    texts = ["", "", "  ", "One", "one TWO", "a b c", "A b\tc d\x0be f g g g g", " ÄÖ é x y z ", "", "x" * 300 + " y", "a " * 700, "\n"]
+    texts += ["".join(rng.choice("aBcé \n🙂") for _ in range(rng.randint(0, 400))) for _ in range(60)]
+    texts += [" ".join("w" * rng.randint(1, 40) for _ in range(rng.randint(0, 900))) for _ in range(20)]
+    raw = [t.encode() for t in texts]
+    begin = np.cumsum([0] + [len(r) for r in raw])
+    got = simhash.fingerprints(np.frombuffer(b"".join(raw), np.uint8), begin, n)
+    assert got.tolist() == [fingerprint(t, n) for t in texts]
+
+
+def test_hashes_by_the_library():
     import xxhash
 
-    for t in ["", None, "  ", "One", "one TWO", "a b c", "A b\tc d\x0be f g g g g", "ÄÖ é x y z"]:
-        words = (t or "").translate(str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"))
-        words = [w for w in __import__("re").split(r"[\x20\x09-\x0D]+", words) if w]
-        sh = [" ".join(words[i : i + 3]) for i in range(len(words) - 2)] if len(words) >= 3 else [" ".join(words)] * bool(words)
-        h = [xxhash.xxh64_intdigest(s.encode(), 42) for s in sh]
-        want = sum(1 << b for b in range(64) if sum(x >> b & 1 for x in h) * 2 > len(h)) if h else 0
-        assert simhash.fingerprint(t) == want, t
+    from skein.llm import xxh64
+
+    data = np.random.default_rng(1).integers(0, 256, 500, dtype=np.uint8)
+    start, length = map(np.array, zip(*[(s, n) for s in range(0, 300, 7) for n in range(0, 180, 3)]))
+    got = xxh64.hashes(xxh64.padded(data), start, length, 42)
+    assert got.tolist() == [xxhash.xxh64_intdigest(data[s : s + n].tobytes(), 42) for s, n in zip(start, length)]
 
 
 def components(ids, fps, radius=3):
@@ -38,11 +61,11 @@ def test_op9(spark, docs, store):
     rows = simhash.op9_simhash(spark, store(documents=docs)).collect()
     own = sorted([(r.doc_id, r.text) for r in docs.collect() if r.doc_id is not None])
     assert len(rows) == docs.count()
-    want = components([d for d, _ in own], [simhash.fingerprint(t) for _, t in own])
+    want = components([d for d, _ in own], [fingerprint(t) for _, t in own])
     text = dict(own)
     for r in rows:
         if r.doc_id is not None:
-            assert r.fingerprint == f"{simhash.fingerprint(text[r.doc_id]):016x}" and r.component_id == want[r.doc_id]
+            assert r.fingerprint == f"{fingerprint(text[r.doc_id]):016x}" and r.component_id == want[r.doc_id]
 
 
 def test_all_links_are_found(spark, monkeypatch):
