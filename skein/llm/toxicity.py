@@ -92,6 +92,27 @@ def features_of(chunk: str) -> tuple[int, ...]:
     return tuple(zlib.crc32(k.encode("utf-8", "surrogatepass")) >> (32 - HASH_BITS) for k in keys)
 
 
+_W, _B = zlib.crc32(b"w"), zlib.crc32(b"b")
+
+
+def weighing(chunk: str, place: dict[int, int]) -> list[int]:
+    """The places of a chunk's features, of those that have one: `features_of`, with a short way for plain words."""
+    word = chunk.rstrip(".,;:?")
+    if not word.isalpha():
+        return [place[k] for k in features_of(chunk) if k in place]
+    raw = word.encode()
+    if not word.isascii():
+        keys = [zlib.crc32(raw, _W), *(zlib.crc32(word[:end].encode(), _B) for end in BEGINNINGS if len(word) > end)]
+        return [place[k >> (32 - HASH_BITS)] for k in keys if k >> (32 - HASH_BITS) in place]
+    keys, n, crc, at = [zlib.crc32(raw, _W)], len(raw), _B, 0
+    for end in BEGINNINGS:
+        if n <= end:
+            break
+        crc, at = zlib.crc32(raw[at:end], crc), end
+        keys.append(crc)
+    return [place[k >> (32 - HASH_BITS)] for k in keys if k >> (32 - HASH_BITS) in place]
+
+
 def features(text: str | None) -> set[int]:
     out: set[int] = set()
     for chunk in set((text or "").lower().split()):
@@ -154,7 +175,7 @@ class Model:
 
     def learn(self, chunks: list[str]) -> None:
         place = self.place
-        found = [[place[k] for k in features_of(c) if k in place] for c in chunks]
+        found = [weighing(c, place) for c in chunks]
         sizes = np.fromiter(map(len, found), np.int32, len(found))
         first, last, used = len(self.index), len(self.index) + len(chunks), self.used + int(sizes.sum())
         while len(self.size) < last:

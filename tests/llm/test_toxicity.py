@@ -102,6 +102,12 @@ def test_scores_by_plain_reading():
     assert m.scores(texts) == pytest.approx(want) and m.scores(texts[::-1]) == pytest.approx(want[::-1])
 
 
+@pytest.mark.parametrize("chunk", ["", "a", "word", "words.", "longerword,", "w.o.r.d", "b4d!", "well?!", "süß", "Ab", "x" * 50, "it's", "...", "abcde", "abcdef:"])
+def test_short_way_for_plain_words(chunk):
+    place = {k: i for i, k in enumerate(toxicity.features_of(chunk))}
+    assert sorted(toxicity.weighing(chunk, place)) == sorted(place.values()) and toxicity.weighing(chunk, {}) == []
+
+
 def test_fit_by_plain_optimiser():
     """The fit's loss is that of a plain gradient descent, swaps and all."""
     rng = np.random.default_rng(0)
