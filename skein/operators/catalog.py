@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import fields
 from ..functions.dictionaries import INTENT, SYNONYMS
-from ..functions.text import normalize, parse_rating, token_list, token_set
+from ..functions.text import normalize, parse_rating, strip_control, token_list, token_set
 
 
 def intent_table(spark: SparkSession, intent: dict | None = None) -> DataFrame:
@@ -22,23 +22,27 @@ def synonym_table(spark: SparkSession, synonyms: dict | None = None) -> DataFram
     return spark.createDataFrame(rows, "word string, category_norm string")
 
 
-def derive(products: DataFrame) -> DataFrame:
-    """corpus_pos, product_name, brand, category, description, rating -> the columns that search reads."""
+def derive(products: DataFrame, *keep: str) -> DataFrame:
+    """corpus_pos, product_name, brand, category, description, rating -> the columns that search reads, and `keep`.
+
+    A projection for each step: what a later one reads several times is a column by then.
+    """
     name, brand, description = (F.coalesce(c, F.lit("")) for c in ("product_name", "brand", "description"))
-    kind = fields.classify(F.col("category"), F.col("product_name"))
     out = products.select(
-        "corpus_pos",
+        "corpus_pos", *keep,
         name.alias("product_name"),
         brand.alias("brand"),
-        kind.alias("rec_category"),
+        strip_control(F.coalesce("category", F.lit(""))).alias("__field"),
         parse_rating(F.coalesce(F.col("rating").cast("string"), F.lit(""))).alias("rating_num"),
         normalize(name).alias("name_norm"),
         normalize(brand).alias("brand_norm"),
-        normalize(kind).alias("category_norm"),
         normalize(description).alias("description_norm"),
-    )
+    )
+    out = out.withColumn("__field_norm", normalize(F.col("__field")))
+    out = out.withColumn("rec_category", fields.classify(F.col("__field"), F.col("__field_norm"), F.col("name_norm")))
+    out = out.withColumn("category_norm", normalize(F.col("rec_category")))
     return out.select(
-        "corpus_pos", "product_name", "brand", "rec_category", "rating_num", "name_norm", "category_norm", "description_norm",
+        "corpus_pos", *keep, "product_name", "brand", "rec_category", "rating_num", "name_norm", "category_norm", "description_norm",
         token_set(F.col("name_norm")).alias("name_tokens"),
         token_set(F.col("brand_norm")).alias("brand_tokens"),
         token_set(F.col("description_norm")).alias("desc_tokens"),
@@ -48,26 +52,19 @@ def derive(products: DataFrame) -> DataFrame:
 
 
 def from_corpus(corpus: DataFrame) -> DataFrame:
-    """corpus_pos, file_name, content -> the catalogue, with display fields and the text that fuzzy search reads."""
-    c = F.col("content")
-    named = corpus.withColumn("product_name", fields.product_name(c, F.col("file_name")))
-    parsed = named.select(
-        "corpus_pos", "file_name", "content", "product_name",
-        fields.brand(c, F.col("product_name")).alias("brand"),
-        fields.category(c).alias("category"),
-        fields.rating(c).alias("rating"),
-        fields.price(c).alias("price"),
-        fields.short_info(c).alias("info"),
-        fields.searchable(c, misspellings=False).alias("description"),
-        fields.searchable(c).alias("searchable"),
-        fields.search_index(c).alias("index_text"),
-    )
-    extra = parsed.select(
-        "corpus_pos", "file_name", "price", "rating", "info", "index_text", "category",
+    """corpus_pos, file_name, content -> the catalogue, with display fields and the text that fuzzy search reads.
+
+    Narrow projections only; write the result (or persist it) before it is searched, or each use parses anew.
+    """
+    parsed = fields.read(corpus.select("corpus_pos", "file_name", "content")).withColumnRenamed("clean", "description")
+    parsed = parsed.select(
+        "*",
         normalize(F.concat_ws(" ", "product_name", "brand", "category", "searchable")).alias("pattern_text"),
         token_list(normalize(fields.without_misspellings(F.lower("searchable")))).alias("content_list"),
+        F.col("rating").alias("shown_rating"), F.col("category").alias("shown_category"),
     )
-    return derive(parsed).join(extra, "corpus_pos")
+    out = derive(parsed, "file_name", "price", "shown_rating", "shown_category", "info", "index_text", "pattern_text", "content_list")
+    return out.withColumnsRenamed({"shown_rating": "rating", "shown_category": "category"})
 
 
 def from_part(part: DataFrame) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import contains_digit, normalize, strip_control
 from ..sources.staging import materialize
-from .spelling import Hint, batch_hint, no_hint, query_terms
+from .spelling import Hint, batch_hint, near_words, no_hint, query_terms
 
 SHOWN = 10
 
@@ -19,12 +19,9 @@ def threshold(term):
 
 
 def near_tokens(terms: DataFrame, tokens: DataFrame, hint: Hint = no_hint) -> DataFrame:
-    """term, token, distance within the term's threshold; both sides distinct, joined by banded length."""
-    banded = terms.withColumn("__most", threshold(F.col("term")))
-    banded = banded.withColumn("__n", F.explode(F.sequence(F.length("term") - F.col("__most"), F.length("term") + F.col("__most"))))
-    sized = tokens.withColumn("__n", F.length("token"))
-    near = sized.join(hint(banded), "__n").withColumn("distance", F.levenshtein("term", "token", 2))
-    return near.where((F.col("distance") >= 0) & (F.col("distance") <= F.col("__most"))).select("term", "token", "distance")
+    """term, token, distance within the term's threshold; both sides distinct."""
+    asked = terms.withColumn("most", threshold(F.col("term")))
+    return near_words(asked, tokens.select(F.col("token").alias("word")), hint).withColumnRenamed("word", "token")
 
 
 def _best(terms: DataFrame, index: DataFrame, hint: Hint) -> DataFrame:

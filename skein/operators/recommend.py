@@ -30,8 +30,11 @@ def candidates(rows: DataFrame) -> DataFrame:
 
     Names without text go; of equal names (without case) the best rank stays. Categories and brands are compared
     without case and labelled by their first spelling; a missing brand is a brand of its own, whose key has a capital
-    letter and so is no other's.
+    letter and so is no other's. Columns of categories, brands or scores may be missing: then all of them are null.
     """
+    for c, kind in (("category", "string"), ("brand", "string"), ("score", "int")):
+        if c not in rows.columns:
+            rows = rows.withColumn(c, F.lit(None).cast(kind))
     own = rows.select("query_id", "rank", _clean(F.col("product_name"), "").alias("product_name"), _clean(F.col("category"), "Other Products").alias("category"), _clean(F.col("brand"), "").alias("brand"), "score")
     own = own.where("product_name <> ''").withColumn("k", F.lower("product_name"))
     first = F.row_number().over(W.partitionBy("query_id", "k").orderBy("rank"))

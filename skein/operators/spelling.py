@@ -4,14 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.text import contains_digit, normalize, token_list
 
 #: Batches of queries within this bound are broadcast; larger ones are joined by shuffle.
-BROADCAST_ROWS = 10_000
+BROADCAST_ROWS = 2_000
 
 
 Hint = Callable[[DataFrame], DataFrame]
@@ -38,21 +38,49 @@ def vocabulary(catalog: DataFrame, synonyms: DataFrame | None = None) -> DataFra
     return counts.groupBy("word").agg(F.sum("n").cast("long").alias("doc_freq"))
 
 
+def _segment(length: Column, parts: Column, i: Column) -> tuple[Column, Column]:
+    """0-based start and length of the i-th of `parts` even segments of a word; the last ones are the longer."""
+    base, longer = F.floor(length / parts).cast("int"), length % parts
+    late = F.greatest(i - (parts - longer), F.lit(0))
+    return i * base + late, base + (i >= parts - longer).cast("int")
+
+
+def near_words(terms: DataFrame, words: DataFrame, hint: Hint = no_hint) -> DataFrame:
+    """terms: term, most (0 to 2); words: word, both distinct -> term, word, distance of every pair within `most`.
+
+    If two words are within `most` edits, one of the word's most + 1 segments stands in the term too, at most `most`
+    places off. So words lie under their segments, terms ask with what may be one, and only these pairs are compared.
+    """
+    word, n = F.col("word"), F.length("word")
+    parts = F.filter(F.array(*[F.lit(k) for k in (1, 2, 3)]), lambda k: k <= F.greatest(n, F.lit(1)))
+    held = words.select("word", n.alias("n"), F.explode(parts).alias("parts"))
+    held = held.select("word", "n", "parts", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("i"))
+    start, size = _segment(F.col("n"), F.col("parts"), F.col("i"))
+    held = held.select("word", "n", "parts", "i", F.substring(word, start + 1, size).alias("piece"))
+
+    asked = terms.select("term", "most", F.explode(F.filter(F.sequence(F.length("term") - F.col("most"), F.length("term") + F.col("most")), lambda x: x > F.lit(0))).alias("n"))
+    asked = asked.withColumn("parts", F.col("most") + 1).where("n >= parts").withColumn("i", F.explode(F.sequence(F.lit(0), F.col("most"))))
+    asked = asked.withColumn("off", F.explode(F.sequence(-F.col("most"), F.col("most"))))
+    start, size = _segment(F.col("n"), F.col("parts"), F.col("i"))
+    asked = asked.withColumn("start", start + F.col("off")).withColumn("size", size).where("start >= 0 and start + size <= length(term)")
+    asked = asked.select("term", "most", "n", "parts", "i", F.substring("term", F.col("start") + 1, F.col("size")).alias("piece")).distinct()
+    near = held.join(hint(asked), ["n", "parts", "i", "piece"]).withColumn("distance", F.levenshtein("term", "word", 2))
+    return near.where((F.col("distance") >= 0) & (F.col("distance") <= F.col("most"))).select("term", "word", "distance").distinct()
+
+
 def corrections(terms: DataFrame, vocab: DataFrame, hint: Hint = no_hint) -> DataFrame:
     """term -> corrected, distance: only terms that change. `terms`: distinct terms.
 
-    Candidates have at most two letters more or less; the least (distance, -frequency, word) is taken, at a distance
-    of 1 for terms of up to four letters, else 2. Terms meet words by equal length, banded, so the join has keys.
+    The word of the least (distance, -frequency, word) is taken, at a distance of 1 for terms of up to four letters,
+    else 2; the vocabulary's words have three letters or more.
     """
     open_terms = terms.where((F.length("term") >= 3) & ~contains_digit(F.col("term")))
     open_terms = open_terms.join(vocab.select(F.col("word").alias("term")), "term", "left_anti")
-    banded = open_terms.withColumn("n", F.explode(F.sequence(F.length("term") - 2, F.length("term") + 2)))
-    words = vocab.withColumn("n", F.length("word"))
-    near = words.join(hint(banded), "n").withColumn("distance", F.levenshtein("term", "word", 2))
+    open_terms = open_terms.withColumn("most", F.when(F.length("term") <= 4, 1).otherwise(2))
+    near = near_words(open_terms, vocab.select("word"), hint)
+    near = vocab.join(hint(near), "word")
     best = F.min(F.struct("distance", (-F.col("doc_freq")).alias("f"), "word")).alias("b")
-    best = near.where(F.col("distance") >= 0).groupBy("term").agg(best)
-    allowed = F.when(F.length("term") <= 4, 1).otherwise(2)
-    return best.where(F.col("b.distance") <= allowed).select("term", F.col("b.word").alias("corrected"), F.col("b.distance").alias("distance"))
+    return near.groupBy("term").agg(best).select("term", F.col("b.word").alias("corrected"), F.col("b.distance").alias("distance"))
 
 
 def query_terms(queries: DataFrame) -> DataFrame:

@@ -41,6 +41,13 @@ DOCS = [
 ]
 
 
+#: Source to two categories, to their products, to one pool, to the sink: src, dst, capacity.
+DEMO = [(0, 1, 2), (0, 2, 1), (1, 3, 1), (1, 4, 1), (2, 5, 1), (3, 6, 1), (4, 6, 1), (5, 6, 1), (6, 7, 3)]
+DEMO_SINK = 7
+#: Candidates with names and categories only.
+BARE = [(1, i, n, c) for i, (n, c) in enumerate([("Alpha", "Phones"), ("beta", None), ("ALPHA", "Phones"), (" Gamma ", "phones"), ("", "x"), ("Delta", "Phones"), ("Eps", "phones"), ("Zeta", "Audio"), ("Eta", "audio"), ("Theta", "AUDIO"), ("Iota", "")], 1)]
+
+
 def queries(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(QUERIES, "query_id int, query_text string")
 

@@ -251,7 +251,7 @@ t AS (
 RECOMMEND = SEARCH + ", " + _POOL + ", " + _CANDIDATES + ", " + _DECIDED
 
 _GRAPH = """
-WITH n AS (SELECT * FROM nation WHERE n_nationkey % 5 < 3 OR n_nationkey < 10),
+WITH n AS (SELECT * FROM nation),
 s AS (SELECT s_nationkey, count(*) % 7 + 1 AS c, max(s_suppkey % 4) AS m FROM supplier GROUP BY s_nationkey),
 own AS (SELECT n_regionkey::VARCHAR AS graph_id, n_nationkey, coalesce(c, 2) AS c, coalesce(m, 1) AS m, row_number() OVER (PARTITION BY n_regionkey ORDER BY n_nationkey) AS v
         FROM n LEFT JOIN s ON n_nationkey = s_nationkey),
@@ -268,6 +268,66 @@ _MIN_CUT = """
 SELECT graph_id, min(cut)::BIGINT AS max_flow FROM cuts GROUP BY graph_id"""
 
 
+#: The texts written from `part`, as a catalogue: their description is what of a text is searched.
+_SEARCHABLE = "'Product Name: ' || p_name || '   Brand : ' || p_brand || '  Category= ' || p_type || ' Selling Price - Rs. ' || floor(p_retailprice)::BIGINT || ' Average Rating: ' || (p_size % 5) || '.' || (p_size % 10) || '/5 Overview: A ' || p_name || ' of ' || p_type || ' Search Index:'"
+_CLEAN = _SEARCHABLE + " || ' Primary Keywords: ' || p_name || ' Searchable Attributes: Size: ' || p_size"
+TEXTS = CATALOG.replace("p_size::DOUBLE AS rating_num", "((p_size % 5) || '.' || (p_size % 10))::DOUBLE AS rating_num").replace(_norm("concat_ws(' ', p_name, p_brand, p_type, 'size', p_size::VARCHAR)"), _norm(_CLEAN))
+
+
+def _first(value: str, where: str) -> str:
+    """Of the first line that qualifies."""
+    return f"arg_min({value}, i) FILTER ({where})"
+
+
+def _hinted(hints) -> str:
+    any_of = " OR ".join(f"contains(e_key, '{h}')" for h in hints)
+    plain = " ".join(f"WHEN starts_with(low, '{h} ') THEN {_trim(f'substr(line, {len(h) + 1})')}" for h in hints)
+    starts = " OR ".join(f"starts_with(low, '{h} ')" for h in hints)
+    value = f"CASE WHEN e IS NOT NULL THEN e_rest ELSE CASE {plain} END END"
+    return f"coalesce({_first(value, f'CASE WHEN e IS NOT NULL THEN e_rest <> {_text(str())} AND ({any_of}) ELSE {starts} END')}, '')"
+
+
+def _parse_cases() -> str:
+    from ..functions import fields
+
+    skip, resume = (", ".join(_text(x) for x in v) for v in (fields._SKIP, fields._RESUME))
+    place = lambda sign: f"coalesce(nullif(greatest(instr(line, '{sign}'), 1), 1), 100000000)"
+    key = lambda at, line="line": _trim(f"left({line}, {at} - 1)")
+    rest = lambda at, line="line": _trim(f"substr({line}, {at} + 1)")
+    marked = "CASE WHEN instr(plain, ':') > 0 THEN instr(plain, ':') WHEN instr(plain, '-') > 1 THEN instr(plain, '-') END"
+    meta = "|".join(fields.METADATA)
+    info = "coalesce(nullif(overview, ''), nullif(m3, ''), nullif(m2, ''), nullif(m1, ''), '')"
+    return f"""
+WITH {_rows("doc", "file_name, content0", data.DOCS)},
+doc1 AS (SELECT file_name, regexp_replace(content0, '\\r\\n?', chr(10), 'g') AS c FROM doc),
+doc2 AS (SELECT file_name, string_split(CASE WHEN c = '' OR suffix(c, chr(10)) THEN c ELSE c || chr(10) END, chr(10)) AS l FROM doc1),
+x AS (SELECT file_name, generate_subscripts(l, 1) AS i, unnest(l) AS raw FROM doc2),
+y AS (SELECT *, {_trim("raw")} AS line FROM x),
+z AS (SELECT *, lower(line) AS low, nullif(greatest(instr(line, ':'), 1), 1) AS c, nullif(least({place(":")}, {place("=")}, {place("-")}), 100000000) AS e,
+        regexp_replace(regexp_replace(line, '^[-*•\\s]+', ''), '[*]', '', 'g') AS plain FROM y),
+w AS (SELECT *, lower({key("c")}) AS c_key, {rest("c")} AS c_rest, lower({key("e")}) AS e_key, {rest("e")} AS e_rest, {marked} AS m, {_trim("regexp_replace(line, '^#+\\s*', '')")} AS title,
+        max(CASE WHEN low IN ({skip}, {resume}) THEN i END) OVER (PARTITION BY file_name ORDER BY i) AS header,
+        min(CASE WHEN starts_with(upper(line), 'BLOCK 3') THEN i END) OVER (PARTITION BY file_name) AS stop,
+        min(CASE WHEN low = 'search index:' THEN i END) OVER (PARTITION BY file_name) AS opens FROM z),
+v AS (SELECT *, lower({key("m", "plain")}) AS m_key, {rest("m", "plain")} AS m_rest,
+        i < coalesce(stop, 100000000) AND low NOT IN ({skip}) AND NOT EXISTS (SELECT 1 FROM z WHERE z.file_name = w.file_name AND z.i = w.header AND z.low IN ({skip})) AS searched,
+        min(CASE WHEN low = 'customer search queries:' AND i > opens THEN i END) OVER (PARTITION BY file_name) AS closes FROM w),
+f AS (SELECT file_name,
+    coalesce({_first("c_rest", "c_key = 'product name' AND c_rest <> ''")}, {_first("title", f"line <> '' AND NOT regexp_matches(lower(title), '^({meta})')")}, file_name) AS name,
+    {_hinted(fields.BRAND)} AS brand0, {_hinted(fields.CATEGORY)} AS category0, {_hinted(fields.PRICE)} AS price, {_hinted(fields.RATING)} AS rating,
+    coalesce({_first("c_rest", "c_key = 'overview'")}, '') AS overview,
+    {_first("m_rest", "m_key = 'product description'")} AS m1, {_first("m_rest", "m_key = 'info'")} AS m2, {_first("m_rest", "m_key = 'description'")} AS m3,
+    coalesce(string_agg(raw || ' ', '' ORDER BY i) FILTER (searched), '') AS searchable,
+    coalesce(string_agg(regexp_replace(line, '^(\\[[0-9]+\\]|[0-9]+:)\\s*', '') || ' ', '' ORDER BY i) FILTER (searched AND NOT starts_with(low, 'common misspellings:')), '') AS clean,
+    coalesce(string_agg(raw || ' ', '' ORDER BY i) FILTER (i > opens AND i < coalesce(closes, 100000000) AND low <> 'search index:'), '') AS index_text
+  FROM v GROUP BY file_name),
+p AS (SELECT file_name AS id, price FROM f), shown AS ({_PRICE}),
+g AS (SELECT f.file_name, name, CASE WHEN brand0 <> '' THEN brand0 ELSE {_brands()} END AS brand, CASE WHEN category0 <> '' THEN category0 ELSE 'Other' END AS category, shown.shown AS price, rating, overview,
+    CASE WHEN length({info}) > 120 THEN left({info}, 120) || '...' ELSE {info} END AS info, searchable, clean, index_text
+  FROM f JOIN shown ON shown.id = f.file_name)
+SELECT *, lower(concat_ws(' ', name, brand, category, price, rating, searchable)) AS search_text FROM g"""
+
+
 def _in_values(name: str, values) -> str:
     return _rows("p", f"id, {name}", list(enumerate(values)))
 
@@ -346,6 +406,17 @@ def oracle_sql() -> dict[str, str]:
             CASE WHEN s IS NULL THEN 'No products available for recommendation.' ELSE 'ok' END AS note FROM q LEFT JOIN (SELECT query_id, sum(selected::INT) AS s FROM dec GROUP BY query_id) USING (query_id)""",
         "maxflow_edges": _GRAPH + " SELECT * FROM edges",
         "maxflow_small": _GRAPH + _MIN_CUT,
+        "corpus_search": _with(QUERIES, INTENT, SYNONYMS, TEXTS, VOCAB, TERMS, SCORED) + f"SELECT {q}, rank, corpus_pos, product_name, rec_category, brand, score, total_matches FROM ranked WHERE rank <= 10",
+        "parse_cases": _parse_cases(),
+        "maxflow_paths": f"SELECT graph_id, max_flow, 4::BIGINT AS shortest, true AS ordered, true AS ends, true AS kept FROM ({_GRAPH + _MIN_CUT})",
+        "maxflow_demo": _with(_rows("edges", "src, dst, capacity", data.DEMO)) + """SELECT 'demo' AS graph_id, min(cut)::BIGINT AS max_flow FROM (
+            SELECT x, sum(CASE WHEN (src = 0 OR (x >> (src - 1)) & 1 = 1) AND NOT (dst < 7 AND (x >> (dst - 1)) & 1 = 1) THEN capacity ELSE 0 END) AS cut
+            FROM edges CROSS JOIN (SELECT unnest(range(0, 64)) AS x) GROUP BY x)""",
+        "recommend_names_only": _with(_rows("bare", "query_id, rank, product_name, category", data.BARE)) + """, named AS (
+            SELECT query_id, rank, trim(product_name) AS product_name, CASE WHEN trim(coalesce(category, '')) = '' THEN 'Other Products' ELSE trim(category) END AS category FROM bare WHERE trim(product_name) <> ''),
+            once AS (SELECT * FROM named QUALIFY row_number() OVER (PARTITION BY query_id, lower(product_name) ORDER BY rank) = 1)
+            SELECT query_id::BIGINT AS query_id, row_number() OVER (PARTITION BY query_id ORDER BY rank) AS slot, rank::BIGINT AS rank, product_name, category, '-' AS brand, '-' AS score, 1::BIGINT AS tier
+            FROM once QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY rank) <= 6""".replace(", named AS", "SELECT * FROM (WITH named AS", 1) + ")",
         "maxflow_tier_network": RECOMMEND + f"SELECT {q}, least(6, sum(least(2, c)))::BIGINT AS max_flow FROM (SELECT query_id, brand_key, count(*) AS c FROM labelled GROUP BY query_id, brand_key) GROUP BY query_id",
     }
     return out

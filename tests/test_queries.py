@@ -44,3 +44,13 @@ def test_without_the_corpus_operators():
 
     assert set(registry.queries()) <= set(__spark_entry__.queries())
     assert set(oracle.oracle_sql()) <= set(__spark_entry__.oracle_sql())
+
+
+def test_every_plan_compiles(spark):
+    """No registered query is so large that its generated code doesn't compile: without a fallback, that would fail."""
+    spark.conf.set("spark.sql.codegen.fallback", "false")
+    try:
+        for name in ("rank_top10", "corpus_search", "parse_fields", "parse_sections", "category_classify", "fuzzy_search", "recommend_selected", "corpus_prefix"):
+            registry.queries()[name](spark, SF).write.format("noop").mode("overwrite").save()
+    finally:
+        spark.conf.unset("spark.sql.codegen.fallback")
