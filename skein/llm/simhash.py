@@ -33,9 +33,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialize, pack_row, small, small_batches, table, unpack_row
+from .common import LOWER, UPPER, materialize, pack_row, small, small_batches, table, unpack_row
 from .components import components
 from .xxh64 import hashes, padded
+from .xxh64_sql import xxh64
 
 SEED, SHINGLE, RADIUS = 42, 3, 3
 SAMPLE = 20_000
@@ -274,5 +275,33 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+OP9_SQL = rf"""
+WITH RECURSIVE d AS (
+  SELECT row_number() OVER () AS rid, doc_id,
+         list_filter(string_split_regex(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w
+  FROM documents
+), sh AS (
+  SELECT rid, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [array_to_string(w, ' ')]
+                     ELSE list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]) END) AS s
+  FROM d
+), {xxh64("sh", "hs", SEED)}, ones AS (
+  SELECT rid, b, 2 * sum((h >> b::UBIGINT) & 1) > count(*) AS most
+  FROM sh JOIN hs USING (s), unnest(range(64)) AS u(b) GROUP BY rid, b
+), prints AS (
+  SELECT rid, bit_or(CASE WHEN most THEN (1::UHUGEINT << b::UHUGEINT)::UBIGINT ELSE 0::UBIGINT END) AS fp FROM ones GROUP BY rid
+), f AS (
+  SELECT doc_id, coalesce(fp, 0) AS fp FROM d LEFT JOIN prints USING (rid)
+), classes AS (
+  SELECT fp, min(doc_id) AS least FROM f GROUP BY fp
+), links AS (
+  SELECT a.fp AS a, b.fp AS b FROM classes a JOIN classes b ON a.fp <> b.fp AND bit_count(xor(a.fp, b.fp)::BIT) <= 3
+), reach AS (
+  SELECT fp AS a, fp AS b FROM classes UNION SELECT reach.a, links.b FROM reach JOIN links ON reach.b = links.a
+), named AS (
+  SELECT a AS fp, min(least) AS component_id FROM reach JOIN classes ON classes.fp = reach.b GROUP BY a
+)
+SELECT doc_id, lower(lpad(hex(fp), 16, '0')) AS fingerprint, component_id FROM f JOIN named USING (fp)
+"""
+
 QUERIES = {"op9_simhash": op9_simhash}
-SQL: dict[str, str] = {}
+SQL = {"op9_simhash": OP9_SQL}
