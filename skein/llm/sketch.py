@@ -20,6 +20,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import in_slices, materialize, small, table, words
+from .xxh64_sql import xxh64
 
 K = 128
 SHINGLE = 5
@@ -33,7 +34,7 @@ def sketch(text: Column, k: int = K, n: int = SHINGLE) -> Column:
 
     def of(w: Column) -> Column:
         size = F.size(w)
-        each = F.transform(F.sequence(F.lit(0), size - F.lit(n)), lambda i: F.xxhash64(*[F.get(w, i + F.lit(j)) for j in range(n)]))
+        each = F.transform(F.sequence(F.lit(0), size - F.lit(n)), lambda i: F.xxhash64(F.concat_ws(" ", *[F.get(w, i + F.lit(j)) for j in range(n)])))
         one = F.array(F.xxhash64(F.array_join(w, " ")))
         return F.when(size == 0, F.array().cast(_NO_HASHES)).when(size < n, one).otherwise(each)
 
@@ -48,9 +49,10 @@ def merge(a: Column, b: Column, k: int = K) -> Column:
 
 def merge_parts(parts: DataFrame, key: list[str], column: str, k: int = K) -> DataFrame:
     """One sketch per key from the sketches of its parts; each task keeps k hashes of a key at most before the shuffle."""
-    hashes = parts.select(*key, F.explode(column).alias("__h")).distinct()
-    kept = hashes.withColumn("__n", F.row_number().over(W.partitionBy(*key).orderBy("__h"))).where(F.col("__n") <= k)
-    return kept.groupBy(*key).agg(F.sort_array(F.collect_list("__h")).alias(column))
+    hashes = parts.select(*key, F.explode(column).alias("__h"))
+    # Equal hashes have equal ranks, so k ranks are k distinct hashes; ranks are cut in each task before the shuffle.
+    kept = hashes.withColumn("__n", F.dense_rank().over(W.partitionBy(*key).orderBy("__h"))).where(F.col("__n") <= k)
+    return kept.groupBy(*key).agg(F.sort_array(F.collect_set("__h")).alias(column))
 
 
 def resemblance(a: Column, b: Column, k: int = K) -> Column:
@@ -140,5 +142,39 @@ def op4_sketch(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+OP4_SQL = rf"""
+WITH d AS (
+  SELECT doc_id, coalesce(text, '') AS t FROM documents
+), e AS (
+  SELECT doc_id, t, length(t) AS n, coalesce(lead(t) OVER (ORDER BY doc_id NULLS FIRST), first_value(t) OVER (ORDER BY doc_id NULLS FIRST)) AS following FROM d
+), x AS (
+  SELECT doc_id, t, n, following, substr(t, 1, n - n // 2) || substr(following, 1, n // 2) AS edited FROM e
+), texts AS (
+  SELECT t, list_filter(string_split_regex(t, '[\x20\x09-\x0D]+'), lambda y: y <> '') AS w FROM (SELECT t FROM x UNION SELECT edited FROM x)
+), sh AS (
+  SELECT t, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < {SHINGLE} THEN [array_to_string(w, ' ')]
+                   ELSE list_transform(range(1, len(w) - {SHINGLE - 2}), lambda i: array_to_string(w[i : i + {SHINGLE - 1}], ' ')) END) AS s
+  FROM texts
+), {xxh64("sh", "hs")}, signed AS (
+  SELECT s, (CASE WHEN h >= 9223372036854775808 THEN h::HUGEINT - 18446744073709551616 ELSE h::HUGEINT END)::BIGINT AS v FROM hs
+), sketches AS (
+  SELECT t, list(DISTINCT v) AS every FROM sh JOIN signed USING (s) GROUP BY t
+), k AS (
+  SELECT t, coalesce(list_sort(every)[1:{K}], []) AS v FROM texts LEFT JOIN sketches USING (t)
+), named AS (
+  SELECT t, v, array_to_string(list_transform(v, lambda y: lower(lpad(hex(y), 16, '0'))), '') AS c FROM k
+), j AS (
+  SELECT doc_id, n, edited, a.v AS va, a.c AS ca, b.v AS vb, b.c AS cb, f.v AS vf
+  FROM x JOIN named a ON a.t = x.t JOIN named b ON b.t = x.edited JOIN k f ON f.t = x.following
+), u AS (
+  SELECT *, list_sort(list_distinct(list_concat(va, vb)))[1:{K}] AS ub, list_sort(list_distinct(list_concat(va, vf)))[1:{K}] AS uf FROM j
+)
+SELECT doc_id, n AS n_chars, sha256(edited) AS edited_sha256, ca AS fingerprint, cb AS edited_fingerprint,
+       CASE WHEN len(ub) = 0 THEN 1.0::DOUBLE ELSE len(list_intersect(ub, list_intersect(va, vb)))::DOUBLE / len(ub) END AS near_edited,
+       CASE WHEN len(uf) = 0 THEN 1.0::DOUBLE ELSE len(list_intersect(uf, list_intersect(va, vf)))::DOUBLE / len(uf) END AS near_next,
+       CASE WHEN len(va) < {K} THEN len(va)::DOUBLE ELSE {float(K - 1)}::DOUBLE / ((va[-1]::DOUBLE + 9223372036854775808.0::DOUBLE) / 18446744073709551616.0::DOUBLE) END AS shingles
+FROM u
+"""
+
 QUERIES = {"op4_sketch": op4_sketch}
-SQL: dict[str, str] = {}
+SQL = {"op4_sketch": OP4_SQL}
