@@ -17,6 +17,7 @@ URLS = [
 
 def test_rules(spark, store):
     labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
+    assert u.written_index(pages(spark, URLS).select("host"), u.RULES).count() == 0  # "h" is no rule's host
     rows = u.op7_url_filter(spark, store(pages=pages(spark, URLS), labels=labels)).orderBy("page_id").collect()
     got = [(r.host, r.path, r.rule, r.verdict) for r in rows]
     assert got == [
@@ -35,10 +36,56 @@ def test_mined(spark, store):
     assert all(r.mined for r in rows if r.page_id % 4 == 0)
 
 
+def mined_by_hand(rows, support, confidence, lift):
+    """Every subset of every basket, counted; rules that are no surer than with one token less are left out."""
+    from itertools import combinations
+    from math import ceil
+
+    n = len(rows)
+    least = ceil(max(support, (u.MIN_COUNT - 0.5) / n) * n)
+    seen: dict = {}
+    for tokens, label in rows:
+        for k in range(1, len(tokens) + 1):
+            for items in combinations(sorted(tokens), k):
+                c = seen.setdefault(items, {"block": 0, "allow": 0})
+                c[label] += 1
+    share = {v: sum(y == v for _, y in rows) / n for v in ("block", "allow")}
+    rules = {}
+    for items, c in seen.items():
+        for v in c:
+            sure = c[v] / sum(c.values())
+            if c[v] >= least and sure >= confidence and sure * (1 - share[v]) >= lift * share[v] * (1 - sure):
+                rules[items, v] = sure
+    return {(i, v): s for (i, v), s in rules.items() if not any(rules.get((i[:k] + i[k + 1 :], v), -1) >= s for k in range(len(i)))}
+
+
 def test_rules_by_brute_force(spark):
-    labelled = spark.createDataFrame([(["a", "b"], "block")] * 40 + [(["a", "c"], "allow")] * 60 + [(["a", "b", "c"], "allow")] * 10, "tokens array<string>, label string")
-    got = {(tuple(r["items"]), r.verdict): round(r.confidence, 6) for r in u.mine(labelled, 0.05, 0.5, 1.2).collect()}
-    assert got == {(("b",), "block"): 0.8, (("c",), "allow"): 1.0}
+    import random
+
+    rng = random.Random(3)
+    for support, confidence, lift in ((0.05, 0.5, 1.2), (0.2, 0.6, 1.5), (0.9, 0.6, 1.5)):
+        rows = []
+        for _ in range(300):
+            tokens = sorted(t for t in "abcdef" if rng.random() < 0.5) or ["a"]
+            rows.append((tokens, "block" if rng.random() < (0.9 if "b" in tokens and "c" in tokens else 0.2) else "allow"))
+        got = {(tuple(r["items"]), r.verdict): r.confidence for r in u.mine(spark.createDataFrame(rows, "tokens array<string>, label string"), support, confidence, lift).collect()}
+        assert got == mined_by_hand(rows, support, confidence, lift)
+
+
+def test_verdicts_by_brute_force(spark):
+    """Each URL's verdict and deciding tokens, over rules that tie and overlap."""
+    import random
+
+    rng = random.Random(5)
+    urls = [f"http://{rng.choice('abc')}.{rng.choice('xy')}.org/{rng.choice('pq')}/{rng.choice('rs')}{rng.randint(0, 9)}" for _ in range(400)] + ["http://long.org/" + "x/" * 3000, None]
+    labels = [(i, "block" if ("a.x" in str(x) or "/q/s" in str(x)) and rng.random() < 0.9 else "allow") for i, x in enumerate(urls) if i % 2 == 0] + [(None, "block"), (2, None)]
+    df = u.judge(pages(spark, urls), spark.createDataFrame(labels, "page_id long, label string").where("label is not null"), rules=())
+    h, p = u.host_path(F.col("url"))
+    token_of = {r.page_id: tuple(r.t) for r in pages(spark, urls).select("page_id", F.array_sort(u.tokens(F.col("url"), h, p)).alias("t")).collect()}
+    rules = mined_by_hand([(token_of[i], v) for i, v in labels if i is not None and v and token_of[i]], u.MIN_SUPPORT, u.MIN_CONFIDENCE, u.MIN_LIFT)
+    for r in df.collect():
+        fits = [(s, -len(i), v, " ".join(i)) for (i, v), s in rules.items() if set(i) <= set(token_of[r.page_id])]
+        assert (r.verdict, r.mined) == (max(fits)[2:] if fits else ("allow", None))
 
 
 def test_majority_label_rule_beats_a_weaker_block_rule(spark, store):
