@@ -38,7 +38,7 @@ from .suffix_array import common_prefixes, suffix_array
 LENGTH = 100
 K = 32
 SHARD_BYTES = 1_000_000
-SPLIT = 6_000
+SPLIT = 200
 MIX, UPPER = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xFFFFFFFF00000000)
 SPAN = np.uint64(127)  # so many windows, less one, an anchor may own: LENGTH - K is less
 _SHIFT = 31  # a place is crc32 << 31 | position; spans have it inverted
@@ -386,5 +386,29 @@ def op10_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return joined.mapInPandas(each, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
+OP10_SQL = f"""
+WITH d AS (
+  SELECT row_number() OVER () AS rid, doc_id, encode(coalesce(text, '')) AS b FROM documents
+), w AS (
+  SELECT rid, doc_id, p, array_slice(b, p + 1, p + {LENGTH}) AS s FROM d, unnest(range(greatest(octet_length(b) - {LENGTH - 1}, 0))) AS u(p)
+), firsts AS (
+  SELECT *, row_number() OVER (PARTITION BY s ORDER BY doc_id NULLS FIRST, p) AS nth FROM w
+), later AS (
+  SELECT rid, p, lag(p) OVER (PARTITION BY rid ORDER BY p) AS before FROM firsts WHERE nth > 1
+), marked AS (
+  SELECT rid, p, sum(CASE WHEN before IS NULL OR p > before + {LENGTH} THEN 1 ELSE 0 END) OVER (PARTITION BY rid ORDER BY p) AS run FROM later
+), runs AS (
+  SELECT rid, min(p) AS a, max(p) + {LENGTH} AS e FROM marked GROUP BY rid, run
+), spans AS (
+  SELECT rid, list(a ORDER BY a) AS l, list(e ORDER BY a) AS r, sum(e - a) AS removed, count(*) AS n FROM runs GROUP BY rid
+), j AS (
+  SELECT doc_id, b, coalesce(removed, 0)::BIGINT AS removed, coalesce(n, 0) AS n, list_append(coalesce(l, []), octet_length(b)) AS ends, list_prepend(0, coalesce(r, [])) AS begins
+  FROM d LEFT JOIN spans USING (rid)
+)
+SELECT doc_id, octet_length(b)::BIGINT AS n_bytes, removed AS n_removed, n AS n_spans,
+       sha256(unhex(array_to_string(list_transform(range(1, n + 2), lambda i: hex(array_slice(b, begins[i] + 1, ends[i]))), ''))) AS kept_sha256
+FROM j
+"""
+
 QUERIES = {"op10_substrings": op10_substrings}
-SQL: dict[str, str] = {}
+SQL = {"op10_substrings": OP10_SQL}
