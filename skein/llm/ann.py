@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import in_slices, materialize, small, table
+from .common import in_slices, materialize, slots_for, small, table
 
 DIMS, SEED = 16, 20_240_501
 SAMPLE, LEAF = 20_000, 64
@@ -204,14 +204,6 @@ STREAM = "slot long, block long, kind int, row long, id long, vec binary, least
 FOUND = "query_row long, query_id long, vec_id long, score double, verified long"
 
 
-def slots_for(spark: SparkSession, n: int) -> list[int]:
-    """n numbers that `repartition(n, number)` deals to n different tasks."""
-    at = F.pmod(F.hash("id"), F.lit(n))
-    found = spark.range(n * 40).groupBy(at.alias("task")).agg(F.min("id").alias("id")).collect()
-    some = {r["task"]: r["id"] for r in found}
-    return [some.get(i, i) for i in range(n)]
-
-
 def cell_size(total: int) -> int:
     return min(max(CELL, in_slices(total, CELLS)), CELL_MOST)
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -30,11 +32,26 @@ def unpack_row(df: DataFrame, columns: list[str], *keep: str) -> DataFrame:
 
 
 def small_batches(df: DataFrame) -> DataFrame:
-    """df, whose session now sends Python at most `BATCH_BYTES` bytes at once; texts may be long."""
+    """df, whose session from now on sends Python at most `BATCH_BYTES` bytes at once; texts may be long.
+
+    The option stays set: plans are made when an action runs, which is after an operator has returned.
+    """
     df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
     return df
 
 
+def text_slices(texts: list, chars: int) -> Iterator[slice]:
+    """Slices of a list of texts (or nulls) of about so many characters each, one text at least."""
+    at, size = 0, 0
+    for i, t in enumerate(texts):
+        if i > at and size >= chars:
+            yield slice(at, i)
+            at, size = i, 0
+        size += len(t) if isinstance(t, str) else 0
+    if at < len(texts):
+        yield slice(at, len(texts))
+
+
 def small(df: DataFrame, rows: int) -> DataFrame:
     """Mark df for broadcast if its counted rows are within the bound; else leave the choice to the planner."""
     return F.broadcast(df) if rows <= BROADCAST_ROWS else df
@@ -58,6 +75,14 @@ def in_slices(total_rows: int, rows_each: int) -> int:
     return max(1, -(-total_rows // rows_each))
 
 
+def slots_for(spark: SparkSession, n: int) -> list[int]:
+    """n numbers that `repartition(n, number)` deals to n different tasks."""
+    at = F.pmod(F.hash("id"), F.lit(n))
+    found = spark.range(n * 40).groupBy(at.alias("task")).agg(F.min("id").alias("id")).collect()
+    some = {r["task"]: r["id"] for r in found}
+    return [some.get(i, i) for i in range(n)]
+
+
 def running_sum(df: DataFrame, group: list[str], order: list[str], value: str, bucket: str, out: str) -> DataFrame:
     """Sum of `value` over the rows before each row, within `group`, by (`bucket`, `order`), as `out`.
 

@@ -1,18 +1,25 @@
 """Packing by lexical retrieval.
 
-Documents are dealt into shards of about `SHARD_BYTES` of text by a hash of id and text. Each shard has a BM25 inverted
-index over its words. A seed document opens a window; its unused neighbours, best BM25 score first, fill it, and
+Documents are dealt to shards of a BM25 inverted index by lexical affinity: each is a point of `DIMS` random signed sums
+of its words, a k-d tree over a sample's points (`SAMPLE` documents, about) orders all points so that texts of like words
+lie together, and the tree's leaves, in that order, are cut into shards of about `SHARD_TOKENS` tokens. A leaf that
+holds more than its share (say copies of one text) is dealt over several tasks. Shards are cut while rows stream past,
+so none is larger, however many documents a leaf has.
+
+A seed document opens a window; its unused neighbours in the shard, best BM25 score first, fill it, and
 without neighbours left the next unused document does. What doesn't fit is cut: the rest of the cut document is
 the next window's seed. So windows are full but for a shard's last one, which is split into sequences whose lengths
 are powers of two and which need no padding: no sequence is padded at all.
 
 Queries are all terms of the seed; terms of one document alone are left out, as they find nothing. A seed's neighbours
 are all unused documents that share a term with it, or as many of the best as a window has tokens: each document has
-one token at least, so no more can enter. Tokens are looked up by white-space separated chunk: the tokenizer never joins across white
-space, so chunks can be kept in a bounded table (`KEPT` entries) and only new ones are encoded.
+one token at least, so no more can enter. Tokens are looked up by white-space separated chunk: the tokenizer never
+joins across white space, so chunks can be kept in a bounded table (`KEPT` entries) and only new ones are encoded.
 
-Defined cases: null text is empty and has the end id alone; a null doc_id is packed too; rows of one doc_id are
-packed each; an empty table has no pieces. Reruns agree: a shard's rows are ordered before they are packed.
+Defined cases: null text is empty and has the end id alone; a text longer than a shard is one; a null doc_id is packed
+too; rows of one doc_id are packed each, rows repeated whole too; equal scores go by the order of leaf, doc_id and text;
+an empty table has no pieces; further columns aren't read. Reruns agree: a shard's rows are ordered before they are
+packed, and how rows are dealt follows from their contents.
 """
 
 from __future__ import annotations
@@ -25,14 +32,22 @@ from itertools import compress
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import in_slices, table
+from .ann import Tree
+from .common import in_slices, slots_for, small_batches, table, text_slices
+from .near_copies import mixed
 
 WINDOW = 4096
 END_ID = 2
-SHARD_BYTES = 6_000_000
+SHARD_TOKENS = 1_100_000
+#: Bytes of text of a task, about; leaves of the k-d tree to a task.
+TASK_BYTES, LEAVES = 12_000_000, 4
+DIMS, SAMPLE = 24, 4_000
+#: Characters of text that are encoded at once.
+SLICE = 1 << 21
 K1, B = 1.2, 0.75
 KEPT = 1_500_000
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
@@ -104,12 +119,16 @@ class Chunks:
         got = [e.ids for e in self.tokenizer.encode_batch_fast([t for _, t in rest], add_special_tokens=False)]
         self.add([c for c, _ in rest], np.array([i for x in got for i in x], np.uint32), np.array([len(x) for x in got], np.int64))
 
+    @classmethod
+    def of(cls, text: str | None) -> list[bytes]:
+        return cls.MARK.sub(rb" \1", text.encode("utf-8", "surrogatepass").lower()).split() if text else []  # bytes: A-Z and the six ASCII spaces only
+
     def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """All texts' ids, each text's end id after it; ids by text; all texts' terms; terms by text."""
         every: list[bytes] = []
         counts = np.empty(len(texts), np.int64)
         for i, t in enumerate(texts):
-            own = self.MARK.sub(rb" \1", t.encode("utf-8", "surrogatepass").lower()).split() if t else []  # bytes: A-Z and the six ASCII spaces only
+            own = self.of(t)
             counts[i] = len(own)
             every += own
             every.append(self.END)
@@ -220,32 +239,113 @@ def sequences(cuts: Iterator[tuple[int, int, int]], total: int, window: int = WI
                 seq, offset = seq + 1, 0
 
 
-def pack_shard(shard: int, frame: pd.DataFrame, path: str, window: int = WINDOW, end_id: int = END_ID) -> pd.DataFrame:
-    ids, lengths, terms, counts = chunks_of(path, end_id).encode([t if isinstance(t, str) else None for t in frame["text"]])
+def pack_shard(ids: np.ndarray, lengths: np.ndarray, terms: np.ndarray, counts: np.ndarray, window: int = WINDOW) -> dict[str, list]:
+    """Pieces of one shard's documents, by their place; all ids and all terms lie one document after another."""
     begin = (np.cumsum(lengths) - lengths).tolist()
     lengths, data = lengths.tolist(), memoryview(ids.astype("<u4").tobytes())
-    rows = []
+    out: dict[str, list] = {c: [] for c in ("doc", "start", "length", "ids_crc32", "doc_tokens", "sequence", "offset")}
     for doc, start, length, seq, offset in sequences(arrange(terms, counts, lengths, window), len(ids), window):
         at = 4 * (begin[doc] + start)
-        rows.append((doc, start, length, zlib.crc32(data[at : at + 4 * length]), lengths[doc], (shard << 32) | seq, offset))
-    out = pd.DataFrame(rows, columns=["doc", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"])
-    out.insert(0, "doc_id", frame["doc_id"].astype("Int64").iloc[out.pop("doc").to_numpy(np.int64)].to_numpy() if len(out) else [])
+        for c, v in zip(out, (doc, start, length, zlib.crc32(data[at : at + 4 * length]), lengths[doc], seq, offset)):
+            out[c].append(v)
     return out
 
 
-def pack(docs: DataFrame, window: int = WINDOW, shard_bytes: int = SHARD_BYTES, path: str | None = None, end_id: int = END_ID) -> DataFrame:
-    """Pieces of all documents (doc_id, text): where each lies in which sequence."""
-    path = path or tokenizer_path()
-    total = docs.agg(F.coalesce(F.sum(F.coalesce(F.octet_length("text"), F.lit(0)) + 10), F.lit(0))).first()[0]
-    shards = in_slices(total, shard_bytes)
-    key = F.xxhash64(F.col("doc_id"), F.col("text"))
-    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.pmod(key, F.lit(shards)).alias("shard"))
+def directions(terms: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """Each document's point: the signed sums of its terms along `DIMS` random directions, at length 1."""
+    h, doc = mixed(terms.astype(np.uint64) + np.uint64(1)), np.repeat(np.arange(len(counts)), counts)
+    out = np.stack([np.bincount(doc, weights=((h >> np.uint64(j)) & np.uint64(1)) * 2.0 - 1.0, minlength=len(counts)) for j in range(DIMS)], axis=1)
+    return out / (np.linalg.norm(out, axis=1, keepdims=True) + 1e-9)
+
+
+class Layout:
+    """Which task gets a document: the leaves of a k-d tree, from left to right, cut into tasks of equal weight."""
+
+    def __init__(self, points: np.ndarray, weights: np.ndarray, parts: int):
+        self.tree = Tree(points, max(1, len(points) // (parts * LEAVES)), tight=False)
+        held = np.bincount(self.tree.leaf_of(points), weights=weights, minlength=len(self.tree.begin) - 1)
+        share = held.sum() / parts
+        before = np.cumsum(held) - held
+        self.subs = np.where(held > 1.5 * share, np.ceil(held / share), 1).astype(np.int64)
+        self.first = np.minimum(np.where(self.subs > 1, before, before + held / 2) // share, parts - self.subs).clip(0).astype(np.int64)
 
-    def each(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values(["doc_id", "text"], kind="stable", na_position="first", ignore_index=True)
-        return pack_shard(int(key[0]), frame, path, window, end_id)
+    def place(self, points: np.ndarray, salt: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        leaf = self.tree.leaf_of(points)
+        return self.first[leaf] + salt % self.subs[leaf], leaf
 
-    return own.groupBy("shard").applyInPandas(each, SCHEMA)
+
+def layout(docs: DataFrame, rows: int, parts: int) -> Layout:
+    """docs: text, key -> how they are dealt, from the documents whose key is divisible by rows / SAMPLE."""
+
+    def point(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            every = [[zlib.crc32(c) for c in Chunks.of(t if isinstance(t, str) else None)] for t in f["text"]]
+            points = directions(np.array([c for x in every for c in x], np.uint32), np.array([len(x) for x in every], np.int64))
+            yield pd.DataFrame({"point": [p.tobytes() for p in points], "weight": f["weight"].astype(float)})
+
+    size = (F.coalesce(F.octet_length("text"), F.lit(0)) + 10).cast("double")
+    some = docs.where(F.pmod("key", F.lit(max(1, rows // SAMPLE))) == 0)
+    some = some.groupBy("key").agg(F.first("text").alias("text"), F.sum(size).alias("weight")).select("text", "weight")
+    got = some.mapInPandas(point, "point binary, weight double").toPandas().sort_values(["point", "weight"], ignore_index=True)
+    points = np.frombuffer(b"".join(got["point"]), float).reshape(-1, DIMS) if len(got) else np.zeros((1, DIMS))
+    return Layout(points, got["weight"].to_numpy(float) if len(got) else np.ones(1), parts)
+
+
+def pack(docs: DataFrame, window: int = WINDOW, shard_tokens: int = SHARD_TOKENS, task_bytes: int = TASK_BYTES, path: str | None = None, end_id: int = END_ID) -> DataFrame:
+    """Pieces of all documents (doc_id, text): where each lies in which sequence."""
+    path, spark = path or tokenizer_path(), docs.sparkSession
+    own = small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64(F.col("doc_id"), F.col("text")).alias("key"))
+    total, rows = own.agg(F.coalesce(F.sum(F.coalesce(F.octet_length("text"), F.lit(0)) + 10), F.lit(0)), F.count(F.lit(1))).first()
+    parts = in_slices(total, task_bytes)
+    deal = spark.sparkContext.broadcast((layout(own, rows, parts), np.array(slots_for(spark, parts))))
+
+    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        how, slots = deal.value
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            texts = batch.column(1).to_pylist()
+            for own in text_slices(texts, SLICE):
+                ids, lengths, terms, counts = chunks_of(path, end_id).encode(texts[own])
+                doc_id, key = (batch.column(i).slice(own.start, own.stop - own.start) for i in (0, 2))
+                part, leaf = how.place(directions(terms, counts), (key.to_numpy().view(np.uint64) >> np.uint64(1)).astype(np.int64))
+                columns = [pa.array(slots[part]), pa.array(part), pa.array(leaf), doc_id, key, binaries(ids, lengths), binaries(terms, counts)]
+                yield pa.RecordBatch.from_arrays(columns, names=["slot", "part", "leaf", "doc_id", "key", "ids", "terms"])
+
+    def arranged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, first, held, size = None, 0, [], 0
+
+        def flush() -> pa.RecordBatch:
+            nonlocal first
+            ids, terms = (np.frombuffer(b"".join([x[i] for x in held]), np.uint32) for i in (1, 2))
+            lengths, counts = (np.array([len(x[i]) // 4 for x in held], np.int64) for i in (1, 2))
+            out = pack_shard(ids, lengths, terms, counts, window)
+            sequence = np.array(out["sequence"], np.int64) + first
+            first = int(sequence.max()) + 1
+            columns = [pa.array([held[d][0] for d in out["doc"]], pa.int64()), *(pa.array(out[c], pa.int64()) for c in ("start", "length", "ids_crc32", "doc_tokens")), pa.array((part << 32) | sequence), pa.array(out["offset"], pa.int64())]
+            return pa.RecordBatch.from_arrays(columns, names=[c.split()[0] for c in SCHEMA.split(", ")])
+
+        for batch in batches:
+            for at, doc_id, ids, terms in zip(*(batch.column(i).to_pylist() for i in range(4))):
+                if held and (at != part or size >= shard_tokens):
+                    yield flush()
+                    held, size = [], 0
+                if at != part:
+                    part, first = at, 0
+                held.append((doc_id, ids, terms))
+                size += len(ids) // 4
+        if held:
+            yield flush()
+
+    dealt = own.mapInArrow(encode, "slot long, part long, leaf long, doc_id long, key long, ids binary, terms binary")
+    dealt = dealt.repartition(parts, "slot").sortWithinPartitions("part", "leaf", "doc_id", "key").select("part", "doc_id", "ids", "terms")
+    return dealt.mapInArrow(arranged, SCHEMA)
+
+
+def binaries(values: np.ndarray, sizes: np.ndarray) -> pa.Array:
+    """One binary per document of 4-byte values that lie one document after another."""
+    offsets = np.concatenate([[0], np.cumsum(sizes)]) * 4
+    return pa.Array.from_buffers(pa.large_binary(), len(sizes), [None, pa.py_buffer(offsets.astype(np.int64).tobytes()), pa.py_buffer(values.astype("<u4").tobytes())]).cast(pa.binary())
 
 
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -31,7 +31,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, materialize, pack_row, small_batches, table
+from .common import BROADCAST_ROWS, materialize, pack_row, small_batches, table, text_slices
 
 MAX_TOXIC, MAX_CLEAN = 3000, 6000
 HASH_BITS = 22
@@ -39,7 +39,9 @@ MIN_COUNT, MIN_Z = 4, 2.0
 L2, CF_WEIGHT, ROUNDS = 2e-5, 1.0, 600
 BEGINNINGS = (4, 5, 6)
 #: Chunks, and their characters, whose features a task keeps at most.
-KNOWN, KNOWN_CHARS = 400_000, 16_000_000
+KNOWN, KNOWN_CHARS = 200_000, 8_000_000
+#: Characters of text that are scored at once.
+SLICE = 1 << 20
 #: Groups of identity terms; terms of one group are swapped for one another.
 IDENTITY = (
     ("he", "she", "they"),
@@ -215,8 +217,9 @@ class Model:
         return float(self.logits([text])[0])
 
     def scores(self, texts: Iterable[str | None]) -> np.ndarray:
-        z = np.clip(self.logits([t if isinstance(t, str) else None for t in texts]), -40, 40)
-        return 1 / (1 + np.exp(-z))
+        texts = [t if isinstance(t, str) else None for t in texts]
+        z = np.concatenate([np.zeros(0), *(self.logits(texts[s]) for s in text_slices(texts, SLICE))])
+        return 1 / (1 + np.exp(-np.clip(z, -40, 40)))
 
 
 def fit(rows: list[np.ndarray], labels: np.ndarray, weights: np.ndarray, pairs: list[tuple[np.ndarray, np.ndarray, int]], cf_weight: float = CF_WEIGHT) -> Model:

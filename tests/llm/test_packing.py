@@ -44,10 +44,27 @@ def check(rows, docs, tokenizer, window=4096):
     assert padding == 0
 
 
-@pytest.mark.parametrize("shard_bytes", [1 << 30, 5000])
-def test_pieces(docs, tokenizer, shard_bytes):
+@pytest.mark.parametrize("sizes", [{}, {"shard_tokens": 800, "task_bytes": 5000}])
+def test_pieces(docs, tokenizer, sizes):
     own = [(r.doc_id, r.text) for r in docs.collect()]
-    check(packing.pack(docs, shard_bytes=shard_bytes).collect(), own, tokenizer)
+    check(packing.pack(docs, **sizes).collect(), own, tokenizer)
+
+
+def test_like_texts_share_a_shard(spark, tokenizer):
+    """Two vocabularies are told apart, and copies that are more than a task's share are dealt over several."""
+    import random
+
+    rng = random.Random(3)
+    words = [[f"{p}{i}" for i in range(60)] for p in ("ka", "zu")]
+    rows = [(i, " ".join(rng.choice(words[i % 2]) for _ in range(60))) for i in range(400)] + [(1000 + i, "one text " * 30) for i in range(300)]
+    got = packing.pack(spark.createDataFrame(rows, "doc_id long, text string"), task_bytes=20_000).collect()
+    check(got, rows, tokenizer)
+    parts: dict = {}
+    for r in got:
+        if r.doc_id < 1000:
+            parts.setdefault(r.sequence_id >> 32, [0, 0])[r.doc_id % 2] += 1
+    assert sum(max(p) for p in parts.values()) > 0.7 * sum(sum(p) for p in parts.values())
+    assert len({r.sequence_id >> 32 for r in got if r.doc_id >= 1000}) > 1
 
 
 def test_reruns_agree(docs):
