@@ -5,12 +5,13 @@ is the source's weight; shares of all words follow the weights, a source never g
 times its own words, and what it can't give is shared anew by weight (water filling, solved in closed form by
 one window over the table of sources). The source's words, in a fixed pseudo-random order of its documents
 and repeated by epoch, are then laid along training time: cumulative demand is the schedule's running integral
-times the target, and its inverse gives each take its training position. Takes are range-sorted by position.
+times the target, and its inverse gives each take its time. The demand of all sources together up to that time, as a
+share of the whole, is its training position: half of all words lie before 0.5. Takes are range-sorted by position.
 
 Everything is DataFrame expressions. The running sum inside a source is made in two levels (`running_sum`),
 so a source with a third of all rows is dealt over as many tasks as its rows need.
 
-Defined cases: null text has size 0; a null source is a source of its own, ranked last; sources without words
+Defined cases: null text has size 0; a text of any length is counted whole; null doc_ids are told apart by their texts; a null source is a source of its own, ranked last; sources without words
 get target 0; rows that are equal in every column are interchangeable; an empty table gives an empty result;
 further columns of any name are kept out of the way in one struct.
 """
@@ -47,6 +48,15 @@ def time_of(share: Column, knots: Knots) -> Column:
     return out
 
 
+def reached(t: Column, knots: Knots) -> Column:
+    """The share of the schedule's whole integral that lies before time t."""
+    out = F.lit(0.0)
+    for (t0, w0), (t1, w1) in zip(knots, knots[1:]):
+        x = F.least(F.greatest(t - F.lit(t0), F.lit(0.0)), F.lit(t1 - t0))
+        out = out + F.lit(w0) * x + F.lit((w1 - w0) / (t1 - t0) / 2) * x * x
+    return out / F.lit(area(knots))
+
+
 def source_targets(sizes: DataFrame, weights=WEIGHTS, courses=COURSES, max_epochs: int = MAX_EPOCHS) -> DataFrame:
     """source, __size, __source_size -> one row per source: __idx, source, __n, __source_size, __target.
 
@@ -77,6 +87,9 @@ def assign(sized: DataFrame, weights=WEIGHTS, courses=COURSES, max_epochs: int =
     """
     targets = materialize(source_targets(sized, weights, courses, max_epochs), "mix-sources")
     n = targets.count()
+    # The demand of each course's sources together: as many numbers as there are courses.
+    by_course = {r["k"]: r["d"] for r in targets.groupBy((F.col("__idx") % len(courses)).alias("k")).agg(F.sum("__target").alias("d")).collect()}
+    every = sum(by_course.get(k, 0.0) for k in range(len(courses))) or 1.0
     marked = sized.withColumn("__src", F.coalesce(F.col("source"), F.lit(""))).withColumn("__nosrc", F.col("source").isNull())
     named = targets.select(
         "__idx", F.col("__n").alias("__rows"), "__source_size", "__target", F.coalesce(F.col("source"), F.lit("")).alias("__src"), F.col("source").isNull().alias("__nosrc")
@@ -100,17 +113,24 @@ def assign(sized: DataFrame, weights=WEIGHTS, courses=COURSES, max_epochs: int =
         spot = F.lit(None).cast("double")
         for k, knots in enumerate(courses):
             spot = F.when(F.col("__idx") % len(courses) == k, time_of(share, knots)).otherwise(spot)
-        return F.struct(F.lit(e).alias("epoch"), words.alias("words"), F.round(spot, 6).alias("position"))
+        return F.struct(F.lit(e).alias("epoch"), words.alias("words"), spot.alias("time"))
+
+    def place(x: Column) -> Column:
+        before = [F.lit(by_course.get(k, 0.0)) * reached(x["time"], knots) for k, knots in enumerate(courses)]
+        total = before[0]
+        for b in before[1:]:
+            total = total + b
+        return F.struct(x["epoch"].alias("epoch"), x["words"].alias("words"), (total / F.lit(every)).alias("position"))
 
-    takes = F.filter(F.array(*[take(e) for e in range(max_epochs)]), lambda x: x["words"] > 0)
+    takes = F.transform(F.filter(F.array(*[take(e) for e in range(max_epochs)]), lambda x: x["words"] > 0), place)
     summed = summed.withColumn("__takes", takes)
     summed = summed.withColumn("__taken", F.aggregate("__takes", F.lit(0).cast("long"), lambda a, x: a + x["words"]))
     summed = summed.withColumn("__position", F.get(F.col("__takes"), F.lit(0))["position"])
     return summed.drop("__hash", "__bucket", "__before", "__demand", "__full", "__part", "__idx", "__rows")
 
 
-def order_key(doc_id: Column) -> Column:
-    return F.coalesce(doc_id.cast("string"), F.lit(""))
+def order_key(doc_id: Column, text: Column) -> Column:
+    return F.coalesce(doc_id.cast("string"), F.concat(F.lit("none:"), F.md5(F.coalesce(text, F.lit("")))))
 
 
 def mix(docs: DataFrame, **options) -> DataFrame:
@@ -119,7 +139,7 @@ def mix(docs: DataFrame, **options) -> DataFrame:
     A take that the target ends inside a document keeps the document's first words, with their white space.
     """
     own, kept = docs.columns, ["doc_id", "text", "source", *(["n_chars"] if "n_chars" in docs.columns else [])]
-    sized = pack_row(docs, *kept).withColumn("__size", word_count(F.col("text"))).withColumn("__key", order_key(F.col("doc_id")))
+    sized = pack_row(docs, *kept).withColumn("__size", word_count(F.col("text"))).withColumn("__key", order_key(F.col("doc_id"), F.col("text")))
     takes = assign(sized, **options).withColumn("__take", F.explode("__takes"))
     parts = F.split("text", r"(?<=[^\x20\x09-\x0D])(?=[\x20\x09-\x0D])")
     text = F.when(F.col("__take.words") >= F.col("__size"), F.col("text")).otherwise(
@@ -133,7 +153,7 @@ def mix(docs: DataFrame, **options) -> DataFrame:
 
 def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    sized = docs.select("doc_id", "source", word_count(F.col("text")).alias("__size"), order_key(F.col("doc_id")).alias("__key"))
+    sized = docs.select("doc_id", "source", word_count(F.col("text")).alias("__size"), order_key(F.col("doc_id"), F.col("text")).alias("__key"))
     rows = assign(materialize(sized, "mix-sizes"))
     return rows.select(
         "doc_id",
@@ -142,13 +162,13 @@ def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("__target").alias("target"),
         F.col("__taken").alias("taken"),
         F.col("__position").alias("position"),
-    ).orderBy("position", "doc_id")
+    ).orderBy("position", "doc_id").withColumn("position", F.round("position", 6))
 
 
 OP1_SQL = r"""
 WITH d AS (
   SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size,
-         coalesce(doc_id::VARCHAR, '') AS k
+         coalesce(doc_id::VARCHAR, 'none:' || md5(coalesce(text, ''))) AS k
   FROM documents
 ), per AS (
   SELECT source, sum(size)::BIGINT AS source_size,
@@ -177,14 +197,19 @@ WITH d AS (
          CASE WHEN full_epochs > 0 THEN size ELSE part END AS first_words FROM y
 ), s AS (
   SELECT *, (before + first_words / 2) / demand::DOUBLE AS share FROM z
-)
-SELECT doc_id, size, source_size, target, taken::BIGINT AS taken,
-       round(CASE WHEN first_words = 0 THEN NULL
+), spots AS (
+  SELECT *, CASE WHEN first_words = 0 THEN NULL
             WHEN idx % 3 = 0 THEN least(2 * share / (1.5 + sqrt(2.25 - 2 * share)), 1.0)
             WHEN idx % 3 = 1 THEN share
             WHEN share <= 0.375 THEN 2 * share / (0.5 + sqrt(0.25 + 2 * share))
-            ELSE 0.5 + least(2 * (share - 0.375) / (1.0 + sqrt(1.0 + 2 * (share - 0.375))), 0.5) END, 6) AS position
-FROM s
+            ELSE 0.5 + least(2 * (share - 0.375) / (1.0 + sqrt(1.0 + 2 * (share - 0.375))), 0.5) END AS t
+  FROM s
+), demands AS (
+  SELECT sum(target) FILTER (idx % 3 = 0) AS a, coalesce(sum(target) FILTER (idx % 3 = 1), 0) AS b, coalesce(sum(target) FILTER (idx % 3 = 2), 0) AS c FROM targets
+)
+SELECT doc_id, size, source_size, target, taken::BIGINT AS taken,
+       round((a * (1.5 * t - 0.5 * t * t) + b * t + c * (0.5 * t + 0.5 * t * t)) / (a + b + c), 6) AS position
+FROM spots, demands
 """
 
 QUERIES = {"op1_mixing": op1_mixing}
