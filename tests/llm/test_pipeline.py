@@ -49,6 +49,17 @@ def test_stages(spark, folder, tmp_path):
     assert {r.doc_id for r in at["packing"]} == {r.doc_id for r in at["mixing"]}
 
 
+def test_odd_tables(spark, folder, tmp_path, docs, empty):
+    """Every stage on an empty table, and on one with nulls, blanks, a long text, repeated rows and clashing names."""
+    for n, own in enumerate((empty, docs)):
+        before = own.columns
+        for name, stage in corpus_pipeline.STAGES:
+            stage(spark, own, folder[0]).write.parquet(f"file://{tmp_path}/{n}-{name}")
+            own = spark.read.parquet(f"file://{tmp_path}/{n}-{name}")
+            assert name == "packing" or own.columns == before
+            assert (own.count() > 0) == (n == 1)
+
+
 def test_run(spark, folder):
     out = corpus_pipeline.run(spark, folder[0])
     assert out.count() > 0 and set(out.columns) >= {"doc_id", "sequence_id", "offset", "length"}
