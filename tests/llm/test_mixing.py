@@ -46,7 +46,7 @@ def test_mix(spark, docs, store):
 
 
 def test_small_buckets_change_nothing(docs):
-    sized = docs.withColumn("__size", mixing.word_count(F.col("text"))).withColumn("__key", mixing.order_key(F.col("doc_id")))
+    sized = docs.withColumn("__size", mixing.word_count(F.col("text"))).withColumn("__key", mixing.order_key(F.col("doc_id"), F.col("text")))
     a, b = (mixing.assign(sized, rows_per_bucket=n).select("doc_id", "__taken", "__position").collect() for n in (3, 10_000))
     assert sorted(a, key=str) == sorted(b, key=str)
 
@@ -78,3 +78,16 @@ def test_schedule_inverse(spark):
 def test_empty(spark, empty, store):
     assert mixing.op1_mixing(spark, store(documents=empty)).count() == 0
     assert mixing.mix(empty).count() == 0
+
+
+def test_position_is_progress(spark):
+    """Of all words taken, as many lie before a take as its position says; null ids are told apart."""
+    rows = [(None if i % 50 == 0 else i, f"w{i} " * (i % 40 + 1), f"s{i % 6}") for i in range(3000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    sized = docs.withColumn("__size", mixing.word_count(F.col("text"))).withColumn("__key", mixing.order_key(F.col("doc_id"), F.col("text")))
+    takes = mixing.assign(sized).select(F.explode("__takes").alias("t")).select("t.words", "t.position").collect()
+    total, done = sum(t.words for t in takes), 0
+    for t in sorted(takes, key=lambda t: t.position):
+        assert abs(done / total - t.position) < 0.01
+        done += t.words
+    assert sized.where("doc_id is null").select("__key").distinct().count() == 60
