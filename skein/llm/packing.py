@@ -39,6 +39,7 @@ from pyspark.sql import functions as F
 from .ann import Tree
 from .common import in_slices, slots_for, small_batches, table, text_slices
 from .near_copies import mixed
+from .simhash import ones
 
 WINDOW = 4096
 END_ID = 2
@@ -47,7 +48,7 @@ SHARD_TOKENS = 1_100_000
 TASK_BYTES, LEAVES = 12_000_000, 4
 DIMS, SAMPLE = 24, 4_000
 #: Characters of text that are encoded at once.
-SLICE = 1 << 21
+SLICE = 1 << 22
 K1, B = 1.2, 0.75
 KEPT = 1_500_000
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
@@ -253,8 +254,11 @@ def pack_shard(ids: np.ndarray, lengths: np.ndarray, terms: np.ndarray, counts:
 
 def directions(terms: np.ndarray, counts: np.ndarray) -> np.ndarray:
     """Each document's point: the signed sums of its terms along `DIMS` random directions, at length 1."""
-    h, doc = mixed(terms.astype(np.uint64) + np.uint64(1)), np.repeat(np.arange(len(counts)), counts)
-    out = np.stack([np.bincount(doc, weights=((h >> np.uint64(j)) & np.uint64(1)) * 2.0 - 1.0, minlength=len(counts)) for j in range(DIMS)], axis=1)
+    out, some = np.zeros((len(counts), DIMS)), np.nonzero(counts)[0]
+    if len(some):
+        n = counts[some]
+        for j, (_, found) in enumerate(ones(mixed(terms.astype(np.uint64) + np.uint64(1)), n, range(DIMS // 8))):
+            out[some, j] = 2 * found - n
     return out / (np.linalg.norm(out, axis=1, keepdims=True) + 1e-9)
 
 

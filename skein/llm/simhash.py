@@ -23,7 +23,7 @@ columns aren't read (`deduplicate` keeps them, whatever their names).
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from itertools import combinations
 from math import comb
 
@@ -62,23 +62,30 @@ def joined_words(data: np.ndarray, begin: np.ndarray) -> tuple[np.ndarray, np.nd
     return low[keep], place[first], place[last] + 1, np.diff(counted[begin])
 
 
-def majorities(h: np.ndarray, counts: np.ndarray) -> np.ndarray:
-    """For each run of counts[i] hashes: the number whose bits are those set in over half of them; 0 for an empty run."""
-    out = np.zeros(len(counts), np.uint64)
-    some = np.nonzero(counts)[0]
-    if not len(some):
-        return out
-    # Bits are counted in eight byte-wide lanes at once, in blocks of 255 hashes at most, which no lane overflows.
-    n = counts[some]
+def ones(h: np.ndarray, n: np.ndarray, bits: Iterable[int] = range(8)) -> Iterator[tuple[int, np.ndarray]]:
+    """For each run of n[i] > 0 hashes, in how many a bit is set: (bit, counts by run) for the bits b, 8 + b, ... 56 + b.
+
+    Bits are counted in eight byte-wide lanes at once, in blocks of 255 hashes at most, which no lane overflows.
+    """
     blocks = -(-n // 255)
     ends = np.cumsum(blocks)
     inside = np.arange(ends[-1]) - np.repeat(ends - blocks, blocks)
     starts = np.repeat(np.cumsum(n) - n, blocks) + 255 * inside
-    for bit in range(8):
+    for bit in bits:
         lanes = np.add.reduceat((h >> np.uint64(bit)) & np.uint64(0x0101010101010101), starts)
-        ones = np.add.reduceat(lanes.astype("<u8").view(np.uint8).reshape(-1, 8), ends - blocks, axis=0, dtype=np.int64)
+        counts = np.add.reduceat(lanes.astype("<u8").view(np.uint8).reshape(-1, 8), ends - blocks, axis=0, dtype=np.int64)
         for lane in range(8):
-            out[some] |= (2 * ones[:, lane] > n).astype(np.uint64) << np.uint64(8 * lane + bit)
+            yield 8 * lane + bit, counts[:, lane]
+
+
+def majorities(h: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """For each run of counts[i] hashes: the number whose bits are those set in over half of them; 0 for an empty run."""
+    out = np.zeros(len(counts), np.uint64)
+    some = np.nonzero(counts)[0]
+    if len(some):
+        n = counts[some]
+        for bit, found in ones(h, n):
+            out[some] |= (2 * found > n).astype(np.uint64) << np.uint64(bit)
     return out
 
 
