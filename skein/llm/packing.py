@@ -50,6 +50,8 @@ DIMS, SAMPLE = 24, 4_000
 #: Characters of text that are encoded at once.
 SLICE = 1 << 22
 K1, B = 1.2, 0.75
+#: Postings of a list that is added up with others.
+SHORT = 64
 KEPT = 1_500_000
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 _STATE: dict = {}
@@ -190,9 +192,14 @@ class Bm25:
 
     def neighbours(self, seed: int, unused: np.ndarray, most: int = WINDOW) -> list[int]:
         """The `most` best unused documents that share terms with the seed, best score first; ties to the smaller place."""
-        scores = np.zeros(self.n, np.float32)
-        for k in self.list_of[self.by_doc[self.doc_begin[seed] : self.doc_begin[seed + 1]]].tolist():
-            a, b = self.begin[k], self.begin[k + 1]
+        lists = self.list_of[self.by_doc[self.doc_begin[seed] : self.doc_begin[seed + 1]]]
+        begin, sizes = self.begin[lists], self.begin[lists + 1] - self.begin[lists]
+        # Short lists are added up together, long ones each in place.
+        short = sizes <= SHORT
+        own = sizes[short]
+        at = np.repeat(begin[short] - (np.cumsum(own) - own), own) + np.arange(own.sum())
+        scores = np.bincount(self.doc[at], weights=self.weight[at], minlength=self.n).astype(np.float32)
+        for a, b in zip(begin[~short].tolist(), (begin + sizes)[~short].tolist()):
             scores[self.doc[a:b]] += self.weight[a:b]
         scores[~unused] = 0
         top = np.nonzero(scores)[0]
