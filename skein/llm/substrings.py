@@ -12,8 +12,11 @@ document before. Strings are judged on the input and never cross documents.
    of anchors that have several contexts: the places where repeated text begins and ends.
 3. These contexts' bytes are dealt into shards by anchor. Each shard has a suffix array (Larsson-Sadakane) and its
    common prefixes (Kasai); neighbours that share LENGTH bytes are one class, and all but its earliest go.
-4. An anchor with more than `SPLIT` contexts is dealt over several shards, each of which passes on its surviving
-   windows, sorted. They are dealt by content, and the shards' runs are merged by binary search.
+   Before that, contexts of an anchor with more than `SPLIT` of them get longer anchors: the windows that have the
+   anchor at one of `WIDTH` neighbouring places share all but WIDTH - 1 bytes, and step 2 is done over with these.
+4. A longer anchor with more than `SPLIT` contexts is dealt over several shards, by its bytes, each of which passes on
+   its surviving windows, sorted. They are dealt by content to as many mergers as that anchor's windows need, where
+   the shards' runs are merged by binary search. Shards and mergers are an anchor's own, so runs grow as contexts do.
 5. Spans are gathered by document, joined to the texts and cut out.
 
 Rows are told apart by doc_id and the text's CRC-32: rows of one doc_id with different texts are documents of their
@@ -39,6 +42,7 @@ LENGTH = 100
 K = 32
 SHARD_BYTES = 1_000_000
 SPLIT = 200
+WIDTH = 9
 MIX, UPPER = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xFFFFFFFF00000000)
 SPAN = np.uint64(127)  # so many windows, less one, an anchor may own: LENGTH - K is less
 _SHIFT = 31  # a place is crc32 << 31 | position; spans have it inverted
@@ -50,18 +54,24 @@ def anchors(data: bytes, length: int = LENGTH, k: int = K) -> tuple[np.ndarray,
     A window's owner is the k-byte string in it with the least upper half of its hash, the leftmost of equals.
     Owners follow from the window's bytes alone, so equal windows have equal owners at equal places.
     """
+    h = hashes(data, k)
+    key = (h & UPPER) | np.arange(len(h), dtype=np.uint64)
+    owner = (sliding(key, length - k + 1, np.minimum) & ~UPPER).astype(np.int64)
+    first = np.concatenate([[0], np.nonzero(owner[1:] != owner[:-1])[0] + 1])
+    last = np.concatenate([first[1:] - 1, [len(owner) - 1]])
+    at = owner[first]
+    return at, h[at], first, last
+
+
+def hashes(data: bytes, k: int = K) -> np.ndarray:
+    """A hash of each k-byte string."""
     n = len(data) - k + 1
     lanes = np.ndarray(shape=(len(data) - 7,), dtype="<u8", buffer=data, strides=(1,))
     h = np.zeros(n, np.uint64)
     for j in range(0, k, 8):
         h = (h ^ lanes[j : j + n]) * MIX
         h ^= h >> np.uint64(29)
-    key = (h & UPPER) | np.arange(n, dtype=np.uint64)
-    owner = (sliding(key, length - k + 1, np.minimum) & ~UPPER).astype(np.int64)
-    first = np.concatenate([[0], np.nonzero(owner[1:] != owner[:-1])[0] + 1])
-    last = np.concatenate([first[1:] - 1, [len(owner) - 1]])
-    at = owner[first]
-    return at, h[at], first, last
+    return h
 
 
 def sliding(x: np.ndarray, w: int, f: Callable) -> np.ndarray:
@@ -202,8 +212,8 @@ def with_texts(docs: DataFrame, per_doc: DataFrame, how: str) -> DataFrame:
 
 
 def contexts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """The bytes of the wanted contexts (doc_id, crc, a, b, shard, split)."""
-    lists = wanted.groupBy("doc_id", "crc").agg(F.collect_list(F.struct("a", "b", "shard", "split")).alias("wanted"))
+    """The bytes of the wanted contexts (doc_id, crc, a, b, h, shard, merges)."""
+    lists = wanted.groupBy("doc_id", "crc").agg(F.collect_list(F.struct("a", "b", "h", "shard", "merges")).alias("wanted"))
     joined = with_texts(docs.select("doc_id", "text"), lists, "inner")
     joined = joined.select("__d", "__c", F.col("text").cast("binary").alias("text"), "wanted")
 
@@ -216,16 +226,50 @@ def contexts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
                 found += [data[x:y] for x, y in cuts[at : at + n]]
                 at += n
             doc, crc = (np.repeat(batch.column(i).to_numpy(zero_copy_only=False), per) for i in (0, 1))
-            columns = [lists.field("shard"), lists.field("split"), pa.array(doc), pa.array(crc), pa.array(a), pa.array(found, pa.binary())]
-            yield pa.RecordBatch.from_arrays(columns, names=["shard", "split", "doc_id", "crc", "a", "bytes"])
+            columns = [lists.field("shard"), lists.field("merges"), lists.field("h"), pa.array(doc), pa.array(crc), pa.array(a), pa.array(found, pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, names=["shard", "merges", "h", "doc_id", "crc", "a", "bytes"])
+
+    return joined.mapInArrow(each, "shard long, merges long, h long, doc_id long, crc long, a long, bytes binary")
 
-    return joined.mapInArrow(each, "shard long, split boolean, doc_id long, crc long, a long, bytes binary")
 
+def finer(held: DataFrame, length: int = LENGTH, k: int = K, width: int = WIDTH) -> DataFrame:
+    """Contexts with their bytes -> rows as of `scan`, of longer anchors.
 
-def classes(f: pd.DataFrame, merges: int, length: int = LENGTH) -> pd.DataFrame:
+    A window that begins i bytes before its anchor belongs to group i // width. All windows of a group hold the same
+    length - width + 1 bytes around the anchor, the longer anchor; equal windows have equal ones at equal places.
+    """
+    import xxhash
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        digest = xxhash.xxh3_64_intdigest
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            h, doc, crc, a = (batch.column(x).to_numpy() for x in ("h", "doc_id", "crc", "a"))
+            blobs = batch.column("bytes").to_pylist()
+            sizes = np.array([len(x) for x in blobs])
+            base = np.cumsum(sizes) - sizes
+            # The anchor's first place in a context is its place: an earlier one would own the first window.
+            hit = np.nonzero(hashes(b"".join(blobs), k).view(np.int64) == np.repeat(h, sizes)[: sizes.sum() - k + 1])[0]
+            at = hit[np.searchsorted(hit, base)] - base
+            rows = []
+            for i, (data, o, n) in enumerate(zip(blobs, at.tolist(), (sizes - length).tolist())):
+                for g in range(max(0, o - n) // width, o // width + 1):
+                    x, y = max(0, o - g * width - width + 1), min(n, o - g * width)  # first and last window of the group
+                    core = o - g * width
+                    rows.append((i, x, y - x, digest(data[core : core + length - width + 1], g), digest(data[x : y + length], core - x)))
+            i, x, more, h2, c = (np.array(v, kind) for v, kind in zip(zip(*rows), (np.int64, np.int64, np.uint64, np.uint64, np.uint64)))
+            columns = [h2.view(np.int64), ((c & ~SPAN) | more).view(np.int64), doc[i], (crc[i] << _SHIFT) | (a[i] + x)]
+            yield pa.RecordBatch.from_arrays([pa.array(v) for v in columns], names=["h", "c", "doc_id", "place"])
+
+    return held.mapInArrow(each, "h long, c long, doc_id long, place long")
+
+
+def classes(f: pd.DataFrame, length: int = LENGTH) -> pd.DataFrame:
     """One shard: the spans that start earlier elsewhere in it (kind 0), and split anchors' survivors (kind 1).
 
-    Survivors are dealt by content to `merges` mergers (b); each gets one sorted run from this shard, in one row.
+    Survivors are dealt by content to their anchor's `merges` mergers; each gets one sorted run from this shard, in one
+    row. A run's doc_id is the anchor, b the merger.
     """
     import xxhash
 
@@ -247,7 +291,8 @@ def classes(f: pd.DataFrame, merges: int, length: int = LENGTH) -> pd.DataFrame:
     alone = np.ones(len(cls), bool)
     alone[1:] = cls[1:] != cls[:-1]
     alone[:-1] &= alone[1:]
-    split = f["split"].to_numpy(bool)
+    merges = f["merges"].to_numpy(np.int64)
+    split = merges > 0
     if not split.any():
         sa, cls, doc, crc, at = sa[~alone], cls[~alone], doc[~alone], crc[~alone], at[~alone]
     order = np.lexsort((at, crc, doc, cls))
@@ -259,14 +304,17 @@ def classes(f: pd.DataFrame, merges: int, length: int = LENGTH) -> pd.DataFrame:
     out = [spans(d[late], crc[late], p[late], length)]
     keep = new & split[ctx[sa[order]]]
     if keep.any():
-        whole, places = text.tobytes(), sa[order[keep]].tolist()
-        windows = [whole[x : x + length] for x in places]
-        dealt = np.array([xxhash.xxh3_64_intdigest(w) % merges for w in windows])
+        whole, places = text.tobytes(), sa[order[keep]]
+        windows = [whole[x : x + length] for x in places.tolist()]
+        anchor, of = f["h"].to_numpy(np.int64)[ctx[places]], merges[ctx[places]]
+        dealt = np.array([xxhash.xxh3_64_intdigest(w) % m if m > 1 else 0 for w, m in zip(windows, of.tolist())])
         members = np.stack([d[keep], crc[keep], p[keep]], axis=1)
-        for m in np.unique(dealt).tolist():
-            own = np.nonzero(dealt == m)[0]  # a sorted run, as classes are
-            run = {"kind": np.int32(1), "doc_id": 0, "crc": 0, "a": 0, "b": m, "bytes": b"".join([windows[i] for i in own.tolist()]), "members": members[own].tobytes()}
-            out.append(pd.DataFrame([run]))
+        order = np.lexsort((dealt, anchor))  # stable, so each run is sorted, as classes are
+        begin = np.nonzero(np.concatenate([[True], (np.diff(anchor[order]) != 0) | (np.diff(dealt[order]) != 0)]))[0]
+        runs = np.split(order, begin[1:])
+        first = order[begin]
+        found = {"bytes": [b"".join([windows[i] for i in own.tolist()]) for own in runs], "members": [members[own].tobytes() for own in runs]}
+        out.append(pd.DataFrame({"kind": np.int32(1), "doc_id": anchor[first], "crc": 0, "a": 0, "b": dealt[first]} | found))
     return pd.concat(out, ignore_index=True)
 
 
@@ -305,23 +353,37 @@ def merge_runs(f: pd.DataFrame, length: int = LENGTH) -> pd.DataFrame:
 SPAN_SCHEMA = "kind int, doc_id long, crc long, a long, b long, bytes binary, members binary"
 
 
+def crowded(spots: DataFrame, split: int) -> DataFrame:
+    """h, n, bytes of the anchors with more than `split` contexts."""
+    per = spots.groupBy("h").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("b") - F.col("a")).alias("bytes"))
+    return per.where(F.col("n") > split)
+
+
 def repeated_spans(docs: DataFrame, length: int = LENGTH, k: int = K, shard_bytes: int = SHARD_BYTES, split: int = SPLIT) -> DataFrame:
     """doc_id, crc, spans (array of a, b; maybe overlapping) of every document with something to remove."""
     rows = materialize(collapse(scan(docs, length, k), length, k), "anchors")
-    spots = rows.where("kind = 1")
+    spots, every = rows.where("kind = 1"), rows.where("kind = 0")
+    hot = materialize(crowded(spots, split), "hot-anchors")
+    n, none = hot.count(), F.lit(0).cast("long")
+    if n:
+        again = spots.join(small(hot.select("h"), n), "h").select("doc_id", "crc", "a", "b", "h", none.alias("shard"), none.alias("merges"))
+        again = materialize(collapse(finer(contexts(docs, again), length, k), length, k), "finer-anchors")
+        spots = spots.join(small(hot.select("h"), n), "h", "left_anti").unionByName(again.where("kind = 1"))
+        every = every.union(again.where("kind = 0"))
+        hot = materialize(crowded(again.where("kind = 1"), split), "hot-anchors")
+        n = hot.count()
     shards = in_slices(spots.agg(F.coalesce(F.sum(F.col("b") - F.col("a")), F.lit(0))).first()[0], shard_bytes)
-    hot = spots.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > split).withColumnRenamed("h", "hot")
-    hot = materialize(hot, "hot-anchors")
-    marked = spots.join(small(hot, hot.count()), spots.h == hot.hot, "left").withColumn("split", F.col("hot").isNotNull())
-    own = F.when(F.col("split"), F.xxhash64("h", "doc_id", "crc", "a")).otherwise(F.xxhash64("h"))
-    marked = marked.select("doc_id", "crc", "a", "b", "split", F.pmod(own, F.lit(shards)).alias("shard"))
-    # Split anchors' survivors are windows, of which a context has LENGTH - K + 1 at most.
-    windows = hot.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0] * (length - k + 1)
-    merges = in_slices(windows * length, 4 * shard_bytes)
-    local = contexts(docs, marked).groupBy("shard").applyInPandas(lambda f: classes(f, merges, length), SPAN_SCHEMA)
+    # Of a split anchor: half a shard's bytes to a part, four shards' bytes of windows to a merger.
+    pieces = F.greatest(F.lit(2), F.ceil(F.col("bytes") * 2 / shard_bytes)).cast("long")
+    merges = F.ceil((F.col("bytes") - F.col("n") * (length - 1)) * length / (4 * shard_bytes)).cast("long")
+    hot = hot.select("h", pieces.alias("pieces"), merges.alias("merges"))
+    piece = F.pmod(F.xxhash64("doc_id", "crc", "a"), F.coalesce("pieces", F.lit(1)))
+    marked = spots.join(small(hot, n), "h", "left").withColumn("shard", F.pmod(F.xxhash64("h", piece), F.lit(shards)))
+    marked = marked.select("doc_id", "crc", "a", "b", "h", "shard", F.coalesce("merges", none).alias("merges"))
+    local = contexts(docs, marked).groupBy("shard").applyInPandas(lambda f: classes(f, length), SPAN_SCHEMA)
     local = materialize(local, "shard-spans")
-    across = local.where("kind = 1").groupBy("b").applyInPandas(lambda f: merge_runs(f, length), SPAN_SCHEMA)
-    every = rows.where("kind = 0").select("doc_id", "crc", "a", "b")
+    across = local.where("kind = 1").groupBy("doc_id", "b").applyInPandas(lambda f: merge_runs(f, length), SPAN_SCHEMA)
+    every = every.select("doc_id", "crc", "a", "b")
     for part in (local.where("kind = 0"), across):
         every = every.union(part.select("doc_id", "crc", "a", "b"))
     return every.groupBy("doc_id", "crc").agg(F.collect_list(F.struct("a", "b")).alias("spans"))

@@ -97,3 +97,22 @@ def test_remove_repeats(docs, empty):
 
 def test_empty(spark, empty, store):
     assert substrings.op10_substrings(spark, store(documents=empty)).count() == 0
+
+
+def test_runs_grow_as_contexts_do(spark, monkeypatch):
+    """A passage in many texts: its edges' anchors are split, and twice the texts make no more than about twice the runs."""
+    rng = random.Random(11)
+    prose = lambda n: "".join(rng.choice("abcdefgh ") for _ in range(n))
+    passage, found, runs = prose(140), {}, []
+    texts = [prose(150) + passage + prose(rng.randint(100, 200)) for _ in range(160)]
+    whole = substrings.materialize
+    monkeypatch.setattr(substrings, "materialize", lambda df, name: found.setdefault(f"{name} {len(found)}", whole(df, name)))
+    for n in (80, 160):
+        found.clear()
+        own = spark.createDataFrame(list(enumerate(texts[:n])), "doc_id long, text string")
+        spans = {r.doc_id: r.spans for r in substrings.repeated_spans(own, split=10, shard_bytes=2000).collect()}
+        want = brute(enumerate(texts[:n]))
+        assert {d: substrings.cut(t.encode(), spans.get(d))[1:] for d, t in enumerate(texts[:n])} == {d: v[1:3] for d, v in want.items()}
+        local = next(df for name, df in found.items() if name.startswith("shard-spans"))
+        runs.append(local.where("kind = 1").count())
+    assert 0 < runs[0] and runs[1] <= 3 * runs[0]
