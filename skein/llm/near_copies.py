@@ -1,8 +1,11 @@
 """Near copies: texts whose sets of five-word shingles have a Jaccard likeness of 0.8 or more.
 
-Candidates: `BANDS` keys of `ROWS` minhashes each; texts that share a key are candidates. A pair at 0.8 shares none
-with probability (1 - 0.8 ** ROWS) ** BANDS, 3 in a million; a pair above, less. Every candidate is then held to the
-exact likeness of both whole shingle sets, so nothing below 0.8 links. Linked texts are connected.
+Candidates come from SimHash fingerprints of the shingle sets first: generalised pigeonhole with thresholds by dynamic
+programming (`simhash.links`) finds all pairs within `RADIUS` bits; the least node stands for its fingerprint. A pair at
+0.8 differs in 9.7 bits on average, out of reach of any radius that is less than comparing all with a constant share of
+all. So there are `BANDS` keys of `ROWS` minhashes each too; texts that share a key are candidates. A pair at 0.8 shares
+none with probability (1 - 0.8 ** ROWS) ** BANDS, 3 in a million; a pair above, less. Every candidate is then held to
+the exact likeness of both whole shingle sets, so nothing below 0.8 links. Linked texts are connected.
 
 Texts of one shingle set are one node. Nodes of a key never meet as pairs at first: each is compared with the
 least node of its key only. What that leaves in different components of one key is then compared pair by pair; so
@@ -23,7 +26,8 @@ from pyspark.sql import functions as F
 
 from .common import materialize, small, small_batches
 from .components import components
-from .simhash import keep_first
+from .simhash import RADIUS, keep_first, majorities
+from .simhash import links as pigeonhole
 
 SEED, SHINGLE = 42, 5
 #: Likeness of NUMERATOR / DENOMINATOR or more.
@@ -82,18 +86,20 @@ def node_of(own: np.ndarray) -> int:
 
 
 def with_keys(docs: DataFrame) -> DataFrame:
-    """doc_id, text_hash, node, size (number of shingles), keys."""
+    """doc_id, text_hash, node, size (number of shingles), keys, fp (the set's SimHash)."""
 
     def each(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
             sets = [shingles(t if isinstance(t, str) else None) for t in f.text]
+            sizes = np.array([len(s) for s in sets], np.int64)
+            fps = majorities(np.concatenate([np.zeros(0, np.uint64), *sets]), sizes)
             yield pd.DataFrame({
                 "doc_id": f.doc_id.astype("Int64"), "text_hash": f.text_hash, "node": np.array([node_of(s) for s in sets], np.int64),
-                "size": np.array([len(s) for s in sets], np.int64), "keys": [band_keys(s).view(np.int64) for s in sets],
+                "size": sizes, "keys": [band_keys(s).view(np.int64) for s in sets], "fp": fps.view(np.int64),
             })
 
     own = small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("text_hash"))
-    return own.mapInPandas(each, "doc_id long, text_hash long, node long, size long, keys array<long>")
+    return own.mapInPandas(each, "doc_id long, text_hash long, node long, size long, keys array<long>, fp long")
 
 
 def with_shingles(texts: DataFrame) -> DataFrame:
@@ -119,20 +125,33 @@ def alike(pairs: DataFrame, held: DataFrame) -> DataFrame:
     return found.where(both * (NUMERATOR + DENOMINATOR) >= (F.size("sa") + F.size("sb")) * NUMERATOR).select("a", "b")
 
 
+def by_fingerprint(nodes: DataFrame) -> DataFrame:
+    """node, size, fp -> a, na, b, nb: each node with the least of its fingerprint, and the least of near fingerprints."""
+    heads = nodes.groupBy("fp").agg(F.min(F.struct("node", "size")).alias("l"))
+    heads = materialize(heads.select("fp", F.col("l.node").alias("head"), F.col("l.size").alias("n")), "near-prints")
+    near = pigeonhole(heads.select("fp"), heads.count(), RADIUS).distinct()
+    one = heads.select(F.col("fp").alias("a"), F.col("head").alias("x"), F.col("n").alias("na"))
+    two = heads.select(F.col("fp").alias("b"), F.col("head").alias("y"), F.col("n").alias("nb"))
+    near = near.join(one, "a").join(two, "b").select(F.col("x").alias("a"), "na", F.col("y").alias("b"), "nb")
+    same = nodes.join(heads, "fp").where("node <> head")
+    return same.select(F.col("node").alias("a"), F.col("size").alias("na"), F.col("head").alias("b"), F.col("n").alias("nb")).union(near)
+
+
 def near_copies(docs: DataFrame) -> DataFrame:
     """doc_id, text_hash, root of every row of docs (doc_id, text); root names the component."""
     rows = materialize(with_keys(docs), "near-keys")
-    nodes = rows.groupBy("node").agg(F.min(F.struct("doc_id", "text_hash")).alias("at"), F.first("size").alias("size"), F.first("keys").alias("keys"))
+    nodes = rows.groupBy("node").agg(F.min(F.struct("doc_id", "text_hash")).alias("at"), F.first("size").alias("size"), F.first("keys").alias("keys"), F.first("fp").alias("fp"))
     nodes = materialize(nodes, "near-nodes")
     members = nodes.select("node", "size", F.explode("keys").alias("key"))
     # Keys of one node alone find nothing.
     least = members.groupBy("key").agg(F.min(F.struct("node", "size")).alias("l"), F.max("node").alias("m")).where(F.col("l.node") < F.col("m"))
     least = materialize(least.select("key", F.col("l.node").alias("least"), F.col("l.size").alias("least_size")), "near-least")
     members = materialize(members.join(small(least, least.count()), "key"), "near-members")
-    first = members.where((F.col("node") != F.col("least")) & sizes_fit(F.col("size"), F.col("least_size")))
-    first = first.select(F.col("node").alias("a"), F.col("least").alias("b")).distinct()
+    first = members.where(F.col("node") != F.col("least")).select(F.col("node").alias("a"), F.col("size").alias("na"), F.col("least").alias("b"), F.col("least_size").alias("nb"))
+    first = first.union(by_fingerprint(nodes.select("node", "size", "fp"))).where(sizes_fit(F.col("na"), F.col("nb")))
+    first = materialize(first.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "near-first")
 
-    named = members.select("node").distinct().join(nodes.select("node", "at"), "node")
+    named = members.select("node").union(first.select("a")).union(first.select("b")).distinct().join(nodes.select("node", "at"), "node")
     named = materialize(named.select("node", F.col("at.doc_id").alias("doc_id"), F.col("at.text_hash").alias("text_hash")), "near-named")
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("text_hash"))
     same = texts.doc_id.eqNullSafe(named.doc_id) & (texts.text_hash == named.text_hash)

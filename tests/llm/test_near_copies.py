@@ -53,3 +53,27 @@ def test_stage_finds_near_copies(spark):
 
 def test_no_rows(spark):
     assert near_copies.deduplicate(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def test_stage_probes_fingerprints(spark, monkeypatch):
+    """Candidates come from the generalised pigeonhole: all pairs of fingerprints within its radius, each by its least node."""
+    rng = random.Random(6)
+    words = ["".join(rng.choice("abcdefgh") for _ in range(rng.randint(3, 7))) for _ in range(300)]
+    texts = []
+    for _ in range(12):
+        base = [rng.choice(words) for _ in range(500)]
+        texts += [" ".join(base + words[:n]) for n in range(10)]
+    docs = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in enumerate(texts)], SCHEMA)
+    nodes = near_copies.with_keys(docs).select("node", "size", "fp")
+    rows = nodes.collect()
+    least = {}
+    for r in rows:
+        least[r.fp] = min(least.get(r.fp, r.node), r.node)
+    bits = lambda x, y: ((x ^ y) & (1 << 64) - 1).bit_count()
+    want = {frozenset((least[x], least[y])) for x in least for y in least if x < y and bits(x, y) <= near_copies.RADIUS}
+    want |= {frozenset((r.node, least[r.fp])) for r in rows if r.node != least[r.fp]}
+    assert want and {frozenset((r.a, r.b)) for r in near_copies.by_fingerprint(nodes).collect()} == want
+    asked, probe = [], near_copies.pigeonhole
+    monkeypatch.setattr(near_copies, "pigeonhole", lambda *a: asked.append(a) or probe(*a))
+    assert {r.doc_id for r in corpus_pipeline.drop_near_copies(spark, docs, "").collect()} == kept_by_brute_force(texts)
+    assert len(asked) == 1
