@@ -8,7 +8,8 @@ none with probability (1 - 0.8 ** ROWS) ** BANDS, 3 in a million; a pair above,
 the exact likeness of both whole shingle sets, so nothing below 0.8 links. Linked texts are connected.
 
 Texts of one shingle set are one node. Nodes of a key never meet as pairs at first: each is compared with the
-least node of its key only. What that leaves in different components of one key is then compared pair by pair; so
+least node of its key only. Of what that leaves in different components of one key, nodes go that can't link: those
+of whose shingles under 0.8 lie in a node of any other component (`linkable`). The rest is compared pair by pair; so
 components are those of all candidate pairs, while a large group of copies costs a comparison per member.
 
 Defined cases: words are runs of anything but the six ASCII spaces, A-Z as a-z; fewer than five words: the whole
@@ -137,6 +138,25 @@ def by_fingerprint(nodes: DataFrame) -> DataFrame:
     return same.select(F.col("node").alias("a"), F.col("size").alias("na"), F.col("head").alias("b"), F.col("n").alias("nb")).union(near)
 
 
+def linkable(left: DataFrame, held: DataFrame) -> DataFrame:
+    """Of left (node, root) the nodes that a node of another root may be like, and how many of their shingles lie in any.
+
+    Of a node that links, at least 0.8 of its shingles lie in nodes of other roots. Those that have less go, which leaves
+    others with less; done over while a twentieth or more go. However often, no link is lost.
+    """
+    left, before = left.select("node", "root", F.lit(0).cast("long").alias("shared")), left.count()
+    while before:
+        rows = left.join(held, "node").select("node", "root", F.size("shingles").alias("size"), F.explode("shingles").alias("s"))
+        shared = rows.groupBy("s").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x < y").select("s")
+        found = rows.join(shared, "s").groupBy("node", "root", "size").agg(F.count(F.lit(1)).alias("shared"))
+        left = materialize(found.where(F.col("shared") * DENOMINATOR >= F.col("size") * NUMERATOR).select("node", "root", "shared"), "near-linkable")
+        now = left.count()
+        if now * 20 > before * 19:
+            break
+        before = now
+    return left
+
+
 def near_copies(docs: DataFrame) -> DataFrame:
     """doc_id, text_hash, root of every row of docs (doc_id, text); root names the component."""
     rows = materialize(with_keys(docs), "near-keys")
@@ -164,13 +184,15 @@ def near_copies(docs: DataFrame) -> DataFrame:
     members = members.select("key", "node", "size").join(roots, "node", "left").select("key", "node", "size", F.coalesce("root", "node").alias("root"))
     members = materialize(members, "near-rooted")
     open_keys = members.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x < y").select("key")
+    some = linkable(materialize(members.join(open_keys, "key").select("node", "root").distinct(), "near-apart"), held)
+    members = members.join(small(some.select("node", "shared"), some.count()), "node")
+    open_keys = members.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x < y").select("key")
     members = materialize(members.join(materialize(open_keys, "near-open"), "key"), "near-left")
-    groups = members.select("key", "root").distinct()
-    other = groups.select("key", F.col("root").alias("other")).distinct()
-    across = materialize(groups.join(other, "key").where("root < other"), "near-across")
-    one = members.select("key", "root", F.col("node").alias("a"), F.col("size").alias("na"))
-    two = members.select("key", F.col("root").alias("other"), F.col("node").alias("b"), F.col("size").alias("nb"))
-    rest = across.join(one, ["key", "root"]).join(two, ["key", "other"]).where(sizes_fit(F.col("na"), F.col("nb")))
+    one = members.select("key", "root", F.col("node").alias("a"), F.col("size").alias("na"), F.col("shared").alias("ia"))
+    two = members.select("key", F.col("root").alias("other"), F.col("node").alias("b"), F.col("size").alias("nb"), F.col("shared").alias("ib"))
+    # Two nodes of different components have no more shingles in common than either has in others at all.
+    reach = F.least("ia", "ib") * (NUMERATOR + DENOMINATOR) >= (F.col("na") + F.col("nb")) * NUMERATOR
+    rest = one.join(two, (one.key == two.key) & (F.col("root") < F.col("other")) & sizes_fit(F.col("na"), F.col("nb")) & reach)
     rest = rest.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
     rest = materialize(rest.join(first, ["a", "b"], "left_anti"), "near-rest")
     more = materialize(alike(rest, held), "near-more")

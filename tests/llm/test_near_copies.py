@@ -77,3 +77,24 @@ def test_stage_probes_fingerprints(spark, monkeypatch):
     monkeypatch.setattr(near_copies, "pigeonhole", lambda *a: asked.append(a) or probe(*a))
     assert {r.doc_id for r in corpus_pipeline.drop_near_copies(spark, docs, "").collect()} == kept_by_brute_force(texts)
     assert len(asked) == 1
+
+
+def test_nodes_that_cannot_link_meet_no_others(spark, monkeypatch):
+    """Texts of one family that share keys, but are too different to link, aren't compared pair by pair."""
+    rng = random.Random(7)
+    words = ["".join(rng.choice("abcdefgh") for _ in range(rng.randint(3, 7))) for _ in range(3000)]
+    base = [rng.choice(words) for _ in range(300)]
+    texts = []
+    for k in range(40):
+        w = list(base)
+        for at in rng.sample(range(300), 18):
+            w[at] = f"own{k}x{at}"
+        texts.append(" ".join(w))
+        if k % 10 == 0:
+            texts.append(" ".join(w[:-1]))
+    docs = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in enumerate(texts)], SCHEMA)
+    found, whole = {}, near_copies.materialize
+    monkeypatch.setattr(near_copies, "materialize", lambda df, name: found.setdefault(f"{name} {len(found)}", whole(df, name)))
+    kept = {r.doc_id for r in near_copies.deduplicate(docs).collect()}
+    assert kept == kept_by_brute_force(texts) and len(kept) == 40
+    assert next(df for name, df in found.items() if name.startswith("near-rest")).count() < 40
