@@ -28,6 +28,7 @@ import os
 import re
 import zlib
 from collections.abc import Iterator
+from contextlib import suppress
 from itertools import compress
 
 import numpy as np
@@ -158,6 +159,20 @@ def chunks_of(path: str, end_id: int) -> Chunks:
     return _STATE["chunks"]
 
 
+def trim() -> None:
+    """Give freed memory back to the system, where the C library can; else each worker keeps the most it ever had."""
+    import ctypes
+
+    with suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def free() -> None:
+    """Let go of the table of chunks: a worker that encoded before needs it no longer when it packs."""
+    _STATE.clear()
+    trim()
+
+
 class Bm25:
     """An inverted index over one shard's documents."""
 
@@ -322,9 +337,11 @@ def pack(docs: DataFrame, window: int = WINDOW, shard_tokens: int = SHARD_TOKENS
                 part, leaf = how.place(directions(terms, counts), (key.to_numpy().view(np.uint64) >> np.uint64(1)).astype(np.int64))
                 columns = [pa.array(slots[part]), pa.array(part), pa.array(leaf), doc_id, key, binaries(ids, lengths), binaries(terms, counts)]
                 yield pa.RecordBatch.from_arrays(columns, names=["slot", "part", "leaf", "doc_id", "key", "ids", "terms"])
+        trim()
 
     def arranged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, first, held, size = None, 0, [], 0
+        free()
 
         def flush() -> pa.RecordBatch:
             nonlocal first
@@ -347,6 +364,8 @@ def pack(docs: DataFrame, window: int = WINDOW, shard_tokens: int = SHARD_TOKENS
                 size += len(ids) // 4
         if held:
             yield flush()
+        held.clear()
+        trim()
 
     dealt = own.mapInArrow(encode, "slot long, part long, leaf long, doc_id long, key long, ids binary, terms binary")
     dealt = dealt.repartition(parts, "slot").sortWithinPartitions("part", "leaf", "doc_id", "key").select("part", "doc_id", "ids", "terms")

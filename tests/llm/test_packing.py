@@ -128,3 +128,12 @@ def test_seed_is_asked_until_its_window_is_full():
 
 def test_empty(empty):
     assert packing.pack(empty).count() == 0
+
+
+def test_a_worker_frees_its_chunks():
+    """A worker that turns from encoding to packing holds its table of chunks no longer."""
+    packing.chunks_of(packing.tokenizer_path(), 2).encode(["one two three"])
+    assert packing._STATE
+    packing.free()
+    assert not packing._STATE
+    assert packing.chunks_of(packing.tokenizer_path(), 2).encode(["one two three"])[3].tolist() == [3]
