@@ -17,6 +17,10 @@ from skein.llm import mixing, near_copies, packing, substrings, toxicity
 from skein.llm.common import materialize, table
 
 
+#: Of the tokenizer's table in each worker; see pack.
+CHUNKS_KEPT = 150_000
+
+
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier, fitted on the labelled ones, scores at 0.5 or more go."""
     model = toxicity.train(docs.select("doc_id", "text"), table(spark, sf_dir, "labels"))
@@ -39,8 +43,11 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of documents in sequences of at most 4096 tokens."""
-    return packing.pack(docs)
+    """Pieces of documents in sequences of at most 4096 tokens.
+
+    The stages before leave more workers to an executor than it has cores; each takes a table of chunks, so it is small.
+    """
+    return packing.pack(docs, kept=CHUNKS_KEPT)
 
 
 STAGES = [

@@ -14,7 +14,8 @@ are powers of two and which need no padding: no sequence is padded at all.
 Queries are all terms of the seed; terms of one document alone are left out, as they find nothing. A seed's neighbours
 are all unused documents that share a term with it, or as many of the best as a window has tokens: each document has
 one token at least, so no more can enter. Tokens are looked up by white-space separated chunk: the tokenizer never
-joins across white space, so chunks can be kept in a bounded table (`KEPT` entries) and only new ones are encoded.
+joins across white space, so chunks can be kept in a bounded table and only new ones are encoded. Past `kept` entries
+those go that no later slice of text has met, as most chunks stand in one text alone.
 
 Defined cases: null text is empty and has the end id alone; a text longer than a shard is one; a null doc_id is packed
 too; rows of one doc_id are packed each, rows repeated whole too; equal scores go by the order of leaf, doc_id and text;
@@ -49,10 +50,11 @@ SHARD_TOKENS = 1_100_000
 TASK_BYTES, LEAVES = 12_000_000, 4
 DIMS, SAMPLE = 24, 4_000
 #: Characters of text that are encoded at once.
-SLICE = 1 << 22
+SLICE = 1 << 20
 K1, B = 1.2, 0.75
 #: Postings of a list that is added up with others.
 SHORT = 64
+#: Chunks that a worker keeps.
 KEPT = 1_500_000
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 _STATE: dict = {}
@@ -74,7 +76,7 @@ class Chunks:
     END = b"\n"  # no chunk: it stands for the end id
     MARK = re.compile(rb"(?<=[a-z])([.,;:!?])(?=[ \n])")
 
-    def __init__(self, path: str, end_id: int):
+    def __init__(self, path: str, end_id: int, kept: int = KEPT):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -82,20 +84,21 @@ class Chunks:
         vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
         self.closes = np.zeros(max(vocabulary.values()) + 1, bool)
         self.closes[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
-        self.end_id = end_id
+        self.end_id, self.kept = end_id, kept
         self.clear()
 
     def clear(self) -> None:
         self.index: dict[bytes, int] = {}
         self.ids, self.size = np.zeros(1 << 16, np.uint32), np.zeros(1 << 16, np.int32)
         self.start, self.term = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.uint32)
+        self.met = np.zeros(1 << 16, bool)  # by a later slice than the one that brought the chunk
         self.used = 0
         self.add([self.END], np.array([self.end_id], np.uint32), np.array([1]))
 
     def add(self, chunks: list[bytes], ids: np.ndarray, sizes: np.ndarray) -> None:
         first, n = len(self.index), len(chunks)
         while len(self.size) < first + n:
-            self.size, self.start, self.term = (np.concatenate([x, np.zeros_like(x)]) for x in (self.size, self.start, self.term))
+            self.size, self.start, self.term, self.met = (np.concatenate([x, np.zeros_like(x)]) for x in (self.size, self.start, self.term, self.met))
         while len(self.ids) < self.used + len(ids):
             self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
         self.index.update(zip(chunks, range(first, first + n)))
@@ -105,6 +108,14 @@ class Chunks:
         self.term[first : first + n] = list(map(zlib.crc32, chunks))
         self.used += len(ids)
 
+    def shrink(self) -> None:
+        """Keep the chunks that were met again, the longest known first, at most half of `kept`; to stay they must be met anew."""
+        keep = np.nonzero(self.met[1 : len(self.index)])[0][: self.kept // 2] + 1
+        chunks, sizes = list(self.index), self.size[keep]
+        ids = self.ids[np.repeat(self.start[keep] - (np.cumsum(sizes) - sizes), sizes) + np.arange(sizes.sum())]
+        self.clear()
+        self.add([chunks[i] for i in keep.tolist()], ids, sizes)
+
     def learn(self, chunks: list[bytes]) -> None:
         """Encode chunks that aren't known yet."""
         texts = b" ".join(chunks).decode("utf-8", "replace").split(" ")
@@ -136,12 +147,11 @@ class Chunks:
             counts[i] = len(own)
             every += own
             every.append(self.END)
-        if len(self.index) > KEPT:
-            self.clear()
-        new = set(every).difference(self.index)
+        new, known = set(every).difference(self.index), len(self.index)
         if new:
             self.learn(list(new))
         at = np.fromiter(map(self.index.__getitem__, every), np.int64, len(every))
+        self.met[at[at < known]] = True
         sizes = self.size[at]
         ends = np.cumsum(sizes, dtype=np.int64)
         total = int(ends[-1]) if len(ends) else 0
@@ -150,12 +160,15 @@ class Chunks:
         lengths = np.diff(ends[last], prepend=0)
         word = np.ones(len(every), bool)
         word[last] = False
-        return ids, lengths, self.term[at[word]], counts
+        terms = self.term[at[word]]
+        if len(self.index) > self.kept:
+            self.shrink()
+        return ids, lengths, terms, counts
 
 
-def chunks_of(path: str, end_id: int) -> Chunks:
-    if _STATE.get("key") != (path, end_id):
-        _STATE.update(key=(path, end_id), chunks=Chunks(path, end_id))
+def chunks_of(path: str, end_id: int, kept: int = KEPT) -> Chunks:
+    if _STATE.get("key") != (path, end_id, kept):
+        _STATE.update(key=(path, end_id, kept), chunks=Chunks(path, end_id, kept))
     return _STATE["chunks"]
 
 
@@ -163,6 +176,7 @@ def trim() -> None:
     """Give freed memory back to the system, where the C library can; else each worker keeps the most it ever had."""
     import ctypes
 
+    pa.default_memory_pool().release_unused()
     with suppress(OSError, AttributeError):
         ctypes.CDLL(None).malloc_trim(0)
 
@@ -317,8 +331,8 @@ def layout(docs: DataFrame, rows: int, parts: int) -> Layout:
     return Layout(points, got["weight"].to_numpy(float) if len(got) else np.ones(1), parts)
 
 
-def pack(docs: DataFrame, window: int = WINDOW, shard_tokens: int = SHARD_TOKENS, task_bytes: int = TASK_BYTES, path: str | None = None, end_id: int = END_ID) -> DataFrame:
-    """Pieces of all documents (doc_id, text): where each lies in which sequence."""
+def pack(docs: DataFrame, window: int = WINDOW, shard_tokens: int = SHARD_TOKENS, task_bytes: int = TASK_BYTES, path: str | None = None, end_id: int = END_ID, kept: int = KEPT) -> DataFrame:
+    """Pieces of all documents (doc_id, text): where each lies in which sequence. kept: chunks in a worker's table."""
     path, spark = path or tokenizer_path(), docs.sparkSession
     own = small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64(F.col("doc_id"), F.col("text")).alias("key"))
     total, rows = own.agg(F.coalesce(F.sum(F.coalesce(F.octet_length("text"), F.lit(0)) + 10), F.lit(0)), F.count(F.lit(1))).first()
@@ -327,12 +341,13 @@ def pack(docs: DataFrame, window: int = WINDOW, shard_tokens: int = SHARD_TOKENS
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         how, slots = deal.value
+        trim()  # of what other operators' tasks left in this worker
         for batch in batches:
             if not batch.num_rows:
                 continue
             texts = batch.column(1).to_pylist()
             for own in text_slices(texts, SLICE):
-                ids, lengths, terms, counts = chunks_of(path, end_id).encode(texts[own])
+                ids, lengths, terms, counts = chunks_of(path, end_id, kept).encode(texts[own])
                 doc_id, key = (batch.column(i).slice(own.start, own.stop - own.start) for i in (0, 2))
                 part, leaf = how.place(directions(terms, counts), (key.to_numpy().view(np.uint64) >> np.uint64(1)).astype(np.int64))
                 columns = [pa.array(slots[part]), pa.array(part), pa.array(leaf), doc_id, key, binaries(ids, lengths), binaries(terms, counts)]

@@ -137,3 +137,20 @@ def test_a_worker_frees_its_chunks():
     packing.free()
     assert not packing._STATE
     assert packing.chunks_of(packing.tokenizer_path(), 2).encode(["one two three"])[3].tolist() == [3]
+
+
+def test_table_of_chunks_is_bounded(tokenizer):
+    """Past its bound a worker's table lets go of what was met once and keeps what is met again."""
+    chunks = packing.Chunks(packing.tokenizer_path(), 2, kept=300)
+    common = [f"common{w}" for w in "abcdefgh"]
+    for k in range(40):
+        text = " ".join(common + [f"once{k}x{i}" for i in range(100)])
+        ids, *_ = chunks.encode([text])
+        assert ids.tolist() == [*tokenizer.encode(text, add_special_tokens=False).ids, 2]
+        assert len(chunks.index) <= 300
+        assert all(c.encode() in chunks.index for c in common) or k == 0
+
+
+def test_small_tables_of_chunks_give_the_same(docs):
+    a, b = (sorted(map(str, packing.pack(docs, kept=n).collect())) for n in (packing.KEPT, 20))
+    assert a == b
