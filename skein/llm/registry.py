@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("mixing", "warc", "ann", "sketch", "toxicity", "packing", "url_rules", "sharding", "simhash", "substrings", "importance", "quality")
+MODULES = ("mixing", "warc", "ann", "sketch", "toxicity", "packing", "url_rules", "sharding", "simhash", "substrings", "importance", "quality", "divergence")
 
 
 def _gather(what: str) -> dict:
