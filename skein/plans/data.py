@@ -15,6 +15,8 @@ QUERIES = [
 INTENT = {"ECONOMY": ("cheap", "economy"), "PROMO": ("promo", "bargain"), "STANDARD": ("standard",), "MEDIUM": ("medium",), "SPECIAL": ("gift",)}
 SYNONYMS = {"economy": ("cheap", "budget"), "promo": ("bargain",), "large": ("big",)}
 PATTERNS = ["the", "on", "tion", "an an", "anan", "e", "xyznonexistent123", "of the", "", "a.b"]
+#: Phrases to find anywhere in a text.
+PHRASES = ["q", "on the", "aaaa", "tion, on", ". Th", "ß ", "", "no such phrase anywhere", "ei", "heit"]
 PREFIXES = [(1, "sm"), (2, "re wid"), (3, "Br 1"), (4, "zzz"), (5, ""), (6, "h pl"), (7, "BLUE-bo"), (8, "co gi"), (9, "e")]
 WORD_PREFIXES = ["sup", "Supplier#00000000", "cust", "zz", "", " RED ", "s", "blue g"]
 MISSPELT = ["red wigdet", "smal ring", "COLD GEAR", "", "hot", "blue bolts", "kitten"]

@@ -336,6 +336,17 @@ def _part_body() -> str:
     return """SELECT p_partkey AS corpus_pos, p_name, p_brand, p_type, p_size, p_retailprice::BIGINT AS price FROM part"""
 
 
+def _windows(docs: str) -> str:
+    """hits: every document's windows that are a pattern, counted."""
+    return f"""WITH t AS ({docs}), patterns AS (
+        SELECT DISTINCT unnest({_words(_norm('x'))}) AS s FROM (SELECT concat_ws(' ', p_name, p_type, p_brand) AS x FROM part UNION ALL SELECT text FROM benchmark)),
+      lens AS (SELECT DISTINCT length(s) AS m FROM patterns WHERE length(s) >= 3),
+      pieces AS (SELECT doc_id, lang, n, unnest(range(0, length(n) // 128 + 1)) AS k FROM t),
+      cut AS (SELECT doc_id, lang, m, substr(n, k * 128 + 1, 127 + m) AS n FROM pieces, lens),
+      w AS (SELECT doc_id, lang, unnest(list_transform(range(1, greatest(length(n) - m + 2, 1)), lambda i: substr(n, i, m))) AS s FROM cut),
+      hits AS (SELECT doc_id, lang, s, count(*) AS c FROM w WHERE s IN (SELECT s FROM patterns) GROUP BY ALL) """
+
+
 def oracle_sql() -> dict[str, str]:
     docs = f"SELECT doc_id, lang, {_norm('text')} AS n FROM documents"
     talk = f"SELECT conv_id, {_norm('text')} AS n FROM conversations"
@@ -351,6 +362,12 @@ def oracle_sql() -> dict[str, str]:
         "pattern_count_overlap": f"SELECT conv_id, {_sums('n', data.PATTERNS)} FROM ({talk}) GROUP BY conv_id",
         "pattern_total_by_lang": f"SELECT lang, {_sums('n', data.PATTERNS)} FROM ({docs}) GROUP BY lang",
         "pattern_two_plan_agree": f"WITH t AS ({talk}) SELECT pattern_no, c AS by_search, c AS by_position, true AS agree FROM ({agree})",
+        "pattern_automaton": _windows(docs) + "SELECT s AS pattern, sum(c)::BIGINT AS occurrences, count(*) AS documents FROM hits GROUP BY s",
+        "pattern_rolling_join": _windows(docs) + "SELECT lang, s AS pattern, sum(c)::BIGINT AS occurrences, count(*) AS documents FROM hits GROUP BY lang, s",
+        "substring_documents": f"""WITH asked AS (SELECT substr(text, 20, 24) AS phrase FROM benchmark UNION SELECT unnest([{', '.join(map(_text, data.PHRASES))}])),
+            hits AS (SELECT phrase, doc_id, text FROM documents, asked WHERE phrase <> '' AND contains(text, phrase)),
+            split AS (SELECT *, string_split(text, phrase) AS parts FROM hits)
+            SELECT phrase, doc_id, CASE WHEN phrase IN ('aaaa') THEN len(list_filter(range(1, length(text) - length(phrase) + 2), lambda i: substr(text, i, length(phrase)) = phrase)) ELSE len(parts) - 1 END::BIGINT AS occurrences FROM split""",
         "edit_distance_pairs": _with(_in_values("typed", data.MISSPELT)) + "SELECT p_name, typed, levenshtein(lower(p_name), lower(typed))::BIGINT AS distance FROM (SELECT DISTINCT p_name FROM part), p",
         "edit_distance_cases": _with(_rows("p", "id, a, b", [(i, a, b) for i, (a, b) in enumerate(data.DISTANCES)])) + "SELECT id::BIGINT AS id, levenshtein(lower(coalesce(a, '')), lower(coalesce(b, '')))::BIGINT AS distance FROM p",
         "spell_correct": SEARCH + f"SELECT {q}, pos::BIGINT AS pos, term, corrected, distance FROM ct",

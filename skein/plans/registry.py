@@ -9,9 +9,9 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import fields, text
-from ..operators import catalog, flow, fuzzy, prefix, recommend, search, spelling
-from ..sources import corpus
-from ..sources.staging import materialize
+from ..operators import catalog, flow, fuzzy, patterns, prefix, recommend, search, spelling, substring
+from ..sources import corpus, index
+from ..sources.staging import fresh_path, materialize
 from . import data
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -94,6 +94,57 @@ def pattern_two_plan_agree(spark, sf):
     return agree(d, "n", data.PATTERNS)
 
 
+def pattern_table(spark, sf):
+    """The words of the parts and of the benchmark, three letters or more."""
+    p, b = _table(spark, sf, "part"), _table(spark, sf, "benchmark")
+    texts = p.select(F.concat_ws(" ", "p_name", "p_type", "p_brand").alias("t")).union(b.select("text"))
+    return texts.select(F.explode(text.token_set(text.normalize(F.col("t")))).alias("pattern")).where(F.length("pattern") >= 3).distinct()
+
+
+def _normalized(spark, sf):
+    return _table(spark, sf, "documents").select("lang", text.normalize(F.col("text")).alias("n"))
+
+
+def pattern_automaton(spark, sf):
+    """Every word of two tables counted in all documents, in one pass."""
+    return patterns.count_by_automaton(_normalized(spark, sf), "n", materialize(pattern_table(spark, sf), "patterns"))
+
+
+def pattern_rolling_join(spark, sf):
+    """The same by language, as a join of hashed windows."""
+    return patterns.count_by_hash_join(_normalized(spark, sf), "n", materialize(pattern_table(spark, sf), "patterns"), ["lang"])
+
+
+def _kept(spark, sf, name, tables):
+    """The tables of an index on disk: written once in a session."""
+    key = (spark.sparkContext.applicationId, sf, name)
+    if key not in _BUILT:
+        path = fresh_path(spark, name)
+        index.write(spark, path, tables())
+        _BUILT[key] = index.load(spark, path)
+    return _BUILT[key]
+
+
+CHARS_A_BUCKET = 8_000_000
+
+
+def _gram_index(spark, sf):
+    def tables():
+        docs = _table(spark, sf, "documents")
+        n = docs.agg(F.coalesce(F.sum(F.length("text")), F.lit(0))).first()[0]
+        grams = substring.postings(docs, "doc_id", "text")
+        return [index.Kept("grams", grams, ("gram",), ("gram", "doc"), max(1, -(-n // CHARS_A_BUCKET)))]
+
+    return _kept(spark, sf, "grams", tables)["grams"]
+
+
+def substring_documents(spark, sf):
+    """Which documents hold a passage of each benchmark text, and some phrases within words, by trigrams."""
+    b = _table(spark, sf, "benchmark").select(F.substring("text", 20, 24).alias("phrase"))
+    asked = b.union(data.column(spark, "phrase", data.PHRASES).select("phrase"))
+    return substring.find(_gram_index(spark, sf), asked).withColumnRenamed("doc", "doc_id")
+
+
 # Distances and spelling
 
 
@@ -398,7 +449,7 @@ def maxflow_tier_network(spark, sf):
 
 
 NAMES = (
-    "norm_tokens token_sets doc_freq_vocab part_vocab pattern_count_overlap pattern_total_by_lang pattern_two_plan_agree edit_distance_pairs "
+    "norm_tokens token_sets doc_freq_vocab part_vocab pattern_count_overlap pattern_total_by_lang pattern_two_plan_agree pattern_automaton pattern_rolling_join substring_documents edit_distance_pairs "
     "edit_distance_cases spell_correct spell_report spell_documents query_intent algorithm_label token_match_rules score_products phrase_in_name "
     "rank_top10 rank_total_matches fuzzy_search fallback_routing prefix_words prefix_exists word_exists prefix_products_and parse_fields "
     "parse_sections strip_misspellings corpus_search corpus_pattern_counts corpus_prefix price_indian_grouping price_grouping_parts rating_parse "
