@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from .functions.text import normalize, strip_control
 from .operators import catalog, fuzzy, prefix, recommend, search, spelling
 from .plans import benchmark
-from .sources import corpus
+from .sources import corpus, index
 from .sources.staging import materialize
 
 
@@ -17,16 +17,41 @@ class Engine:
 
     def __init__(self, spark: SparkSession, documents: DataFrame, intent: dict | None = None, synonyms: dict | None = None):
         """documents: corpus_pos, file_name, content."""
-        self.spark = spark
-        self.catalog = catalog.from_corpus(documents).persist()
-        self.intent, self.synonyms = catalog.intent_table(spark, intent), catalog.synonym_table(spark, synonyms)
+        self._set(spark, catalog.from_corpus(documents).persist(), intent, synonyms)
+        self.postings = catalog.postings(self.catalog).persist()
         self.vocabulary = spelling.vocabulary(self.catalog, self.synonyms).persist()
         self.index = prefix.prefix_index(self.catalog, "product_name", "index_text").persist()
 
+    def _set(self, spark: SparkSession, products: DataFrame, intent: dict | None, synonyms: dict | None) -> None:
+        self.spark, self.catalog = spark, products
+        self.intent, self.synonyms = catalog.intent_table(spark, intent), catalog.synonym_table(spark, synonyms)
+
     @classmethod
     def open(cls, spark: SparkSession, path: str = "corpus", **options) -> Engine:
         return cls(spark, corpus.load_corpus(spark, path), **options)
 
+    def write_index(self, path: str) -> int:
+        """Keep what search reads as a new version of an index on disk; its number."""
+        kept = [
+            index.Kept("catalog", self.catalog, ("corpus_pos",)),
+            index.Kept("postings", self.postings, ("field", "token"), ("field", "token", "corpus_pos")),
+            index.Kept("vocabulary", self.vocabulary, ("word",)),
+            index.Kept("words", self.index, ("word",), ("word", "corpus_pos")),
+        ]
+        return index.write(self.spark, path, kept)
+
+    @classmethod
+    def open_index(cls, spark: SparkSession, path: str, version: int | None = None, intent: dict | None = None, synonyms: dict | None = None) -> Engine:
+        """An engine on a written index (the newest version, if none is given): nothing is parsed or counted again.
+
+        `synonyms` should be those the index was written with, as its vocabulary counts them.
+        """
+        kept = index.load(spark, path, version)
+        e = cls.__new__(cls)
+        e._set(spark, kept["catalog"], intent, synonyms)
+        e.postings, e.vocabulary, e.index = kept["postings"], kept["vocabulary"], kept["words"]
+        return e
+
     def queries(self, *texts: str | None) -> DataFrame:
         return self.spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "query_id int, query_text string")
 
@@ -40,8 +65,8 @@ class Engine:
     def rank(self, queries: DataFrame, limit: int = search.SHOWN) -> DataFrame:
         """The best products of each query, with what is shown of them."""
         hint = spelling.batch_hint(queries)
-        found = search.scores(self.catalog, materialize(self.prepare(queries), "prepared"), self.synonyms, hint)
-        best = search.ranked(found, limit)
+        found = search.scores(self.catalog, materialize(self.prepare(queries), "prepared"), self.synonyms, hint, self.postings)
+        best = self.catalog.join(hint(search.ranked(found, limit)), "corpus_pos")
         return best.select("query_id", "rank", "corpus_pos", "product_name", "file_name", "price", "rating", "info", "rec_category", "brand", "score", "total_matches")
 
     def fuzzy(self, queries: DataFrame, limit: int | None = fuzzy.SHOWN) -> DataFrame:

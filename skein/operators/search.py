@@ -77,36 +77,59 @@ def matches(prepared: DataFrame, index: DataFrame, synonyms: DataFrame, hint: Hi
     return hits.groupBy("query_id", "term", "corpus_pos").agg(*flags)
 
 
-def scores(catalog: DataFrame, prepared: DataFrame, synonyms: DataFrame, hint: Hint = no_hint) -> DataFrame:
-    """query_id, corpus_pos, score > 0 and the catalogue's columns."""
-    found = matches(prepared, postings(catalog), synonyms, hint)
-    strong = F.greatest("name", "brand", "category")
-    points = NAME * F.col("name") + BRAND * F.col("brand") + CATEGORY * F.col("category") + DESCRIPTION * F.col("description")
-    per = found.groupBy("query_id", "corpus_pos").agg(F.sum(points).alias("points"), F.sum(strong).alias("strong"), F.sum(F.when(strong == 0, F.col("description")).otherwise(0)).alias("weak"))
+#: What the score of a match is made from; the rest of a product is fetched once the best are known.
+SCORED = ("corpus_pos", "name_norm", "phrase_text", "rec_category", "rating_num", "product_name")
+
+
+def scores(catalog: DataFrame, prepared: DataFrame, synonyms: DataFrame, hint: Hint = no_hint, index: DataFrame | None = None) -> DataFrame:
+    """query_id, corpus_pos, score > 0 and what ranks them. index: postings(catalog), if they are kept."""
+    found = matches(prepared, postings(catalog) if index is None else index, synonyms, hint)
     # A product of the asked category may score without any matching term.
     asked = hint(prepared.where("intent <> ''").select("query_id", F.lower("intent").alias("k")))
     wanted = catalog.select("corpus_pos", F.lower("rec_category").alias("k")).join(asked, "k").select("query_id", "corpus_pos")
+    return scored(catalog, found, wanted, prepared, hint)
+
+
+def term_points(name: Column, brand: Column, category: Column, description: Column) -> Column:
+    return NAME * name + BRAND * brand + CATEGORY * category + DESCRIPTION * description
+
+
+def all_terms(n: Column, strong: Column, matched: Column) -> Column:
+    """The bonus for matching every one of several terms."""
+    return F.when(n <= 1, 0).when(strong == n, ALL_STRONG).when(matched == n, ALL_MATCHED).otherwise(0)
+
+
+def scored(catalog: DataFrame, found: DataFrame, wanted: DataFrame, prepared: DataFrame, hint: Hint = no_hint) -> DataFrame:
+    """The scores of these matches and of the products `wanted` (query_id, corpus_pos) for their category."""
+    strong = F.greatest("name", "brand", "category")
+    points = term_points(F.col("name"), F.col("brand"), F.col("category"), F.col("description"))
+    per = found.groupBy("query_id", "corpus_pos").agg(F.sum(points).alias("points"), F.sum(strong).alias("strong"), F.sum(F.when(strong == 0, F.col("description")).otherwise(0)).alias("weak"))
     none = F.lit(0).cast("long")
     both = per.unionByName(wanted.select("query_id", "corpus_pos", none.alias("points"), none.alias("strong"), none.alias("weak")))
     per = both.groupBy("query_id", "corpus_pos").agg(*[F.sum(c).alias(c) for c in ("points", "strong", "weak")])
-    whole = catalog.join(per, "corpus_pos").join(hint(prepared), "query_id")
+    whole = catalog.select(*SCORED).join(per, "corpus_pos").join(hint(prepared), "query_id")
     padded = F.concat(F.lit(" "), "phrase", F.lit(" "))
     name = F.when(F.col("name_norm") == F.col("phrase"), EXACT_NAME).when(F.contains(F.concat(F.lit(" "), "name_norm", F.lit(" ")), padded), IN_NAME).otherwise(0)
-    n = F.size("terms")
-    bonus = F.when(n <= 1, 0).when(F.col("strong") == n, ALL_STRONG).when(F.col("strong") + F.col("weak") == n, ALL_MATCHED).otherwise(0)
+    bonus = all_terms(F.size("terms"), F.col("strong"), F.col("strong") + F.col("weak"))
     asked = F.when(F.col("intent") == "", 0).when(F.lower("rec_category") == F.lower("intent"), RIGHT_CATEGORY).otherwise(WRONG_CATEGORY)
     phrase = F.when(F.contains("phrase_text", padded), PHRASE).otherwise(0)
     nothing = (F.col("strong") == 0) & (F.col("weak") == 0) & (F.col("intent") == "")
     score = F.when(nothing, 0).otherwise(F.greatest(name + F.col("points") + bonus + asked + phrase, F.lit(0)))
-    return whole.withColumn("score", score.cast("int")).where("score > 0")
+    return whole.select("query_id", "corpus_pos", "rating_num", "product_name", score.cast("int").alias("score")).where("score > 0")
 
 
-def ranked(scored: DataFrame, limit: int = SHOWN) -> DataFrame:
-    """The best `limit` of each query, with rank and the number of all matches."""
-    totals = scored.groupBy("query_id").agg(F.count(F.lit(1)).alias("total_matches"))
+def best(scores: DataFrame, limit: int) -> DataFrame:
+    """The best `limit` of each query, with rank."""
     order = W.partitionBy("query_id").orderBy(F.desc("score"), F.desc("rating_num"), F.lower("product_name"), "corpus_pos")
-    top = scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= limit)
-    return top.join(totals, "query_id")
+    return scores.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= limit)
+
+
+def ranked(scores: DataFrame, limit: int = SHOWN) -> DataFrame:
+    """query_id, rank, corpus_pos, score and total_matches, the number of all matches."""
+    # Read by the count and by the ranking: written, so that matches are scored once.
+    kept = materialize(scores, "scores")
+    totals = kept.groupBy("query_id").agg(F.count(F.lit(1)).alias("total_matches"))
+    return best(kept, limit).join(totals, "query_id").select("query_id", "rank", "corpus_pos", "score", "total_matches")
 
 
 def search(catalog: DataFrame, queries: DataFrame, intent: DataFrame, synonyms: DataFrame, limit: int = SHOWN) -> DataFrame:
@@ -114,5 +137,6 @@ def search(catalog: DataFrame, queries: DataFrame, intent: DataFrame, synonyms:
     hint = batch_hint(queries)
     # One small row per query, used by several branches: written, so that the vocabulary is built once.
     prepared = materialize(prepare(queries, vocabulary(catalog, synonyms), intent, hint), "prepared")
-    best = ranked(scores(catalog, prepared, synonyms, hint), limit)
-    return best.select("query_id", "rank", "corpus_pos", "product_name", "rec_category", "brand", "score", "total_matches")
+    top = ranked(scores(catalog, prepared, synonyms, hint), limit)
+    shown = catalog.select("corpus_pos", "product_name", "rec_category", "brand").join(hint(top), "corpus_pos")
+    return shown.select("query_id", "rank", "corpus_pos", "product_name", "rec_category", "brand", "score", "total_matches")

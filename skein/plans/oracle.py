@@ -382,11 +382,13 @@ def oracle_sql() -> dict[str, str]:
         "token_match_rules": SEARCH + f"SELECT {q}, term, corpus_pos, f_name::BIGINT AS name, f_brand::BIGINT AS brand, f_category::BIGINT AS category, f_desc::BIGINT AS description FROM m WHERE f_name OR f_brand OR f_category OR f_desc",
         "score_products": SEARCH + f"SELECT {q}, corpus_pos, score FROM sc WHERE score > 0",
         "phrase_in_name": SEARCH + f"SELECT {q}, count(*) AS products, sum((name_norm = phrase)::BIGINT)::BIGINT AS exact FROM prep JOIN cata ON contains(' ' || name_norm || ' ', ' ' || phrase || ' ') GROUP BY query_id",
+        "rank_bounded": SEARCH + f"SELECT {q}, rank, corpus_pos, product_name, rec_category, brand, score FROM ranked WHERE rank <= 10",
         "rank_top10": SEARCH + f"SELECT {q}, rank, corpus_pos, product_name, rec_category, brand, score, total_matches FROM ranked WHERE rank <= 10",
         "rank_total_matches": SEARCH + f"SELECT DISTINCT {q}, total_matches FROM ranked",
         "fuzzy_search": _with(QUERIES, CATALOG) + _fuzzy("SELECT * FROM q"),
         "fallback_routing": SEARCH + _fuzzy(f"SELECT query_id, trim(query_text) AS query_text FROM q WHERE {_norm('query_text')} <> '' AND query_id NOT IN (SELECT query_id FROM ranked)"),
         "prefix_words": _with(_WORDS, _in_values("prefix", data.WORD_PREFIXES)) + f"SELECT prefix, row_number() OVER (PARTITION BY prefix ORDER BY word) AS position, word FROM p JOIN words ON starts_with(word, {_trim('lower(prefix)')}) WHERE {_trim('prefix')} <> ''",
+        "prefix_range_words": _with(_WORDS, _in_values("prefix", data.WORD_PREFIXES)) + f"SELECT prefix, row_number() OVER (PARTITION BY prefix ORDER BY word) AS position, word FROM p JOIN words ON starts_with(word, {_trim('lower(prefix)')}) WHERE {_trim('prefix')} <> ''",
         "prefix_exists": _with(_WORDS, _in_values("prefix", data.WORD_PREFIXES)) + f"SELECT prefix, {_trim('prefix')} <> '' AND EXISTS (SELECT 1 FROM words WHERE starts_with(word, {_trim('lower(prefix)')})) AS found FROM p",
         "word_exists": _with(_WORDS, _in_values("word_asked", ["Red Plate", "supplier#000000001", "red plat", "", " hot ring "])) + f"SELECT word_asked AS word, {_trim('lower(word_asked)')} IN (SELECT word FROM words) AS found FROM p",
         "prefix_products_and": _prefix_products("SELECT p_partkey AS corpus_pos, p_name AS a, concat_ws(' ', p_name, p_brand, p_type, 'size', p_size::VARCHAR) AS b FROM part", data.PREFIXES),

@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from typing import Any
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import fields, text
-from ..operators import catalog, flow, fuzzy, patterns, prefix, recommend, search, spelling, substring
+from ..operators import bounded, catalog, dictionary, flow, fuzzy, patterns, prefix, recommend, search, spelling, substring
 from ..sources import corpus, index
 from ..sources.staging import fresh_path, materialize
 from . import data
@@ -21,7 +22,7 @@ def _table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
-_BUILT: dict[tuple[str, str], DataFrame] = {}
+_BUILT: dict[tuple, Any] = {}
 
 
 def _parts(spark: SparkSession, sf: str) -> DataFrame:
@@ -230,6 +231,20 @@ def rank_total_matches(spark, sf):
     return _search(spark, sf, 1).select(F.col("query_id").cast("long").alias("query_id"), "total_matches")
 
 
+def _bounded(spark, sf):
+    kept = _kept(spark, sf, "blocks", lambda: bounded.tables(_parts(spark, sf)))
+    _, prepared, synonyms = _prepared(spark, sf)
+    return bounded.opened(kept), prepared, synonyms
+
+
+def rank_bounded(spark, sf):
+    """The ten best of each query from blocks of postings, of which those that can't reach them stay closed."""
+    blocks, prepared, synonyms = _bounded(spark, sf)
+    top = bounded.rank(blocks, prepared, synonyms).best
+    shown = blocks.catalog.select("corpus_pos", "product_name", "rec_category", "brand")
+    return _ints(shown.join(spelling.batch_hint(prepared)(top), "corpus_pos").select("query_id", "rank", "corpus_pos", "product_name", "rec_category", "brand", "score"))
+
+
 # Fuzzy and prefix lookup
 
 
@@ -252,6 +267,17 @@ def prefix_words(spark, sf):
     return _ints(prefix.complete(_word_list(spark, sf), asked))
 
 
+def prefix_range_words(spark, sf):
+    """The same by ranges of a sorted dictionary on disk; the customers' words are inserted later."""
+    key = (spark.sparkContext.applicationId, sf, "dictionary")
+    if key not in _BUILT:
+        names = [_table(spark, sf, t).select(F.col(c).alias("w")) for t, c in (("part", "p_name"), ("supplier", "s_name"), ("customer", "c_name"))]
+        first = dictionary.build(names[0].union(names[1]), "w", fresh_path(spark, "dictionary"))
+        _BUILT[key] = first.insert(names[2], "w")
+    asked = data.column(spark, "prefix", data.WORD_PREFIXES).select("prefix")
+    return _ints(_BUILT[key].complete(asked))
+
+
 def prefix_exists(spark, sf):
     asked = data.column(spark, "prefix", data.WORD_PREFIXES).select("prefix")
     return prefix.has_prefix(_word_list(spark, sf), asked)
@@ -451,7 +477,7 @@ def maxflow_tier_network(spark, sf):
 NAMES = (
     "norm_tokens token_sets doc_freq_vocab part_vocab pattern_count_overlap pattern_total_by_lang pattern_two_plan_agree pattern_automaton pattern_rolling_join substring_documents edit_distance_pairs "
     "edit_distance_cases spell_correct spell_report spell_documents query_intent algorithm_label token_match_rules score_products phrase_in_name "
-    "rank_top10 rank_total_matches fuzzy_search fallback_routing prefix_words prefix_exists word_exists prefix_products_and parse_fields "
+    "rank_top10 rank_bounded rank_total_matches fuzzy_search fallback_routing prefix_words prefix_range_words prefix_exists word_exists prefix_products_and parse_fields "
     "parse_sections strip_misspellings corpus_search corpus_pattern_counts corpus_prefix price_indian_grouping price_grouping_parts rating_parse "
     "brand_infer category_classify corpus_order recommend_selected recommend_tier recommend_rejected recommend_constraints recommend_dedupe "
     "recommend_status recommend_both_limits maxflow_edges maxflow_small maxflow_paths maxflow_tier_network"
