@@ -21,12 +21,13 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, small, small_batches
+from .common import materialize, small, small_batches, text_slices
 from .components import components
+from .memory import trimmed
 from .simhash import RADIUS, keep_first, majorities
 from .simhash import links as pigeonhole
 
@@ -34,8 +35,8 @@ SEED, SHINGLE = 42, 5
 #: Likeness of NUMERATOR / DENOMINATOR or more.
 NUMERATOR, DENOMINATOR = 4, 5
 BANDS, ROWS = 24, 4
-#: Shingles that are hashed at once.
-BLOCK = 2_000
+#: Shingles that are hashed at once, and characters of texts.
+BLOCK, SLICE = 2_000, 1 << 20
 
 _RANDOM = np.random.default_rng(SEED)
 _XOR, _ODD = (_RANDOM.integers(0, 1 << 64, BANDS * ROWS, dtype=np.uint64) for _ in range(2))
@@ -89,28 +90,39 @@ def node_of(own: np.ndarray) -> int:
 def with_keys(docs: DataFrame) -> DataFrame:
     """doc_id, text_hash, node, size (number of shingles), keys, fp (the set's SimHash)."""
 
-    def each(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            sets = [shingles(t if isinstance(t, str) else None) for t in f.text]
-            sizes = np.array([len(s) for s in sets], np.int64)
-            fps = majorities(np.concatenate([np.zeros(0, np.uint64), *sets]), sizes)
-            yield pd.DataFrame({
-                "doc_id": f.doc_id.astype("Int64"), "text_hash": f.text_hash, "node": np.array([node_of(s) for s in sets], np.int64),
-                "size": sizes, "keys": [band_keys(s).view(np.int64) for s in sets], "fp": fps.view(np.int64),
-            })
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            texts = b.column("text").to_pylist()
+            for part in text_slices(texts, SLICE):
+                sets = [shingles(t) for t in texts[part]]
+                sizes = np.array([len(s) for s in sets], np.int64)
+                fps = majorities(np.concatenate([np.zeros(0, np.uint64), *sets]), sizes)
+                keys = np.concatenate([band_keys(s) for s in sets]).view(np.int64)
+                own = b.slice(part.start, len(sets))
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        own.column("doc_id"), own.column("text_hash"), pa.array(np.array([node_of(s) for s in sets], np.int64)), pa.array(sizes),
+                        pa.ListArray.from_arrays(pa.array(np.arange(len(sets) + 1, dtype=np.int32) * BANDS), pa.array(keys)), pa.array(fps.view(np.int64)),
+                    ],
+                    names=["doc_id", "text_hash", "node", "size", "keys", "fp"],
+                )
 
     own = small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("text_hash"))
-    return own.mapInPandas(each, "doc_id long, text_hash long, node long, size long, keys array<long>, fp long")
+    return own.mapInArrow(trimmed(each), "doc_id long, text_hash long, node long, size long, keys array<long>, fp long")
 
 
 def with_shingles(texts: DataFrame) -> DataFrame:
     """node, text -> node, shingles."""
 
-    def each(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            yield pd.DataFrame({"node": f.node, "shingles": [shingles(t if isinstance(t, str) else None).view(np.int64) for t in f.text]})
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            texts = b.column("text").to_pylist()
+            for part in text_slices(texts, SLICE):
+                sets = [shingles(t) for t in texts[part]]
+                ends = np.cumsum([0, *map(len, sets)]).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([b.column("node").slice(part.start, len(sets)), pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(sets).view(np.int64)))], names=["node", "shingles"])
 
-    return small_batches(texts).select("node", "text").mapInPandas(each, "node long, shingles array<long>")
+    return small_batches(texts).select("node", "text").mapInArrow(trimmed(each), "node long, shingles array<long>")
 
 
 def sizes_fit(a: Column, b: Column) -> Column:

@@ -29,7 +29,6 @@ import os
 import re
 import zlib
 from collections.abc import Iterator
-from contextlib import suppress
 from itertools import compress
 
 import numpy as np
@@ -40,6 +39,7 @@ from pyspark.sql import functions as F
 
 from .ann import Tree
 from .common import in_slices, slots_for, small_batches, table, text_slices
+from .memory import trim
 from .near_copies import mixed
 from .simhash import ones
 
@@ -172,15 +172,6 @@ def chunks_of(path: str, end_id: int, kept: int = KEPT) -> Chunks:
     return _STATE["chunks"]
 
 
-def trim() -> None:
-    """Give freed memory back to the system, where the C library can; else each worker keeps the most it ever had."""
-    import ctypes
-
-    pa.default_memory_pool().release_unused()
-    with suppress(OSError, AttributeError):
-        ctypes.CDLL(None).malloc_trim(0)
-
-
 def free() -> None:
     """Let go of the table of chunks: a worker that encoded before needs it no longer when it packs."""
     _STATE.clear()

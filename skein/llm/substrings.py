@@ -34,8 +34,10 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import in_slices, materialize, pack_row, small, small_batches, table, unpack_row
+from .memory import trimmed
 from .suffix_array import common_prefixes, suffix_array
 
 LENGTH = 100
@@ -412,19 +414,16 @@ def remove_repeats(docs: DataFrame, **options) -> DataFrame:
     own = docs.columns
     joined = with_texts(pack_row(small_batches(docs), "doc_id", "text"), repeated_spans(docs.select("doc_id", "text"), **options), "left")
 
-    def each(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
             keep = []
-            for text, found in zip(f["text"], f["spans"]):
-                if text is None or found is None:
-                    keep.append(text)
-                else:
-                    keep.append(cut(text.encode("utf-8", "surrogatepass"), found)[0].decode("utf-8", "ignore"))
-            yield pd.DataFrame({"doc_id": f["doc_id"].astype("Int64"), "text": keep, "__row": f["__row"]})
+            for text, found in zip(b.column("text").to_pylist(), b.column("spans").to_pylist()):
+                keep.append(text if text is None or found is None else cut(text.encode(), found)[0].decode("utf-8", "ignore"))
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(keep, pa.string()), b.column("__row")], names=["doc_id", "text", "__row"])
 
     out = joined.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "spans", "__row")
-    kind = out.schema["__row"].dataType.simpleString()
-    out = unpack_row(out.mapInPandas(each, f"doc_id long, text string, __row {kind}"), own, "doc_id", "text")
+    schema = T.StructType([f for f in out.schema.fields if f.name != "spans"])
+    out = unpack_row(out.mapInArrow(trimmed(each), schema), own, "doc_id", "text")
     return out.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in own else out
 
 

@@ -27,11 +27,13 @@ from collections import Counter
 from collections.abc import Iterable, Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import BROADCAST_ROWS, materialize, pack_row, small_batches, table, text_slices
+from .memory import trimmed
 
 MAX_TOXIC, MAX_CLEAN = 3000, 6000
 HASH_BITS = 22
@@ -283,16 +285,17 @@ def train(docs: DataFrame, labels: DataFrame, groups: Iterable[tuple[str, ...]]
     picked = small_batches(docs).select("doc_id", "text", F.xxhash64("text").alias("text_hash")).join(F.broadcast(some[0].union(some[1])), "doc_id")
     groups = tuple(groups)
 
-    def extract(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
+    def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
             own, changes = [], []
-            for text in f["text"]:
-                text = text if isinstance(text, str) else None
+            for text in b.column("text").to_pylist():
                 own.append(as_bytes(features(text)))
-                changes.append([{"lost": a, "won": b, "n": n} for (a, b), n in counterfactuals(text, groups).items()])
-            yield pd.DataFrame({"doc_id": f["doc_id"], "toxic": f["toxic"], "text_hash": f["text_hash"], "own": own, "changes": changes})
+                changes.append([{"lost": x, "won": y, "n": n} for (x, y), n in counterfactuals(text, groups).items()])
+            swap = pa.list_(pa.struct([("lost", pa.binary()), ("won", pa.binary()), ("n", pa.int64())]))
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("doc_id", "toxic", "text_hash")), pa.array(own, pa.binary()), pa.array(changes, swap)], names=["doc_id", "toxic", "text_hash", "own", "changes"])
 
-    got = picked.mapInPandas(extract, "doc_id long, toxic int, text_hash long, own binary, changes array<struct<lost:binary,won:binary,n:long>>")
+    picked = picked.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.col("toxic").cast("int").alias("toxic"), "text_hash")
+    got = picked.mapInArrow(trimmed(extract), "doc_id long, toxic int, text_hash long, own binary, changes array<struct<lost:binary,won:binary,n:long>>")
     # Rows of one labelled id: the text of least hash stands for it; each task passes on one.
     got = got.groupBy("doc_id").agg(F.min_by(F.struct("toxic", "own", "changes"), "text_hash").alias("x")).select("doc_id", "x.*")
     got = materialize(got, "toxicity-sample")
@@ -309,12 +312,14 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(model)
     packed = pack_row(small_batches(docs), "text")
 
-    def each(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            yield f.assign(__score=shared.value.scores(f["text"]))
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = shared.value
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(model.scores(b.column("text").to_pylist()))], names=[*b.schema.names, "__score"])
+        model.clear()
 
-    kind = packed.schema["__row"].dataType.simpleString()
-    out = packed.mapInPandas(each, f"text string, __row {kind}, __score double")
+    schema = T.StructType([*packed.schema.fields, T.StructField("__score", T.DoubleType())])
+    out = packed.mapInArrow(trimmed(each), schema)
     return out.select(*[F.col("text") if c == "text" else F.col(f"__row.`{c}`").alias(c) for c in docs.columns], "__score")
 
 

@@ -72,4 +72,4 @@ def test_registered():
 
     names = __spark_entry__.queries()
     assert "pipeline" in names and set(registry.queries()) <= set(names)
-    assert sorted(int(n[2:].split("_")[0]) for n in registry.queries()) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in registry.queries()) == list(range(1, 14))
