@@ -8,12 +8,16 @@ none with probability (1 - 0.8 ** ROWS) ** BANDS, 3 in a million; a pair above,
 the exact likeness of both whole shingle sets, so nothing below 0.8 links. Linked texts are connected.
 
 Texts of one shingle set are one node. Nodes of a key never meet as pairs at first: each is compared with the
-least node of its key only. Of what that leaves in different components of one key, nodes go that can't link: those
-of whose shingles under 0.8 lie in a node of any other component (`linkable`). The rest is compared pair by pair; so
-components are those of all candidate pairs, while a large group of copies costs a comparison per member.
+least node of its key, then with up to `HUBS` more of its nodes, one after another. Of what that leaves in different
+components of one key, nodes go that can't link: those of whose shingles under 0.8 lie in a node of any other component
+(`linkable`). The rest is compared pair by pair inside a salted join that lets only links out; so components are those
+of all candidate pairs, while a large group of copies costs a few comparisons per member. Texts of one family just
+under 0.8 stay apart, so among them comparisons, though not rows, grow with the square of the family.
 
 Defined cases: words are runs of anything but the six ASCII spaces, A-Z as a-z; fewer than five words: the whole
-sequence is the shingle; null texts and texts without words are all alike.
+sequence is the shingle; null texts and texts without words are all alike; texts of any length are read whole; a null
+doc_id is a document too, and is kept before all others; rows repeated whole are copies; an empty table gives an empty
+result; further columns, whatever their names, are kept as they are.
 """
 
 from __future__ import annotations
@@ -35,6 +39,10 @@ SEED, SHINGLE = 42, 5
 #: Likeness of NUMERATOR / DENOMINATOR or more.
 NUMERATOR, DENOMINATOR = 4, 5
 BANDS, ROWS = 24, 4
+#: Further nodes of a key that all its nodes are compared with, one at a time, before pairs are.
+HUBS = 6
+#: Tasks that a key's nodes are dealt to where pairs of them are compared.
+SALTS = 8
 #: Shingles that are hashed at once, and characters of texts.
 BLOCK, SLICE = 2_000, 1 << 20
 
@@ -129,13 +137,16 @@ def sizes_fit(a: Column, b: Column) -> Column:
     return F.least(a, b) * DENOMINATOR >= F.greatest(a, b) * NUMERATOR
 
 
+def likeness_fits() -> Column:
+    """Whether the shingle sets sa and sb reach the bound."""
+    return F.size(F.array_intersect("sa", "sb")) * (NUMERATOR + DENOMINATOR) >= (F.size("sa") + F.size("sb")) * NUMERATOR
+
+
 def alike(pairs: DataFrame, held: DataFrame) -> DataFrame:
     """The pairs (a, b) whose likeness reaches the bound; `held`: node, shingles of every node that is named."""
     one = held.select(F.col("node").alias("a"), F.col("shingles").alias("sa"))
     two = held.select(F.col("node").alias("b"), F.col("shingles").alias("sb"))
-    both = F.size(F.array_intersect("sa", "sb"))
-    found = pairs.join(one, "a").join(two, "b")
-    return found.where(both * (NUMERATOR + DENOMINATOR) >= (F.size("sa") + F.size("sb")) * NUMERATOR).select("a", "b")
+    return pairs.join(one, "a").join(two, "b").where(likeness_fits()).select("a", "b")
 
 
 def by_fingerprint(nodes: DataFrame) -> DataFrame:
@@ -169,6 +180,18 @@ def linkable(left: DataFrame, held: DataFrame) -> DataFrame:
     return left
 
 
+def rooted(members: DataFrame, roots: DataFrame) -> DataFrame:
+    return members.join(roots, "node", "left").select("key", "node", "size", F.coalesce("root", "node").alias("root"))
+
+
+def with_hubs(members: DataFrame, roots: DataFrame, turn: int) -> DataFrame:
+    """Each node of a key with one more of its nodes, another at each turn, where the two are in different components yet."""
+    own = rooted(members, roots)
+    hubs = own.groupBy("key").agg(F.min(F.struct(F.xxhash64("node", F.lit(turn)).alias("h"), "node", "size", "root")).alias("l"))
+    pairs = own.join(hubs, "key").where((F.col("root") != F.col("l.root")) & sizes_fit(F.col("size"), F.col("l.size")))
+    return pairs.select(F.greatest("node", "l.node").alias("a"), F.least("node", "l.node").alias("b")).distinct()
+
+
 def near_copies(docs: DataFrame) -> DataFrame:
     """doc_id, text_hash, root of every row of docs (doc_id, text); root names the component."""
     rows = materialize(with_keys(docs), "near-keys")
@@ -192,22 +215,31 @@ def near_copies(docs: DataFrame) -> DataFrame:
 
     links = materialize(alike(first, held), "near-links")
     roots = materialize(components(links), "near-roots")
+    members = members.select("key", "node", "size")
+    for turn in range(HUBS):
+        found = materialize(alike(with_hubs(members, roots, turn), held), "near-hub-links")
+        if not found.head(1):
+            break
+        links = links.unionByName(found)
+        roots = materialize(components(links), "near-roots")
     # What is left in a key: nodes of different components.
-    members = members.select("key", "node", "size").join(roots, "node", "left").select("key", "node", "size", F.coalesce("root", "node").alias("root"))
-    members = materialize(members, "near-rooted")
+    members = materialize(rooted(members, roots), "near-rooted")
     open_keys = members.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x < y").select("key")
     some = linkable(materialize(members.join(open_keys, "key").select("node", "root").distinct(), "near-apart"), held)
     members = members.join(small(some.select("node", "shared"), some.count()), "node")
     open_keys = members.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x < y").select("key")
-    members = materialize(members.join(materialize(open_keys, "near-open"), "key"), "near-left")
-    one = members.select("key", "root", F.col("node").alias("a"), F.col("size").alias("na"), F.col("shared").alias("ia"))
-    two = members.select("key", F.col("root").alias("other"), F.col("node").alias("b"), F.col("size").alias("nb"), F.col("shared").alias("ib"))
+    members = members.join(materialize(open_keys, "near-open"), "key").join(nodes.select("node", "keys"), "node").join(held, "node")
+    members = materialize(members, "near-left")
+    salt = F.pmod(F.xxhash64("node"), F.lit(SALTS))
+    one = members.select("key", salt.alias("salt"), "root", F.col("node").alias("a"), F.col("size").alias("na"), F.col("shared").alias("ia"), F.col("keys").alias("ka"), F.col("shingles").alias("sa"))
+    two = members.select("key", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"), F.col("root").alias("other"), F.col("node").alias("b"), F.col("size").alias("nb"), F.col("shared").alias("ib"), F.col("keys").alias("kb"), F.col("shingles").alias("sb"))
     # Two nodes of different components have no more shingles in common than either has in others at all.
     reach = F.least("ia", "ib") * (NUMERATOR + DENOMINATOR) >= (F.col("na") + F.col("nb")) * NUMERATOR
-    rest = one.join(two, (one.key == two.key) & (F.col("root") < F.col("other")) & sizes_fit(F.col("na"), F.col("nb")) & reach)
-    rest = rest.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-    rest = materialize(rest.join(first, ["a", "b"], "left_anti"), "near-rest")
-    more = materialize(alike(rest, held), "near-more")
+    # Band by band, the first key that both have: a pair is held to the exact likeness there alone, and only links leave the join.
+    meet = F.get(F.filter(F.zip_with("ka", "kb", lambda x, y: F.when(x == y, x)), lambda x: x.isNotNull()), F.lit(0)) == one.key
+    near = (one.key == two.key) & (one.salt == two.salt) & (F.col("root") < F.col("other")) & sizes_fit(F.col("na"), F.col("nb")) & reach & meet & likeness_fits()
+    more = one.join(two, near).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
+    more = materialize(more, "near-rest")
     if more.head(1):
         roots = materialize(components(links.union(more)), "near-roots")
     named = rows.select("doc_id", "text_hash", "node").join(small(roots, roots.count()), "node", "left")
