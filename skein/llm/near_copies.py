@@ -8,11 +8,11 @@ none with probability (1 - 0.8 ** ROWS) ** BANDS, 3 in a million; a pair above,
 the exact likeness of both whole shingle sets, so nothing below 0.8 links. Linked texts are connected.
 
 Texts of one shingle set are one node. Nodes of a key never meet as pairs at first: each is compared with the
-least node of its key, then with up to `HUBS` more of its nodes, one after another. Of what that leaves in different
-components of one key, nodes go that can't link: those of whose shingles under 0.8 lie in a node of any other component
-(`linkable`). The rest is compared pair by pair inside a salted join that lets only links out; so components are those
-of all candidate pairs, while a large group of copies costs a few comparisons per member. Texts of one family just
-under 0.8 stay apart, so among them comparisons, though not rows, grow with the square of the family.
+least node of its key only. Of what that leaves in different components of one key, nodes go that can't link: those
+of whose shingles under 0.8 lie in a node of any other component (`linkable`). The rest is compared pair by pair inside
+a salted join that lets only links out; so components are those of all candidate pairs, while a large group of copies
+costs a comparison per member. Texts of one family just under 0.8 stay apart, so among them comparisons, though not
+rows, grow with the square of the family.
 
 Defined cases: words are runs of anything but the six ASCII spaces, A-Z as a-z; fewer than five words: the whole
 sequence is the shingle; null texts and texts without words are all alike; texts of any length are read whole; a null
@@ -39,10 +39,8 @@ SEED, SHINGLE = 42, 5
 #: Likeness of NUMERATOR / DENOMINATOR or more.
 NUMERATOR, DENOMINATOR = 4, 5
 BANDS, ROWS = 24, 4
-#: Further nodes of a key that all its nodes are compared with, one at a time, before pairs are.
-HUBS = 6
 #: Tasks that a key's nodes are dealt to where pairs of them are compared.
-SALTS = 8
+SALTS = 2
 #: Shingles that are hashed at once, and characters of texts.
 BLOCK, SLICE = 2_000, 1 << 20
 
@@ -184,14 +182,6 @@ def rooted(members: DataFrame, roots: DataFrame) -> DataFrame:
     return members.join(roots, "node", "left").select("key", "node", "size", F.coalesce("root", "node").alias("root"))
 
 
-def with_hubs(members: DataFrame, roots: DataFrame, turn: int) -> DataFrame:
-    """Each node of a key with one more of its nodes, another at each turn, where the two are in different components yet."""
-    own = rooted(members, roots)
-    hubs = own.groupBy("key").agg(F.min(F.struct(F.xxhash64("node", F.lit(turn)).alias("h"), "node", "size", "root")).alias("l"))
-    pairs = own.join(hubs, "key").where((F.col("root") != F.col("l.root")) & sizes_fit(F.col("size"), F.col("l.size")))
-    return pairs.select(F.greatest("node", "l.node").alias("a"), F.least("node", "l.node").alias("b")).distinct()
-
-
 def near_copies(docs: DataFrame) -> DataFrame:
     """doc_id, text_hash, root of every row of docs (doc_id, text); root names the component."""
     rows = materialize(with_keys(docs), "near-keys")
@@ -215,13 +205,6 @@ def near_copies(docs: DataFrame) -> DataFrame:
 
     links = materialize(alike(first, held), "near-links")
     roots = materialize(components(links), "near-roots")
-    members = members.select("key", "node", "size")
-    for turn in range(HUBS):
-        found = materialize(alike(with_hubs(members, roots, turn), held), "near-hub-links")
-        if not found.head(1):
-            break
-        links = links.unionByName(found)
-        roots = materialize(components(links), "near-roots")
     # What is left in a key: nodes of different components.
     members = materialize(rooted(members, roots), "near-rooted")
     open_keys = members.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x < y").select("key")
