@@ -298,7 +298,7 @@ def _parse_cases() -> str:
     meta = "|".join(fields.METADATA)
     info = "coalesce(nullif(overview, ''), nullif(m3, ''), nullif(m2, ''), nullif(m1, ''), '')"
     return f"""
-WITH {_rows("doc", "file_name, content0", data.DOCS)},
+WITH doc AS (SELECT 'p' || id::VARCHAR || '.txt' AS file_name, body0 || CASE WHEN p_size % 3 = 0 THEN '' ELSE chr(10) || p_name || chr(10) END AS content0 FROM {_turns(body=[c for _, c in data.DOCS])}),
 doc1 AS (SELECT file_name, regexp_replace(content0, '\\r\\n?', chr(10), 'g') AS c FROM doc),
 doc2 AS (SELECT file_name, string_split(CASE WHEN c = '' OR suffix(c, chr(10)) THEN c ELSE c || chr(10) END, chr(10)) AS l FROM doc1),
 x AS (SELECT file_name, generate_subscripts(l, 1) AS i, unnest(l) AS raw FROM doc2),
@@ -332,6 +332,12 @@ def _in_values(name: str, values) -> str:
     return _rows("p", f"id, {name}", list(enumerate(values)))
 
 
+def _turns(**columns) -> str:
+    """The parts, each with one of the cases, in turn by key."""
+    picks = ", ".join(f"[{', '.join(map(_text, v))}][p_partkey % {len(v)} + 1] AS {c}0" for c, v in columns.items())
+    return f"(SELECT p_partkey AS id, p_name, p_size, {picks} FROM part)"
+
+
 def _part_body() -> str:
     return """SELECT p_partkey AS corpus_pos, p_name, p_brand, p_type, p_size, p_retailprice::BIGINT AS price FROM part"""
 
@@ -369,7 +375,7 @@ def oracle_sql() -> dict[str, str]:
             split AS (SELECT *, string_split(text, phrase) AS parts FROM hits)
             SELECT phrase, doc_id, CASE WHEN phrase IN ('aaaa') THEN len(list_filter(range(1, length(text) - length(phrase) + 2), lambda i: substr(text, i, length(phrase)) = phrase)) ELSE len(parts) - 1 END::BIGINT AS occurrences FROM split""",
         "edit_distance_pairs": _with(_in_values("typed", data.MISSPELT)) + "SELECT p_name, typed, levenshtein(lower(p_name), lower(typed))::BIGINT AS distance FROM (SELECT DISTINCT p_name FROM part), p",
-        "edit_distance_cases": _with(_rows("p", "id, a, b", [(i, a, b) for i, (a, b) in enumerate(data.DISTANCES)])) + "SELECT id::BIGINT AS id, levenshtein(lower(coalesce(a, '')), lower(coalesce(b, '')))::BIGINT AS distance FROM p",
+        "edit_distance_cases": _with("p AS (SELECT id, a0 AS a, b0 || ' ' || p_name AS b FROM " + _turns(a=[a for a, _ in data.DISTANCES], b=[b for _, b in data.DISTANCES]) + ")") + "SELECT id::BIGINT AS id, levenshtein(lower(coalesce(a, '')), lower(coalesce(b, '')))::BIGINT AS distance FROM p",
         "spell_correct": SEARCH + f"SELECT {q}, pos::BIGINT AS pos, term, corrected, distance FROM ct",
         "spell_report": SEARCH + f"SELECT {q}, row_number() OVER (PARTITION BY query_id ORDER BY pos) AS change_no, pos::BIGINT AS pos, term, corrected, distance FROM ct WHERE term <> corrected",
         "spell_documents": f"""WITH v AS (SELECT word, count(*) AS f FROM (SELECT DISTINCT doc_id, unnest({_words('n')}) AS word FROM ({docs})) WHERE length(word) >= 3 AND NOT regexp_matches(word, '[0-9]') GROUP BY word),
@@ -399,15 +405,15 @@ def oracle_sql() -> dict[str, str]:
             {searchable} || '   Primary Keywords: ' || p_name || '   Common Misspellings: smlal Searchable Attributes:   [1] Size: ' || p_size || ' ' AS searchable,
             replace({searchable.replace("'   Brand : '", "' Brand : '")}, '  Category', '  Category') || ' Primary Keywords: ' || p_name || ' Searchable Attributes: Size: ' || p_size || ' ' AS clean,
             '  Primary Keywords: ' || p_name || '   Common Misspellings: smlal ' AS index_text FROM part""",
-        "strip_misspellings": _with(_in_values("t", STRIP)) + """SELECT id::BIGINT AS id, CASE WHEN s = 0 THEN t ELSE left(t, s - 1) || coalesce(substr(r, nullif(least(
+        "strip_misspellings": _with("p AS (SELECT id, t0 || ' ' || p_name AS t FROM " + _turns(t=STRIP) + ")") + """SELECT id::BIGINT AS id, CASE WHEN s = 0 THEN t ELSE left(t, s - 1) || coalesce(substr(r, nullif(least(
               coalesce(nullif(instr(r, 'search phrases:'), 0), 100000), coalesce(nullif(instr(r, 'search intent keywords:'), 0), 100000), coalesce(nullif(instr(r, 'related search terms:'), 0), 100000)), 100000)), '') END AS kept
             FROM (SELECT *, instr(t, 'common misspellings:') AS s, substr(t, greatest(instr(t, 'common misspellings:'), 1)) AS r FROM p)""",
-        "price_indian_grouping": _with(_in_values("price", data.PRICES)) + f"SELECT id::BIGINT AS id, shown FROM ({_PRICE})",
+        "price_indian_grouping": _with("p AS (SELECT id, price0 || id::VARCHAR AS price FROM " + _turns(price=data.PRICES) + ")") + f"SELECT id::BIGINT AS id, shown FROM ({_PRICE})",
         "price_grouping_parts": f"SELECT p_partkey, {_grouped('x')} AS grouped FROM (SELECT p_partkey, floor(p_retailprice * p_partkey)::BIGINT::VARCHAR AS x FROM part)",
-        "rating_parse": _with(_in_values("rating", data.RATINGS)) + "SELECT id::BIGINT AS id, coalesce(try_cast(nullif(regexp_extract(rating, '[0-9]+([.][0-9]+)?'), '') AS DOUBLE), 0.0) AS value FROM p",
-        "brand_infer": _with(_in_values("name", data.NAMES)) + f"SELECT id::BIGINT AS id, {_brands()} AS brand FROM p",
-        "category_classify": _with(_rows("p", "id, field, name", [(i, f, n) for i, (f, n) in enumerate(data.FIELDS)])) + f"SELECT id::BIGINT AS id, {_classify()} AS category FROM p",
-        "corpus_order": _with(_in_values("file_name", data.FILE_NAMES)) + "SELECT row_number() OVER (ORDER BY lower(file_name), file_name) - 1 AS corpus_pos, file_name FROM p",
+        "rating_parse": _with("p AS (SELECT id, rating0 || p_size::VARCHAR AS rating FROM " + _turns(rating=data.RATINGS) + ")") + "SELECT id::BIGINT AS id, coalesce(try_cast(nullif(regexp_extract(rating, '[0-9]+([.][0-9]+)?'), '') AS DOUBLE), 0.0) AS value FROM p",
+        "brand_infer": _with("p AS (SELECT id, name0 || ' ' || p_name AS name FROM " + _turns(name=data.NAMES) + ")") + f"SELECT id::BIGINT AS id, {_brands()} AS brand FROM p",
+        "category_classify": _with("p AS (SELECT id, field0 AS field, name0 || ' ' || p_name AS name FROM " + _turns(field=[f for f, _ in data.FIELDS], name=[n for _, n in data.FIELDS]) + ")") + f"SELECT id::BIGINT AS id, {_classify()} AS category FROM p",
+        "corpus_order": _with("p AS (SELECT p_name || '_' || id::VARCHAR || '_' || end0 AS file_name FROM " + _turns(end=data.FILE_NAMES) + ")") + "SELECT row_number() OVER (ORDER BY lower(file_name), file_name) - 1 AS corpus_pos, file_name FROM p",
         "corpus_pattern_counts": f"""SELECT {_sums('n', ['red', 'brand 1', 'g', 'smlal', 'unseen', 'hot ring'])} FROM (SELECT {_norm("p_name || ' ' || p_brand || ' ' || p_type || ' ' || " + searchable + " || ' Primary Keywords: ' || p_name || ' Common Misspellings: smlal Searchable Attributes: [1] Size: ' || p_size")} AS n FROM part)""",
         "corpus_prefix": _prefix_products("SELECT p_partkey AS corpus_pos, p_name AS a, 'primary keywords ' || p_name || ' common misspellings smlal' AS b FROM part", [(1, "key"), (2, "sml r"), (3, "hidden"), (4, "hot pl")]),
         "recommend_selected": RECOMMEND + f"SELECT {q}, row_number() OVER (PARTITION BY query_id ORDER BY rank) AS slot, rank, product_name, category, CASE WHEN brand = '' THEN '-' ELSE brand END AS brand, coalesce(score::VARCHAR, '-') AS score, tier::BIGINT AS tier FROM dec WHERE selected",
@@ -428,10 +434,20 @@ def oracle_sql() -> dict[str, str]:
         "corpus_search": _with(QUERIES, INTENT, SYNONYMS, TEXTS, VOCAB, TERMS, SCORED) + f"SELECT {q}, rank, corpus_pos, product_name, rec_category, brand, score, total_matches FROM ranked WHERE rank <= 10",
         "parse_cases": _parse_cases(),
         "maxflow_paths": f"SELECT graph_id, max_flow, 4::BIGINT AS shortest, true AS ordered, true AS ends, true AS kept FROM ({_GRAPH + _MIN_CUT})",
-        "maxflow_demo": _with(_rows("edges", "src, dst, capacity", data.DEMO)) + """SELECT 'demo' AS graph_id, min(cut)::BIGINT AS max_flow FROM (
-            SELECT x, sum(CASE WHEN (src = 0 OR (x >> (src - 1)) & 1 = 1) AND NOT (dst < 7 AND (x >> (dst - 1)) & 1 = 1) THEN capacity ELSE 0 END) AS cut
-            FROM edges CROSS JOIN (SELECT unnest(range(0, 64)) AS x) GROUP BY x)""",
-        "recommend_names_only": _with(_rows("bare", "query_id, rank, product_name, category", data.BARE)) + """, named AS (
+        "maxflow_demo": _with(_rows("e", "edge_pos, src, dst, c", [(i, *e) for i, e in enumerate(data.DEMO)]) + ", edges AS (SELECT r_name AS graph_id, src, dst, c + (edge_pos + r_regionkey) % 3 AS capacity FROM e, region)") + """SELECT graph_id, min(cut)::BIGINT AS max_flow FROM (
+            SELECT graph_id, x, sum(CASE WHEN (src = 0 OR (x >> (src - 1)) & 1 = 1) AND NOT (dst < 7 AND (x >> (dst - 1)) & 1 = 1) THEN capacity ELSE 0 END) AS cut
+            FROM edges CROSS JOIN (SELECT unnest(range(0, 64)) AS x) GROUP BY graph_id, x) GROUP BY graph_id""",
+        "maxflow_rounds": """WITH asked AS (SELECT c_nationkey AS k, count(*) AS a FROM customer GROUP BY c_nationkey),
+            lines AS (SELECT l_partkey, min(l_suppkey) AS s, count(*) AS n FROM lineitem GROUP BY l_partkey),
+            parts AS (SELECT s, p_type, least(n % 5 + 1, p_size % 4 + 1) AS m FROM part JOIN lines ON l_partkey = p_partkey),
+            types AS (SELECT p_type, row_number() OVER (ORDER BY p_type) - 1 AS i, floor(count(*) * (length(p_type) % 3 + 1) / 4)::BIGINT AS t FROM parts GROUP BY p_type),
+            sides AS (SELECT unnest(range(0, (1 << (SELECT count(*) FROM types))::BIGINT)) AS x),
+            by_supplier AS (SELECT x, s, sum(m) AS m FROM parts JOIN types USING (p_type), sides WHERE (x >> i) & 1 = 1 GROUP BY x, s),
+            by_nation AS (SELECT x, s_nationkey AS k, sum(least(m, s_suppkey * 37 % 29 + 1)) AS m FROM by_supplier JOIN supplier ON s_suppkey = s GROUP BY x, s_nationkey),
+            above AS (SELECT x, sum(least(m, a)) AS cut FROM by_nation JOIN asked USING (k) GROUP BY x),
+            below AS (SELECT x, coalesce(sum(t) FILTER ((x >> i) & 1 = 0), 0) AS cut FROM sides, types GROUP BY x)
+            SELECT 'supply' AS graph_id, min(coalesce(above.cut, 0) + below.cut)::BIGINT AS max_flow FROM below LEFT JOIN above USING (x)""",
+        "recommend_names_only": _with("bare AS (SELECT * FROM (SELECT p_size AS query_id, row_number() OVER (PARTITION BY p_size ORDER BY id) AS rank, CASE WHEN trim(end0) = '' THEN '' ELSE end0 || ' ' || p_name END AS product_name, kind0 AS category FROM " + _turns(end=[n for _, _, n, _ in data.BARE], kind=[c for _, _, _, c in data.BARE]) + ") WHERE rank <= 30)") + """, named AS (
             SELECT query_id, rank, trim(product_name) AS product_name, CASE WHEN trim(coalesce(category, '')) = '' THEN 'Other Products' ELSE trim(category) END AS category FROM bare WHERE trim(product_name) <> ''),
             once AS (SELECT * FROM named QUALIFY row_number() OVER (PARTITION BY query_id, lower(product_name) ORDER BY rank) = 1)
             SELECT query_id::BIGINT AS query_id, row_number() OVER (PARTITION BY query_id ORDER BY rank) AS slot, rank::BIGINT AS rank, product_name, category, '-' AS brand, '-' AS score, 1::BIGINT AS tier

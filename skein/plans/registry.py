@@ -10,7 +10,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import fields, text
-from ..operators import bounded, catalog, dictionary, flow, fuzzy, patterns, prefix, recommend, search, spelling, substring
+from ..operators import bounded, catalog, dictionary, flow, flow_rounds, fuzzy, patterns, prefix, recommend, search, spelling, substring
 from ..sources import corpus, index
 from ..sources.staging import fresh_path, materialize
 from . import data
@@ -116,6 +116,12 @@ def pattern_rolling_join(spark, sf):
     return patterns.count_by_hash_join(_normalized(spark, sf), "n", materialize(pattern_table(spark, sf), "patterns"), ["lang"])
 
 
+def _cases(spark, sf, **columns: list) -> DataFrame:
+    """The parts, each with one of the cases, in turn by key."""
+    pick = lambda values: F.get(text.lit_strings(values), (F.col("p_partkey") % len(values)).cast("int"))
+    return _table(spark, sf, "part").select(F.col("p_partkey").alias("id"), "p_name", "p_type", "p_size", *[pick(v).alias(c) for c, v in columns.items()])
+
+
 def _kept(spark, sf, name, tables):
     """The tables of an index on disk: written once in a session."""
     key = (spark.sparkContext.applicationId, sf, name)
@@ -155,7 +161,7 @@ def edit_distance_pairs(spark, sf):
 
 
 def edit_distance_cases(spark, sf):
-    rows = spark.createDataFrame([(i, a, b) for i, (a, b) in enumerate(data.DISTANCES)], "id int, a string, b string")
+    rows = _cases(spark, sf, a=[a for a, _ in data.DISTANCES], b=[b for _, b in data.DISTANCES]).withColumn("b", F.concat("b", F.lit(" "), "p_name"))
     return rows.select(F.col("id").cast("long").alias("id"), text.edit_distance(F.col("a"), F.col("b")).cast("long").alias("distance"))
 
 
@@ -319,7 +325,7 @@ def parse_sections(spark, sf):
 
 
 def strip_misspellings(spark, sf):
-    rows = data.column(spark, "t", data.STRIP_CASES)
+    rows = _cases(spark, sf, t=data.STRIP_CASES).withColumn("t", F.concat("t", F.lit(" "), "p_name"))
     return rows.select(F.col("id").cast("long").alias("id"), fields.without_misspellings(F.col("t")).alias("kept"))
 
 
@@ -346,7 +352,7 @@ def corpus_prefix(spark, sf):
 
 
 def price_indian_grouping(spark, sf):
-    rows = data.column(spark, "price", data.PRICES)
+    rows = _cases(spark, sf, price=data.PRICES).withColumn("price", F.concat("price", F.col("id").cast("string")))
     return rows.select(F.col("id").cast("long").alias("id"), text.normalize_price(F.col("price")).alias("shown"))
 
 
@@ -356,24 +362,24 @@ def price_grouping_parts(spark, sf):
 
 
 def rating_parse(spark, sf):
-    rows = data.column(spark, "rating", data.RATINGS)
+    rows = _cases(spark, sf, rating=data.RATINGS).withColumn("rating", F.concat("rating", F.col("p_size").cast("string")))
     return rows.select(F.col("id").cast("long").alias("id"), text.parse_rating(F.col("rating")).alias("value"))
 
 
 def brand_infer(spark, sf):
-    rows = data.column(spark, "name", data.NAMES)
+    rows = _cases(spark, sf, name=data.NAMES).withColumn("name", F.concat("name", F.lit(" "), "p_name"))
     return rows.select(F.col("id").cast("long").alias("id"), fields.brand_from_name(F.col("name")).alias("brand"))
 
 
 def category_classify(spark, sf):
-    rows = spark.createDataFrame([(i, f, n) for i, (f, n) in enumerate(data.FIELDS)], "id int, field string, name string")
+    rows = _cases(spark, sf, field=[f for f, _ in data.FIELDS], name=[n for _, n in data.FIELDS]).withColumn("name", F.concat("name", F.lit(" "), "p_name"))
     rows = rows.select("id", text.strip_control(F.coalesce("field", F.lit(""))).alias("field"), text.normalize(F.col("name")).alias("name"))
     rows = rows.withColumn("field_norm", text.normalize(F.col("field")))
     return rows.select(F.col("id").cast("long").alias("id"), fields.classify(F.col("field"), F.col("field_norm"), F.col("name")).alias("category"))
 
 
 def corpus_order(spark, sf):
-    rows = data.column(spark, "file_name", data.FILE_NAMES).select("file_name")
+    rows = _cases(spark, sf, end=data.FILE_NAMES).select(F.concat_ws("_", "p_name", F.col("id").cast("string"), "end").alias("file_name"))
     return corpus.with_order(rows).select("corpus_pos", "file_name")
 
 
@@ -485,23 +491,62 @@ NAMES = (
 
 
 def parse_cases(spark, sf):
-    """Edge cases of the field rules, on written texts."""
-    d = data.documents(spark).select("file_name", corpus.clean_content(F.col("content").cast("binary")).alias("content"))
+    """Edge cases of the field rules, on texts written from the parts."""
+    more = F.when(F.col("p_size") % 3 == 0, F.lit("")).otherwise(F.concat(F.lit("\n"), "p_name", F.lit("\n")))
+    rows = _cases(spark, sf, body=[c for _, c in data.DOCS])
+    return parsed(rows.select(F.format_string("p%d.txt", "id").alias("file_name"), F.concat("body", more).alias("content")))
+
+
+def parsed(texts):
+    """file_name, content -> every field."""
+    d = texts.select("file_name", corpus.clean_content(F.col("content").cast("binary")).alias("content"))
     read = fields.read(d)
     return read.withColumn("search_text", fields.search_text(F.struct(*read.columns))).withColumnRenamed("product_name", "name")
 
 
 def recommend_names_only(spark, sf):
     """Candidates without brands and scores."""
-    rows = spark.createDataFrame(data.BARE, "query_id int, rank int, product_name string, category string")
+    rows = _cases(spark, sf, end=[n for _, _, n, _ in data.BARE], kind=[c for _, _, _, c in data.BARE])
+    place = F.row_number().over(W.partitionBy("p_size").orderBy("id"))
+    rows = rows.select(F.col("p_size").cast("int").alias("query_id"), place.alias("rank"), F.when(F.trim("end") == "", "").otherwise(F.concat("end", F.lit(" "), "p_name")).alias("product_name"), F.col("kind").alias("category"))
+    rows = rows.where(F.col("rank") <= search.POOL)
     return _ints(recommend.selected(recommend.decide(rows)))
 
 
 def maxflow_demo(spark, sf):
-    """The network that is shown as an example: two categories, two products each, one pool."""
-    edges = spark.createDataFrame([("demo", i, *e) for i, e in enumerate(data.DEMO)], "graph_id string, edge_pos int, src int, dst int, capacity int")
+    """The network that is shown as an example, one per region: two categories, two products each, one pool."""
+    steps = spark.createDataFrame([(i, *e) for i, e in enumerate(data.DEMO)], "edge_pos int, src int, dst int, c int")
+    regions = _table(spark, sf, "region").select(F.col("r_name").alias("graph_id"), "r_regionkey")
+    more = ((F.col("edge_pos") + F.col("r_regionkey")) % 3).cast("int")
+    edges = regions.join(F.broadcast(steps)).select("graph_id", "edge_pos", "src", "dst", (F.col("c") + more).alias("capacity"))
     return flow.max_flow(edges, _terminals(spark, edges, data.DEMO_SINK))
 
 
+def _supply(spark, sf):
+    """One network of all nations, suppliers and parts: from customers by nation, by supplier, by part, to its type."""
+    nation, supplier, part = (_table(spark, sf, t) for t in ("nation", "supplier", "part"))
+    name = lambda letter, c: F.concat(F.lit(letter), F.col(c).cast("string"))
+    asked = _table(spark, sf, "customer").groupBy("c_nationkey").agg(F.count(F.lit(1)).alias("n"))
+    lines = _table(spark, sf, "lineitem").groupBy("l_partkey").agg(F.min("l_suppkey").alias("s"), F.count(F.lit(1)).alias("n"))
+    parts = part.join(lines, part.p_partkey == lines.l_partkey)
+    steps = [
+        nation.join(asked, nation.n_nationkey == asked.c_nationkey).select(F.lit("source"), name("n", "n_nationkey"), "n"),
+        supplier.select(name("n", "s_nationkey"), name("s", "s_suppkey"), F.col("s_suppkey") * 37 % 29 + 1),
+        parts.select(name("s", "s"), name("p", "p_partkey"), F.col("n") % 5 + 1),
+        parts.select(name("p", "p_partkey"), name("t", "p_type"), F.col("p_size") % 4 + 1),
+        parts.groupBy("p_type").agg(F.count(F.lit(1)).alias("n")).select(name("t", "p_type"), F.lit("sink"), F.floor(F.col("n") * (F.length("p_type") % 3 + 1) / 4)),
+    ]
+    every = steps[0].toDF("src", "dst", "capacity").withColumn("capacity", F.col("capacity").cast("long"))
+    for x in steps[1:]:
+        every = every.union(x.toDF("src", "dst", "capacity").withColumn("capacity", F.col("capacity").cast("long")))
+    return every.withColumn("graph_id", F.lit("supply"))
+
+
+def maxflow_rounds(spark, sf):
+    """The maximum flow of one graph that grows with the tables."""
+    ends = spark.createDataFrame([("supply", "source", "sink")], "graph_id string, source string, sink string")
+    return flow_rounds.max_flow(_supply(spark, sf), ends)
+
+
 def queries() -> dict[str, Query]:
-    return {n: globals()[n] for n in [*NAMES, "parse_cases", "maxflow_demo", "recommend_names_only"]}
+    return {n: globals()[n] for n in [*NAMES, "parse_cases", "maxflow_demo", "maxflow_rounds", "recommend_names_only"]}

@@ -79,7 +79,7 @@ def test_ratings(spark):
 def parsed(spark):
     from skein.plans import registry
 
-    return {r["file_name"]: r for r in registry.parse_cases(spark, "").collect()}
+    return {r["file_name"]: r for r in registry.parsed(data.documents(spark)).collect()}
 
 
 def test_labelled_fields(parsed):
