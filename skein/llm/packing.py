@@ -30,6 +30,7 @@ import re
 import zlib
 from collections.abc import Iterator
 from itertools import compress
+from operator import itemgetter
 
 import numpy as np
 import pandas as pd
@@ -74,7 +75,8 @@ class Chunks:
     """
 
     END = b"\n"  # no chunk: it stands for the end id
-    MARK = re.compile(rb"(?<=[a-z])([.,;:!?])(?=[ \n])")
+    #: The mark first: so it is what the search runs for.
+    MARK = re.compile(rb"[.,;:!?](?<=[a-z].)(?=[ \n])")
 
     def __init__(self, path: str, end_id: int, kept: int = KEPT):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -136,7 +138,7 @@ class Chunks:
 
     @classmethod
     def of(cls, text: str | None) -> list[bytes]:
-        return cls.MARK.sub(rb" \1", text.encode("utf-8", "surrogatepass").lower()).split() if text else []  # bytes: A-Z and the six ASCII spaces only
+        return cls.MARK.sub(rb" \g<0>", text.encode("utf-8", "surrogatepass").lower()).split() if text else []  # bytes: A-Z and the six ASCII spaces only
 
     def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """All texts' ids, each text's end id after it; ids by text; all texts' terms; terms by text."""
@@ -150,7 +152,7 @@ class Chunks:
         new, known = set(every).difference(self.index), len(self.index)
         if new:
             self.learn(list(new))
-        at = np.fromiter(map(self.index.__getitem__, every), np.int64, len(every))
+        at = np.array(itemgetter(*every)(self.index), np.int64).reshape(-1)
         self.met[at[at < known]] = True
         sizes = self.size[at]
         ends = np.cumsum(sizes, dtype=np.int64)
