@@ -3,6 +3,9 @@
 A step takes each node's least neighbour (pre-aggregated before its shuffle) and joins it back, so a hub's
 neighbours never meet in one task as a list. Each round is written to the shared folder; its edges are counted
 and summed by hash, and rounds end when nothing changes.
+
+Links of a node with itself, repeated links and links given in both directions change nothing; links with a null end
+are left out; no links give no components: nodes without one are the caller's.
 """
 
 from __future__ import annotations

@@ -10,7 +10,9 @@ end of the range before it, the very first to the last. So a window over one ran
 
 Defined cases: null text is empty; a text of fewer than five words is one shingle; one without words has an empty
 sketch, and two empty sketches are alike (1.0), an empty and another are not (0.0); a null doc_id sorts first;
-rows of equal doc_id follow one another in the order of their text's hash.
+rows of equal doc_id follow one another in the order of their text's hash, and rows repeated whole in any order, as they
+are alike; a text of any length is read whole, in memory in proportion to its words; an empty table gives an empty
+result; further columns aren't read, so their names can't clash.
 """
 
 from __future__ import annotations

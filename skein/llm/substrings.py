@@ -21,7 +21,8 @@ document before. Strings are judged on the input and never cross documents.
 
 Rows are told apart by doc_id and the text's CRC-32: rows of one doc_id with different texts are documents of their
 own, in the order of the CRC; rows repeated whole are one document and don't remove each other. Null doc_ids come
-first. Null text is empty.
+first. Null text is empty. Texts of any length are read whole: one is held by one task at a time. An empty table gives an
+empty result; further columns, whatever their names, are kept as they are (but n_chars, which follows the text).
 """
 
 from __future__ import annotations
