@@ -87,19 +87,6 @@ def augmenting_paths(edges: DataFrame, terminals: DataFrame) -> DataFrame:
     return _per_graph(edges, terminals, lambda g, paths: [(g, i + 1, p, r) for i, (p, r) in enumerate(paths)], "graph_id string, path_no int, path array<long>, flow long")
 
 
-def selection_flow(rows: list[tuple[int, int]], max_total: int, per_category: int, per_brand: int) -> int:
-    """How many of the products (category, brand) can be chosen under all three limits at once."""
-    n = len(rows)
-    cats, brands = sorted({c for c, _ in rows}), sorted({b for _, b in rows})
-    cat_at, brand_at = {c: 2 + i for i, c in enumerate(cats)}, {b: 2 + len(cats) + i for i, b in enumerate(brands)}
-    sink = 2 + len(cats) + len(brands)
-    edges = [(0, 1, max_total)]
-    edges += [(1, cat_at[c], min(per_category, sum(x == c for x, _ in rows))) for c in cats]
-    edges += [(cat_at[c], brand_at[b], 1) for c, b in rows]
-    edges += [(brand_at[b], sink, min(per_brand, sum(x == b for _, x in rows))) for b in brands]
-    return sum(r for _, r in Network(edges).run(0, sink)) if n else 0
-
-
 def network_edges(candidates: DataFrame, max_total: int, per_category: int, per_brand: int) -> DataFrame:
     """The selection network of each query's candidates (query_id, rank, category_key, brand_key) as an edge table.
 

@@ -2,18 +2,18 @@
 
 A limit of at least the total can't bind. Where each tier has one, the best feasible choice of the greatest size is
 what a pass in rank order takes, and that is a row_number per key: windows, one shuffle by query. Where both limits
-bind, choices interact, and the general plan solves a flow per query instead.
+bind, choices interact: candidates come in by augmenting chains, for all queries in the same rounds (chains.py).
 """
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.text import strip_control
-from .flow import selection_flow
+from ..sources.staging import materialize
+from . import chains
 
 MAX_TOTAL, EXPLAINED, POOL = 6, 5, 30
 #: Limits (per category, per brand), tried in order until one fills the list.
@@ -71,32 +71,34 @@ def _by_windows(own: DataFrame, max_total: int, tiers) -> DataFrame:
     return own.drop(*[f"{c}{i}" for i in range(len(tiers)) for c in "kn"])
 
 
-def _by_flow(own: DataFrame, max_total: int, tiers) -> DataFrame:
-    """Choose a tier by its greatest flow, then drop from the lowest rank upwards whatever the flow can spare."""
-    columns = own.columns
-
-    def one(f: pd.DataFrame) -> pd.DataFrame:
-        f = f.sort_values("rank", kind="stable", ignore_index=True)
-        rows = list(zip(pd.factorize(f["category_key"])[0].tolist(), pd.factorize(f["brand_key"])[0].tolist()))
-        flows = [selection_flow(rows, max_total, *t) for t in tiers]
-        target = min(max_total, len(rows))
-        tier = next((i for i, v in enumerate(flows) if v >= target), max(range(len(flows)), key=lambda i: (flows[i], -i)))
-        kept = list(range(len(rows)))
-        for i in reversed(range(len(rows))):
-            rest = [k for k in kept if k != i]
-            if selection_flow([rows[k] for k in rest], max_total, *tiers[tier]) == flows[tier]:
-                kept = rest
-        return f[columns].assign(tier=tier + 1, selected=[i in kept for i in range(len(rows))], max_flow=flows[tier])
-
-    schema = ", ".join(f"{n} {t}" for n, t in own.dtypes) + ", tier int, selected boolean, max_flow int"
-    return own.groupBy("query_id").applyInPandas(one, schema)
+def _by_chains(own: DataFrame, max_total: int, tiers) -> DataFrame:
+    """Tiers in order, each for the queries that no earlier one fills; the first of the fullest where none does."""
+    own = materialize(own, "candidates")
+    sizes = own.groupBy("query_id").agg(F.least(F.lit(max_total), F.count(F.lit(1))).alias("target"))
+    left, taken, counts = own, [], []
+    for i, limits in enumerate(tiers):
+        got = materialize(chains.choose(left, max_total, *limits).withColumn("tier", F.lit(i + 1)), "chosen")
+        taken.append(got)
+        counts.append(left.select("query_id").distinct().join(got.groupBy("query_id").agg(F.count(F.lit(1)).alias("n")), "query_id", "left").select("query_id", F.lit(i + 1).alias("tier"), F.coalesce("n", F.lit(0)).alias("n")))
+        if i + 1 < len(tiers):
+            short = sizes.join(counts[-1], "query_id").where("n < target").select("query_id")
+            left = materialize(left.join(short, "query_id", "left_semi"), "left")
+            if not left.head(1):
+                break
+    # A query without enough anywhere has a row for each tier; one that is filled, for those up to the one that fills it.
+    every, all_taken = counts[0], taken[0]
+    for c, t in zip(counts[1:], taken[1:]):
+        every, all_taken = every.union(c), all_taken.union(t)
+    best = every.groupBy("query_id").agg(F.max(F.struct("n", (-F.col("tier")).alias("t"))).alias("b")).select("query_id", (-F.col("b.t")).cast("int").alias("tier"), F.col("b.n").cast("int").alias("max_flow"))
+    out = own.join(best, "query_id").join(all_taken.withColumn("selected", F.lit(True)), ["query_id", "place", "tier"], "left")
+    return out.select(*own.columns, "tier", F.coalesce("selected", F.lit(False)).alias("selected"), "max_flow")
 
 
 def decide(rows: DataFrame, max_total: int = MAX_TOTAL, tiers=TIERS) -> DataFrame:
     """All candidates with tier, selected, max_flow, and their tier's limits."""
     own = candidates(rows)
     free = all(cat >= max_total or brand >= max_total for cat, brand in tiers)
-    out = (_by_windows if free else _by_flow)(own, max_total, tiers)
+    out = (_by_windows if free else _by_chains)(own, max_total, tiers)
     limit = lambda k: F.element_at(F.array(*[F.lit(t[k]) for t in tiers]), F.col("tier"))
     return out.withColumn("per_category", limit(0)).withColumn("per_brand", limit(1))
 

@@ -3,11 +3,71 @@ from itertools import combinations
 
 import pytest
 
-from skein.operators import flow, recommend
+from skein.operators import chains, flow, recommend
 
 SCHEMA = "query_id int, rank int, product_name string, category string, brand string, score int"
 
 
+def selection_flow(rows, max_total, per_category, per_brand):
+    """How many of (category, brand) fit under three limits, by a flow."""
+    edges = [("s", "all", max_total)] + [("all", ("c", c), per_category) for c in {c for c, _ in rows}]
+    edges += [(("c", c), ("b", b), 1) for c, b in rows] + [(("b", b), "t", per_brand) for b in {b for _, b in rows}]
+    return sum(r for _, r in flow.Network(edges).run("s", "t"))
+
+
+def best_choice(rows, max_total, per_category, per_brand):
+    """The size, and the places that stay when the worst go first, as far as the size can spare them."""
+    size, kept = selection_flow(rows, max_total, per_category, per_brand), list(range(len(rows)))
+    for i in reversed(range(len(rows))):
+        rest = [k for k in kept if k != i]
+        if selection_flow([rows[k] for k in rest], max_total, per_category, per_brand) == size:
+            kept = rest
+    return size, kept
+
+
+def decided_by_flows(rows, max_total, tiers):
+    every = [best_choice(rows, max_total, *t) for t in tiers]
+    target = min(max_total, len(rows))
+    tier = next((i for i, (n, _) in enumerate(every) if n >= target), max(range(len(tiers)), key=lambda i: (every[i][0], -i)))
+    return [(tier + 1, i in every[tier][1], every[tier][0]) for i in range(len(rows))]
+
+
+def as_rows(own):
+    pools = {}
+    for r in own.orderBy("query_id", "place").collect():
+        pools.setdefault(r.query_id, []).append((r.category_key, r.brand_key))
+    return pools
+
+
+def held_against_flows(own, got, max_total, tiers):
+    found = {}
+    for r in got.orderBy("query_id", "place").collect():
+        found.setdefault(r.query_id, []).append((r.tier, r.selected, r.max_flow))
+    assert found == {q: decided_by_flows(rows, max_total, tiers) for q, rows in as_rows(own).items()}
+
+
+def test_chains_equal_flows(spark):
+    rng = random.Random(11)
+    rows = [(q, r + 1, f"p{r}", rng.choice("ABCDE"[: 1 + q % 5]), rng.choice("VWXYZ"[: 1 + q // 5 % 5]), 1) for q in range(75) for r in range(rng.randint(1, 14))]
+    own = recommend.candidates(spark.createDataFrame(rows, SCHEMA)).persist()
+    for max_total, tiers in ((6, ((2, 2), (6, 6))), (5, ((1, 1), (1, 2), (2, 1))), (3, ((2, 3), (0, 3)))):
+        held_against_flows(own, recommend._by_chains(own, max_total, tiers), max_total, tiers)
+
+
+def test_chains_on_long_lists(spark):
+    """More places than a long has bits, and pools that are cut before; limits of nothing; no rows."""
+    rng = random.Random(3)
+    pools = [[(f"c{i // 40}", f"b{i % 40 if i < 40 else 0}") for i in range(150)], [(f"c{min(i // 30, 9)}", f"b{i % 2}" if i < 140 else f"b{i}") for i in range(180)]]
+    pools += [[(f"c{rng.randint(0, 3)}", f"b{rng.randint(0, 3)}") for _ in range(120)]]
+    own = spark.createDataFrame([(q, i, c, b) for q, pool in enumerate(pools) for i, (c, b) in enumerate(pool)], "query_id int, place int, category_key string, brand_key string")
+    for limits in ((4, 1, 1), (6, 2, 1), (6, 1, 3)):
+        got = {}
+        for r in chains.choose(own, *limits).collect():
+            got.setdefault(r.query_id, []).append(r.place)
+        assert {q: sorted(p) for q, p in got.items()} == {q: best_choice(pool, *limits)[1] for q, pool in enumerate(pools)}
+    assert chains.choose(own, 6, 0, 2).count() == 0 and chains.choose(own.limit(0), 6, 2, 2).count() == 0
+
+
 def test_windows_equal_flows(spark):
     rng = random.Random(42)
     rows = []
@@ -15,9 +75,7 @@ def test_windows_equal_flows(spark):
         for r in range(rng.randint(1, 20)):
             rows.append((q, r + 1, f"p{rng.randint(0, 30)}", rng.choice(["A", "a", "B", None, ""]), rng.choice(["X", "x", "Y", "Z", None, " "]), rng.choice([None, 5])))
     own = recommend.candidates(spark.createDataFrame(rows, SCHEMA))
-    a = recommend._by_windows(own, 6, recommend.TIERS).select("query_id", "rank", "tier", "selected", "max_flow")
-    b = recommend._by_flow(own, 6, recommend.TIERS).select("query_id", "rank", "tier", "selected", "max_flow")
-    assert sorted(a.collect()) == sorted(b.collect())
+    held_against_flows(own, recommend._by_windows(own, 6, recommend.TIERS), 6, recommend.TIERS)
 
 
 def test_both_limits_give_the_largest_choice(spark):
