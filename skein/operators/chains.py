@@ -7,7 +7,7 @@ of the next size is a chain away: a candidate of a category with room comes in;
 brand goes, which gives its category room for another, until a brand with room is met. The cheapest chain is found by
 relaxing labels of categories and brands in turn, as windows, for all queries at once; labels carry their chain.
 
-Costs are arrays of longs, compared from the left, 48 places to a long: exact for any number of candidates.
+Costs are rows of longs, compared from the left, 48 places to a long: exact for any number of candidates.
 
 What can't be chosen is left out first, exactly: of a category and brand more than the limits; of a key all beyond
 2 * max_total better ones (some of these could come in instead); then places beyond a number that follows likewise. So a
@@ -43,26 +43,24 @@ def possible(rows: DataFrame, max_total: int, per_category: int, per_brand: int)
     return own.withColumn("p", number() - 1).where(F.col("p") <= max_total + full)
 
 
-def _plus(a: Column, b: Column, sign: int) -> Column:
-    return F.zip_with(a, b, lambda x, y: x + sign * y)
-
-
-def _label(before: Column, cost: Column, sign: int) -> Column:
+def _label(before: Column, costs: list[Column], sign: int) -> Column:
     """A chain, longer by this row: least cost first, then the fewest steps."""
-    return F.struct(_plus(before["cost"], cost, sign).alias("cost"), (before["steps"] + 1).alias("steps"), F.concat(before["chain"], F.array("p")).alias("chain"))
+    cost = [(before[f"cost{i}"] + sign * c).alias(f"cost{i}") for i, c in enumerate(costs)]
+    return F.struct(*cost, (before["steps"] + 1).alias("steps"), F.concat(before["chain"], F.array("p")).alias("chain"))
 
 
-def _augment(own: DataFrame, cost: Column, longs: int, most: int, per_category: int, per_brand: int) -> DataFrame:
+def _augment(own: DataFrame, costs: list[Column], most: int, per_category: int, per_brand: int) -> DataFrame:
     """One candidate more for every query that has a chain; `more` tells which. No choice has over `most` candidates."""
     by_category, by_brand, by_query = W.partitionBy("query_id", "category_key"), W.partitionBy("query_id", "brand_key"), W.partitionBy("query_id")
     held = F.sum(F.col("chosen").cast("int"))
-    none = F.struct(F.array_repeat(F.lit(0).cast("long"), longs).alias("cost"), F.lit(0).alias("steps"), F.array().cast("array<int>").alias("chain"))
+    zeros = [F.lit(0).cast("long").alias(f"cost{i}") for i in range(len(costs))]
+    none = F.struct(*zeros, F.lit(0).alias("steps"), F.array().cast("array<int>").alias("chain"))
     own = own.withColumn("room", held.over(by_brand) < per_brand).withColumn("at_category", F.when(held.over(by_category) < per_category, none))
     for step in range(most + 1):
-        comes = F.when(~F.col("chosen") & F.col("at_category").isNotNull(), _label(F.col("at_category"), cost, 1))
+        comes = F.when(~F.col("chosen") & F.col("at_category").isNotNull(), _label(F.col("at_category"), costs, 1))
         own = own.withColumn("at_brand", F.min(comes).over(by_brand))
         if step < most:
-            goes = F.when(F.col("chosen") & F.col("at_brand").isNotNull(), _label(F.col("at_brand"), cost, -1))
+            goes = F.when(F.col("chosen") & F.col("at_brand").isNotNull(), _label(F.col("at_brand"), costs, -1))
             own = own.withColumn("found", F.min(goes).over(by_category)).withColumn("at_category", F.least("at_category", "found"))
     best = F.min(F.when(F.col("room"), F.col("at_brand"))).over(by_query)
     own = own.withColumn("chain", best["chain"]).withColumn("more", F.col("chain").isNotNull())
@@ -90,7 +88,7 @@ def choose(rows: DataFrame, max_total: int, per_category: int, per_brand: int) -
         longs = places // PLACES_A_LONG + 1
         # The worst place is in the first long, in its highest bit.
         parts = [F.when(F.floor(F.col("p") / PLACES_A_LONG) == longs - 1 - i, F.expr(f"shiftleft(1L, p % {PLACES_A_LONG})")).otherwise(F.lit(0).cast("long")) for i in range(longs)]
-        own = _augment(left, F.array(*parts), longs, most, per_category, per_brand)
+        own = _augment(left, parts, most, per_category, per_brand)
     out = done[0]
     for d in done[1:]:
         out = out.union(d)

@@ -250,6 +250,28 @@ t AS (
 )"""
 RECOMMEND = SEARCH + ", " + _POOL + ", " + _CANDIDATES + ", " + _DECIDED
 
+
+
+def _both_limits() -> str:
+    """All choices of 1 to 6 of a pool's candidates with two of a category and of a brand at most, one size after the other.
+
+    A choice is a bit per place; counts of categories and brands are two bits each. The greatest size wins, then the least
+    number, whose highest bit is its worst place. A second tier without limits takes the first six.
+    """
+    fits = "(cs >> (2 * c)) & 3 < 2 AND (bs >> (2 * b)) & 3 < 2"
+    take = "place AS last, bits + (1::BIGINT << place) AS bits, cs + (1::BIGINT << (2 * c)) AS cs, bs + (1::BIGINT << (2 * b)) AS bs"
+    sizes = ["s0 AS MATERIALIZED (SELECT DISTINCT query_id, 0::BIGINT AS last, 0::BIGINT AS bits, 0::BIGINT AS cs, 0::BIGINT AS bs FROM own)"]
+    sizes += [f"s{n} AS MATERIALIZED (SELECT query_id, {take} FROM s{n - 1} JOIN own USING (query_id) WHERE place > last AND {fits})" for n in range(1, 7)]
+    best = " UNION ALL ".join(f"SELECT query_id, {n} AS n, min(bits) AS bits FROM s{n} GROUP BY query_id" for n in range(7))
+    return (
+        ", own AS MATERIALIZED (SELECT query_id, rank, product_name, place, dense_rank() OVER (PARTITION BY query_id ORDER BY category_key) - 1 AS c, dense_rank() OVER (PARTITION BY query_id ORDER BY brand_key) - 1 AS b, least(6, count(*) OVER (PARTITION BY query_id)) AS target FROM labelled), "
+        + ", ".join(sizes)
+        + f", best AS (SELECT query_id, max(n) AS n, arg_max(bits, n) AS bits FROM ({best}) GROUP BY query_id)"
+        + """ SELECT query_id::BIGINT AS query_id, rank::BIGINT AS rank, product_name, CASE WHEN n >= target THEN 1 ELSE 2 END::BIGINT AS tier, target::BIGINT AS max_flow
+        FROM own JOIN best USING (query_id) WHERE CASE WHEN n >= target THEN (bits >> place) & 1 = 1 ELSE place <= target END"""
+    )
+
+
 _GRAPH = """
 WITH n AS (SELECT * FROM nation),
 s AS (SELECT s_nationkey, count(*) % 7 + 1 AS c, max(s_suppkey % 4) AS m FROM supplier GROUP BY s_nationkey),
@@ -429,6 +451,7 @@ def oracle_sql() -> dict[str, str]:
         "recommend_dedupe": RECOMMEND + f"SELECT {q}, rank, product_name, category_key, category_label, brand_label, place FROM labelled",
         "recommend_status": RECOMMEND + """SELECT q.query_id::BIGINT AS query_id, coalesce(s, 0)::BIGINT AS selected, coalesce(s, 0)::BIGINT AS max_flow,
             CASE WHEN s IS NULL THEN 'No products available for recommendation.' ELSE 'ok' END AS note FROM q LEFT JOIN (SELECT query_id, sum(selected::INT) AS s FROM dec GROUP BY query_id) USING (query_id)""",
+        "recommend_both_limits": RECOMMEND + _both_limits(),
         "maxflow_edges": _GRAPH + " SELECT * FROM edges",
         "maxflow_small": _GRAPH + _MIN_CUT,
         "corpus_search": _with(QUERIES, INTENT, SYNONYMS, TEXTS, VOCAB, TERMS, SCORED) + f"SELECT {q}, rank, corpus_pos, product_name, rec_category, brand, score, total_matches FROM ranked WHERE rank <= 10",
