@@ -386,6 +386,8 @@ def oracle_sql() -> dict[str, str]:
         "token_sets": f"""SELECT doc_id, len(t)::BIGINT AS distinct_tokens, len(list_filter(t, lambda w: regexp_matches(w, '[0-9]')))::BIGINT AS with_digit,
             len(list_filter(t, lambda w: regexp_full_match(w, '[0-9]+')))::BIGINT AS all_digits FROM (SELECT doc_id, list_distinct({_words('n')}) AS t FROM ({docs}))""",
         "doc_freq_vocab": f"SELECT word, count(*) AS doc_freq FROM (SELECT DISTINCT doc_id, unnest({_words('n')}) AS word FROM ({docs})) WHERE length(word) >= 3 AND NOT regexp_matches(word, '[0-9]') GROUP BY word",
+        # However they arrived, the words are those of the documents as they are.
+        "arriving_vocab": f"SELECT word, count(*) AS doc_freq FROM (SELECT DISTINCT doc_id, unnest({_words('n')}) AS word FROM ({docs})) WHERE length(word) >= 3 AND NOT regexp_matches(word, '[0-9]') GROUP BY word",
         "part_vocab": _with(SYNONYMS, CATALOG, VOCAB) + "SELECT word, doc_freq FROM vocab",
         "pattern_count_overlap": f"SELECT conv_id, {_sums('n', data.PATTERNS)} FROM ({talk}) GROUP BY conv_id",
         "pattern_total_by_lang": f"SELECT lang, {_sums('n', data.PATTERNS)} FROM ({docs}) GROUP BY lang",

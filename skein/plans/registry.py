@@ -13,6 +13,7 @@ from ..functions import fields, text
 from ..operators import bounded, catalog, dictionary, flow, flow_rounds, fuzzy, patterns, prefix, recommend, search, spelling, substring
 from ..sources import corpus, index
 from ..sources.staging import fresh_path, materialize
+from ..streaming import arriving
 from . import data
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -67,6 +68,27 @@ def doc_freq_vocab(spark, sf):
     return words.groupBy("word").agg(F.count(F.lit(1)).alias("doc_freq"))
 
 
+def arriving_vocab(spark, sf):
+    """The vocabulary of all documents, kept by a stream to which they come in several versions, in three mixed batches.
+
+    Every document has an earlier version with its source and language before its first words; every tenth comes once more, with
+    an id of its own, and is deleted.
+    """
+    d = _table(spark, sf, "documents").select("doc_id", "text", "lang", "source")
+    first = F.concat_ws(" ", "source", "lang", F.substring("text", 1, 200))
+    event = lambda rows, doc, version, body, gone: rows.select(doc.cast("long").alias("doc_id"), F.lit(version).cast("long").alias("version"), body.alias("text"), F.lit(gone).alias("deleted"))
+    twice = d.where("doc_id % 10 = 0")
+    events = event(d, F.col("doc_id"), 2, F.col("text"), False).union(event(d, F.col("doc_id"), 1, first, False))
+    events = events.union(event(twice, -F.col("doc_id") - 1, 1, F.col("text"), False)).union(event(twice, -F.col("doc_id") - 1, 2, F.lit(None).cast("string"), True))
+    path = fresh_path(spark, "arriving")
+    for batch in range(3):
+        events.where(F.pmod(F.xxhash64("doc_id", "version"), F.lit(3)) == batch).write.mode("append").parquet(f"{path}/events")
+        stream = spark.readStream.schema(arriving.EVENTS).parquet(f"{path}/events")
+        arriving.keep(stream, f"{path}/kept", f"{path}/ck", once=True).awaitTermination()
+    arriving.compact(spark, f"{path}/kept")
+    return arriving.vocabulary(spark, f"{path}/kept")
+
+
 def part_vocab(spark, sf):
     return spelling.vocabulary(_parts(spark, sf), _dims(spark)[1])
 
@@ -481,7 +503,7 @@ def maxflow_tier_network(spark, sf):
 
 
 NAMES = (
-    "norm_tokens token_sets doc_freq_vocab part_vocab pattern_count_overlap pattern_total_by_lang pattern_two_plan_agree pattern_automaton pattern_rolling_join substring_documents edit_distance_pairs "
+    "norm_tokens token_sets doc_freq_vocab arriving_vocab part_vocab pattern_count_overlap pattern_total_by_lang pattern_two_plan_agree pattern_automaton pattern_rolling_join substring_documents edit_distance_pairs "
     "edit_distance_cases spell_correct spell_report spell_documents query_intent algorithm_label token_match_rules score_products phrase_in_name "
     "rank_top10 rank_bounded rank_total_matches fuzzy_search fallback_routing prefix_words prefix_range_words prefix_exists word_exists prefix_products_and parse_fields "
     "parse_sections strip_misspellings corpus_search corpus_pattern_counts corpus_prefix price_indian_grouping price_grouping_parts rating_parse "
