@@ -1,13 +1,15 @@
 """Documents that arrive, are replaced and deleted: postings and document frequencies kept by a stream.
 
 A stream of (doc_id, version, text, deleted) keeps one state per document: the version it is at and the words it has. What a
-later version changes goes out as rows (word, doc_id, change): 1 for a word the document gained, -1 for one it lost. An
-earlier version that comes late changes nothing. So batches may arrive in any order and be cut anywhere; the sums of
-the changes are the same. Each micro-batch is a run of changes under its own number, overwritten if it is tried again.
-Readers add up the runs; `compact` adds them up once, into a run that stands for all before it.
+later version changes goes out as a row: the words the document gained and those it lost. An earlier version that comes late
+changes nothing. So batches may arrive in any order and be cut anywhere; what the changes add up to is the same. Each
+micro-batch is a run of changes under its own number, overwritten if it is tried again. Readers add up the runs;
+`compact` adds them up once, into a run that stands for all before it.
 
-The work of a batch grows with the documents in it, not with those kept; a state is one document's words. Sums are combined
-before they are shuffled, so a word that every document has is no hot key.
+The work of a batch grows with the documents in it, not with those kept; a state is one document's words. A run has at most
+one row of a document, so adding up takes a document's rows of the runs since the last compaction together. Frequencies are
+combined before they are shuffled, so a word that every document has is no hot key. Words have no spaces: a set of
+them is kept as one text.
 
 Defined cases: a null or empty text has no words; a null `deleted` is false; a null version is before all others; rows without
 doc_id are one document; of equal versions the first one applied stays, and within a batch the one with the most words,
@@ -20,7 +22,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
@@ -28,8 +30,8 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from ..functions.text import contains_digit, normalize, token_set
 
 EVENTS = "doc_id long, version long, text string, deleted boolean"
-CHANGES = "word string, doc_id long, change int"
-_STATE = "version long, words array<string>"
+CHANGES = "doc_id long, version long, gained string, lost string"
+_STATE = "version long, words string"
 #: Before any version.
 _NEVER = -(2**63)
 
@@ -37,21 +39,20 @@ _NEVER = -(2**63)
 def _words(events: DataFrame) -> DataFrame:
     gone = F.coalesce("deleted", F.lit(False))
     words = F.filter(token_set(normalize(F.col("text"))), lambda w: w != "")
-    words = F.when(gone, F.array().cast("array<string>")).otherwise(F.array_sort(words))
+    words = F.when(gone, F.lit("")).otherwise(F.array_join(F.array_sort(words), " "))
     return events.select("doc_id", F.coalesce("version", F.lit(_NEVER + 1)).alias("version"), words.alias("words"))
 
 
 def _changes(key: tuple, rows: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
     """One document's versions of a batch, in whatever order -> what the latest one changes."""
-    at, had = state.get if state.exists else (_NEVER, [])
-    new = max(((v, len(w), list(w)) for f in rows for v, w in zip(f["version"], f["words"])), default=None)
+    at, had = state.get if state.exists else (_NEVER, "")
+    new = max(((v, w.count(" "), w) for f in rows for v, w in zip(f["version"], f["words"])), default=None)
     if new is None or new[0] <= at:
         return
     state.update((int(new[0]), new[2]))
-    before, after = set(had), set(new[2])
-    gained, lost = sorted(after - before), sorted(before - after)
-    ids = pd.array([key[0]] * (len(gained) + len(lost)), dtype="Int64")
-    yield pd.DataFrame({"word": gained + lost, "doc_id": ids, "change": [1] * len(gained) + [-1] * len(lost)})
+    before, after = set(had.split()), set(new[2].split())
+    change = (key[0], int(new[0]), " ".join(sorted(after - before)), " ".join(sorted(before - after)))
+    yield pd.DataFrame([change], columns=["doc_id", "version", "gained", "lost"]).astype({"doc_id": "Int64"})
 
 
 def keep(events: DataFrame, path: str, checkpoint: str, once: bool = False) -> StreamingQuery:
@@ -84,18 +85,29 @@ def _runs(spark: SparkSession, path: str) -> tuple[DataFrame, int]:
     return spark.read.schema(CHANGES).parquet(*paths), max([upto, *runs])
 
 
-def _sums(changes: DataFrame) -> DataFrame:
-    return changes.groupBy("word", "doc_id").agg(F.sum("change").cast("int").alias("change")).where("change <> 0")
+def _set(words: str) -> Column:
+    return F.filter(F.split(words, " "), lambda w: w != "")
+
+
+def _added_up(changes: DataFrame) -> DataFrame:
+    """doc_id, version, words: every document as its changes, by version, leave it."""
+    change = F.struct("version", _set("gained").alias("gained"), _set("lost").alias("lost"))
+    rows = changes.groupBy("doc_id").agg(F.array_sort(F.collect_list(change)).alias("rows"))
+    none = F.array().cast("array<string>")
+    words = F.aggregate("rows", none, lambda had, r: F.concat(F.array_except(had, r["lost"]), r["gained"]))
+    return rows.select("doc_id", F.element_at("rows", -1)["version"].alias("version"), words.alias("words"))
 
 
 def postings(spark: SparkSession, path: str) -> DataFrame:
     """word, doc_id of the documents as they are now."""
-    return _sums(_runs(spark, path)[0]).where("change > 0").select("word", "doc_id")
+    return _added_up(_runs(spark, path)[0]).select(F.explode("words").alias("word"), "doc_id")
 
 
 def vocabulary(spark: SparkSession, path: str) -> DataFrame:
     """word, doc_freq: words of three letters or more without digits. Changes are added up by word alone."""
-    words = _runs(spark, path)[0].where((F.length("word") >= 3) & ~contains_digit(F.col("word")))
+    changes = _runs(spark, path)[0]
+    one = lambda words, n: F.transform(_set(words), lambda w: F.struct(w.alias("word"), F.lit(n).alias("change")))
+    words = changes.select(F.inline(F.concat(one("gained", 1), one("lost", -1)))).where((F.length("word") >= 3) & ~contains_digit(F.col("word")))
     return words.groupBy("word").agg(F.sum("change").cast("long").alias("doc_freq")).where("doc_freq > 0")
 
 
@@ -103,4 +115,5 @@ def compact(spark: SparkSession, path: str) -> None:
     """Add up all runs so far, as one run that readers take in their place; the stream may go on meanwhile."""
     changes, last = _runs(spark, path)
     if last >= 0 and last not in _numbers(spark, f"{path.rstrip('/')}/merged"):
-        _sums(changes).write.mode("overwrite").parquet(f"{path.rstrip('/')}/merged/run={last}")
+        merged = _added_up(changes).select("doc_id", "version", F.array_join("words", " ").alias("gained"), F.lit("").alias("lost"))
+        merged.write.mode("overwrite").parquet(f"{path.rstrip('/')}/merged/run={last}")
