@@ -21,7 +21,7 @@ from ..sources import index
 from ..sources.staging import materialize
 from . import search
 from .catalog import postings
-from .spelling import Hint, batch_hint
+from .spelling import Hint, batch_hint, shuffled
 
 BLOCK_PRODUCTS, PART_PRODUCTS = 256, 1_000_000
 #: Blocks that a query opens before it has a bar.
@@ -44,8 +44,8 @@ def tables(catalog: DataFrame, block_products: int = BLOCK_PRODUCTS) -> list[ind
     placed = catalog.select(*order).repartitionByRange(parts, *order).sortWithinPartitions(*order)
     row = F.monotonically_increasing_id()  # a part's number above 33 bits that count its rows, which are in order
     placed = materialize(placed.select("corpus_pos", F.shiftleft(F.shiftright(row, 33), 33).bitwiseOR(F.floor(row.bitwiseAND(F.lit((1 << 33) - 1)) / F.lit(block_products))).alias("block")), "blocks")
-    whole = catalog.join(placed, "corpus_pos")
-    rows = postings(catalog).join(placed, "corpus_pos").groupBy("field", "token", "block").agg(F.sort_array(F.collect_list("corpus_pos")).alias("products"))
+    whole = catalog.join(shuffled(placed), "corpus_pos")
+    rows = postings(catalog).join(shuffled(placed), "corpus_pos").groupBy("field", "token", "block").agg(F.sort_array(F.collect_list("corpus_pos")).alias("products"))
     rows = materialize(rows, "blocked-postings")
     return [
         index.Kept("catalog", whole.select("block", *search.SCORED, "brand"), ("corpus_pos",)),
@@ -62,8 +62,7 @@ def opened(kept: dict[str, DataFrame]) -> Blocks:
 def bounds(blocks: Blocks, prepared: DataFrame, synonyms: DataFrame, hint: Hint) -> DataFrame:
     """query_id, block, most (points that a product there may have), n (postings there that match a term)."""
     terms = prepared.select("query_id", F.explode("terms").alias("term"))
-    variants = search.token_variants(blocks.summary.select("field", "token").distinct(), synonyms)
-    hits = variants.join(hint(terms), "term").join(blocks.summary, ["field", "token"])
+    hits = blocks.summary.join(search.asked_tokens(terms, blocks.summary.select("field", "token").distinct(), synonyms, hint), ["field", "token"])
     flags = [F.max((F.col("field") == f).cast("int")).alias(f) for f in FIELDS]
     exact = F.max(((F.col("field") == "name") & (F.col("token") == F.col("term"))).cast("int")).alias("exact")
     per = hits.groupBy("query_id", "term", "block").agg(*flags, exact, F.sum("n").alias("n"))
@@ -86,11 +85,13 @@ def bounds(blocks: Blocks, prepared: DataFrame, synonyms: DataFrame, hint: Hint)
 def _score(blocks: Blocks, chosen: DataFrame, prepared: DataFrame, synonyms: DataFrame, hint: Hint) -> DataFrame:
     """Exact scores of the products in the chosen blocks: query_id, block."""
     terms = prepared.select("query_id", F.explode("terms").alias("term"))
-    variants = search.token_variants(blocks.summary.select("field", "token").distinct(), synonyms)
-    hits = variants.join(hint(terms), "term").join(blocks.postings, ["field", "token"]).join(hint(chosen), ["query_id", "block"])
+    chosen = batch_hint(chosen)(chosen)  # as many as there are blocks
+    tokens = search.asked_tokens(terms, blocks.summary.select("field", "token").distinct(), synonyms, hint)
+    hits = blocks.postings.join(tokens, ["field", "token"]).join(chosen, ["query_id", "block"])
     flags = [F.max((F.col("field") == f).cast("int")).alias(f) for f in FIELDS]
     found = hits.select("query_id", "term", "field", F.explode("products").alias("corpus_pos")).groupBy("query_id", "term", "corpus_pos").agg(*flags)
-    asked = hint(prepared.where("intent <> ''").select("query_id", F.lower("intent").alias("k")).join(hint(chosen), "query_id"))
+    asked = prepared.where("intent <> ''").select("query_id", F.lower("intent").alias("k")).join(chosen, "query_id")
+    asked = batch_hint(asked)(asked)
     wanted = blocks.catalog.select("corpus_pos", "block", F.lower("rec_category").alias("k")).join(asked, ["k", "block"]).select("query_id", "corpus_pos")
     return search.scored(blocks.catalog, found, wanted, prepared, hint)
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import contains_digit, normalize, strip_control
 from ..sources.staging import materialize
-from .spelling import Hint, batch_hint, near_words, no_hint, query_terms
+from .spelling import Hint, batch_hint, near_words, no_hint, query_terms, shuffled
 
 SHOWN = 10
 
@@ -53,7 +53,7 @@ def fuzzy_search(catalog: DataFrame, queries: DataFrame, limit: int | None = SHO
     matched = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "token"))), lambda x: x["token"]), ", ")
     per = every.groupBy("query_id", "corpus_pos").agg(F.count(F.lit(1)).alias("matched_terms"), F.sum("distance").alias("distance"), matched.alias("matched"))
     per = per.join(hint(sizes.join(queries, "query_id")), "query_id").where(F.col("matched_terms") >= F.when(F.col("terms") >= 3, 2).otherwise(1))
-    per = per.join(catalog.select("corpus_pos", "product_name"), "corpus_pos")
+    per = shuffled(per).join(catalog.select("corpus_pos", "product_name"), "corpus_pos")
     bonus = F.when(F.contains(F.lower("product_name"), F.lower("query_text")), 30.0).otherwise(0.0)
     score = F.col("matched_terms") / F.col("terms") * 100.0 - F.col("distance") * 5.0 + bonus
     per = per.withColumn("score", F.greatest(F.lit(0.0), F.least(F.lit(100.0), score)))

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..sources.staging import materialize
 from .catalog import postings
-from .spelling import Hint, batch_hint, correct, no_hint, query_terms, vocabulary
+from .spelling import Hint, batch_hint, correct, no_hint, query_terms, shuffled, vocabulary
 
 SHOWN, POOL = 10, 30
 #: Points.
@@ -64,15 +64,21 @@ def token_variants(tokens: DataFrame, synonyms: DataFrame) -> DataFrame:
     token, field = F.col("token"), F.col("field")
     variants = F.when(field == "name", _name_variants(token)).when(field == "brand", F.array(token)).otherwise(_plural_variants(token))
     own = tokens.select("field", "token", F.explode(variants).alias("term"))
-    other = tokens.where(field == "category").join(synonyms, F.col("token") == F.col("category_norm"))
+    other = tokens.where(field == "category").join(F.broadcast(synonyms), F.col("token") == F.col("category_norm"))
     return own.union(other.select("field", "token", F.col("word").alias("term"))).distinct()
 
 
+def asked_tokens(terms: DataFrame, tokens: DataFrame, synonyms: DataFrame, hint: Hint = no_hint) -> DataFrame:
+    """query_id, term, field, token of every token that a term matches, to be joined with postings: written and counted, so
+    that few are broadcast and many shuffled, but postings never broadcast."""
+    hits = materialize(token_variants(tokens, synonyms).join(hint(terms), "term"), "hits")
+    return batch_hint(hits)(hits)
+
+
 def matches(prepared: DataFrame, index: DataFrame, synonyms: DataFrame, hint: Hint = no_hint) -> DataFrame:
     """query_id, term, corpus_pos and which fields match: name, brand, category, description."""
     terms = prepared.select("query_id", F.explode("terms").alias("term"))
-    variants = token_variants(index.select("field", "token").distinct(), synonyms)
-    hits = variants.join(hint(terms), "term").join(index, ["field", "token"])
+    hits = index.join(asked_tokens(terms, index.select("field", "token").distinct(), synonyms, hint), ["field", "token"])
     flags = [F.max((F.col("field") == f).cast("int")).alias(f) for f in ("name", "brand", "category", "description")]
     return hits.groupBy("query_id", "term", "corpus_pos").agg(*flags)
 
@@ -107,7 +113,7 @@ def scored(catalog: DataFrame, found: DataFrame, wanted: DataFrame, prepared: Da
     none = F.lit(0).cast("long")
     both = per.unionByName(wanted.select("query_id", "corpus_pos", none.alias("points"), none.alias("strong"), none.alias("weak")))
     per = both.groupBy("query_id", "corpus_pos").agg(*[F.sum(c).alias(c) for c in ("points", "strong", "weak")])
-    whole = catalog.select(*SCORED).join(per, "corpus_pos").join(hint(prepared), "query_id")
+    whole = catalog.select(*SCORED).join(shuffled(per), "corpus_pos").join(hint(prepared), "query_id")
     padded = F.concat(F.lit(" "), "phrase", F.lit(" "))
     name = F.when(F.col("name_norm") == F.col("phrase"), EXACT_NAME).when(F.contains(F.concat(F.lit(" "), "name_norm", F.lit(" ")), padded), IN_NAME).otherwise(0)
     bonus = all_terms(F.size("terms"), F.col("strong"), F.col("strong") + F.col("weak"))

@@ -108,3 +108,39 @@ def test_synonyms_count_in_the_vocabulary(spark):
 def test_two_plans(engine):
     got = engine.count_pattern("phone")
     assert got["count"] == engine.catalog.agg(F.sum(F.regexp_count("pattern_text", F.lit("phone")))).first()[0]
+
+
+def test_only_batches_are_broadcast(spark):
+    """What joins with postings and products doesn't depend on the files' size, which says little of the rows in them."""
+    from skein.operators import bounded, fuzzy
+    from skein.plans import data, registry
+    from skein.sources.staging import materialize
+
+    sf = "/root/testdata/sf0.001"
+    parts, prepared, synonyms = registry._prepared(spark, sf)
+    hint = spelling.batch_hint(prepared)
+    posted = materialize(catalog.postings(parts), "postings")
+    plans = [
+        lambda: search.matches(prepared, posted, synonyms, hint),
+        lambda: search.scores(parts, prepared, synonyms, hint, posted),
+        lambda: fuzzy.fuzzy_search(registry._content(parts), data.queries(spark)),
+        lambda: bounded.bounds(bounded.opened(registry._kept(spark, sf, "blocks", lambda: bounded.tables(parts))), prepared, synonyms, hint),
+    ]
+    joins = lambda: [p()._jdf.queryExecution().sparkPlan().toString().count("BroadcastHashJoin") for p in plans]
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    try:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        hinted = joins()
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "10m")
+        assert joins() == hinted
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def test_larger_batches_find_the_same(spark, monkeypatch):
+    from skein.plans import registry
+
+    sf = "/root/testdata/sf0.001"
+    few = sorted(map(tuple, registry.rank_top10(spark, sf).collect()))
+    monkeypatch.setattr(spelling, "BROADCAST_ROWS", 3)
+    assert sorted(map(tuple, registry.rank_top10(spark, sf).collect())) == few
