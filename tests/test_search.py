@@ -144,3 +144,14 @@ def test_larger_batches_find_the_same(spark, monkeypatch):
     few = sorted(map(tuple, registry.rank_top10(spark, sf).collect()))
     monkeypatch.setattr(spelling, "BROADCAST_ROWS", 3)
     assert sorted(map(tuple, registry.rank_top10(spark, sf).collect())) == few
+
+
+def test_one_split_of_parts_is_dealt_to_tasks(spark, monkeypatch):
+    from skein.plans import registry
+
+    sf = "/root/testdata/sf0.001"
+    monkeypatch.setattr(registry, "PART_ROWS", 50)
+    dealt = registry._part(spark, sf)
+    assert registry._table(spark, sf, "part").rdd.getNumPartitions() == 1 and dealt.rdd.getNumPartitions() == 4
+    assert registry.part_texts(spark, sf).rdd.getNumPartitions() == 4
+    assert sorted(r.p_partkey for r in dealt.collect()) == sorted(r.p_partkey for r in registry._table(spark, sf, "part").collect())
