@@ -123,3 +123,11 @@ def test_rule_tables(spark):
     rows = spark.createDataFrame([(f, n) for f, n in data.FIELDS], "f string, n string")
     got = [r[0] for r in rows.select(fields.classify(text.strip_control(F.coalesce("f", F.lit(""))), text.normalize(F.col("f")), text.normalize(F.col("n")))).collect()]
     assert got == ["Audio", "Audio", "Audio", "Smartphone", "Monitor", "Smartphone", "Kitchen", "Laptop", "Monitor", "Storage", "Laptop", "Wearable", "printers", "Camera", "Storage"]
+
+
+def test_position_count_of_a_long_text(spark):
+    """Each position is reached at once: 300,000 of them took their square before."""
+    rows = spark.range(1).select(F.concat(F.repeat(F.lit("ä"), 100_000), F.repeat(F.lit("a"), 200_000), F.lit("b")).alias("t"))
+    began = time.time()
+    assert tuple(rows.select(*[text.count_by_position(F.col("t"), p).alias(str(i)) for i, p in enumerate(("ab", "äa", "aa", "a" * 2000 + "b", "b" * 3))]).first()) == (1, 1, 199_999, 1, 0)
+    assert time.time() - began < 15
