@@ -39,6 +39,11 @@ def test_corpus_search_finds_the_parts(spark):
     assert {r.query_id: r.product_name for r in rows}[2] == "red plate"
 
 
+def test_plans_over_the_catalogue_dont_carry_its_derivation(spark):
+    plan = registry._parts(spark, SF)._jdf.queryExecution().toString()
+    assert "InMemoryRelation" not in plan and len(plan) < 10_000
+
+
 def test_without_the_corpus_operators():
     import __spark_entry__
 
