@@ -9,7 +9,8 @@ sink and those that don't are full. All graphs of the table go through the same
 A round writes its pushes; edges and excesses are the written ones plus the pushes since, and are written anew once a phase.
 So lineage is short and an executor that is lost costs a round. A vertex with very many edges pushes along all of them in one
 round: what comes before an edge is summed in two levels, over `SLOTS` parts of the vertex's edges and inside a part, so
-no task holds all of them.
+no task holds all of them. Tables of vertices are broadcast only if they have few rows, which is counted; else they are
+shuffled: their files are so small for their rows that the planner would broadcast them in every round.
 
 Defined cases: parallel edges add up; loops and edges without capacity carry nothing; a negative capacity is an error; null
 capacities are 0; a graph whose sink can't be reached, or is its source, has flow 0; graphs without ends are left out;
@@ -23,6 +24,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..sources.staging import materialize
+from .spelling import Hint, batch_hint, shuffled
 
 SLOTS = 64
 #: Pushes of so many rounds are merged into the tables of a phase before it goes on.
@@ -68,26 +70,26 @@ def distances(rooms: DataFrame, ends: DataFrame) -> DataFrame:
     seen, far = [level], 0
     while True:
         far += 1
-        back = level.select("graph_id", F.col("u").alias("v"))
+        back = batch_hint(level)(level.select("graph_id", F.col("u").alias("v")))
         found = open_edges.join(back, ["graph_id", "v"]).select("graph_id", "u").distinct()
         known = _union([s.select("graph_id", "u") for s in seen])
-        level = materialize(found.join(known, ["graph_id", "u"], "left_anti").withColumn("far", F.lit(far)), "flow-level")
+        level = materialize(found.join(batch_hint(known)(known), ["graph_id", "u"], "left_anti").withColumn("far", F.lit(far)), "flow-level")
         if not level.head(1):
             return _union(seen)
         seen.append(level)
 
 
-def pushes_of(rooms: DataFrame, held: DataFrame, far: DataFrame) -> DataFrame:
-    """graph_id, u, v, push: every excess, along edges that lead one step nearer."""
-    active = held.where("excess > 0").join(far, ["graph_id", "u"]).where("far > 0")
+def pushes_of(rooms: DataFrame, held: DataFrame, far: DataFrame, hint: Hint = shuffled) -> DataFrame:
+    """graph_id, u, v, push: every excess, along edges that lead one step nearer. hint: of the tables of vertices."""
+    active = held.where("excess > 0").join(hint(far), ["graph_id", "u"]).where("far > 0")
     nearer = far.select("graph_id", F.col("u").alias("v"), (F.col("far") + 1).alias("far"))
-    able = rooms.where("room > 0").join(active, ["graph_id", "u"]).join(nearer, ["graph_id", "v", "far"])
+    able = rooms.where("room > 0").join(hint(active), ["graph_id", "u"]).join(hint(nearer), ["graph_id", "v", "far"])
     able = able.withColumn("slot", F.pmod(F.xxhash64("v"), F.lit(SLOTS)))
     slots = able.groupBy("graph_id", "u", "slot").agg(F.sum("room").alias("all"))
     before = W.partitionBy("graph_id", "u").orderBy("slot").rowsBetween(W.unboundedPreceding, -1)
     slots = slots.select("graph_id", "u", "slot", F.coalesce(F.sum("all").over(before), F.lit(0)).alias("base"))
     inside = W.partitionBy("graph_id", "u", "slot").orderBy("v").rowsBetween(W.unboundedPreceding, -1)
-    able = able.join(slots, ["graph_id", "u", "slot"]).withColumn("earlier", F.col("base") + F.coalesce(F.sum("room").over(inside), F.lit(0)))
+    able = able.join(shuffled(slots), ["graph_id", "u", "slot"]).withColumn("earlier", F.col("base") + F.coalesce(F.sum("room").over(inside), F.lit(0)))
     push = F.least("room", F.col("excess") - F.col("earlier"))
     return able.select("graph_id", "u", "v", push.alias("push")).where("push > 0")
 
@@ -115,9 +117,10 @@ def solve(edges: DataFrame, ends: DataFrame) -> tuple[DataFrame, DataFrame, Data
         rooms = materialize(_after(rooms, pushes), "flow-edges")
         held = materialize(_held(held, pushes).join(sources, ["graph_id", "u"], "left_anti"), "flow-held")
         far = materialize(distances(rooms, real), "flow-far")
+        hint = batch_hint(far)
         pushes = []
         while len(pushes) < ROUNDS_A_WRITE:
-            found = materialize(pushes_of(_after(rooms, pushes), _held(held, pushes), far), "flow-push")
+            found = materialize(pushes_of(_after(rooms, pushes), _held(held, pushes), far, hint), "flow-push")
             if not found.head(1):
                 break
             pushes.append(found)

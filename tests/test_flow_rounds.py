@@ -2,7 +2,7 @@ import random
 
 import pytest
 
-from skein.operators import flow, flow_rounds
+from skein.operators import flow, flow_rounds, spelling
 
 
 def graphs(spark, rows):
@@ -69,3 +69,20 @@ def test_odd_tables(spark):
     assert found(flow_rounds.max_flow(edges.selectExpr("graph_id", "src", "dst", "cast(null as int) as capacity"), ends)) == {"g": 0}
     with pytest.raises(ValueError):
         flow_rounds.max_flow(edges.selectExpr("graph_id", "src", "dst", "-1 as capacity"), ends)
+
+
+def test_many_vertices_are_shuffled(spark):
+    """Tables of vertices have small files: the planner would broadcast them in every round."""
+    rooms = spark.createDataFrame([("g", "a", "b", 3), ("g", "b", "t", 2)], "graph_id string, u string, v string, room long")
+    held = spark.createDataFrame([("g", "a", 2)], "graph_id string, u string, excess long")
+    far = spark.createDataFrame([("g", "a", 2), ("g", "b", 1), ("g", "t", 0)], "graph_id string, u string, far int")
+    pushes = flow_rounds.pushes_of(rooms, held, far)
+    assert "BroadcastHashJoin" not in pushes._jdf.queryExecution().executedPlan().toString()
+    assert [tuple(r) for r in pushes.collect()] == [("g", "a", "b", 2)]
+
+
+def test_same_flow_without_broadcasts(spark, monkeypatch):
+    edges = spark.createDataFrame([("g", i, s, d, c) for i, (s, d, c) in enumerate([("s", "a", 3), ("s", "b", 2), ("a", "t", 2), ("a", "b", 2), ("b", "t", 3)])], "graph_id string, edge_pos int, src string, dst string, capacity long")
+    ends = spark.createDataFrame([("g", "s", "t")], "graph_id string, source string, sink string")
+    monkeypatch.setattr(spelling, "BROADCAST_ROWS", 0)
+    assert flow_rounds.max_flow(edges, ends).first().max_flow == 5
