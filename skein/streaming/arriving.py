@@ -1,68 +1,51 @@
 """Documents that arrive, are replaced and deleted: postings and document frequencies kept by a stream.
 
-A stream of (doc_id, version, text, deleted) keeps one state per document: the version it is at and the words it has. What a
-later version changes goes out as a row: the words the document gained and those it lost. An earlier version that comes late
-changes nothing. So batches may arrive in any order and be cut anywhere; what the changes add up to is the same. Each
-micro-batch is a run of changes under its own number, overwritten if it is tried again. Readers add up the runs;
-`compact` adds them up once, into a run that stands for all before it.
+A stream of (doc_id, version, text, deleted) is kept as runs: each micro-batch writes, for every event, the words of that
+version under the batch's number, overwritten if it is tried again. Readers take each document's latest version of all runs;
+`compact` takes it once, into a run that stands for all before it. A late version is a row that loses. So batches may
+arrive in any order and be cut anywhere; what they add up to is the same.
 
-The work of a batch grows with the documents in it, not with those kept; a state is one document's words. A run has at most
-one row of a document, so adding up takes a document's rows of the runs since the last compaction together. Frequencies are
-combined before they are shuffled, so a word that every document has is no hot key. Words have no spaces: a set of
-them is kept as one text.
+The work of a batch grows with the documents in it, not with those kept: nothing kept is looked up, no state is held and
+nothing is shuffled. Taking the latest shuffles one row per event since the last compaction, none if all runs are merged.
+Frequencies are combined before they are shuffled, so a word that every document has is no hot key. Words have no spaces:
+a set of them is kept as one text.
 
 Defined cases: a null or empty text has no words; a null `deleted` is false; a null version is before all others; rows without
-doc_id are one document; of equal versions the first one applied stays, and within a batch the one with the most words,
+doc_id are one document; of equal versions that of the first batch stays, and within a batch the one with the most words,
 then the greatest list of words, deletions last; a deleted document comes back with a later version; further columns aren't read;
 without any batch both tables are empty.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..functions.text import contains_digit, normalize, token_set
 
 EVENTS = "doc_id long, version long, text string, deleted boolean"
-CHANGES = "doc_id long, version long, gained string, lost string"
-_STATE = "version long, words string"
+RUN = "doc_id long, version long, run long, size int, words string"
 #: Before any version.
 _NEVER = -(2**63)
 
 
 def _words(events: DataFrame) -> DataFrame:
+    """doc_id, version and its words, in order, as one text; size: how many."""
     gone = F.coalesce("deleted", F.lit(False))
-    words = F.filter(token_set(normalize(F.col("text"))), lambda w: w != "")
-    words = F.when(gone, F.lit("")).otherwise(F.array_join(F.array_sort(words), " "))
-    return events.select("doc_id", F.coalesce("version", F.lit(_NEVER + 1)).alias("version"), words.alias("words"))
-
-
-def _changes(key: tuple, rows: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    """One document's versions of a batch, in whatever order -> what the latest one changes."""
-    at, had = state.get if state.exists else (_NEVER, "")
-    new = max(((v, w.count(" "), w) for f in rows for v, w in zip(f["version"], f["words"])), default=None)
-    if new is None or new[0] <= at:
-        return
-    state.update((int(new[0]), new[2]))
-    before, after = set(had.split()), set(new[2].split())
-    change = (key[0], int(new[0]), " ".join(sorted(after - before)), " ".join(sorted(before - after)))
-    yield pd.DataFrame([change], columns=["doc_id", "version", "gained", "lost"]).astype({"doc_id": "Int64"})
+    own = F.when(gone, F.array().cast("array<string>")).otherwise(token_set(normalize(F.col("text"))))
+    rows = events.select("doc_id", F.coalesce("version", F.lit(_NEVER + 1)).alias("version"), own.alias("own"))
+    return rows.select("doc_id", "version", F.size("own").alias("size"), F.array_join(F.sort_array("own"), " ").alias("words"))
 
 
 def keep(events: DataFrame, path: str, checkpoint: str, once: bool = False) -> StreamingQuery:
     """Start keeping the postings of a stream of events under `path`; `once` takes what is there now and ends."""
 
     def write(batch: DataFrame, number: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{path.rstrip('/')}/runs/run={number}")
+        run = _words(batch).select("doc_id", "version", F.lit(number).cast("long").alias("run"), "size", "words")
+        run.write.mode("overwrite").parquet(f"{path.rstrip('/')}/runs/run={number}")
 
-    changes = _words(events).groupBy("doc_id").applyInPandasWithState(_changes, CHANGES, _STATE, "append", GroupStateTimeout.NoTimeout)
-    writer = changes.writeStream.outputMode("append").foreachBatch(write).option("checkpointLocation", checkpoint)
+    writer = events.writeStream.outputMode("append").foreachBatch(write).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if once else writer).start()
 
 
@@ -74,46 +57,37 @@ def _numbers(spark: SparkSession, folder: str) -> list[int]:
     return sorted(int(m.getPath().getParent().getName()[4:]) for m in marks or [])
 
 
-def _runs(spark: SparkSession, path: str) -> tuple[DataFrame, int]:
-    """All changes, merged ones first, and the number of the last run in them (-1 without any)."""
+def _latest(spark: SparkSession, path: str) -> tuple[DataFrame, int]:
+    """Every document's latest version of all runs, as a row of a run, and the number of the last run (-1 without any)."""
     path = path.rstrip("/")
     merged, runs = _numbers(spark, f"{path}/merged"), _numbers(spark, f"{path}/runs")
     upto = merged[-1] if merged else -1
-    paths = [f"{path}/merged/run={upto}"] * bool(merged) + [f"{path}/runs/run={n}" for n in runs if n > upto]
+    later = [n for n in runs if n > upto]
+    paths = [f"{path}/merged/run={upto}"] * bool(merged) + [f"{path}/runs/run={n}" for n in later]
     if not paths:
-        return spark.createDataFrame([], CHANGES), -1
-    return spark.read.schema(CHANGES).parquet(*paths), max([upto, *runs])
-
-
-def _set(words: str) -> Column:
-    return F.filter(F.split(words, " "), lambda w: w != "")
-
-
-def _added_up(changes: DataFrame) -> DataFrame:
-    """doc_id, version, words: every document as its changes, by version, leave it."""
-    change = F.struct("version", _set("gained").alias("gained"), _set("lost").alias("lost"))
-    rows = changes.groupBy("doc_id").agg(F.array_sort(F.collect_list(change)).alias("rows"))
-    none = F.array().cast("array<string>")
-    words = F.aggregate("rows", none, lambda had, r: F.concat(F.array_except(had, r["lost"]), r["gained"]))
-    return rows.select("doc_id", F.element_at("rows", -1)["version"].alias("version"), words.alias("words"))
+        return spark.createDataFrame([], RUN), -1
+    # A run's number is a column of it, and stays with a row when runs are merged; the folder's name isn't asked.
+    rows = spark.read.schema(RUN).option("recursiveFileLookup", "true").parquet(*paths)
+    if later:
+        last = F.max(F.struct("version", (-F.col("run")).alias("first"), "size", "words")).alias("r")
+        rows = rows.groupBy("doc_id").agg(last).select("doc_id", "r.version", (-F.col("r.first")).alias("run"), "r.size", "r.words")
+    return rows, max([upto, *runs])
 
 
 def postings(spark: SparkSession, path: str) -> DataFrame:
     """word, doc_id of the documents as they are now."""
-    return _added_up(_runs(spark, path)[0]).select(F.explode("words").alias("word"), "doc_id")
+    return _latest(spark, path)[0].where("size > 0").select(F.explode(F.split("words", " ")).alias("word"), "doc_id")
 
 
 def vocabulary(spark: SparkSession, path: str) -> DataFrame:
-    """word, doc_freq: words of three letters or more without digits. Changes are added up by word alone."""
-    changes = _runs(spark, path)[0]
-    one = lambda words, n: F.transform(_set(words), lambda w: F.struct(w.alias("word"), F.lit(n).alias("change")))
-    words = changes.select(F.inline(F.concat(one("gained", 1), one("lost", -1)))).where((F.length("word") >= 3) & ~contains_digit(F.col("word")))
-    return words.groupBy("word").agg(F.sum("change").cast("long").alias("doc_freq")).where("doc_freq > 0")
+    """word, doc_freq: words of three letters or more without digits."""
+    words = _latest(spark, path)[0].where("size > 0").select(F.explode(F.split("words", " ")).alias("word"))
+    words = words.where((F.length("word") >= 3) & ~contains_digit(F.col("word")))
+    return words.groupBy("word").agg(F.count(F.lit(1)).alias("doc_freq"))
 
 
 def compact(spark: SparkSession, path: str) -> None:
-    """Add up all runs so far, as one run that readers take in their place; the stream may go on meanwhile."""
-    changes, last = _runs(spark, path)
+    """Take all runs so far together, as one run that readers take in their place; the stream may go on meanwhile."""
+    rows, last = _latest(spark, path)
     if last >= 0 and last not in _numbers(spark, f"{path.rstrip('/')}/merged"):
-        merged = _added_up(changes).select("doc_id", "version", F.array_join("words", " ").alias("gained"), F.lit("").alias("lost"))
-        merged.write.mode("overwrite").parquet(f"{path.rstrip('/')}/merged/run={last}")
+        rows.write.mode("overwrite").parquet(f"{path.rstrip('/')}/merged/run={last}")

@@ -55,3 +55,18 @@ def test_versions_and_nothing(spark, tmp_path):
     got = {(r.word, r.doc_id) for r in arriving.postings(spark, kept).collect()}
     assert {g for g in got if g[1] == 2} == {("back", 2)} and ("x" * 100_000, 3) in got
     assert {w for w, d in got if d == 1} in ({"new", "words"}, {"new"})
+
+
+def test_a_batch_keeps_no_state(spark, tmp_path):
+    """A batch is one pass over its events: nothing per document is kept by the stream, and what comes late still loses."""
+    kept = str(tmp_path / "kept")
+    for n, events in enumerate([[(d, 2, f"newer word{d}", False) for d in range(50)], [(d, 1, "older", False) for d in range(50)], [(d, 2, "same version later", False) for d in range(50)]]):
+        spark.createDataFrame(events, arriving.EVENTS).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+        query = arriving.keep(spark.readStream.schema(arriving.EVENTS).parquet(f"{tmp_path}/in"), kept, f"{tmp_path}/ck", once=True)
+        query.awaitTermination()
+        assert query.lastProgress["stateOperators"] == [] and query.lastProgress["numInputRows"] == 50
+        if n == 1:
+            arriving.compact(spark, kept)
+    for _ in range(2):
+        assert {(r.word, r.doc_freq) for r in arriving.vocabulary(spark, kept).collect()} == {("newer", 50)}
+        arriving.compact(spark, kept)
