@@ -29,8 +29,6 @@ import os
 import re
 import zlib
 from collections.abc import Iterator
-from itertools import compress
-from operator import itemgetter
 
 import numpy as np
 import pandas as pd
@@ -67,6 +65,19 @@ def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
     return public_tokenizers.path(name)
 
 
+class Numbers(dict):
+    """chunk -> its number: one that is asked for the first time gets the next number and is put on `new`."""
+
+    def __init__(self) -> None:
+        super().__init__()
+        self.new: list[bytes] = []
+
+    def __missing__(self, chunk: bytes) -> int:
+        n = self[chunk] = len(self)
+        self.new.append(chunk)
+        return n
+
+
 class Chunks:
     """Ids and a term number for each chunk of a text, kept by chunk.
 
@@ -75,6 +86,8 @@ class Chunks:
     """
 
     END = b"\n"  # no chunk: it stands for the end id
+    #: Stands between chunks that are encoded as one text.
+    BETWEEN = "~"
     #: The mark first: so it is what the search runs for.
     MARK = re.compile(rb"[.,;:!?](?<=[a-z].)(?=[ \n])")
 
@@ -87,10 +100,11 @@ class Chunks:
         self.closes = np.zeros(max(vocabulary.values()) + 1, bool)
         self.closes[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
         self.end_id, self.kept = end_id, kept
+        self.between = self.tokenizer.encode(self.BETWEEN, add_special_tokens=False).ids
         self.clear()
 
     def clear(self) -> None:
-        self.index: dict[bytes, int] = {}
+        self.index = Numbers()
         self.ids, self.size = np.zeros(1 << 16, np.uint32), np.zeros(1 << 16, np.int32)
         self.start, self.term = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.uint32)
         self.met = np.zeros(1 << 16, bool)  # by a later slice than the one that brought the chunk
@@ -98,16 +112,20 @@ class Chunks:
         self.add([self.END], np.array([self.end_id], np.uint32), np.array([1]))
 
     def add(self, chunks: list[bytes], ids: np.ndarray, sizes: np.ndarray) -> None:
-        first, n = len(self.index), len(chunks)
-        while len(self.size) < first + n:
+        at = np.array([self.index[c] for c in chunks], np.int64)
+        self.index.new = []
+        self.store(at, chunks, ids, sizes)
+
+    def store(self, at: np.ndarray, chunks: list[bytes], ids: np.ndarray, sizes: np.ndarray) -> None:
+        """at: the chunks' numbers."""
+        while len(self.size) < len(self.index):
             self.size, self.start, self.term, self.met = (np.concatenate([x, np.zeros_like(x)]) for x in (self.size, self.start, self.term, self.met))
         while len(self.ids) < self.used + len(ids):
             self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
-        self.index.update(zip(chunks, range(first, first + n)))
         self.ids[self.used : self.used + len(ids)] = ids
-        self.size[first : first + n] = sizes
-        self.start[first : first + n] = self.used + np.cumsum(sizes) - sizes
-        self.term[first : first + n] = list(map(zlib.crc32, chunks))
+        self.size[at] = sizes
+        self.start[at] = self.used + np.cumsum(sizes) - sizes
+        self.term[at] = np.fromiter(map(zlib.crc32, chunks), np.uint32, len(chunks))
         self.used += len(ids)
 
     def shrink(self) -> None:
@@ -118,23 +136,37 @@ class Chunks:
         self.clear()
         self.add([chunks[i] for i in keep.tolist()], ids, sizes)
 
-    def learn(self, chunks: list[bytes]) -> None:
-        """Encode chunks that aren't known yet."""
+    def learn(self, first: int) -> None:
+        """Encode the new chunks, which are numbered from `first`."""
+        chunks, self.index.new = self.index.new, []
         texts = b" ".join(chunks).decode("utf-8", "replace").split(" ")
-        plain = [t.isalpha() for t in texts]
-        words, rest = list(compress(zip(chunks, texts), plain)), [x for x, p in zip(zip(chunks, texts), plain) if not p]
-        for at in range(0, len(words), 20_000):
-            # Letters alone are one run each, and a run's last token says so: many words are encoded as one text.
-            part = words[at : at + 20_000]
-            got = self.tokenizer.encode_batch_fast([" ".join([t for _, t in part])], add_special_tokens=False)
-            ids = np.array(got[0].ids, np.uint32)
-            ends = np.nonzero(self.closes[ids])[0] + 1
-            if len(ends) == len(part) and len(ids) == ends[-1]:
-                self.add([c for c, _ in part], ids, np.diff(ends, prepend=0))
-            else:
-                rest += part
-        got = [e.ids for e in self.tokenizer.encode_batch_fast([t for _, t in rest], add_special_tokens=False)]
-        self.add([c for c, _ in rest], np.array([i for x in got for i in x], np.uint32), np.array([len(x) for x in got], np.int64))
+        plain = np.fromiter(map(str.isalpha, texts), bool, len(texts))
+        for own, cut in ((np.flatnonzero(plain), self._cut_words), (np.flatnonzero(~plain), self._cut_between)):
+            for begin in range(0, len(own), 20_000):
+                at = own[begin : begin + 20_000].tolist()
+                part = [texts[i] for i in at]
+                ids, sizes = cut(part) or self._each(part)
+                self.store(np.array(at) + first, [chunks[i] for i in at], ids, sizes)
+
+    def _cut_words(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray] | None:
+        """Letters alone are one run each, and a run's last token says so: many words are encoded as one text."""
+        ids = np.array(self.tokenizer.encode_batch_fast([" ".join(texts)], add_special_tokens=False)[0].ids, np.uint32)
+        ends = np.flatnonzero(self.closes[ids]) + 1
+        return (ids, np.diff(ends, prepend=0)) if len(ends) == len(texts) and len(ids) == ends[-1] else None
+
+    def _cut_between(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray] | None:
+        """Other chunks are encoded as one text with a sign between them that has one id, which no chunk has."""
+        if len(self.between) != 1:
+            return None
+        ids = np.array(self.tokenizer.encode_batch_fast([f" {self.BETWEEN} ".join(texts)], add_special_tokens=False)[0].ids, np.uint32)
+        signs = np.flatnonzero(ids == self.between[0])
+        if len(signs) != len(texts) - 1:
+            return None
+        return np.delete(ids, signs), np.diff(np.concatenate([[-1], signs, [len(ids)]])) - 1
+
+    def _each(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        got = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        return np.array([i for x in got for i in x], np.uint32), np.array([len(x) for x in got], np.int64)
 
     @classmethod
     def of(cls, text: str | None) -> list[bytes]:
@@ -149,10 +181,10 @@ class Chunks:
             counts[i] = len(own)
             every += own
             every.append(self.END)
-        new, known = set(every).difference(self.index), len(self.index)
-        if new:
-            self.learn(list(new))
-        at = np.array(itemgetter(*every)(self.index), np.int64).reshape(-1)
+        known = len(self.index)
+        at = np.fromiter(map(self.index.__getitem__, every), np.int64, len(every))
+        if self.index.new:
+            self.learn(known)
         self.met[at[at < known]] = True
         sizes = self.size[at]
         ends = np.cumsum(sizes, dtype=np.int64)

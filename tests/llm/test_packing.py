@@ -154,3 +154,23 @@ def test_table_of_chunks_is_bounded(tokenizer):
 def test_small_tables_of_chunks_give_the_same(docs):
     a, b = (sorted(map(str, packing.pack(docs, kept=n).collect())) for n in (packing.KEPT, 20))
     assert a == b
+
+
+@pytest.mark.parametrize("odd", ["", "~", "x~y"])
+def test_new_chunks_are_encoded_as_few_texts(odd):
+    """Chunks with digits or signs too, and those that hold the sign that stands between them are still encoded right."""
+    chunks, asked = packing.Chunks(packing.tokenizer_path(), 2), []
+
+    class Counted:
+        def __init__(self, own):
+            self.own = own
+
+        def encode_batch_fast(self, texts, **more):
+            asked.extend(texts)
+            return self.own.encode_batch_fast(texts, **more)
+
+    text = " ".join(f"w{k} a-{k} {k}.5 don't" for k in range(500)) + f" {odd} end"
+    own, chunks.tokenizer = chunks.tokenizer, Counted(chunks.tokenizer)
+    got = chunks.encode([text, text])[0].tolist()
+    assert got == 2 * [*own.encode(text, add_special_tokens=False).ids, 2]
+    assert odd or len(asked) == 2
