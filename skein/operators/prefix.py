@@ -7,7 +7,11 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.text import normalize, strip_control, token_list
-from .spelling import Hint, batch_hint, no_hint
+from ..sources.staging import materialize
+from .spelling import Hint, batch_hint, no_hint, shuffled
+
+#: Products that are numbered in one task.
+BUCKET = 50_000
 
 
 def clean(word: Column) -> Column:
@@ -22,8 +26,10 @@ def words(table: DataFrame, column: str) -> DataFrame:
 def has_word(vocabulary: DataFrame, asked: DataFrame) -> DataFrame:
     """asked: word -> word, found."""
     keyed = asked.select("word", clean(F.col("word")).alias("__w"))
-    known = vocabulary.select(F.col("word").alias("__w"), F.lit(True).alias("__k"))
-    return keyed.join(known, "__w", "left").select("word", F.coalesce("__k", F.lit(False)).alias("found"))
+    hint = batch_hint(asked)
+    # At most the words asked for, so the vocabulary isn't broadcast.
+    known = vocabulary.select(F.col("word").alias("__w")).join(hint(keyed.select("__w").distinct()), "__w", "left_semi").withColumn("__k", F.lit(True))
+    return keyed.join(hint(known), "__w", "left").select("word", F.coalesce("__k", F.lit(False)).alias("found"))
 
 
 def _by_prefix(vocabulary: DataFrame, prefixes: DataFrame, hint: Hint = no_hint) -> DataFrame:
@@ -54,6 +60,22 @@ def prefix_index(catalog: DataFrame, *columns: str) -> DataFrame:
     return catalog.select("corpus_pos", F.explode(F.array_distinct(every)).alias("word")).where(F.length("word") >= 2)
 
 
+def _ranked(found: DataFrame) -> DataFrame:
+    """query_id, corpus_pos, __first -> and rank, total. Written and read twice.
+
+    A query may find every product, so its rows are numbered by buckets of products; the rows before a bucket are added up from
+    its buckets' counts.
+    """
+    found = materialize(found.select("query_id", "corpus_pos", "__first", F.coalesce(F.floor(F.col("corpus_pos") / BUCKET), F.lit(-(2**63))).alias("__b")), "prefixed")
+    keys = ["query_id", "__first", "__b"]
+    counts = found.groupBy(keys).agg(F.count(F.lit(1)).alias("n"))
+    query = W.partitionBy("query_id")
+    before = F.sum("n").over(query.orderBy("__first", "__b")) - F.col("n")
+    counts = counts.select(*keys, before.alias("before"), F.sum("n").over(query).alias("total"))
+    rows = found.withColumn("place", F.row_number().over(W.partitionBy(keys).orderBy("corpus_pos")))
+    return rows.join(shuffled(counts), keys).select("query_id", (F.col("before") + F.col("place")).alias("rank"), "corpus_pos", "total")
+
+
 def search_prefix(index: DataFrame, queries: DataFrame, limit: int | None = None) -> DataFrame:
     """query_id, query_text -> query_id, rank, corpus_pos, total: products that have a word for each prefix.
 
@@ -62,13 +84,11 @@ def search_prefix(index: DataFrame, queries: DataFrame, limit: int | None = None
     hint = batch_hint(queries)
     parts = queries.select("query_id", F.posexplode(token_list(normalize(F.col("query_text")))).alias("part", "__p"))
     sizes = parts.groupBy("query_id").agg(F.count(F.lit(1)).alias("__parts"))
-    matching = _by_prefix(index.select("word").distinct(), parts, hint).join(hint(parts), "__p")
-    hits = index.join(matching, "word")
+    matching = _by_prefix(index.select("word").distinct(), parts, hint).join(hint(parts), "__p").select("query_id", "part", "word")
+    # Written and counted: few are broadcast and many shuffled, but the index never broadcast.
+    matching = materialize(matching, "matching")
+    hits = index.join(batch_hint(matching)(matching), "word")
     first = F.min(F.when(F.col("part") == 0, F.col("word"))).alias("__first")
     found = hits.groupBy("query_id", "corpus_pos").agg(F.countDistinct("part").alias("__n"), first)
-    found = found.join(hint(sizes), "query_id").where("__n = __parts")
-    order = W.partitionBy("query_id").orderBy("__first", "corpus_pos")
-    out = found.withColumn("rank", F.row_number().over(order))
-    totals = found.groupBy("query_id").agg(F.count(F.lit(1)).alias("total"))
-    out = out if limit is None else out.where(F.col("rank") <= limit)
-    return out.join(totals, "query_id").select("query_id", "rank", "corpus_pos", "total")
+    out = _ranked(found.join(hint(sizes), "query_id").where("__n = __parts"))
+    return out if limit is None else out.where(F.col("rank") <= limit)

@@ -155,3 +155,25 @@ def test_one_split_of_parts_is_dealt_to_tasks(spark, monkeypatch):
     assert registry._table(spark, sf, "part").rdd.getNumPartitions() == 1 and dealt.rdd.getNumPartitions() == 4
     assert registry.part_texts(spark, sf).rdd.getNumPartitions() == 4
     assert sorted(r.p_partkey for r in dealt.collect()) == sorted(r.p_partkey for r in registry._table(spark, sf, "part").collect())
+
+
+def test_prefix_search_numbers_products_by_buckets(spark, monkeypatch):
+    """The index isn't broadcast, whatever its files' size, and no window holds all products of a query."""
+    from skein.operators import prefix
+    from skein.plans import data, registry
+
+    sf = "/root/testdata/sf0.001"
+    monkeypatch.setattr(prefix, "BUCKET", 7)
+    asked = spark.createDataFrame(data.PREFIXES, "query_id int, query_text string")
+    index = prefix.prefix_index(catalog.from_part(registry._part(spark, sf)), "product_name", "description")
+    got = prefix.search_prefix(index, asked)
+    plan = got._jdf.queryExecution().sparkPlan().toString()
+    assert "row_number() windowspecdefinition(query_id" in plan and "__b" in plan.split("row_number() windowspecdefinition(", 1)[1].split("corpus_pos")[0]
+    rows = got.collect()
+    for q in {r.query_id for r in rows}:
+        own = sorted((r for r in rows if r.query_id == q), key=lambda r: r["rank"])
+        assert [r["rank"] for r in own] == list(range(1, own[0].total + 1))
+    monkeypatch.setattr(prefix, "BUCKET", 10**9)
+    assert sorted(map(tuple, rows)) == sorted(map(tuple, prefix.search_prefix(index, asked).collect()))
+    known = prefix.has_word(index.select("word").distinct(), spark.createDataFrame([("red",), ("nothing",)], "word string"))
+    assert {tuple(r) for r in known.collect()} == {("red", True), ("nothing", False)}
