@@ -19,14 +19,16 @@ BUCKET_ROWS = 1_000_000
 
 @dataclass(frozen=True)
 class Kept:
-    """A table to keep: its rows, what deals them to buckets, the order within a bucket, and how many buckets (by its
-    counted rows, if not given)."""
+    """A table to keep: its rows, what deals them to buckets, the order within a bucket, how many buckets (by its counted
+    rows, if not given), and whether rows are written where they are made (they aren't shuffled then; a bucket is a file of
+    each task that has rows of it, so no more files than values if a value's rows are made by one task)."""
 
     name: str
     rows: DataFrame
     by: tuple[str, ...]
     order: tuple[str, ...] = ()
     buckets: int | None = None
+    placed: bool = False
 
 
 def _files(spark: SparkSession, path: str):
@@ -58,7 +60,7 @@ def write(spark: SparkSession, path: str, tables: list[Kept], bucket_rows: int =
         buckets = t.buckets or max(1, -(-t.rows.count() // bucket_rows))
         name = f"skein_{uuid.uuid4().hex}"
         # Dealt as buckets are, so that a bucket is one file.
-        out = t.rows.repartition(buckets, *t.by).write.bucketBy(buckets, *t.by).sortBy(*(t.order or t.by))
+        out = (t.rows if t.placed else t.rows.repartition(buckets, *t.by)).write.bucketBy(buckets, *t.by).sortBy(*(t.order or t.by))
         out.option("path", f"{path}/v{version}/{t.name}").saveAsTable(name)
         spark.sql(f"DROP TABLE {name}")  # of the session's catalogue; the files stay
         columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in t.rows.schema)
